@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import bpe, exact, packing, simhash, substring
+from wattline.llm import bpe, exact, packing, quality, simhash, substring, urls
 from wattline.llm._support import raw, table
 
+#: Rules of the URL query.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -21,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER).withColumnRenamed("id", "doc_id")
 
@@ -35,6 +41,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "lower(hex(digest)) AS text_sha256")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -46,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
