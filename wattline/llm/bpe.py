@@ -27,16 +27,17 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from wattline.llm._support import slices
 
-WORDS_HELD = 400_000
-STATES_HELD = 600_000
+CHUNKS_HELD = 500_000
+STATES_HELD = 150_000
+BATCH_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -108,39 +109,27 @@ class Automaton:
                 before, p = min(before, a), right[p]
 
 
-class Read(dict):
-    """Ids of words, read by the automaton when first asked for."""
-
-    def __init__(self, read):
-        super().__init__()
-        self.read = read
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = self[word] = self.read(word.encode())
-        return out
-
-
-class Encoder:
-    """Words to ids and to decoded text, in one process."""
+class Reader:
+    """The lazy DFA: pre-split words (bytes) to ids, many words in step."""
 
     def __init__(self, automaton: Automaton):
         self.a = automaton
-        self.arcs: dict[int, bool] = {}
-        self.ids = Read(self.read)
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.marks = regex.compile("|".join(map(regex.escape, automaton.special))) if automaton.special else None
-        self.unusual = re.compile("[^\x00-ԯ‐-‧‰-⁞₠-₵一-龥ぁ-ゖァ-ヺ가-힣]")
-        self.library = None
-        self._reset()
+        self.length = np.ones(max(automaton.label) + 1, np.int64)
+        for i, n in automaton.length.items():
+            self.length[i] = n
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
+        self.arcs: dict[int, bool] = {}
         self.states: dict[tuple, int] = {((-1, 0),): 0}
         self.configs: list[tuple] = [((-1, 0),)]
-        self.done: list[int] = [-1]
-        self.table: dict[int, int] = {}
+        self.done = array("i", [-1])
+        self.column = np.full(512, -1, np.int64)  # symbols to the table's columns, as they turn up
+        self.symbols: list[int] = []
+        self.table = np.full((1 << 12, 64), -1, np.int32)
 
     def _step(self, state: int, symbol: int) -> int:
-        """Fill one entry of the transition table."""
+        """The state after `symbol`, made if it is new."""
         a, alive, done = self.a, [], -1
         for q, node in self.configs[state]:
             to = a.trie.get(node << 9 | symbol)
@@ -157,63 +146,132 @@ class Encoder:
                 alive.append((q, to))
         if done >= 0:
             alive.append((done, 0))
-        to = self.states.setdefault(key := (done, *alive), len(self.configs))
+        to = self.states.setdefault((done, *alive), len(self.configs))
         if to == len(self.configs):
             self.configs.append(tuple(alive))
             self.done.append(done)
-        self.table[state << 9 | symbol] = to
         return to
 
-    def read(self, word: bytes) -> tuple[int, ...]:
+    def _fill(self, state: np.ndarray, column: np.ndarray) -> None:
+        for key in np.unique(state.astype(np.int64) << 16 | column).tolist():
+            to = self._step(key >> 16, self.symbols[key & 0xFFFF])
+            if to >= len(self.table):
+                self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
+            self.table[key >> 16, key & 0xFFFF] = to
+
+    def read(self, words: list[bytes]) -> list[bytes]:
         if len(self.configs) > STATES_HELD:
-            self._reset()
-            self.arcs = {}
-        state, path, table = 0, [], self.table
-        for symbol in word[:-1]:
-            state = to if (to := table.get(state << 9 | symbol)) is not None else self._step(state, symbol)
-            path.append(state)
-        symbol = word[-1] + 256
-        path.append(to if (to := table.get(state << 9 | symbol)) is not None else self._step(state, symbol))
-        out, i, length, done = [], len(word), self.a.length, self.done
-        while i:
-            t = done[path[i - 1]]
-            out.append(t)
-            i -= length[t]
-        return tuple(reversed(out))
-
-    def words(self, text: str) -> list[str]:
-        """Normalise and pre-split. Text with letters that Unicode versions class differently is
-        split by the tokenizers library itself."""
-        if self.unusual.search(text):
-            if self.library is None:
-                from tokenizers import Tokenizer
-
-                self.library = Tokenizer.from_str(self.a.spec)
-                self.byte = {c: b for b, c in byte_letters().items()}
-            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [bytes(self.byte[c] for c in x).decode() for x, _ in cut]
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pieces.findall(text)
-
-    def encode(self, text: str) -> array:
-        if self.marks is not None and (found := list(self.marks.finditer(text))):
-            out, at = array("I"), 0
-            for m in found:
-                out.extend(self._plain(text[at : m.start()]))
-                out.append(self.a.special[m.group()])
-                at = m.end()
-            out.extend(self._plain(text[at:]))
-            return out
-        return self._plain(text)
+            self.reset()
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        size = np.array([len(words[i]) for i in order], np.int64)
+        start = np.cumsum(size) - size
+        code = np.frombuffer(b"".join(words[i] for i in order), np.uint8).astype(np.int64)
+        code[start + size - 1] += 256
+        for symbol in np.unique(code[self.column[code] < 0]).tolist():
+            self.column[symbol] = len(self.symbols)
+            self.symbols.append(symbol)
+        if len(self.symbols) > self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.full((len(self.table), max(64, len(self.symbols) - self.table.shape[1])), -1, np.int32)), axis=1)
+        code = self.column[code]
+        path = np.zeros(len(code), np.int32)
+        state = np.zeros(len(size), np.int32)
+        running = np.searchsorted(-size, -np.arange(int(size[0])), side="left") if len(size) else []
+        for i, n in enumerate(running):  # words are in order of length: the first n have an i-th symbol
+            at, column = start[:n] + i, code[start[:n] + i]
+            to = self.table[state[:n], column]
+            if (miss := np.flatnonzero(to < 0)).size:
+                self._fill(state[miss], column[miss])
+                to = self.table[state[:n], column]
+            path[at] = state[:n] = to
+        done = np.frombuffer(self.done, np.int32)
+        left, alive, found, count = size.copy(), np.arange(len(size)), [], np.zeros(len(size), np.int64)
+        while alive.size:  # follow the labels back from the ends
+            t = done[path[start[alive] + left[alive] - 1]]
+            found.append((alive, t))
+            count[alive] += 1
+            left[alive] -= self.length[t]
+            alive = alive[left[alive] > 0]
+        ends = np.cumsum(count)
+        ids = np.zeros(int(count.sum()), "<u4")
+        for r, (who, t) in enumerate(found):
+            ids[ends[who] - 1 - r] = t
+        data, out = ids.tobytes(), [b""] * len(words)
+        for i, a, b in zip(order, (4 * (ends - count)).tolist(), (4 * ends).tolist(), strict=True):
+            out[i] = data[a:b]
+        return out
+
 
-    def _plain(self, text: str) -> array:
-        if len(self.ids) > WORDS_HELD:
-            self.ids.clear()
-        return array("I", chain.from_iterable(map(self.ids.__getitem__, self.words(text))))
+class Encoder:
+    """Texts to ids (little-endian unsigned 32-bit) and back to text, in one process.
+
+    Pre-split words never cross white space, so what lies between white space is looked up whole, and
+    only what is not held yet is split and read by the automaton.
+    """
 
-    def decode(self, ids: array) -> str:
+    def __init__(self, automaton: Automaton):
+        self.a, self.reader = automaton, Reader(automaton)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.marks = re.compile("|".join(map(re.escape, automaton.special))) if automaton.special else None
+        self.special = {s: i.to_bytes(4, "little") for s, i in automaton.special.items()}
+        self.unusual = re.compile("[^\x00-\x1b\x20-ԯ‐-‧‰-⁞₠-₵一-龥ぁ-ゖァ-ヺ가-힣]")
+        self.library = None
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Hold the ids of these chunks."""
+        split = {c: [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".,;:!?" and c[:-1].isalpha() else self.pieces.findall(c) for c in chunks}
+        new = [w for w in {w for x in split.values() for w in x} if w not in self.words]
+        self.words.update(zip(new, self.reader.read([w.encode() for w in new]), strict=True))
+        get = self.words.__getitem__
+        for c, x in split.items():
+            self.chunks[c] = b"".join(map(get, x))
+
+    def _cut(self, text: str) -> list[list[str] | bytes]:
+        """A text as lists of chunks and, for special tokens, ids."""
+        if self.marks is not None and "<|" in text and self.marks.search(text):
+            out, at = [], 0
+            for m in self.marks.finditer(text):
+                out += [*self._cut(text[at : m.start()]), self.special[m.group()]]
+                at = m.end()
+            return [*out, *self._cut(text[at:])]
+        if not text.isascii():
+            if self.unusual.search(text):
+                return [self._split_by_library(text)]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        elif any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the vocabulary
+            return [self._split_by_library(text)]
+        return [text.lower().split()]
+
+    def _split_by_library(self, text: str) -> bytes:
+        """Text with letters that Unicode versions class differently is split by the tokenizers library."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.a.spec)
+            self.byte = {c: b for b, c in byte_letters().items()}
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return b"".join(self.reader.read([bytes(self.byte[c] for c in x) for x, _ in cut]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > CHUNKS_HELD:
+            self.chunks.clear()
+        if len(self.words) > CHUNKS_HELD:
+            self.words.clear()
+        cut, known = [self._cut(t) for t in texts], self.chunks
+        new: set[str] = set()
+        for text in cut:
+            for part in text:
+                if type(part) is list:
+                    new.update(set(part).difference(known))
+        if new:
+            self._learn(new)
+        get = known.__getitem__
+        return [b"".join([part if type(part) is bytes else b"".join(map(get, part)) for part in text]) for text in cut]
+
+    def decode(self, ids: bytes) -> str:
         """As a tokenizer without a decoder does: labels joined by blanks."""
-        return " ".join(map(self.a.label.__getitem__, ids))
+        return " ".join(map(self.a.label.__getitem__, array("I", ids)))
 
 
 def load(spark, path: str) -> Automaton:
@@ -234,10 +292,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in slices(batches, "text"):
-            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", BATCH_BYTES):
+            ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())],
+                [batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())],
                 ["id", "n_tokens", "ids", "decoded"],
             )
 

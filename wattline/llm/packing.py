@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm._support import keep, slices
-from wattline.llm.bpe import Encoder, crc, load
+from wattline.llm.bpe import BATCH_BYTES, Encoder, crc, load
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -105,15 +105,15 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
     shared = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = end_id.to_bytes(4, "little")
         encoder, seen, task = Encoder(shared.value), [0] * (capacity + 1), TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             rows: list[tuple] = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text or "")
-                ids.append(end_id)
-                data = ids.tobytes()
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    length = min(capacity, len(ids) - start)
+            for i, ids in zip(batch.column("id").to_pylist(), encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                data = ids + end
+                size = len(data) // 4
+                for piece, start in enumerate(range(0, size, capacity)):
+                    length = min(capacity, size - start)
                     rows.append((i, piece, start, length, crc(data[4 * start : 4 * (start + length)]), seen[length]))
                     seen[length] += 1
             cols = list(zip(*rows, strict=True)) or [()] * 6

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import bpe, exact, packing, quality, simhash, substring, urls
+from wattline.llm import bpe, exact, language, packing, pii, quality, simhash, substring, urls
 from wattline.llm._support import raw, table
 
 #: Rules of the URL query.
@@ -45,6 +45,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+#: One fold in five is never learned from.
+HELD_OUT = "crc32(CAST(doc_id AS string)) % 5 = 0"
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(f"NOT ({HELD_OUT})"))
+    found = language.identify(docs.selectExpr("doc_id", "text", f"{HELD_OUT} AS held_out"), model)
+    return found.selectExpr("doc_id", "held_out", "lang_pred", "lang_score AS score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{pii.count_entities('text')} AS n_entities")
+    return pii.replace_personal_data(docs)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_pii, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
