@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import bpe, exact, language, packing, pii, quality, simhash, substring, urls
+from wattline.llm import bpe, exact, html, language, packing, pii, quality, simhash, substring, urls
 from wattline.llm._support import raw, table
 
 #: Rules of the URL query.
@@ -61,6 +61,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_personal_data(docs)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html.train(html.sample_pages(pages))
+    return html.extract_text(pages, model).selectExpr("id AS page_id", "url", "text", "CAST(length(text) AS long) AS n_chars")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,7 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_pii, op9_html_extraction, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

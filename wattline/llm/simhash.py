@@ -77,3 +77,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     roots = components(ball_edges(classes.where("rep IS NOT NULL")))
     known = keep(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "components")
     return marked.join(known, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; all columns kept. Rows
+    without an id stay."""
+    found = near_duplicates(docs, size, id_col, text_col)
+    stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _stays").distinct()
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
