@@ -1,0 +1 @@
+"""Analytics over cluster and power traces, written as Spark plans."""
