@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import bpe, exact, html, language, packing, pii, quality, simhash, substring, urls
-from wattline.llm._support import raw, table
+from wattline.llm._support import table
 
 #: Rules of the URL query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -68,13 +66,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = [pa.array([hashlib.sha256(x).hexdigest() for x in raw(b, c)]) for c in ("ids", "decoded")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_tokens"), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
-    return found.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
