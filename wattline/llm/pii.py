@@ -134,7 +134,7 @@ def _kind(e: str) -> str:
 
 
 #: A text without any of these holds no entity; most texts are done after this one look.
-HINT = r"[@0-9]|" + "|".join([*(t for x in TITLES.values() for t in x), *(n for x in GIVEN.values() for n in x)]) + r"|(?i:token|secret|passw|key)\s*[=:]"
+HINT = r"[@0-9]|[=:]\s*[\"']|(?=[A-ZА-ЯΑ-Ω])(?:" + "|".join([*(t for x in TITLES.values() for t in x), *(n for x in GIVEN.values() for n in x)]) + ")"
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
