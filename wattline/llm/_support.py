@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,3 +64,19 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SLOT: dict[str, object] = {}
+
+
+def process_slot(key: str, make: Callable[[], object]) -> object:
+    """The one object that a Python worker keeps from task to task (caches, never results); asking
+    for another key lets it go."""
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def release_slot() -> None:
+    _SLOT.clear()

@@ -20,6 +20,7 @@ arcs' labels, followed back from the end, are the ids. Decoding emits the labels
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -27,16 +28,18 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wattline.llm._support import slices
+from wattline.llm._support import process_slot, slices
 
-CHUNKS_HELD = 500_000
-STATES_HELD = 150_000
+#: Bounds of the caches of a process: they change no result.
+CHUNKS_HELD = 250_000
+STATES_HELD = 200_000
 BATCH_BYTES = 4 << 20
 
 
@@ -52,6 +55,7 @@ class Automaton:
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        self.key = hashlib.sha256(source.encode()).hexdigest()
         model = spec["model"]
         self.spec = source
         self.suffix = model["end_of_word_suffix"]
@@ -126,7 +130,7 @@ class Reader:
         self.done = array("i", [-1])
         self.column = np.full(512, -1, np.int64)  # symbols to the table's columns, as they turn up
         self.symbols: list[int] = []
-        self.table = np.full((1 << 12, 64), -1, np.int32)
+        self.table = np.full((1 << 12, 32), -1, np.int32)
 
     def _step(self, state: int, symbol: int) -> int:
         """The state after `symbol`, made if it is new."""
@@ -171,7 +175,7 @@ class Reader:
             self.column[symbol] = len(self.symbols)
             self.symbols.append(symbol)
         if len(self.symbols) > self.table.shape[1]:
-            self.table = np.concatenate((self.table, np.full((len(self.table), max(64, len(self.symbols) - self.table.shape[1])), -1, np.int32)), axis=1)
+            self.table = np.concatenate((self.table, np.full((len(self.table), max(32, len(self.symbols) - self.table.shape[1])), -1, np.int32)), axis=1)
         code = self.column[code]
         path = np.zeros(len(code), np.int32)
         state = np.zeros(len(size), np.int32)
@@ -211,7 +215,7 @@ class Encoder:
     def __init__(self, automaton: Automaton):
         self.a, self.reader = automaton, Reader(automaton)
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was held before `chunks` was started anew
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.marks = re.compile("|".join(map(re.escape, automaton.special))) if automaton.special else None
         self.special = {s: i.to_bytes(4, "little") for s, i in automaton.special.items()}
@@ -220,12 +224,19 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Hold the ids of these chunks."""
-        split = {c: [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".,;:!?" and c[:-1].isalpha() else self.pieces.findall(c) for c in chunks}
-        new = [w for w in {w for x in split.values() for w in x} if w not in self.words]
-        self.words.update(zip(new, self.reader.read([w.encode() for w in new]), strict=True))
-        get = self.words.__getitem__
-        for c, x in split.items():
-            self.chunks[c] = b"".join(map(get, x))
+        if self.older:
+            again = {c for c in chunks if c in self.older}
+            self.chunks.update((c, self.older[c]) for c in again)
+            chunks = chunks.difference(again)
+        alone = [c for c in chunks if c.isalpha()]
+        mixed = list(chunks.difference(alone))
+        split = [[c[:-1], c[-1]] if c[-1] in ".,;:!?" and c[:-1].isalpha() else self.pieces.findall(c) for c in mixed]
+        ids = self.reader.read([w.encode() for w in chain(alone, chain.from_iterable(split))])
+        self.chunks.update(zip(alone, ids, strict=False))
+        at = len(alone)
+        for c, words in zip(mixed, split, strict=True):
+            self.chunks[c] = b"".join(ids[at : at + len(words)])
+            at += len(words)
 
     def _cut(self, text: str) -> list[list[str] | bytes]:
         """A text as lists of chunks and, for special tokens, ids."""
@@ -254,10 +265,15 @@ class Encoder:
         return b"".join(self.reader.read([bytes(self.byte[c] for c in x) for x, _ in cut]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # nothing here makes cycles, and passes over the caches are slow
+        try:
+            return self._encode_all(texts)
+        finally:
+            gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > CHUNKS_HELD:
-            self.chunks.clear()
-        if len(self.words) > CHUNKS_HELD:
-            self.words.clear()
+            self.older, self.chunks = self.chunks, {}
         cut, known = [self._cut(t) for t in texts], self.chunks
         new: set[str] = set()
         for text in cut:
@@ -274,6 +290,11 @@ class Encoder:
         return " ".join(map(self.a.label.__getitem__, array("I", ids)))
 
 
+def worker_encoder(automaton: Automaton) -> Encoder:
+    """The encoder of this Python worker, with what it holds from earlier tasks."""
+    return process_slot(automaton.key, lambda: Encoder(automaton))
+
+
 def load(spark, path: str) -> Automaton:
     """Compile the vocabulary file at `path`, once, on the driver; its size is the vocabulary's."""
     with open(path, encoding="utf-8") as f:
@@ -291,7 +312,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for batch in slices(batches, "text", BATCH_BYTES):
             ids = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm._support import slices
+from wattline.llm._support import release_slot, slices
 
 CELLS = 1 << 16
 #: Longer texts are counted by cell.
@@ -89,6 +89,7 @@ def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col:
     chosen = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_slot()
         totals: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
@@ -121,6 +122,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_slot()
         for batch in slices(batches, text_col):
             lang, score, chosen = zip(*(shared.value.judge(t) for t in batch.column(text_col).to_pylist()), strict=True)
             sets = pa.array([[{"lang": k, "share": v} for k, v in s] for s in chosen], kind)

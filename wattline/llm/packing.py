@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm._support import keep, slices
-from wattline.llm.bpe import BATCH_BYTES, Encoder, crc, load
+from wattline.llm.bpe import BATCH_BYTES, crc, load, worker_encoder
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -106,7 +106,7 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id.to_bytes(4, "little")
-        encoder, seen, task = Encoder(shared.value), [0] * (capacity + 1), TaskContext.get().partitionId()
+        encoder, seen, task = worker_encoder(shared.value), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in slices(batches, "text", BATCH_BYTES):
             rows: list[tuple] = []
             for i, ids in zip(batch.column("id").to_pylist(), encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
