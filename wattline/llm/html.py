@@ -1,7 +1,7 @@
 """Main text of HTML pages with a tree-structured graphical model.
 
 The DOM's block elements and the runs of text in them are the nodes of a tree. A node is content,
-boilerplate or mixed (holds both; runs of text never are). Its state depends on its parent's state and
+boilerplate or mixed (a frame around both, like the body; runs of text never are). Its state depends on its parent's state and
 gives rise to its features: tag, words of class and id, and for text its length, share of link text and
 punctuation. Sum-product message passing, once up and once down the tree, yields every run's
 marginal; runs that are more likely content than not are the main text. The potentials are
@@ -133,14 +133,21 @@ def parse(html: str) -> Page:
 
 #: Labelled pages: data-c says whether text below is content (1) or not (0).
 TEMPLATES = [
-    '<body><header data-c="0"><div class="logo">Site name</div><p>A site about things, every day.</p></header><nav data-c="0"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><article data-c="1"><h1>Title here</h1><p>{long}</p><p>{long}</p><h2>Part two</h2><ul><li>{short}</li><li>{short}</li></ul><p>{short}</p></article><aside data-c="0"><h3>Latest</h3><p>{short}</p></aside><footer data-c="0">&copy; site. {short}</footer></body>',
-    '<body><div class="cookie-notice" data-c="0"><p>We use cookies. {short}</p><button>Accept</button></div><div id="menu" data-c="0"><a href="/">Home</a> <a href="/b">About</a></div><div id="content" data-c="1"><h1>A title</h1><p>{long}</p><blockquote><p>{long}</p></blockquote><p>{short}</p></div><div class="sidebar" data-c="0"><div class="widget"><p>{long}</p></div></div><div class="footer" data-c="0"><p>{short}</p></div></body>',
-    '<body><div class="ad" data-c="0">{short}</div><main data-c="1"><h1>A title</h1><p>{long}</p><div class="ad" data-c="0">{short}</div><p>{long}</p><table><tr><td>{short}</td><td>{short}</td></tr></table><pre>{short}</pre></main><section class="comments" data-c="0"><h2>Comments</h2><ol><li><p>{long}</p></li><li><p>{short}</p></li></ol><form><label>Reply</label></form></section></body>',
-    '<body><div class="wrap"><div class="nav" data-c="0"><ul><li><a href="/">{short}</a></li></ul></div><div class="post" data-c="1"><h2>A title</h2><div>{long}</div><div>{long}</div><figure><figcaption>{short}</figcaption></figure><p>{word}</p></div><div class="related" data-c="0"><ul><li><a href="/r">{short}</a></li></ul></div><div id="comments" data-c="0"><div class="comment"><p>{long}</p></div></div></div></body>',
+    '<body><header data-c="0"><div class="logo">Site name</div><p>A site about things, every day.</p></header><nav data-c="0"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><article data-c="1"><h1>Title here</h1><p>{long}</p><p>{long}</p><aside data-c="0"><h3>See also</h3><p>{mid}</p></aside><h2>Part two</h2><ul><li>{short}</li><li>{short}</li></ul><p>{short}</p></article><aside data-c="0"><h3>Latest</h3><p>{short}</p></aside><footer data-c="0">&copy; site. {short}</footer></body>',
+    '<body><div class="cookie-notice" data-c="0"><p>We use cookies. {short}</p><button>Accept</button></div><div id="menu" data-c="0"><a href="/">Home</a> <a href="/b">About</a></div><div id="content" data-c="1"><h1>A title</h1><p>{long}</p><blockquote><p>{long}</p></blockquote><ol><li>{short}</li><li>{mid}</li><li><p>{mid}</p></li></ol><p>{short}</p></div><div class="sidebar" data-c="0"><div class="widget"><p>{long}</p></div></div><div class="footer" data-c="0"><p>{short}</p></div></body>',
+    '<body><div class="ad" data-c="0">{short}</div><main data-c="1"><h1>A title</h1><p>{long}</p><div class="ad" data-c="0">{short}</div><nav data-c="0"><a href="/x">Next</a></nav><p>{long}</p><aside data-c="0">{long}</aside><form data-c="0"><label>{short}</label></form><table><tr><td>{short}</td><td>{short}</td></tr></table><pre>{short}</pre></main><section class="comments" data-c="0"><h2>Comments</h2><ol><li><p>{long}</p></li><li><p>{short}</p></li></ol><form><label>Reply</label></form></section></body>',
+    '<body><div class="wrap"><div class="nav" data-c="0"><ul><li><a href="/">{short}</a></li></ul></div><div class="post" data-c="1"><h2>A title</h2><div>{long}</div><div>{long}</div><figure><figcaption>{short}</figcaption></figure><ul><li>{bare}</li><li>{short}</li><li>{mid}</li></ul><p>{word}</p></div><div class="related" data-c="0"><ul><li><a href="/r">{short}</a></li></ul></div><div id="comments" data-c="0"><div class="comment"><p>{long}</p></div></div></div></body>',
     '<body><form data-c="0"><label>Search</label></form><article data-c="1"><header><h1>A title</h1></header><p>{long}</p><aside data-c="0"><p>{long}</p></aside><p>{word}</p><p>{long}</p><dl><dt>{word}</dt><dd>{short}</dd></dl></article><div class="newsletter" data-c="0"><p>Sign up. {short}</p><form><label>Mail</label></form></div><div class="notice" data-c="0">{short}</div></body>',
-    '<body><div data-c="1"><h1>A title</h1><p>{long}</p><p>{long}</p><p>{word}</p><p>{short}</p></div><div class="share" data-c="0"><a href="/s">Share</a></div><footer data-c="0"><p>{short}</p><ul><li><a href="/i">Imprint</a></li></ul></footer></body>',
+    '<body><div data-c="1"><h1>A title</h1><p>{long}</p><p>{long}</p><p>{word}</p><p>{short}</p><ul><li>{short}</li><li>{short}</li></ul></div><div class="share" data-c="0"><a href="/s">Share</a></div><footer data-c="0"><p>{short}</p><ul><li><a href="/i">Imprint</a></li></ul></footer></body>',
 ]
-FILL = {"long": "Words that go on for some while, as text does, and then a little further. And once more, for good measure: they end. " * 3, "short": "A few words in a row, no more.", "word": "Words."}
+FILL = {
+    "longest": "Sentences, one after the other, that make a paragraph of some size, as articles have them. " * 16,
+    "long": "Words that go on for some while, as text does, and then a little further. And once more, for good measure: they end. " * 3,
+    "mid": "One sentence of middling length, with a comma, that says something and stops.",
+    "short": "A few words in a row, no more.",
+    "bare": "a few words, no stop",
+    "word": "Words.",
+}
 
 
 def labelled() -> list[str]:
@@ -152,13 +159,30 @@ def labelled() -> list[str]:
     return out
 
 
-def weakly_labelled(html: str) -> str | None:
-    """A page that marks its article, with that as its label; None for others."""
-    if len(re.findall(r"<article\b", html, re.I)) != 1:
+def marks(page: Page) -> list[str] | None:
+    """The label of each node: its own mark or its parent's; '' above marked nodes."""
+    label = [""] * len(page.parent)
+    for i in range(1, len(label)):
+        label[i] = page.marked[i] or label[page.parent[i]]
+    return label
+
+
+def weak_marks(page: Page) -> list[str] | None:
+    """Labels of a page with just one article element: what is inside is content, but for parts
+    that say they are something else. None for other pages."""
+    articles = [i for i, f in enumerate(page.feature) if f[0] == "article"]
+    if len(articles) != 1:
         return None
-    html = re.sub(r"(<(?:body)\b)", r'\1 data-c="0"', html, count=1, flags=re.I)
-    html = re.sub(r"<article\b", '<article data-c="1"', html, count=1, flags=re.I)
-    return re.sub(r"<(nav|aside|footer|form)\b", r'<\1 data-c="0"', html, flags=re.I)
+    above, i = set(), articles[0]
+    while i > 0:
+        i = page.parent[i]
+        above.add(i)
+    label = [""] * len(page.parent)
+    for i in range(1, len(label)):
+        f, up = page.feature[i], label[page.parent[i]]
+        other = len(f) == 2 and (f[1] == "bad" or f[0] in ("nav", "aside", "form", "inner footer"))
+        label[i] = "" if i in above else "1" if i == articles[0] else "0" if other or up != "1" else "1"
+    return label
 
 
 class Model:
@@ -169,19 +193,9 @@ class Model:
         self.moves = [[1.0] * 3 for _ in range(3)]
         self.kinds: dict[str, int] = {}
 
-    def learn(self, html: str, weight: float = 1.0) -> None:
-        page = parse(html)
-        n = len(page.parent)
-        label = [""] * n
-        for i in range(1, n):
-            label[i] = page.marked[i] or label[page.parent[i]]
-        inside = [Counter() for _ in range(n)]
-        for i in range(n - 1, 0, -1):
-            if page.text[i] is not None:
-                inside[i][label[i] == "1"] += 1
-            inside[page.parent[i]] += inside[i]
-        state = [0 if set(c) == {True} else 1 if True not in c else 2 for c in inside]
-        for i in range(1, n):
+    def learn(self, page: Page, label: list[str], weight: float = 1.0) -> None:
+        state = [{"1": 0, "0": 1}.get(v, 1 if page.text[i] is not None else 2) for i, v in enumerate(label)]
+        for i in range(1, len(state)):
             for part in self.parts(page.feature[i]):
                 self.seen[state[i]][part] += weight
             self.seen[state[i]]["#" if page.text[i] is not None else "element"] += weight
@@ -279,11 +293,11 @@ class Frozen:
 def train(pages: Iterable[str] = ()) -> Frozen:
     """From the templates and from those of the given pages that mark their article."""
     model = Model()
-    for html in labelled():
-        model.learn(html)
-    for html in pages:
-        if (marked := weakly_labelled(html)) is not None:
-            model.learn(marked, 0.1)
+    for page in map(parse, labelled()):
+        model.learn(page, marks(page))
+    weak = [(page, label) for page in map(parse, pages) if (label := weak_marks(page)) is not None]
+    for page, label in weak:  # pages of one corpus look alike: together they count as four
+        model.learn(page, label, 4 / len(weak))
     return model.freeze()
 
 
