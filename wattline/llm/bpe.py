@@ -28,7 +28,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame
 from wattline.llm._support import process_slot, slices
 
 #: Bounds of the caches of a process: they change no result.
-CHUNKS_HELD = 250_000
+CHUNKS_HELD = 400_000
 STATES_HELD = 200_000
 BATCH_BYTES = 4 << 20
+NODE_BITS, NODE_MASK = 32, (1 << 32) - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -125,8 +126,9 @@ class Reader:
 
     def reset(self) -> None:
         self.arcs: dict[int, bool] = {}
-        self.states: dict[tuple, int] = {((-1, 0),): 0}
-        self.configs: list[tuple] = [((-1, 0),)]
+        # What is alive, as numbers: token state (0 at the start, else a token + 1) and trie node.
+        self.states: dict[tuple, int] = {(-1, 0): 0}
+        self.configs: list[tuple] = [(0,)]
         self.done = array("i", [-1])
         self.column = np.full(512, -1, np.int64)  # symbols to the table's columns, as they turn up
         self.symbols: list[int] = []
@@ -135,21 +137,22 @@ class Reader:
     def _step(self, state: int, symbol: int) -> int:
         """The state after `symbol`, made if it is new."""
         a, alive, done = self.a, [], -1
-        for q, node in self.configs[state]:
-            to = a.trie.get(node << 9 | symbol)
+        for config in self.configs[state]:
+            q = config >> NODE_BITS
+            to = a.trie.get((config & NODE_MASK) << 9 | symbol)
             if to is None:
                 continue
             t = a.ends[to]
             if t >= 0 and done < 0:
-                known = self.arcs.get(key := (q + 1) << 20 | t)
+                known = self.arcs.get(key := q << 20 | t)
                 if known is None:
-                    known = self.arcs[key] = q < 0 or a.arc(q, t)
+                    known = self.arcs[key] = not q or a.arc(q - 1, t)
                 if known:
                     done = t
             if a.inner[to]:
-                alive.append((q, to))
+                alive.append(q << NODE_BITS | to)
         if done >= 0:
-            alive.append((done, 0))
+            alive.append(done + 1 << NODE_BITS)
         to = self.states.setdefault((done, *alive), len(self.configs))
         if to == len(self.configs):
             self.configs.append(tuple(alive))
@@ -160,16 +163,16 @@ class Reader:
         for key in np.unique(state.astype(np.int64) << 16 | column).tolist():
             to = self._step(key >> 16, self.symbols[key & 0xFFFF])
             if to >= len(self.table):
-                self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
+                self.table = np.concatenate((self.table, np.full((1 << 15, self.table.shape[1]), -1, np.int32)))
             self.table[key >> 16, key & 0xFFFF] = to
 
     def read(self, words: list[bytes]) -> list[bytes]:
         if len(self.configs) > STATES_HELD:
             self.reset()
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        size = np.array([len(words[i]) for i in order], np.int64)
-        start = np.cumsum(size) - size
-        code = np.frombuffer(b"".join(words[i] for i in order), np.uint8).astype(np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-length, kind="stable")
+        size, start = length[order], (np.cumsum(length) - length)[order]
+        code = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         code[start + size - 1] += 256
         for symbol in np.unique(code[self.column[code] < 0]).tolist():
             self.column[symbol] = len(self.symbols)
@@ -199,10 +202,9 @@ class Reader:
         ids = np.zeros(int(count.sum()), "<u4")
         for r, (who, t) in enumerate(found):
             ids[ends[who] - 1 - r] = t
-        data, out = ids.tobytes(), [b""] * len(words)
-        for i, a, b in zip(order, (4 * (ends - count)).tolist(), (4 * ends).tolist(), strict=True):
-            out[i] = data[a:b]
-        return out
+        data, stop, first = ids.tobytes(), np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        stop[order], first[order] = 4 * ends, 4 * (ends - count)
+        return [data[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
 
 
 class Encoder:
@@ -276,14 +278,15 @@ class Encoder:
             self.older, self.chunks = self.chunks, {}
         cut, known = [self._cut(t) for t in texts], self.chunks
         new: set[str] = set()
+        held = known.__contains__
         for text in cut:
             for part in text:
                 if type(part) is list:
-                    new.update(set(part).difference(known))
+                    new.update(filterfalse(held, part))
         if new:
             self._learn(new)
         get = known.__getitem__
-        return [b"".join([part if type(part) is bytes else b"".join(map(get, part)) for part in text]) for text in cut]
+        return [b"".join([part if type(part) is bytes else b"".join(map(get, part)) for part in text]) if len(text) != 1 or type(text[0]) is bytes else b"".join(map(get, text[0])) for text in cut]
 
     def decode(self, ids: bytes) -> str:
         """As a tokenizer without a decoder does: labels joined by blanks."""

@@ -63,12 +63,12 @@ def drop_exact_duplicates(docs: DataFrame, largest: bool = False, id_col: str =
     """docs without exact duplicates, all columns kept; which row of a text stays is as in
     exact_duplicates(). Rows that repeat both id and text are one row afterwards."""
     rows = keep(digest_rows(docs, id_col, text_col), "digests")
-    groups = keep(tree_merge(rows, largest).selectExpr("digest AS _digest", "n_bytes AS _n_bytes", "check AS _check", "keep_id AS _keep"), "groups")
+    groups = keep(tree_merge(rows, largest).selectExpr("digest AS _wattline_digest", "n_bytes AS _wattline_n_bytes", "check AS _wattline_check", "keep_id AS _wattline_keep"), "groups")
     again = rows.groupBy("id", "digest").count().where("count > 1").limit(1).count()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_digest": F.unhex(F.sha2(text, 256)), "_n_bytes": F.octet_length(text).cast("long"), "_check": F.xxhash64(text)})
-    same = [marked[c] == groups[c] for c in ("_digest", "_n_bytes", "_check")]
-    stays = marked.join(groups, [*same, marked[id_col].eqNullSafe(groups["_keep"])], "left_semi")
+    marked = docs.withColumns({"_wattline_digest": F.unhex(F.sha2(text, 256)), "_wattline_n_bytes": F.octet_length(text).cast("long"), "_wattline_check": F.xxhash64(text)})
+    same = [marked[c] == groups[c] for c in ("_wattline_digest", "_wattline_n_bytes", "_wattline_check")]
+    stays = marked.join(groups, [*same, marked[id_col].eqNullSafe(groups["_wattline_keep"])], "left_semi")
     if again:
-        stays = stays.dropDuplicates([id_col, "_digest", "_n_bytes", "_check"])
-    return stays.drop("_digest", "_n_bytes", "_check")
+        stays = stays.dropDuplicates([id_col, "_wattline_digest", "_wattline_n_bytes", "_wattline_check"])
+    return stays.drop("_wattline_digest", "_wattline_n_bytes", "_wattline_check")

@@ -83,5 +83,5 @@ def drop_near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
     """docs with one document of each component, the one with the smallest id; all columns kept. Rows
     without an id stay."""
     found = near_duplicates(docs, size, id_col, text_col)
-    stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _stays").distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
+    stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _wattline_stays").distinct()
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_wattline_stays"]), "left_semi")
