@@ -5,8 +5,10 @@ Rank-based scores first count by distinct score, so the ordered running sums see
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,16 +72,35 @@ def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
     return s.select("n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z"))
 
 
-def silhouette(points: DataFrame, vector: str, label: str, key: str) -> DataFrame:
-    """Mean Euclidean silhouette of a small set (every pair of its points is compared): one row."""
-    a = points.select(F.col(key).alias("i"), F.col(vector).alias("v"), F.col(label).alias("li"))
-    b = points.select(F.col(key).alias("j"), F.col(vector).alias("w"), F.col(label).alias("lj"))
-    gap = F.zip_with("v", "w", lambda x, y: (x - y) * (x - y))
-    dist = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
-    mean = a.crossJoin(b).where("i != j").groupBy("i", "li", "lj").agg(F.avg(dist).alias("d"))
-    near = mean.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("other"))
-    s = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(S.ratio(F.col("other") - F.col("own"), F.greatest("own", "other")))
-    return near.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+def silhouette(points: DataFrame, vector: str, label: str, key: str, most: int = 20_000, block: int = 512) -> DataFrame:
+    """Mean Euclidean silhouette of a small set: one row. Distances need all points, so their number is checked
+    before they are sent to the tasks, which then compare them block by block. Points alone in their group count 0."""
+    rows = points.select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l")).where("v IS NOT NULL AND l IS NOT NULL")
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} points")
+    everything = np.array([r.v for r in held], float)
+    names, group = np.unique([r.l for r in held], return_inverse=True)
+    member = np.eye(len(names))[group] if held else np.zeros((0, 0))
+    shared = points.sparkSession.sparkContext.broadcast((everything, member, {n: i for i, n in enumerate(names.tolist())}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, member, place = shared.value
+        size, square = member.sum(axis=0), (every**2).sum(axis=1)
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at : at + block]
+                x, mine = np.array(part["v"].tolist(), float), part["l"].map(place).to_numpy()
+                gaps = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ every.T, 0.0))
+                sums, i = gaps @ member, np.arange(len(part))
+                own = sums[i, mine] / np.maximum(size[mine] - 1, 1)
+                mean = sums / size
+                mean[i, mine] = np.inf
+                other = mean.min(axis=1) if len(size) > 1 else np.full(len(part), np.inf)
+                alone = (size[mine] < 2) | ~np.isfinite(other) | (np.maximum(own, other) == 0)
+                yield pd.DataFrame({"s": np.where(alone, 0.0, (np.where(alone, 0.0, other) - own) / np.where(alone, 1.0, np.maximum(own, other)))})
+
+    return rows.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -91,3 +112,39 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     t = both.join(F.broadcast(side(a, "pa"))).join(F.broadcast(side(b, "pb")))
     expected = F.col("pa") * F.col("pb") / (F.col("total") * (F.col("total") - 1) / 2)
     return t.select(F.coalesce(S.ratio(F.col("both") - expected, (F.col("pa") + F.col("pb")) / 2 - expected), F.lit(1.0)).alias("adjusted_rand"))
+
+
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and exact (interpolated) quartiles, one row per column."""
+    long = df.unpivot([], list(columns), "column", "x")
+    q = F.percentile(F.col("x"), [0.25, 0.5, 0.75])
+    return long.groupBy("column").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max("x").alias("max")
+    )
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """Of compare_models(): median gain in per cent, units improved, and the signed-rank test."""
+    gain = pairs.agg((F.percentile(S.ratio("gain", "mae_b"), 0.5) * 100).alias("median_gain_pct"), F.sum((F.col("gain") > 0).cast("int")).alias("units_improved"), F.count(F.lit(1)).alias("n_units"))
+    return gain.join(F.broadcast(wilcoxon(pairs, "gain").select("w_plus", "z")))
+
+
+def detection(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
+    """AUC, average precision, precision among the top and base rate of an event score: one row."""
+    base = df.agg(F.avg(F.col(label).cast("double")).alias("base_rate"), F.sum(F.col(label).cast("long")).alias("n_events"))
+    return base.join(auc(df, label, score)).join(average_precision(df, label, score)).join(precision_at_n(df, label, score, tie).select("precision_at_n"))
+
+
+def auc_interval(df: DataFrame, label: str, score: str, draws: int = 400, most: int = 2000, seed: int = 0) -> tuple[float, float]:
+    """Bootstrap 95 % interval of the AUC from at most `most` rows of either class, chosen by hash (a bound)."""
+    pick = lambda v: np.array([r.s for r in df.where(F.col(label).cast("int") == v).select(F.col(score).cast("double").alias("s")).orderBy(F.xxhash64("s"), "s").limit(most).collect()])
+    pos, neg, rng = pick(1), np.sort(pick(0)), np.random.default_rng(seed)
+    if not len(pos) or not len(neg):
+        return float("nan"), float("nan")
+
+    def one(p: np.ndarray, n: np.ndarray) -> float:
+        n = np.sort(n)
+        return float((np.searchsorted(n, p, "left") + np.searchsorted(n, p, "right")).mean() / 2 / len(n))
+
+    scores = [one(rng.choice(pos, len(pos)), rng.choice(neg, len(neg))) for _ in range(draws)]
+    return float(np.quantile(scores, 0.025)), float(np.quantile(scores, 0.975))

@@ -276,3 +276,55 @@ def permutation_level(labels: Sequence[object], truth: Sequence[object], draws:
     expected = pa * pb / (n * (n - 1) / 2)
     score = lambda x: (pairs(np.bincount(x * (b.max() + 1) + b)) - expected) / ((pa + pb) / 2 - expected)
     return float(np.quantile([score(rng.permutation(a)) for _ in range(draws)], q))
+
+
+def wide_panel(df: DataFrame, x: str, units: Sequence[str]) -> DataFrame:
+    """One row per step, one column per (named) unit."""
+    return df.groupBy("step").pivot("unit", list(units)).agg(F.first(x))
+
+
+def boost_per_unit(features: DataFrame, columns: Sequence[str], h: int, split: int, rounds: int = 60, rate: float = 0.1, bins: int = 32, least: int = 20) -> DataFrame:
+    """Boosted stumps-of-stumps (trees of depth 2) of the increment, one model per unit: test rows as in ridge_per_unit()."""
+    d = with_target(features, h).select("unit", "step", "y", *dict.fromkeys([*columns, "u"]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        x, dy, tr = pdf[list(columns)].to_numpy(float), (pdf["y"] - pdf["u"]).to_numpy(), (pdf["step"] < split).to_numpy()
+        cuts = [np.unique(np.quantile(x[tr, f], np.linspace(0, 1, bins + 1)[1:-1])) if tr.any() else np.zeros(0) for f in range(x.shape[1])]
+        place = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+        guess = np.full(len(dy), dy[tr].mean() if tr.any() else 0.0)
+
+        def best(rows: np.ndarray, r: np.ndarray) -> tuple[int, int] | None:
+            top, found = 0.0, None
+            for f, c in enumerate(cuts):
+                n = np.cumsum(np.bincount(place[rows, f], minlength=len(c) + 1))[:-1]
+                s = np.cumsum(np.bincount(place[rows, f], r[rows], len(c) + 1))[:-1]
+                total, size = r[rows].sum(), rows.sum()
+                ok = (n >= least) & (size - n >= least)
+                if ok.any():
+                    gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1), -1.0)
+                    if gain.max() > top:
+                        top, found = float(gain.max()), (f, int(gain.argmax()))
+            return found
+
+        for _ in range(rounds):
+            r, leaves = dy - guess, []
+            root = best(tr, r)
+            if root is None:
+                break
+            for side in (place[:, root[0]] <= root[1], place[:, root[0]] > root[1]):
+                inner = best(side & tr, r)
+                leaves += [side] if inner is None else [side & (place[:, inner[0]] <= inner[1]), side & (place[:, inner[0]] > inner[1])]
+            for leaf in leaves:
+                if (leaf & tr).any():
+                    guess = guess + rate * r[leaf & tr].mean() * leaf
+        return pdf.assign(pred=pdf["u"] + guess).loc[~tr, ["unit", "step", "y", "u", "pred"]]
+
+    return d.groupBy("unit").applyInPandas(run, "unit string, step long, y double, u double, pred double")
+
+
+def reserve_shortfall(df: DataFrame, x: str, k: int, sigmas: float = 3.0, site_mw: float = C.SITE_MW, engine_mw: float = C.ENGINE_MW) -> DataFrame:
+    """Following capability in megawatts as measured and as independent units would need it, and the gap in engines."""
+    r = reserve_inflation(df, x, k)
+    actual = F.col("fleet_ramp_sd") * site_mw * sigmas
+    return r.select(F.lit(k).alias("h"), actual.alias("actual_mw"), (actual / F.col("reserve_inflation")).alias("independent_mw"), ((actual - actual / F.col("reserve_inflation")) / engine_mw).alias("short_engines"))

@@ -68,6 +68,48 @@ def clock_scores(s, d):
     return test.join(F.broadcast(rates), "tod").join(F.broadcast(prior)).select("unit", "step", F.col("event").cast("int").alias("event"), "rate", "prior")
 
 
+def clock_resolutions(s, d):
+    """Clock-only event rates at four resolutions, fitted on the training half; scored on either half."""
+    e = events_with_split(s, d).withColumns({"dow": (F.col("step").cast("int") / 24).cast("int") % 7, "half": (F.col("tod") / 12).cast("int")})
+    keys = {"half_day": (F.col("half"), 2), "hour": (F.col("tod"), 24), "hour_x_weekend": (F.col("tod") + 24 * (F.col("dow") >= 5).cast("int"), 48), "hour_x_dow": (F.col("tod") + 24 * F.col("dow"), 168)}
+    out = None
+    for name, (key, bins) in keys.items():
+        x = e.withColumn("key", key.cast("int")).withColumn("y", F.col("event").cast("int"))
+        train = x.where(f"step < {SPLIT}")
+        prior = train.agg(F.avg(F.col("y").cast("double")).alias("prior"))
+        scored = x.join(F.broadcast(W.smoothed_rates(train, "event", "key", bins)), "key").join(F.broadcast(prior))
+        for held, part in (("test", scored.where(f"step >= {SPLIT}")), ("train", scored.where(f"step < {SPLIT}"))):
+            row = E.deviance_explained(part, "y", "rate", "prior").join(E.auc(part, "y", "rate")).select(F.lit(name).alias("feature"), F.lit(held).alias("part"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def step_profile(s, d):
+    """What the clock explains of the next step's change."""
+    x = power(s, d).select("unit", "step", (F.col("step") % 24).alias("tod"), (W.lag(Y, -1) - F.col(Y)).alias("rise")).where("rise IS NOT NULL")
+    return E.errors(W.tod_profile(x, "rise", SPLIT), "y", "profile")
+
+
+def ramp_detection(s, d):
+    f = fleet_frame(s, d)
+    cut = L.with_target(f, 1).where(f"step < {SPLIT}").agg(F.percentile(F.col("y") - F.col("u"), 0.99)).first()[0]
+    pred = L.ridge_per_unit(f, W.FLEET, 1, SPLIT)
+    return E.detection(L.ramp_events(pred, cut).withColumn("tie", F.concat_ws("/", "unit", "step")), "event", "score", "tie")
+
+
+def paired_models(s, d):
+    f = fleet_frame(s, d)
+    a, b = L.boost_per_unit(f, W.OWN, 1, SPLIT, rounds=20), L.ridge_per_unit(f, W.OWN, 1, SPLIT)
+    return E.paired_summary(L.compare_models(a, b.withColumn("pred", F.col("u"))))
+
+
+def flag_detection(s, d):
+    """Do residuals of rebuilt readings find flagged ones?"""
+    z = L.residual_scores(virtual(s, d), SPLIT).join(power(s, d).select("unit", "step", F.col("bad_measurement_data").cast("int").alias("flag")), ["unit", "step"])
+    low, high = E.auc_interval(z, "flag", "z", draws=100)
+    return E.auc(z, "flag", "z").select("auc", F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
 def virtual(s, d):
     return L.virtual_sensors(power(s, d), Y, SPLIT, bad=None)
 
@@ -195,6 +237,15 @@ QUERIES = {
     "adjusted_rand": lambda s, d: rounded(E.adjusted_rand(points(s, d), "label", "g")),
     "kmeans_scan": lambda s, d: rounded(L.kmeans_scan(points(s, d), "v", "vec_id", "label", (5, 10))),
     "segmentation": lambda s, d: rounded(segments(s, d)),
+    "describe": lambda s, d: rounded(E.describe(power(s, d), [Y, P])),
+    "wide_panel": lambda s, d: rounded(L.wide_panel(power(s, d), Y, ["a/pdu0", "b/pdu1", "c/mvpp5"]), 9),
+    "reserve_shortfall": lambda s, d: rounded(L.reserve_shortfall(power(s, d), Y, 3)),
+    "tod_step_r2": lambda s, d: rounded(step_profile(s, d)),
+    "clock_resolutions": lambda s, d: rounded(clock_resolutions(s, d)),
+    "ramp_detection": lambda s, d: rounded(ramp_detection(s, d)),
+    "paired_models": lambda s, d: rounded(paired_models(s, d)),
+    "flag_detection": lambda s, d: rounded(flag_detection(s, d)),
+    "boost_per_unit": lambda s, d: rounded(E.errors(L.boost_per_unit(fleet_frame(s, d), W.OWN, 1, SPLIT, rounds=20), "y", "pred")),
     "scalar_functions": lambda s, d: rounded(numbers(s, d)),
     "enum_decode": enums,
     "constraint_match": constraints,
@@ -304,6 +355,21 @@ ORACLES = {
         o AS (SELECT vec_id, max(d) FILTER (la = lb) AS own, min(d) FILTER (la != lb) AS other FROM m GROUP BY 1) SELECT {r('avg(coalesce((other - own) / greatest(own, other), 0))', 'silhouette')} FROM o""",
     "adjusted_rand": f"""WITH q AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM q GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM q GROUP BY a)) AS pa,
         (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM q GROUP BY b)) AS pb, (SELECT count(*) FROM q) AS t) SELECT {r('(x - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2))', 'adjusted_rand')} FROM s""",
+    "describe": f"""WITH {POWER}, x AS (SELECT 'measured_power_util' AS "column", u AS x FROM power UNION ALL SELECT 'production_power_util', p FROM power)
+        SELECT "column", count(x) AS count, {r('avg(x)', 'mean')}, {r('stddev_samp(x)', 'std')}, {r('min(x)', 'min')}, {r('quantile_cont(x, 0.25)', 'q25')}, {r('quantile_cont(x, 0.5)', 'q50')}, {r('quantile_cont(x, 0.75)', 'q75')}, {r('max(x)', 'max')} FROM x GROUP BY 1""",
+    "wide_panel": f"""WITH {POWER} SELECT step, {', '.join(r(f"max(u) FILTER (unit = '{k}')", f'"{k}"', 9) for k in ('a/pdu0', 'b/pdu1', 'c/mvpp5'))} FROM power GROUP BY 1""",
+    "reserve_shortfall": f"""WITH {POWER}, inc AS (SELECT * FROM (SELECT unit, step, u - lag(u, 3) OVER w AS d FROM power {W0}) WHERE d IS NOT NULL), fl AS (SELECT stddev_samp(d) AS act FROM (SELECT avg(d) AS d FROM inc GROUP BY step)), un AS (SELECT sqrt(sum(v)) / count(*) AS ind FROM (SELECT var_samp(d) AS v FROM inc GROUP BY unit))
+        SELECT 3 AS h, {r('act * 3000', 'actual_mw')}, {r('ind * 3000', 'independent_mw')}, {r('(act - ind) * 3000 / 9.6', 'short_engines')} FROM fl, un""",
+    "tod_step_r2": f"""WITH {POWER}, {EVENTS}, pf AS (SELECT unit, tod, avg(rise) AS profile FROM rise WHERE step < {SPLIT} GROUP BY 1, 2), x AS (SELECT rise AS y, profile AS p FROM rise JOIN pf USING (unit, tod) WHERE step >= {SPLIT})
+        SELECT {r('avg(abs(y - p))', 'mae')}, {r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {r('1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(y))', 'r2')}, {r('quantile_cont(abs(y - p), 0.95)', 'p95_abs_err')} FROM x""",
+    "engine_conversion": f"""WITH {POWER}, site AS (SELECT step, avg(u) AS u FROM power GROUP BY 1), ramps AS (SELECT 1 AS h, step, (u - lag(u) OVER (ORDER BY step)) * 1000 AS mw FROM site UNION ALL SELECT 3, step, (u - lag(u, 3) OVER (ORDER BY step)) * 1000 FROM site)
+        SELECT h, {r('stddev_samp(mw)', 'sd_mw')}, {r('quantile_cont(mw, 0.99) FILTER (mw > 0)', 'p99_mw')}, {r('quantile_cont(mw, 0.999) FILTER (mw > 0)', 'p999_mw')}, {r('max(mw)', 'max_mw')}, {r('max(mw) / 9.6', 'max_engines')},
+          {r(f'count(*) FILTER (step % h = 0 AND mw >= 9.6) / (count(*) FILTER (step % h = 0) * h / {DAY})', 'one_per_day')}, {r(f'7 * count(*) FILTER (step % h = 0 AND mw >= 19.2) / (count(*) FILTER (step % h = 0) * h / {DAY})', 'two_per_week')} FROM ramps WHERE mw IS NOT NULL GROUP BY h""",
+    "fhs_ar": f"""WITH {POWER}, a AS (SELECT unit, step, u, lag(u) OVER w AS anchor, u - lag(u) OVER w AS d, lag(u) OVER w - lag(u, 2) OVER w AS d1 FROM power {W0}), b AS (SELECT *, d * d1 AS num, d1 * d1 AS den FROM a),
+        p AS (SELECT *, least(0.99, greatest(-0.99, coalesce({frame('sum', 'num', WEEK)} / nullif({frame('sum', 'den', WEEK)}, 0), 0))) AS phi FROM b), q AS (SELECT *, d - phi * d1 AS resid, anchor + phi * d1 AS center FROM p),
+        g AS (SELECT *, {frame('stddev_samp', 'resid', DAY)} AS sigma FROM q), zs AS (SELECT *, resid / nullif(sigma, 0) AS z FROM g),
+        e AS (SELECT unit, step, center + sigma * {tail_sql('z')[0]} AS var, center + sigma * {tail_sql('z')[1]} AS es, count(z) OVER (PARTITION BY unit ORDER BY step ROWS BETWEEN {WEEK} PRECEDING AND 1 PRECEDING) AS held FROM zs)
+        SELECT unit, step, {r('var', 'var')}, {r('es', 'es')} FROM e WHERE step >= {WEEK + 2 * DAY} AND held = {WEEK} AND var IS NOT NULL AND es IS NOT NULL""",
     "scalar_functions": f"""SELECT x, (SELECT {r('least(1.0, sum(exp(lgamma(251) - lgamma(k + 1) - lgamma(251 - k) + k * ln(0.01) + (250 - k) * ln(0.99))))', 'b')} FROM range(16) AS t(k) WHERE k <= x) AS binom, {r('CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END', 'xlogx')}, {r('exp(-x / 2)', 'chi2_2')},
         CAST(round(x / 4 - 2) AS BIGINT) AS rounded, CAST(floor((x - 8) / 5) AS BIGINT) AS bucket FROM range(16) AS q(x)""",
     "enum_decode": f"WITH {A.USAGE_SQL} SELECT type, CASE type WHEN 0 THEN 'SUBMIT' WHEN 3 THEN 'SCHEDULE' END AS name, count(*) AS n FROM instance_events GROUP BY 1",
