@@ -51,7 +51,7 @@ class Model:
 
     def judge(self, text: str | None, steps: int = 12, cost: float = 3.0) -> tuple[str, float, list[tuple[str, float]]]:
         """(language, its share, the chosen set with shares). No letters or no model: und."""
-        if text is None or not self.names or not LETTER.search(text):
+        if text is None or not self.names or not any(m.group().isalpha() for m in LETTER.finditer(text)):
             return "und", 0.0, []
         cell = codes(text)
         if len(cell) > LISTED:
