@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,16 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, chosen by a hash of `keys`. A threshold from the row count leaves about 2 n rows before
+    anything is ordered, so no task and not the driver sees n rows of every partition."""
+    total, span = df.count(), 1 << 40
+    h = F.xxhash64(*keys)
+    if total > 2 * n:
+        df = df.where(F.pmod(h, F.lit(span)) < int(2 * n / total * span))
+    return df.orderBy(h, *keys).limit(n)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm._support import slices
+from wattline.llm._support import hash_sample, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -301,10 +301,10 @@ def train(pages: Iterable[str] = ()) -> Frozen:
     return model.freeze()
 
 
-def sample_pages(pages: DataFrame, sample: int = 200, most: int = 100_000, html_col: str = "html") -> list[str]:
-    """Pages to learn from: at most `sample`, chosen by hash, each of at most `most` characters (bounds)."""
-    rows = pages.select(F.col(html_col).alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= most))
-    return [r.html for r in rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
+def sample_pages(pages: DataFrame, sample: int = 200, most: int = 100_000, id_col: str = "page_id", html_col: str = "html") -> list[str]:
+    """Pages to learn from: at most `sample`, chosen by a hash of the id, each of at most `most` characters (bounds)."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    return [r.html for r in hash_sample(rows, sample, "id").where(F.length("html") <= most).select("html").collect()]
 
 
 def extract_text(pages: DataFrame, model: Frozen, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm._sql import SPACE_CLASS, SPACES, let, lets
+from wattline.llm._support import hash_sample
 
 FEATURES = {
     "n_words": "CAST(n_words AS double)",
@@ -107,7 +108,8 @@ def learn(x: np.ndarray, bad: np.ndarray, rules: int = 8, depth: int = 3, precis
 def decision_list(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[list[tuple[int, str, float]]]:
     """Learn from at most `sample` labelled rows (a bound, chosen by a hash of the id): only their
     texts are measured and only their statistics reach the driver. Null labels are left out."""
-    chosen = labels.selectExpr(f"`{id_col}` AS lid", f"`{label_col}` AS label").where("lid IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("lid"), "lid").limit(sample)
+    chosen = labels.selectExpr(f"`{id_col}` AS lid", f"`{label_col}` AS label").where("lid IS NOT NULL AND label IS NOT NULL")
+    chosen = hash_sample(chosen, sample, "lid")
     texts = docs.selectExpr(f"`{id_col}`", f"`{text_col}`").join(F.broadcast(chosen.select("lid")), F.col(id_col) == F.col("lid"), "left_semi")
     measured = statistics(texts, id_col, text_col).where(f"NOT ({BASE})").join(F.broadcast(chosen), F.col("id") == F.col("lid"))
     rows = measured.selectExpr("id", "label", *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values()))).orderBy("id", "f0", "f1").limit(sample).collect()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm._sql import let, lets, quoted
+from wattline.llm._support import hash_sample
 
 SUFFIXES = 64
 ALPHABET = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,7 +118,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], sample: int = 20_000, i
     suffix = f"CAST(pmod(xxhash64(regexp_extract(host, '([^.]*)$', 1)), {SUFFIXES}) AS int)"
     measured = rows.selectExpr("id", "u", "host", "path", f"{name} AS rule", f"{verdict} AS ruled", f"{suffix} AS suffix", *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values())))
     n = len(FEATURES)
-    labelled = measured.where("ruled IS NOT NULL").orderBy(F.xxhash64("u"), "u").limit(sample).select("ruled", "suffix", *(f"f{i}" for i in range(n))).collect()
+    labelled = hash_sample(measured.where("ruled IS NOT NULL"), sample, "u").select("ruled", "suffix", *(f"f{i}" for i in range(n))).collect()
     y = np.array([r.ruled == "block" for r in labelled], float)
     cell = np.array([r.suffix for r in labelled], int)
     total, blocked = (np.bincount(cell, w, SUFFIXES) if len(cell) else np.zeros(SUFFIXES) for w in (None, y))
