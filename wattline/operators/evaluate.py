@@ -137,7 +137,13 @@ def detection(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
 
 def auc_interval(df: DataFrame, label: str, score: str, draws: int = 400, most: int = 2000, seed: int = 0) -> tuple[float, float]:
     """Bootstrap 95 % interval of the AUC from at most `most` rows of either class, chosen by hash (a bound)."""
-    pick = lambda v: np.array([r.s for r in df.where(F.col(label).cast("int") == v).select(F.col(score).cast("double").alias("s")).orderBy(F.xxhash64("s"), "s").limit(most).collect()])
+    def pick(v: int) -> np.ndarray:
+        rows = df.where(F.col(label).cast("int") == v).select(F.col(score).cast("double").alias("s"))
+        n = rows.count()
+        if n > 2 * most:  # a threshold first: not `most` rows of every partition
+            rows = rows.where(F.pmod(F.xxhash64("s"), F.lit(1 << 40)) < int(2 * most / n * (1 << 40)))
+        return np.array([r.s for r in rows.orderBy(F.xxhash64("s"), "s").limit(most).collect()])
+
     pos, neg, rng = pick(1), np.sort(pick(0)), np.random.default_rng(seed)
     if not len(pos) or not len(neg):
         return float("nan"), float("nan")
