@@ -124,7 +124,8 @@ def power_by(power: DataFrame, index: Column, name: str) -> DataFrame:
 def pdu_hourly_tiers_and_power(usage: DataFrame, events: DataFrame, machine_events: DataFrame, mapping: DataFrame, power: DataFrame, cell: str, pdu: str) -> DataFrame:
     """A unit's tiers by hour beside its power. Times are bucketed, never joined raw; neither is shifted."""
     mine = machines_in_pdu(mapping, pdu)
-    rows = usage_with_tier(usage, events.join(mine, "machine_id", "left_semi"))
+    here = lambda df: df.join(mine, "machine_id", "left_semi")  # noqa: E731  before the large join, on both of its sides
+    rows = usage_with_tier(here(usage), here(events))
     hours = rows.groupBy(S.bucket("time", C.HOUR_US).alias("hour_index"), "tier").agg(F.sum("cpu_usage").alias("cpu"))
     hours = hours.join(F.broadcast(pdu_capacity(machine_events, mapping, pdu))).select("hour_index", "tier", S.ratio("cpu", C.SAMPLES_PER_HOUR * F.col("cpu_capacity")).alias("avg_cpu_usage"))
     seen = power.where((F.col("cell") == cell) & (F.col("pdu") == pdu))
@@ -136,7 +137,8 @@ def cell_daily_tiers_and_power(usage: DataFrame, events: DataFrame, machine_even
     mapping, so repeated mappings count as often as listed; only the power's time is shifted."""
     machines = mapping.where(F.col("cell") == cell).select("machine_id", "pdu")
     cap = machine_capacity(machine_events).join(machines, "machine_id").groupBy("pdu").agg(F.sum("cpu_cap").alias("cpu_capacity"))
-    rows = usage_with_tier(usage, events, S.two_way_tier("priority")).join(machines, "machine_id")
+    here = lambda df: df.join(machines, "machine_id", "left_semi")  # noqa: E731  before the large join, on both of its sides
+    rows = usage_with_tier(here(usage), here(events), S.two_way_tier("priority")).join(machines, "machine_id")
     days = rows.groupBy(S.bucket("time", C.DAY_US).alias("day_index"), "pdu", "tier").agg(F.sum("cpu_usage").alias("cpu")).join(cap, "pdu")
     days = days.select("day_index", "pdu", "tier", S.ratio("cpu", 12 * 24 * F.col("cpu_capacity")).alias("avg_cpu_usage"))
     seen = power.where((F.col("cell") == cell) & F.col("pdu").startswith("pdu"))
