@@ -103,7 +103,7 @@ def margin(bias: float, trees: list[tuple]) -> str:
     return " + ".join(out)
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], sample: int = 20_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: dict[str, str], sample: int = 5_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, score (the trees' log-odds of block) for every row.
 
     Trained on at most `sample` URLs that a rule decides, chosen by hash (a bound). Suffix statistics are
