@@ -262,3 +262,12 @@ def test_site_pages(spark, sf):
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inner))]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_samples_are_bounded(spark):
+    from wattline.llm._support import hash_sample
+
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    a, b = (sorted(r.id for r in hash_sample(df.repartition(n), 50, "id").collect()) for n in (2, 9))
+    assert a == b and 20 < len(a) <= 50
+    assert hash_sample(df, 5000, "id").count() == 1000 and hash_sample(df.limit(0), 5, "id").count() == 0

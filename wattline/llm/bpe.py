@@ -40,7 +40,7 @@ from wattline.llm._support import process_slot, slices
 #: Bounds of the caches of a process: they change no result.
 CHUNKS_HELD = 400_000
 STATES_HELD = 200_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 NODE_BITS, NODE_MASK = 32, (1 << 32) - 1
 
 
@@ -214,8 +214,8 @@ class Encoder:
     only what is not held yet is split and read by the automaton.
     """
 
-    def __init__(self, automaton: Automaton):
-        self.a, self.reader = automaton, Reader(automaton)
+    def __init__(self, automaton: Automaton, held: int | None = None):
+        self.a, self.reader, self.held = automaton, Reader(automaton), held or CHUNKS_HELD
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was held before `chunks` was started anew
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -274,7 +274,7 @@ class Encoder:
             gc.enable()
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CHUNKS_HELD:
+        if len(self.chunks) > self.held:
             self.older, self.chunks = self.chunks, {}
         cut, known = [self._cut(t) for t in texts], self.chunks
         new: set[str] = set()
@@ -293,9 +293,9 @@ class Encoder:
         return " ".join(map(self.a.label.__getitem__, array("I", ids)))
 
 
-def worker_encoder(automaton: Automaton) -> Encoder:
+def worker_encoder(automaton: Automaton, held: int | None = None) -> Encoder:
     """The encoder of this Python worker, with what it holds from earlier tasks."""
-    return process_slot(automaton.key, lambda: Encoder(automaton))
+    return process_slot(f"{automaton.key}/{held}", lambda: Encoder(automaton, held))
 
 
 def load(spark, path: str) -> Automaton:

@@ -99,14 +99,15 @@ def places(found: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarr
     return {"key": a[:, 0] << 48 | a[:, 1], "rank": a[:, 1], "copies": a[:, 2], "sequence": a[:, 3], "offset": a[:, 4]}
 
 
-def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and task and nth (its number among
-    the task's pieces of this length). Null text is empty: one piece with the end id alone."""
+    the task's pieces of this length). Null text is empty: one piece with the end id alone. `held` bounds the words that a worker
+    caches (memory against time; no result depends on it)."""
     shared = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id.to_bytes(4, "little")
-        encoder, seen, task = worker_encoder(shared.value), [0] * (capacity + 1), TaskContext.get().partitionId()
+        encoder, seen, task = worker_encoder(shared.value, held), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in slices(batches, "text", BATCH_BYTES):
             rows: list[tuple] = []
             for i, ids in zip(batch.column("id").to_pylist(), encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -157,6 +158,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """Tokenize, cut what is longer than the capacity, and pack; see the functions above."""
-    return pack_pieces(tokenize_pieces(docs, path, capacity, end_id, id_col, text_col), capacity)
+    return pack_pieces(tokenize_pieces(docs, path, capacity, end_id, id_col, text_col, held), capacity)

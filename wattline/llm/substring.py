@@ -176,8 +176,10 @@ def repeated_windows(docs: DataFrame, window: int = 20, seed: int = 8, buckets:
     """Runs of windows whose words also start earlier: id, start, windows. `buckets` only sets how
     finely anchors are grouped for the shuffle (by default a bucket for each MB of input)."""
     if buckets is None:
-        stats = docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        buckets = max(64, int(str(stats)) >> 20)
+        size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >= 1 << 55:  # a plan without statistics: measure
+            size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        buckets = max(64, size >> 20)
     buckets = min(buckets, 1 << 30)
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
