@@ -323,6 +323,14 @@ ORACLES = {
         SELECT unit, recent_x, {r('cum', 'cum_prob')}, CASE WHEN cum < 0.95 THEN 'green' WHEN cum < 0.9999 THEN 'yellow' ELSE 'red' END AS basel_zone FROM z""",
     "es_z2": f"WITH {POWER}, {FHS}, {BREACH} SELECT unit, {r('CASE WHEN x > 0 THEN es_sum / (n * 0.05) - 1 END', 'es_z2')} FROM c",
     "backtest_pooled": f"WITH {POWER}, {FHS.replace('f AS (SELECT * FROM e', 'f0 AS (SELECT * FROM e')}, f AS (SELECT 'all' AS unit, row_number() OVER (ORDER BY unit, step) AS step, u, var, es FROM f0), {BREACH} SELECT n, x, n00, n01, n10, n11, recent_x, {r(KUPIEC, 'kupiec_lr')}, {r(IND, 'ind_lr')} FROM c",
+    "clustering_stats": f"""WITH {POWER}, {EMPIRICAL.replace('f AS (', 'f0 AS (', 1)}, f AS (SELECT unit, step, u, var, es FROM f0 UNION ALL SELECT 'all', row_number() OVER (ORDER BY unit, step), u, var, es FROM f0), {BREACH},
+        p AS (SELECT x / n AS rate, n01 / greatest(1, n00 + n01) AS p01, n11 / greatest(1, n10 + n11) AS p11 FROM c WHERE unit = 'all'), k AS (SELECT count(*) FILTER (exp(-({KUPIEC} + {IND}) / 2) > 0.05) AS cc_pass, count(*) AS n_units FROM c WHERE unit != 'all')
+        SELECT {r('rate', 'rate')}, {r('p01', 'p01')}, {r('p11', 'p11')}, {r('p11 / nullif(p01, 0)', 'ratio')}, cc_pass, n_units FROM p, k""",
+    "calibrate_multiplier": f"""WITH {POWER}, {fhs_sql(3)}, d AS (SELECT unit, step, u, anchor, var - anchor AS spread, CASE WHEN var > anchor THEN (u - anchor) / (var - anchor) WHEN u > anchor THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS ratio FROM f WHERE step % 3 = 0),
+        t AS (SELECT ratio, row_number() OVER (ORDER BY ratio) AS i, count(*) OVER () AS n FROM d WHERE step < {SPLIT}), m AS (SELECT least(4.0, greatest(0.5, max(ratio))) AS m, any_value(n) AS n_train FROM t WHERE i = greatest(1, n - floor((1 - 0.95) * n + 1e-9))),
+        v AS (SELECT any_value(m) AS m, any_value(n_train) AS n_train, count(*) AS n_test, avg(CAST(u > anchor + spread AS INTEGER)) AS raw, avg(CAST(u > anchor + m * spread AS INTEGER)) AS cal, count(DISTINCT unit) AS units FROM d, m WHERE step >= {SPLIT}),
+        z AS (SELECT *, raw * n_test / greatest(1, units) AS per, abs(cal - (1 - 0.95)) / (1 - 0.95) AS err FROM v)
+        SELECT {r('m', 'm')}, n_train, n_test, {r('raw', 'raw_test')}, {r('cal', 'cal_test')}, {r('per', 'breaches_per_unit')}, {r('err', 'rel_error')}, CASE WHEN per >= 5 AND err <= 0.15 THEN 'validated' WHEN per >= 2 AND err <= 0.30 THEN 'marginal' ELSE 'underpowered' END AS verdict FROM z""",
     "episodes": f"WITH {POWER}, {ISLANDS('power', 'cell, pdu', 'badm')} SELECT cell, pdu, count(*) AS n_intervals, min(ts) AS start, max(ts) AS \"end\" FROM ru WHERE badm GROUP BY cell, pdu, run",
     "global_episodes": f"WITH {POWER}, g AS (SELECT step, ts, bool_or(badp) AS badp, 1 AS k FROM power WHERE pdu != 'pdu4' GROUP BY 1, 2), {ISLANDS('g', 'k', 'badp')} SELECT count(*) AS n_intervals, min(ts) AS start, max(ts) AS \"end\" FROM ru WHERE badp GROUP BY run",
     "frozen_rate": f"""WITH {POWER}, x AS (SELECT badm, badp, CAST(u < p AS INTEGER) AS v, CAST(coalesce(u = lag(u) OVER w, false) AS INTEGER) AS f FROM power {W0}),
