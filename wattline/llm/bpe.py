@@ -28,7 +28,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from wattline.llm._support import process_slot, slices
 #: Bounds of the caches of a process: they change no result.
 CHUNKS_HELD = 400_000
 STATES_HELD = 200_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 NODE_BITS, NODE_MASK = 32, (1 << 32) - 1
 
 
@@ -276,17 +276,31 @@ class Encoder:
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > self.held:
             self.older, self.chunks = self.chunks, {}
-        cut, known = [self._cut(t) for t in texts], self.chunks
-        new: set[str] = set()
-        held = known.__contains__
-        for text in cut:
-            for part in text:
+        get, new, rows = self.chunks.get, [], []
+        for text in texts:  # one look-up a chunk: what is missing is noted, learned together, and filled in
+            row: list[tuple[list[str], list, list[int]] | bytes] = []
+            for part in self._cut(text):
                 if type(part) is list:
-                    new.update(filterfalse(held, part))
+                    ids = list(map(get, part))
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    new += [part[i] for i in gaps]
+                    part = ([part[i] for i in gaps], ids, gaps)
+                row.append(part)
+            rows.append(row)
         if new:
-            self._learn(new)
-        get = known.__getitem__
-        return [b"".join([part if type(part) is bytes else b"".join(map(get, part)) for part in text]) if len(text) != 1 or type(text[0]) is bytes else b"".join(map(get, text[0])) for text in cut]
+            self._learn(set(new))
+        out, known = [], self.chunks
+        for row in rows:
+            data = []
+            for part in row:
+                if type(part) is tuple:
+                    chunks, ids, gaps = part
+                    for i, c in zip(gaps, chunks, strict=True):
+                        ids[i] = known[c]
+                    part = b"".join(ids)
+                data.append(part)
+            out.append(data[0] if len(data) == 1 else b"".join(data))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """As a tokenizer without a decoder does: labels joined by blanks."""
