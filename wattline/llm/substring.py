@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from wattline.llm._support import raw, slices
 
 ODD = 0x9E3779B97F4A7C15
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
