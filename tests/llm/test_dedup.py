@@ -2,11 +2,12 @@
 
 import random
 
+import corpus_pipeline
 import pytest
-from fixtures import SCHEMA, classes, documents, fingerprint, prose, repeats
+from fixtures import SCHEMA, classes, documents, fingerprint, prose, repeats, words
 from pyspark.sql import functions as F
 
-from wattline.llm import components, exact, simhash, substring
+from wattline.llm import components, exact, jaccard, simhash, substring
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +107,43 @@ def test_near_dedup_keeps_one_of_each(spark, docs):
     kept = simhash.drop_near_duplicates(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     ids = sorted(r.doc_id for r in kept.collect())
     assert kept.columns == docs.columns and 0 in ids and 12 not in ids and 13 not in ids
+
+
+def jaccard_components(rows):
+    """Smallest id of the component of each id, by brute force over pairs of five-word shingle sets."""
+    sets = {}
+    for i, text in rows:
+        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in words(text)]
+        sets.setdefault(frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
+    root, least = classes_of(list(sets)), {}
+    for s, ids in sets.items():
+        least[root[s]] = min([*ids, least.get(root[s], min(ids))])
+    return {i: least[root[s]] for s, ids in sets.items() for i in ids}
+
+
+def classes_of(sets):
+    found = classes(range(len(sets)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return {s: found[k] for k, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("large", [50, 3])
+def test_pipeline_stage_finds_similarity_of_four_fifths(spark, monkeypatch, large):
+    """Near copies that differ in more than 2 bits of 64 are found, and nothing below 0.8 is."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng, rows = random.Random(11), []
+    for _ in range(25):
+        base = prose(rng, rng.randint(20, 150)).split()
+        rows.append(" ".join(base))
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = prose(rng, 1)
+            rows.append(" ".join(copy))
+    rows += ["", " ", "one two", "One  two", *(prose(rng, 40) + " " + rows[0] for _ in range(5))]
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.near_duplicates(df).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df.selectExpr("*", "1 AS n_chars"), "").collect()} == {i for i, c in want.items() if i == c}
+    near = {(i, c) for i, c in want.items() if i != c}
+    assert sum((fingerprint(rows[i][1]) ^ fingerprint(rows[c][1])).bit_count() > 2 for i, c in near) > 20
