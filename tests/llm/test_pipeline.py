@@ -1,5 +1,7 @@
 """The corpus pipeline: stages on awkward rows, and run() against a brute-force version."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from fixtures import SCHEMA, classes, documents, fingerprint
@@ -44,3 +46,16 @@ def test_run_equals_plain_version(spark, sf):
         data += (1).to_bytes(4, "little")
         want |= {(i, p, s // 4, len(data[s : s + 16384]) // 4, crc(data[s : s + 16384])) for p, s in enumerate(range(0, len(data), 16384))}
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out} == want
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark, sf):
+    """Letters in no learned language end at the first stage; real, short and evenly mixed documents go on."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = {r.lang: r.text[:400] for r in docs.where("length(text) > 500 AND lang IS NOT NULL").collect()}
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("qxzkjwvp ") for _ in range(300)), "Привет мир, это обычный текст на русском языке.", "这是一个普通的中文文本。", "3f9a" * 50]
+    texts = [*one.values(), " ".join(one.values()), " ".join(list(one.values())[:2]), *junk]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    both = docs.unionByName(extra, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, sf).where("doc_id < 0").collect()}
+    assert len(one) == 4 and kept == {-1 - i for i in range(len(texts) - len(junk))}

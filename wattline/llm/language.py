@@ -3,7 +3,8 @@
 A language is a distribution over hashed byte n-grams. A document is a mixture: expectation-maximisation
 estimates each language's share of its n-grams from their likelihoods. The set of languages is chosen
 by penalised likelihood: languages are admitted in order of their shares as long as the
-likelihood of the mixture, with a cost for each language, improves.
+likelihood of the mixture, with a cost for each language, improves. How well the chosen set fits is the mean
+log-likelihood of an n-gram against a uniform background: below 0 the text is in none of the languages.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class Model:
         self.names = names
         p = (counts + smooth) / (counts + smooth).sum(axis=0, keepdims=True)
         self.ratio = (p / p.mean(axis=1, keepdims=True)).astype(np.float32) if names else p.astype(np.float32)
+        self.base = np.log(p.mean(axis=1) * CELLS).astype(np.float32) if names else np.zeros(0, np.float32)
         self.prior = (docs / docs.sum() if len(docs) else docs).astype(np.float32)
 
     def shares(self, x: np.ndarray, times: np.ndarray, prior: np.ndarray, steps: int, weight: float = 2.0) -> np.ndarray:
@@ -51,8 +53,12 @@ class Model:
 
     def judge(self, text: str | None, steps: int = 12, cost: float = 3.0) -> tuple[str, float, list[tuple[str, float]]]:
         """(language, its share, the chosen set with shares). No letters or no model: und."""
+        return self.judge_fit(text, steps, cost)[:3]
+
+    def judge_fit(self, text: str | None, steps: int = 12, cost: float = 3.0) -> tuple[str, float, list[tuple[str, float]], float | None]:
+        """judge() and the mean log-likelihood of an n-gram under the chosen set against a uniform background."""
         if text is None or not self.names or not any(m.group().isalpha() for m in LETTER.finditer(text)):
-            return "und", 0.0, []
+            return "und", 0.0, [], None
         cell = codes(text)
         if len(cell) > LISTED:
             times = np.bincount(cell, minlength=CELLS)
@@ -74,7 +80,7 @@ class Model:
                 break
             chosen, best = pi, gain
         top = int(np.argmax(chosen))
-        return self.names[order[top]], float(min(1.0, whole[order[top]])), [(self.names[order[i]], float(s)) for i, s in enumerate(chosen)]
+        return self.names[order[top]], float(min(1.0, whole[order[top]])), [(self.names[order[i]], float(s)) for i, s in enumerate(chosen)], (best + float(times @ self.base[cell])) / n
 
 
 def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -109,13 +115,14 @@ def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_set (the chosen languages with their shares).
+    """docs with lang_pred, lang_score (0 to 1), lang_set (the chosen languages with their shares) and lang_fit
+    (mean log-likelihood of an n-gram against a uniform background; negative: in none of the languages).
 
-    Null text or text without a letter: `und`, score 0, empty set. Rows are judged alone on their whole text, so
+    Null text or text without a letter: `und`, score 0, empty set, null fit. Rows are judged alone on their whole text, so
     repeated rows get equal results; equal shares go to the language first in order. An empty
-    table gives an empty result. Columns named like the three new ones are replaced.
+    table gives an empty result. Columns named like the new ones are replaced.
     """
-    names = ["lang_pred", "lang_score", "lang_set"]
+    names = ["lang_pred", "lang_score", "lang_set", "lang_fit"]
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.columns
@@ -124,9 +131,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_slot()
         for batch in slices(batches, text_col):
-            lang, score, chosen = zip(*(shared.value.judge(t) for t in batch.column(text_col).to_pylist()), strict=True)
+            lang, score, chosen, fit = zip(*(shared.value.judge_fit(t) for t in batch.column(text_col).to_pylist()), strict=True)
             sets = pa.array([[{"lang": k, "share": v} for k, v in s] for s in chosen], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), sets], [*fields, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), sets, pa.array(fit, pa.float64())], [*fields, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double, lang_set array<struct<lang: string, share: double>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double, lang_set array<struct<lang: string, share: double>>, lang_fit double"])
     return docs.mapInArrow(run, schema)
