@@ -192,6 +192,26 @@ def test_permutation_has_no_collisions(spark):
     assert pii.collisions(found, "k") == 0
 
 
+def test_collisions_are_resolved_for_the_colliding_alone(spark, monkeypatch):
+    rows = [(1, "at 10.0.0.1 and 10.0.0.01, 1.2.3.4 and 1.2.3.04"), (2, "Nothing")]
+    got = {r.doc_id: r.text for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", got[1]))) == 4 and "10.0.0." not in got[1] and got[2] == "Nothing"
+    monkeypatch.setattr(pii, "SYLLABLES", {k: ["ba"] * 8 + ["vi"] * 8 for k in pii.SYLLABLES})  # few family names: many collisions
+    people = [(i, f"Mr {''.join(chr(97 + i // 26**k % 26) for k in range(3)).capitalize()} left") for i in range(60)]
+    out = [r.text for r in pii.replace_personal_data(spark.createDataFrame([*people, (99, people[0][1])], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(out)) == 60 and out[0] == out[-1] and all(re.fullmatch(r"Mr [A-Z][a-z]+ left", t) for t in out)
+
+
+def test_whole_names_and_grouped_phones(spark):
+    texts = ["Mr John Smith left", "Mrs. Jane Mary Doe left", "call +33 6 12 34 56 78 or +44 20 7946 0958", "call 555-123-4567 or 06 12 34 56 78", "on 2024-01-02, 12.50"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_personal_data(df).orderBy("doc_id").collect()]
+    names = {g: pii.GIVEN[g, "latin"] for g in "fm"}
+    assert re.fullmatch(rf"Mr (?:{'|'.join(names['m'])}) [A-Z][a-z]+ left", got[0]) and re.fullmatch(rf"Mrs\. (?:{'|'.join(names['f'])}) [A-Z][a-z]+ left", got[1])
+    assert not [w for w in ("John", "Smith", "Jane", "Mary", "Doe", "12 34 56 78", "7946 0958", "123-4567") if any(w in t for t in got)]
+    assert re.fullmatch(r"call \+33 \d \d\d \d\d \d\d \d\d or \+44 \d\d \d{4} \d{4}", got[2]) and re.fullmatch(r"call \d{3}-\d{3}-\d{4} or \d\d( \d\d){4}", got[3]) and got[4] == texts[4]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Net/x?y"), (2, "https://m.example.net/en/1#t"), (3, "https://example.com/de/"), (4, "http://x.org/fr/a?b=/c"), (5, "ftp://other.com"), (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://x.net?q"), (10, "http://y.org/de/9"), (10, "http://y.org/de/9")]
     got = {r.id: r for r in urls.filter_urls(spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, host string, rule string"), queries.RULES).collect()}

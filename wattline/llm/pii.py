@@ -6,15 +6,16 @@ format get different surrogates and a card keeps a valid check digit; names, mai
 secrets are spelled from a keyed hash, with the gender and script of the name kept. A surrogate
 depends on the key and the entity alone, so the same entity gets the same one in every document
 (coreference). That no two entities of a type share a surrogate is checked over the whole corpus;
-if two do, the key is varied and the check repeated.
+where some do, all but one get another, by a variation of the key for them alone, until none do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm._sql import let, lets, quoted
+from wattline.llm._support import keep
 
 #: Titles by gender and language, and given names by gender and script: fixed values.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"]}
@@ -37,8 +38,8 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{
 SECRET = r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s*[=:]\s*)[\"'][^\"'\s]{8,}[\"']"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 CARD = r"(?<![\p{L}\d])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,18})(?![\p{L}\d])"
-PHONE = r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-TITLED = r"\b(?:" + "|".join(t for x in TITLES.values() for t in x) + rf")\.? {WORD}(?: {WORD})?"
+PHONE = r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{1,3}\)?(?:[ .-]\d{2,3}){3,4}(?!\d)|(?<![\p{L}\d])(?:\(\d{3}\) \d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d(?:[ .-]\d{2}){4})(?![.-]?\d)"
+TITLED = r"\b(?:" + "|".join(t for x in TITLES.values() for t in x) + rf")\.? {WORD}(?: {WORD})*"
 NAMED = r"(?<![\p{L}])(?:" + "|".join(n for x in GIVEN.values() for n in x) + rf") {WORD}"
 KINDS = {"email": EMAIL, "secret": SECRET, "ipv4": IPV4, "card": CARD, "phone": PHONE, "titled": TITLED, "named": NAMED}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -78,17 +79,22 @@ def spelled(hexes: str, script: str) -> str:
     return f"initcap(array_join(transform(split({hexes}, ''), x -> coalesce(element_at({table}, CAST(conv(x, 16, 10) AS int) + 1), '')), ''))"
 
 
-def _name(h: str, given: str) -> str:
-    """A family name, and a given name of the same gender and script where there was one."""
+def _name(h: str, given: str, gender: str) -> str:
+    """A family name, and a given name where there was one: of its list, else of the title's gender and the word's script."""
     scripts = [("cyrillic", r"\\p{IsCyrillic}"), ("greek", r"\\p{IsGreek}")]
     family = f"CASE {' '.join(f'WHEN e RLIKE {quoted_re(c)} THEN {spelled(f"substring({h}, 1, 8)", s)}' for s, c in scripts)} ELSE {spelled(f'substring({h}, 1, 8)', 'latin')} END"
-    if not given:
-        return family
-    arms = []
-    for names in GIVEN.values():
-        table = "array(" + ", ".join(map(quoted, names)) + ")"
-        arms.append(f"WHEN array_contains({table}, {given}) THEN element_at({table}, CAST(pmod(xxhash64({h}), {len(names)}) AS int) + 1)")
-    return f"concat(CASE {' '.join(arms)} ELSE {given} END, ' ', {family})"
+    tables = {k: "array(" + ", ".join(map(quoted, names)) + ")" for k, names in GIVEN.items()}
+    one = {k: f"element_at({tables[k]}, CAST(pmod(xxhash64({h}), {len(names)}) AS int) + 1)" for k, names in GIVEN.items()}
+    listed = " ".join(f"WHEN array_contains({tables[k]}, {given}) THEN {one[k]}" for k in GIVEN)
+    other = " ".join(f"WHEN {given} RLIKE {quoted_re(c)} THEN IF({gender} = 'f', {one['f', s]}, {one['m', s]})" for s, c in scripts)
+    return f"concat(CASE WHEN {given} = '' THEN '' {listed} {other} ELSE IF({gender} = 'f', {one['f', 'latin']}, {one['m', 'latin']}) END, IF({given} = '', '', ' '), {family})"
+
+
+#: Gender of a titled match, and what stands for a person: the name, with the gender where no list gives it.
+GENDER = "IF(e RLIKE '^(" + "|".join(TITLES["f"]) + ")[.]? ', 'f', 'm')"
+PERSON_K = "IF(k IN ('titled', 'named'), 'person', k)"
+_REST = "substring(e, instr(e, ' ') + 1)"
+PERSON_E = f"CASE k WHEN 'titled' THEN concat(IF(instr({_REST}, ' ') = 0 OR array_contains(array({', '.join(quoted(n) for x in GIVEN.values() for n in x)}), substring_index({_REST}, ' ', 1)), '', concat({GENDER}, '/')), {_REST}) ELSE e END"
 
 
 def quoted_re(pattern: str) -> str:
@@ -96,7 +102,7 @@ def quoted_re(pattern: str) -> str:
 
 
 def surrogate(key: str) -> str:
-    """SQL for the surrogate of an entity `e` of kind `k`."""
+    """SQL for the surrogate of an entity `e` of kind `k`; for persons see PERSON_K and PERSON_E."""
     digits = "regexp_replace({}, '[^0-9]+', '')"
     h = _hash(key, "concat(k, e)")
     mail = let("h", h, "concat(translate(substring(h, 1, 12), '0123456789abcdef', 'bcdfghjklmnprstv'), '.', lpad(CAST(pmod(xxhash64(h), 100) AS string), 2, '0'), '@mail', CAST(pmod(xxhash64(h, 1), 10) AS string), '.example.org')")
@@ -110,16 +116,16 @@ def surrogate(key: str) -> str:
     rounds = "ab"
     for r in range(4, 0, -1):
         half, other = ("a", "b") if r % 2 else ("b", "a")
-        mixed = f"pmod(ab.{half} + pmod(xxhash64({quoted(key)}, {r}, ab.{other}), 65536), 65536)"
+        mixed = f"pmod(ab.{half} + pmod(xxhash64(concat({quoted(key)}, zeros), {r}, ab.{other}), 65536), 65536)"
         rounds = let("ab", f"struct({mixed if half == 'a' else 'ab.a'} AS a, {mixed if half == 'b' else 'ab.b'} AS b)", rounds)
-    address = let("ab", let("o", octets, let("ab", "struct(o DIV 65536 AS a, o % 65536 AS b)", rounds)), "concat_ws('.', ab.a DIV 256, ab.a % 256, ab.b DIV 256, ab.b % 256)")
+    # A spelling with leading zeros is an entity of its own.
+    zeros = "IF(e RLIKE '(^|[.])0[0-9]', e, '')"
+    address = let("ab", lets(("zeros", zeros), ("o", octets), ("ab", "struct(o DIV 65536 AS a, o % 65536 AS b)"), then=rounds), "concat_ws('.', ab.a DIV 256, ab.a % 256, ab.b DIV 256, ab.b % 256)")
     inner = let("d", digits.format("e"), "concat(substring(d, 1, 1), " + permuted("substring(d, 2, length(d) - 2)", key) + ")")
     card = let("c", inner, refilled("e", f"concat(c, CAST((10 - {luhn("concat(c, '0')")}) % 10 AS string))"))
     phone = lets(("cc", "regexp_extract(e, '^([+][0-9]{1,3}[ .-]|)', 1)"), ("t", "substring(e, length(cc) + 1)"), then=f"concat(cc, {refilled('t', permuted(digits.format('t'), key))})")
-    # A titled person keeps the title; one given name and family name share a surrogate with or without it.
-    titled = lets(("title", "regexp_extract(e, '^([^ ]+ )', 1)"), ("rest", "substring(e, length(title) + 1)"), ("h", _hash(key, "concat('name', substring_index(rest, ' ', -1), IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), ''))")), then=f"concat(title, IF(instr(rest, ' ') > 0, {_name('h', 'substring_index(rest, chr(32), 1)')}, {_name('h', '')}))")
-    named = let("h", _hash(key, "concat('name', substring_index(e, ' ', -1), substring_index(e, ' ', 1))"), _name("h", "substring_index(e, ' ', 1)"))
-    return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'titled' THEN {titled} WHEN 'named' THEN {named} ELSE e END"
+    person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g"))
+    return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE e END"
 
 
 def _pattern(p: str) -> str:
@@ -143,32 +149,51 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("e").count().selectExpr(f"{_kind('e')} AS k", "e").where("k != 'none'")
 
 
-def collisions(found: DataFrame, key: str) -> int:
-    """How many surrogates stand for more than one entity of a kind. Titled forms of a person are one."""
-    person = "IF(k IN ('titled', 'named'), 'person', k)"
-    same = "IF(k = 'titled', substring(e, instr(e, ' ') + 1), e)"
-    shown = "IF(k = 'titled', substring(s, instr(s, ' ') + 1), s)"
-    pairs = found.selectExpr("k", "e", f"{surrogate(key)} AS s").selectExpr(f"{person} AS k", f"{same} AS e", f"{shown} AS s")
-    return pairs.groupBy("k", "s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a != b").count()
+def assigned(found: DataFrame, key: str) -> DataFrame:
+    """k, e, s of the distinct entities; titled forms of a person are one."""
+    return found.selectExpr(f"{PERSON_K} AS k", f"{PERSON_E} AS e").distinct().selectExpr("k", "e", f"{surrogate(key)} AS s")
 
 
-def replace_personal_data(docs: DataFrame, key: str = "wattline", id_col: str = "doc_id", text_col: str = "text", tries: int = 8) -> DataFrame:
+def collisions(found: DataFrame, key: str) -> int:
+    """How many surrogates stand for more than one entity of a kind."""
+    return assigned(found, key).groupBy("k", "s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a != b").count()
+
+
+def exceptions(found: DataFrame, key: str) -> DataFrame | None:
+    """k, e, s of the entities whose surrogate under `key` another one has, with one of their own: of a shared
+    surrogate, the entity first in order keeps it and the others vary the key, until no two are equal."""
+    found = keep(found, "entities")
+    if not collisions(found, key):
+        return None
+    taken, turn = keep(assigned(found, key).withColumn("turn", F.lit(0)), "surrogates"), 0
+    while True:
+        place = F.row_number().over(Window.partitionBy("k", "s").orderBy("turn", "e"))
+        ranked = keep(taken.withColumn("place", place), "ranked")
+        if not ranked.where("place > 1").count():
+            return ranked.where("turn > 0").select("k", "e", "s")
+        turn += 1
+        again = ranked.where("place > 1").selectExpr("k", "e", f"{surrogate(f'{key}/{turn}')} AS s", f"{turn} AS turn")
+        taken = ranked.where("place = 1").select("k", "e", "s", "turn").union(again)
+
+
+def replace_personal_data(docs: DataFrame, key: str = "wattline", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with surrogates in `text_col`; all other columns stay.
 
     Null and empty texts stay as they are. Rows are judged alone, so repeated rows give repeated
     results, and ids play no part. Overlapping matches: the leftmost, then the first kind in KINDS. An
-    empty table gives an empty result. Raises ValueError if no variation of the key is free of collisions.
+    empty table gives an empty result. The few entities whose surrogates collide are joined as one map.
     """
-    found = entities(docs, text_col)
-    for attempt in range(tries):
-        used = f"{key}/{attempt}"
-        if not collisions(found, used):
-            break
-    else:
-        raise ValueError(f"surrogates collide under {tries} variations of the key")
+    used, columns = f"{key}/0", docs.columns
+    own = exceptions(entities(docs, text_col), used)
+    shown = surrogate(used)
+    if own is not None:
+        table = own.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "e"), "s"))).alias("_wattline_own"))
+        docs, shown = docs.crossJoin(F.broadcast(table)), f"coalesce(element_at(`_wattline_own`, concat(k, '|', e)), {shown})"
+    title = "IF(kind = 'titled', substring(m, 1, instr(m, ' ')), '')"
+    entity = lets(("kind", _kind("m")), ("k", "kind"), ("e", "m"), ("known", f"struct({PERSON_K} AS k, {PERSON_E} AS e)"), ("k", "known.k"), ("e", "known.e"), then=f"concat({title}, {shown})")
     body = f"`{text_col}`"
-    filled = let("m", f"regexp_extract_all({body}, {_pattern(ANY)}, 0)", f"array_join(zip_with(split({body}, {_pattern(ANY)}, -1), transform(m, e -> {let('k', _kind('e'), surrogate(used))}), (gap, s) -> concat(coalesce(gap, ''), coalesce(s, ''))), '')")
-    return docs.withColumn(text_col, F.expr(f"IF({body} RLIKE {_pattern(HINT)}, {filled}, {body})"))
+    filled = let("ms", f"regexp_extract_all({body}, {_pattern(ANY)}, 0)", f"array_join(zip_with(split({body}, {_pattern(ANY)}, -1), transform(ms, m -> {entity}), (gap, s) -> concat(coalesce(gap, ''), coalesce(s, ''))), '')")
+    return docs.withColumn(text_col, F.expr(f"IF({body} RLIKE {_pattern(HINT)}, {filled}, {body})")).select(*(f"`{c}`" for c in columns))
 
 
 def count_entities(text: str) -> str:
