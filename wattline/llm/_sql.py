@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-#: ASCII white space between words, as a Spark SQL string literal and as a regex class.
-SPACES = r"' \t\n\u000B\f\r'"
+#: ASCII white space between words, as a Spark SQL string literal (which has no escape \f) and as a regex class.
+SPACES = r"' \t\n\u000B\u000C\r'"
 SPACE_CLASS = r"[ \\t\\n\\x0B\\f\\r]"
 
 

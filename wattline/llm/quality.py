@@ -27,8 +27,8 @@ FEATURES = {
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
-def _statistics() -> str:
-    """SQL for a struct of the five statistics of a string called `body`."""
+def _statistics(text: str) -> str:
+    """SQL for a struct of the five statistics of a string column; null is empty."""
     repeated = lets(
         ("s", "array_sort(transform(hs, (h, i) -> struct(h AS h, i AS i)))"),
         ("m", "size(s)"),
@@ -38,6 +38,7 @@ def _statistics() -> str:
     windows = let("hs", "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))", f"IF(size(array_distinct(hs)) = size(hs), 0L, {repeated})")
     lines = let("ls", f"filter(split(body, '\\n', -1), l -> l RLIKE '[^{SPACE_CLASS[1:]}')", "CAST(size(ls) - size(array_distinct(ls)) AS long)")
     return lets(
+        ("body", f"coalesce({text}, '')"),
         ("core", f"trim(BOTH {SPACES} FROM body)"),
         ("w", f"IF(core = '', CAST(array() AS array<string>), split(core, '{SPACE_CLASS}+', -1))"),
         then=f"""named_struct('n_words', CAST(size(w) AS long), 'word_chars', CAST(length(array_join(w, '')) AS long),
@@ -49,8 +50,7 @@ def _statistics() -> str:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text. Null text
     has no words. Three-word windows are compared by a 64-bit hash within their own text."""
-    rows = docs.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS body")
-    return rows.selectExpr("id", f"{_statistics()} AS st").selectExpr("id", "st.*")
+    return docs.selectExpr(f"`{id_col}` AS id", f"{_statistics(f'`{text_col}`')} AS st").selectExpr("id", "st.*")
 
 
 def _grow(x: np.ndarray, bad: np.ndarray, depth: int) -> list[tuple[int, str, float]]:
@@ -110,9 +110,11 @@ def decision_list(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col
     texts are measured and only their statistics reach the driver. Null labels are left out."""
     chosen = labels.selectExpr(f"`{id_col}` AS lid", f"`{label_col}` AS label").where("lid IS NOT NULL AND label IS NOT NULL")
     chosen = hash_sample(chosen, sample, "lid")
-    texts = docs.selectExpr(f"`{id_col}`", f"`{text_col}`").join(F.broadcast(chosen.select("lid")), F.col(id_col) == F.col("lid"), "left_semi")
-    measured = statistics(texts, id_col, text_col).where(f"NOT ({BASE})").join(F.broadcast(chosen), F.col("id") == F.col("lid"))
-    rows = measured.selectExpr("id", "label", *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values()))).orderBy("id", "f0", "f1").limit(sample).collect()
+    texts = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").join(F.broadcast(chosen), F.col("id") == F.col("lid"))
+    # The base rule is applied to the measured rows, here: as a filter it would be pushed below the join and measure every text.
+    measured = texts.selectExpr("id", "label", f"{_statistics('text')} AS st").selectExpr("id", "label", "st.*")
+    rows = measured.selectExpr("id", "label", f"({BASE}) AS base", *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values()))).orderBy("id", "f0", "f1").limit(sample).collect()
+    rows = [r for r in rows if not r.base]
     x = np.array([[r[f"f{i}"] for i in range(len(FEATURES))] for r in rows], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([r.label == 0 for r in rows], bool))
 
