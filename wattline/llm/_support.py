@@ -17,30 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (local tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. A
+    local session that names neither gets one of its own; elsewhere that is an error."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='wattline-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='wattline-')}")
+        place = context.getCheckpointDir()
     return place
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and what
-    is read later survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/wattline-{tag}-{uuid.uuid4().hex}"
+    is read later survives the loss of any executor. The table is deleted when the driver ends, or by forget()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/wattline-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that keep() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/wattline-" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(hadoop).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that keep() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark._jsc.hadoopConfiguration()
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/wattline-" in top:
+                path = spark._jvm.org.apache.hadoop.fs.Path(top)
+                path.getFileSystem(hadoop).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -63,20 +71,19 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+def hash_sample(df: DataFrame, n: int, *keys: str, distinct: bool = False) -> DataFrame:
     """At most n rows, chosen by a hash of `keys`. A threshold from the row count leaves about 2 n rows before
-    anything is ordered, so no task and not the driver sees n rows of every partition."""
-    total, span = df.count(), 1 << 40
-    h = F.xxhash64(*keys)
+    anything is ordered, so no task and not the driver sees n rows of every partition. With `distinct`, rows that agree in
+    all columns are one, with their number as column n, however often they occur."""
+    h, span = F.xxhash64(*keys), 1 << 40
+    total = df.agg(F.approx_count_distinct(h, 0.02)).first()[0] if distinct else df.count()
     if total > 2 * n:
         df = df.where(F.pmod(h, F.lit(span)) < int(2 * n / total * span))
+    if distinct:
+        df = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
     return df.orderBy(h, *keys).limit(n)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 _SLOT: dict[str, object] = {}
 
 

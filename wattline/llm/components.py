@@ -29,6 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
         after = keep(small.distinct(), "edges")
-        for old in (now, least, large, low):
-            forget(old)
+        forget(now, least, large, low)
         now = after
+
+
+def repeated_links(marked: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the classes that texts of one id are in: marked(id, key) rows, classes(key, rep).
+
+    Ids whose rows all have one key, nearly all of them, leave after one pre-aggregated pass."""
+    several = marked.where("id IS NOT NULL").groupBy("id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo != hi").select("id")
+    reps = marked.join(several, "id", "left_semi").select("id", key).distinct().join(classes.select(key, "rep"), key).select("id", "rep").distinct()
+    first = reps.groupBy("id").agg(F.min("rep").alias("a"))
+    return reps.join(first, "id").where("rep != a").selectExpr("a", "rep AS b").distinct()

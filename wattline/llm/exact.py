@@ -4,9 +4,10 @@ Each task first makes a run of the digests of its own rows. Runs are then exchan
 a binomial tree of radix `fan`: a run's owner is written in digits, and round r sends each entry to
 the owner whose r-th digit is that of the digest, where up to `fan` runs meet and are merged in
 order (a multiway merge), keeping for each digest the identifier that stays and the count. After the
-last round an owner holds a range of digests from all runs. No task ever receives more than `fan`
-entries for one digest, so a text that a third of all rows share is merged a few at a time at every
-level. Entries agree only if SHA-256, byte length and a second hash agree (the verification).
+last round an owner holds a range of digests from all runs. There are as many owners as tasks that make runs, so an
+owner never receives more than `fan` entries for one digest, and a text that a third of all rows share is merged a
+few at a time at every level. Spark's exchange does not keep runs in order: each round's merge is a sort of
+what has arrived and one pass over equal neighbours. Entries agree only if SHA-256, byte length and a second hash agree (the verification).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm._support import keep, partitions
+from wattline.llm._support import forget, keep
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +30,7 @@ def tree_merge(rows: DataFrame, largest: bool = False, fan: int = 16) -> DataFra
     """rows of digest_rows() -> digest, n_bytes, check, keep_id, keep_row, n: one entry per text.
     Keeps the smallest id, or the largest; null ids only if there is no other; among rows with the
     same id the first."""
-    owners, rounds = partitions(rows.sparkSession), 1
+    owners, rounds = (rows.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0) + 1, 1
     while fan**rounds < owners:
         rounds += 1
     order = "struct(id IS {} NULL AS known, id, {} AS by)".format(*(("NOT", "-row") if largest else ("", "row")))
@@ -65,6 +66,7 @@ def drop_exact_duplicates(docs: DataFrame, largest: bool = False, id_col: str =
     rows = keep(digest_rows(docs, id_col, text_col), "digests")
     groups = keep(tree_merge(rows, largest).selectExpr("digest AS _wattline_digest", "n_bytes AS _wattline_n_bytes", "check AS _wattline_check", "keep_id AS _wattline_keep"), "groups")
     again = rows.groupBy("id", "digest").count().where("count > 1").limit(1).count()
+    forget(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumns({"_wattline_digest": F.unhex(F.sha2(text, 256)), "_wattline_n_bytes": F.octet_length(text).cast("long"), "_wattline_check": F.xxhash64(text)})
     same = [marked[c] == groups[c] for c in ("_wattline_digest", "_wattline_n_bytes", "_wattline_check")]

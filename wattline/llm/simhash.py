@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm._support import keep, raw, slices
-from wattline.llm.components import components
+from wattline.llm._support import forget, keep, raw, slices
+from wattline.llm.components import components, repeated_links
 
 BLOCK = 1 << 16
 
@@ -68,14 +68,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     differing bits, the document itself included).
 
     Null and empty texts and texts of white space have fingerprint 0 and link like others. Rows that
-    repeat an id count as one document with several texts. A null id gets a row, and its text's
+    repeat an id are one document with several texts: their classes are linked. A null id gets a row, and its text's
     component if that holds other ids, else null. Ties do not arise: components are sets. An empty
     table gives an empty result. Other columns are dropped before use.
     """
     marked = keep(fingerprints(docs, size, id_col, text_col), "fp")
     classes = keep(marked.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    roots = components(ball_edges(classes.where("rep IS NOT NULL")))
+    links = keep(ball_edges(classes.where("rep IS NOT NULL")).union(repeated_links(marked, classes, "fp")), "links")
+    roots = components(links)
     known = keep(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "components")
+    forget(links, classes)
     return marked.join(known, "fp").select("id", "fp", "component_id")
 
 
