@@ -44,7 +44,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One fold in five is never learned from.
-HELD_OUT = "crc32(CAST(doc_id AS string)) % 5 = 0"
+HELD_OUT = "coalesce(crc32(CAST(doc_id AS string)) % 5 = 0, false)"
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "held_out", "lang_pred", "lang_score AS score")
 
 
+#: Key of the surrogates of these public tables. Other callers give replace_personal_data() a secret of their own.
+PII_KEY = "registered queries"
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{pii.count_entities('text')} AS n_entities")
-    return pii.replace_personal_data(docs)
+    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +84,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1 AS kept, sha256(text) AS text_sha256
             FROM t WINDOW g AS (PARTITION BY text)""",
+        "op4_substring_dedup": r"""
+            WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+            g AS (SELECT doc_id, i, string_agg(word, ' ') OVER next AS words, count(*) OVER next AS n FROM w
+                  WINDOW next AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+            late AS (SELECT doc_id, i FROM g WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+            kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+            SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)""",
     }
