@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from wattline.llm._sql import let, lets, quoted
 from wattline.llm._support import hash_sample
 
-SUFFIXES = 64
+#: Cells for suffixes: a host's last label, and its last two.
+CELLS = 1024
+SUFFIXES = ("regexp_extract(host, '([^.]*)$', 1)", "regexp_extract(host, '([^.]*[.]?[^.]*)$', 1)")
 ALPHABET = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 ENTROPY = lets(
@@ -103,28 +105,60 @@ def margin(bias: float, trees: list[tuple]) -> str:
     return " + ".join(out)
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], sample: int = 5_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule, verdict, score (the trees' log-odds of block) for every row.
-
-    Trained on at most `sample` URLs that a rule decides, chosen by hash (a bound). Suffix statistics are
-    the smoothed log-odds of block of the host's last label, hashed into 64 cells. Null URLs and URLs without
-    '://' have empty host and path and are left to the trees; without labelled URLs everything that no
-    rule decides is allowed. Repeated rows get equal results; an empty table gives an empty one. Other
-    columns are dropped before use.
-    """
+def measured(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, u (the url, null as empty), host, path, rule, ruled, the suffix cells c0 and c1, and features f0, f1, ..."""
     host, path = parts()
     name, verdict = rule_cases(rules)
     rows = pages.selectExpr(f"`{id_col}` AS id", f"`{url_col}` AS url").selectExpr("id", "coalesce(url, '') AS u", f"{host} AS host", f"{path} AS path")
-    suffix = f"CAST(pmod(xxhash64(regexp_extract(host, '([^.]*)$', 1)), {SUFFIXES}) AS int)"
-    measured = rows.selectExpr("id", "u", "host", "path", f"{name} AS rule", f"{verdict} AS ruled", f"{suffix} AS suffix", *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values())))
-    n = len(FEATURES)
-    labelled = hash_sample(measured.where("ruled IS NOT NULL"), sample, "u").select("ruled", "suffix", *(f"f{i}" for i in range(n))).collect()
-    y = np.array([r.ruled == "block" for r in labelled], float)
-    cell = np.array([r.suffix for r in labelled], int)
-    total, blocked = (np.bincount(cell, w, SUFFIXES) if len(cell) else np.zeros(SUFFIXES) for w in (None, y))
-    share = y.mean() if len(y) else 0.5
-    odds = np.log((blocked + 10 * share + 0.5) / (total - blocked + 10 * (1 - share) + 0.5))
-    x = np.array([[r[f"f{i}"] for i in range(n)] + [odds[r.suffix]] for r in labelled], float).reshape(-1, n + 1)
-    table = "array(" + ", ".join(f"{v!r}D" for v in odds.tolist()) + ")"
-    scored = measured.withColumn(f"f{n}", F.expr(f"element_at({table}, suffix + 1)")).withColumn("score", F.expr(margin(*train(x, y))))
+    cells = (f"CAST(pmod(xxhash64({e}), {CELLS}) AS int) AS c{i}" for i, e in enumerate(SUFFIXES))
+    return rows.selectExpr("id", "u", "host", "path", f"{name} AS rule", f"{verdict} AS ruled", *cells, *(f"{e} AS f{i}" for i, e in enumerate(FEATURES.values())))
+
+
+def suffix_counts(rows: DataFrame) -> np.ndarray:
+    """Labelled rows and blocked ones by suffix cell, over all labelled rows of measured(): (kind, cell, 2)."""
+    out = np.zeros((len(SUFFIXES), CELLS, 2))
+    each = rows.where("ruled IS NOT NULL").select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("c")) for i in range(len(SUFFIXES))))).alias("x"), (F.col("ruled") == "block").cast("long").alias("y"))
+    for r in each.groupBy("x.i", "x.c").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).collect():  # at most kinds x cells
+        out[r.i, r.c] = r.n, r.b
+    return out
+
+
+def suffix_odds(total: np.ndarray, blocked: np.ndarray, share: float) -> np.ndarray:
+    """Smoothed log-odds of block."""
+    return np.log((blocked + 10 * share + 0.5) / (total - blocked + 10 * (1 - share) + 0.5))
+
+
+def learn(rows: DataFrame, sample: int = 10_000) -> tuple[np.ndarray, float, list[tuple]]:
+    """(suffix odds, bias, trees) from the labelled rows of measured(): suffix statistics from all of them, trees from at
+    most `sample` distinct URLs, chosen by hash (a bound). A URL that is trained on is left out of the suffix statistics
+    that it is shown with, so that they don't tell its label."""
+    n, k = len(FEATURES), len(SUFFIXES)
+    counts = suffix_counts(rows)
+    total, blocked = counts[0].sum(axis=0)
+    share = float(blocked / total) if total else 0.5
+    odds = suffix_odds(counts[..., 0], counts[..., 1], share)
+    labelled = rows.where("ruled IS NOT NULL").selectExpr("xxhash64(u) AS h", "xxhash64(u, 1) AS h2", "ruled = 'block' AS y", *(f"c{i}" for i in range(k)), *(f"f{i}" for i in range(n)))
+    chosen = hash_sample(labelled, sample, "h", "h2", distinct=True).collect()
+    y = np.array([r.y for r in chosen], float)
+    times = np.array([r.n for r in chosen], float)
+    x = np.array([[r[f"f{i}"] for i in range(n)] for r in chosen], float).reshape(-1, n)
+    for i in range(k):
+        cell = np.array([r[f"c{i}"] for r in chosen], int)
+        x = np.column_stack([x, suffix_odds(counts[i, cell, 0] - times, counts[i, cell, 1] - times * y, share)])
+    return odds, *train(x, y)
+
+
+def filter_urls(pages: DataFrame, rules: dict[str, str], sample: int = 10_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, host, path, rule, verdict, score (the trees' log-odds of block) for every row.
+
+    Trained on at most `sample` distinct URLs that a rule decides, chosen by hash (a bound). Suffix statistics are
+    the smoothed log-odds of block of the host's last label and of its last two, over all rows that a rule decides,
+    each hashed into 1024 cells. Null URLs and URLs without '://' have empty host and path and are left to the trees;
+    without labelled URLs everything that no rule decides is allowed. Repeated rows get equal results; an empty
+    table gives an empty one. Other columns are dropped before use.
+    """
+    rows, n = measured(pages, rules, id_col, url_col), len(FEATURES)
+    odds, bias, trees = learn(rows, sample)
+    tables = {f"f{n + i}": F.expr(f"element_at(array({', '.join(f'{v!r}D' for v in o)}), c{i} + 1)") for i, o in enumerate(odds.tolist())}
+    scored = rows.withColumns(tables).withColumn("score", F.expr(margin(bias, trees)))
     return scored.selectExpr("id", "host", "path", "rule", "coalesce(ruled, IF(score > 0, 'block', 'allow')) AS verdict", "score")
