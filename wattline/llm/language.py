@@ -83,11 +83,12 @@ class Model:
         return self.names[order[top]], float(min(1.0, whole[order[top]])), [(self.names[order[i]], float(s)) for i, s in enumerate(chosen)], (best + float(times @ self.base[cell])) / n
 
 
-def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = 200) -> Model:
     """Count n-grams of about `sample` documents per language (a bound; chosen by a hash of the id
-    against the language's size). Null texts and languages are left out."""
+    against the language's size) for the `most` languages with the most documents (a bound; of equals those first
+    in order). Null texts and languages are left out."""
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"`{lang_col}` AS lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((CELLS, 0)), np.zeros(0))
