@@ -1,12 +1,13 @@
 """Surrogates for personal data, by SQL expressions only.
 
-Detected entities are replaced by keyed surrogates of the same type and format. Numbers (phones,
-cards, addresses) go through a keyed Feistel permutation of their digits, so different numbers of a
-format get different surrogates and a card keeps a valid check digit; names, mail addresses and
-secrets are spelled from a keyed hash, with the gender and script of the name kept. A surrogate
-depends on the key and the entity alone, so the same entity gets the same one in every document
-(coreference). That no two entities of a type share a surrogate is checked over the whole corpus;
-where some do, all but one get another, by a variation of the key for them alone, until none do.
+Detected entities are replaced by keyed surrogates of the same type and format. Numbers (phones, cards, national
+numbers, IPv4) go through a keyed Feistel permutation of their digits; mail addresses, IPv6 addresses, bank
+accounts, keys and secrets through one of their characters that keeps each character's class; so different entities
+of a format get different surrogates, and cards and accounts valid check digits. Names are spelled from a keyed hash, with
+the gender and script of the name kept. A surrogate depends on the key and the entity alone, so the same entity gets the
+same one in every document (coreference). That no two entities of a type share a surrogate, and that none is itself
+an entity of the corpus, is checked over the whole corpus; where it fails, the entities concerned get another,
+by a variation of the key for them alone.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from wattline.llm._sql import let, lets, quoted
 from wattline.llm._support import keep
 
-#: Titles by gender and language, and given names by gender and script: fixed values.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"]}
+#: Titles by gender (n: either) and language, and given names by gender and script: fixed values.
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "n": ["Dr", "Prof", "Professor"]}
 GIVEN = {
     ("f", "latin"): ["Alice", "Clara", "Emma", "Hannah", "Julia", "Laura", "Maria", "Olivia", "Sophia", "Victoria"],
     ("m", "latin"): ["Adam", "Benjamin", "David", "George", "Jakob", "Lukas", "Michael", "Oscar", "Robert", "William"],
@@ -33,16 +34,36 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да до ка ке ла ло ма ми на ро са те ви".split(),
     "greek": "βα βε βο δα δο κα κε λα λο μα μι να ρο σα τε βι".split(),
 }
-WORD = r"\p{Lu}[\p{L}'’-]+"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-SECRET = r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s*[=:]\s*)[\"'][^\"'\s]{8,}[\"']"
+#: Letters and digits that stand for each other, beside the hexadecimal ones; other characters stay as they are.
+CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâäåæçèéêëìíîïñòóôöøùúûüýßœ", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝŒ"]
+# Groups that repeat are possessive: Java's matcher recurses for each turn of the others and ends in a stack overflow.
+WORD = r"\p{Lu}[\p{L}'’-]++"
+LABEL = r"[\p{L}\p{N}-]"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@(?:{LABEL}++\.(?={LABEL}*\p{{L}}|[\p{{N}}-]+\.{LABEL}))++\p{{L}}{{2,}}"
+NAMED_SECRET = r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s*[=:]\s*)"
+SECRET = NAMED_SECRET + r"(?:[\"'][^\"'\s]{8,}[\"']|(?=[A-Za-z_./+~-]*\d)(?=[\d_./+~-]*[A-Za-z])[A-Za-z0-9_./+~-]{11,}[A-Za-z0-9_/+~-])"
+CLOUD_START = r"(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-)"
+CLOUD = r"(?<![\p{L}\p{N}_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![\p{L}\p{N}_-])"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])"
+HEX = "[0-9A-Fa-f]"
+IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}|(?:{HEX}{{1,4}}:){{2,6}}(?::{HEX}{{1,4}}){{1,5}}|{HEX}{{4}}:(?::{HEX}{{1,4}}){{1,6}})(?![\p{{L}}\p{{N}}:])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+NATIONAL = r"(?<![\p{L}\d-])(?!000|666)[0-8]\d{2}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\d-])"
 CARD = r"(?<![\p{L}\d])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,18})(?![\p{L}\d])"
 PHONE = r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{1,3}\)?(?:[ .-]\d{2,3}){3,4}(?!\d)|(?<![\p{L}\d])(?:\(\d{3}\) \d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d(?:[ .-]\d{2}){4})(?![.-]?\d)"
-TITLED = r"\b(?:" + "|".join(t for x in TITLES.values() for t in x) + rf")\.? {WORD}(?: {WORD})*"
+TITLED = r"\b(?:" + "|".join(t for x in TITLES.values() for t in x) + rf")\.? {WORD}(?: {WORD})*+"
 NAMED = r"(?<![\p{L}])(?:" + "|".join(n for x in GIVEN.values() for n in x) + rf") {WORD}"
-KINDS = {"email": EMAIL, "secret": SECRET, "ipv4": IPV4, "card": CARD, "phone": PHONE, "titled": TITLED, "named": NAMED}
+KINDS = {"email": EMAIL, "secret": SECRET, "cloud": CLOUD, "iban": IBAN, "ipv6": IPV6, "ipv4": IPV4, "national": NATIONAL, "card": CARD, "phone": PHONE, "titled": TITLED, "named": NAMED}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+QUOTES = "\"'"
+#: Written before and after each match, so that one pass both finds and cuts.
+MARK = "\x01"
+#: Syllables of an invented family name; the longer form is for corpora in which the short one collides too often for a broadcast.
+SHORT, LONG = 8, 16
+#: Exceptions that may be broadcast.
+MOST_OWN = 20_000
+#: Turns in which a surrogate must also differ from all real entities; a crowded number range may have no other left.
+FRESH_TURNS = 4
 
 
 def _hash(key: str, entity: str) -> str:
@@ -64,6 +85,30 @@ def permuted(digits: str, key: str) -> str:
     )
 
 
+def ciphered(text: str, key: str) -> str:
+    """SQL for a keyed permutation of the strings of a shape: eight Feistel rounds over the two halves, in each of which a
+    character moves within its class. A string of hexadecimal digits with letters stays hexadecimal."""
+    classes = " ".join(f"WHEN instr({quoted(c)}, c) > 0 THEN {quoted(c)}" for c in CLASSES)
+    kind = f"CASE WHEN lower_hex AND instr('0123456789abcdef', c) > 0 THEN '0123456789abcdef' WHEN upper_hex AND instr('0123456789ABCDEF', c) > 0 THEN '0123456789ABCDEF' {classes} ELSE c END"
+    out = "ab"
+    for r in range(8, 0, -1):
+        half, other, base = ("a", "b", "0") if r % 2 else ("b", "a", "m")
+        mixed = let("hs", f"sha2(concat({quoted(key)}, '|{r}|', array_join(ab.{other}, ',')), 256)", f"transform(ab.{half}, (v, i) -> CAST(pmod(v + xxhash64(hs, i), length(ks[i + {base}])) AS int))")
+        out = let("ab", f"struct({mixed if half == 'a' else 'ab.a'} AS a, {mixed if half == 'b' else 'ab.b'} AS b)", out)
+    return lets(
+        ("whole", text), ("lower_hex", "whole RLIKE '^[0-9a-f:]*[a-f][0-9a-f:]*$'"), ("upper_hex", "whole RLIKE '^[0-9A-F:]*[A-F][0-9A-F:]*$'"),
+        ("cs", "filter(split(whole, ''), c -> c != '')"), ("ks", f"transform(cs, c -> {kind})"), ("m", "CAST(size(cs) DIV 2 AS int)"),
+        ("vs", "transform(cs, (c, i) -> instr(ks[i], c) - 1)"), ("ab", "struct(slice(vs, 1, m) AS a, slice(vs, m + 1, size(vs) - m) AS b)"),
+        then=let("ab", out, "array_join(transform(concat(ab.a, ab.b), (v, i) -> substring(ks[i], v + 1, 1)), '')"),
+    )
+
+
+def mod97(account: str) -> str:
+    """SQL for an account's remainder (1: valid), its first four characters moved to the end."""
+    moved = "concat(substring(acc, 5), substring(acc, 1, 4))"
+    return let("acc", f"replace({account}, ' ', '')", f"aggregate(filter(split({moved}, ''), c -> c != ''), 0, (r, c) -> IF(c RLIKE '[0-9]', (r * 10 + CAST(c AS int)) % 97, (r * 100 + ascii(c) - 55) % 97))")
+
+
 def luhn(digits: str) -> str:
     """SQL for the check sum of a digit string (0: valid)."""
     return f"aggregate(split(reverse({digits}), ''), struct(0L AS i, 0L AS s), (a, c) -> IF(c = '', a, struct(a.i + 1L AS i, a.s + IF(a.i % 2 = 0, CAST(c AS int), (CAST(c AS int) * 2) % 10 + (CAST(c AS int) * 2) DIV 10) AS s)), a -> a.s % 10)"
@@ -79,39 +124,40 @@ def spelled(hexes: str, script: str) -> str:
     return f"initcap(array_join(transform(split({hexes}, ''), x -> coalesce(element_at({table}, CAST(conv(x, 16, 10) AS int) + 1), '')), ''))"
 
 
-def _name(h: str, given: str, gender: str) -> str:
-    """A family name, and a given name where there was one: of its list, else of the title's gender and the word's script."""
+def _name(h: str, given: str, gender: str, width: int) -> str:
+    """A family name, and a given name where there was one: of its list, else of the title's gender (by the hash if it tells none) and the word's script."""
     scripts = [("cyrillic", r"\\p{IsCyrillic}"), ("greek", r"\\p{IsGreek}")]
-    family = f"CASE {' '.join(f'WHEN e RLIKE {quoted_re(c)} THEN {spelled(f"substring({h}, 1, 8)", s)}' for s, c in scripts)} ELSE {spelled(f'substring({h}, 1, 8)', 'latin')} END"
+    digits = f"substring({h}, 1, {width})"
+    family = f"CASE {' '.join(f'WHEN e RLIKE {quoted_re(c)} THEN {spelled(digits, s)}' for s, c in scripts)} ELSE {spelled(digits, 'latin')} END"
     tables = {k: "array(" + ", ".join(map(quoted, names)) + ")" for k, names in GIVEN.items()}
     one = {k: f"element_at({tables[k]}, CAST(pmod(xxhash64({h}), {len(names)}) AS int) + 1)" for k, names in GIVEN.items()}
     listed = " ".join(f"WHEN array_contains({tables[k]}, {given}) THEN {one[k]}" for k in GIVEN)
-    other = " ".join(f"WHEN {given} RLIKE {quoted_re(c)} THEN IF({gender} = 'f', {one['f', s]}, {one['m', s]})" for s, c in scripts)
-    return f"concat(CASE WHEN {given} = '' THEN '' {listed} {other} ELSE IF({gender} = 'f', {one['f', 'latin']}, {one['m', 'latin']}) END, IF({given} = '', '', ' '), {family})"
+    woman = f"({gender} = 'f' OR ({gender} = 'n' AND xxhash64({h}, 1) % 2 = 0))"
+    other = " ".join(f"WHEN {given} RLIKE {quoted_re(c)} THEN IF({woman}, {one['f', s]}, {one['m', s]})" for s, c in scripts)
+    return f"concat(CASE WHEN {given} = '' THEN '' {listed} {other} ELSE IF({woman}, {one['f', 'latin']}, {one['m', 'latin']}) END, IF({given} = '', '', ' '), {family})"
 
 
 #: Gender of a titled match, and what stands for a person: the name, with the gender where no list gives it.
-GENDER = "IF(e RLIKE '^(" + "|".join(TITLES["f"]) + ")[.]? ', 'f', 'm')"
+GENDER = "CASE " + " ".join(f"WHEN e RLIKE '^({'|'.join(TITLES[g])})[.]? ' THEN {quoted(g)}" for g in "fm") + " ELSE 'n' END"
 PERSON_K = "IF(k IN ('titled', 'named'), 'person', k)"
 _REST = "substring(e, instr(e, ' ') + 1)"
 PERSON_E = f"CASE k WHEN 'titled' THEN concat(IF(instr({_REST}, ' ') = 0 OR array_contains(array({', '.join(quoted(n) for x in GIVEN.values() for n in x)}), substring_index({_REST}, ' ', 1)), '', concat({GENDER}, '/')), {_REST}) ELSE e END"
+#: What a reader of the text would see of an entity of assigned().
+SHOWN = "IF(k = 'person', substring(e, instr(e, '/') + 1), e)"
 
 
 def quoted_re(pattern: str) -> str:
     return "'" + pattern + "'"
 
 
-def surrogate(key: str) -> str:
+def surrogate(key: str, width: int = SHORT) -> str:
     """SQL for the surrogate of an entity `e` of kind `k`; for persons see PERSON_K and PERSON_E."""
     digits = "regexp_replace({}, '[^0-9]+', '')"
-    h = _hash(key, "concat(k, e)")
-    mail = let("h", h, "concat(translate(substring(h, 1, 12), '0123456789abcdef', 'bcdfghjklmnprstv'), '.', lpad(CAST(pmod(xxhash64(h), 100) AS string), 2, '0'), '@mail', CAST(pmod(xxhash64(h, 1), 10) AS string), '.example.org')")
-    letters = let("h", h, "concat(h, sha2(concat(h, '1'), 256), sha2(concat(h, '2'), 256), sha2(concat(h, '3'), 256))")
-    value = "regexp_extract(e, '^[^\"\\']*[\"\\'](.*)[\"\\']$', 1)"
-    secret = lets(
-        ("v", value), ("s", letters), ("n", "length(v)"), ("r", "substring(repeat(s, CAST(n DIV 256 AS int) + 1), 1, n)"),
-        then="concat(substring(e, 1, length(e) - n - 1), IF(v RLIKE '^[0-9a-f]+$', r, IF(v RLIKE '^[0-9A-F]+$', upper(r), translate(r, '01234567', 'GhJkMnPq'))), right(e, 1))",
-    )
+    mail = let("top", "regexp_extract(e, '[.]([^.]+)$', 1)", f"concat({ciphered('substring(e, 1, length(e) - length(top) - 1)', key)}, '.', top, '.example')")
+    start = rf"regexp_extract(e, {_pattern(f'^(?:{NAMED_SECRET}[{QUOTES}]?|{CLOUD_START})')}, 0)"
+    secret = lets(("start", start), ("tail", f"regexp_extract(e, {_pattern(f'[{QUOTES}]$')}, 0)"), then=f"concat(start, {ciphered('substring(e, length(start) + 1, length(e) - length(start) - length(tail))', key)}, tail)")
+    inside = let("plain", "replace(e, ' ', '')", let("own", ciphered("substring(plain, 5)", key), f"concat(substring(plain, 1, 2), lpad(CAST(98 - {mod97("concat(substring(plain, 1, 2), '00', own)")} AS string), 2, '0'), own)"))
+    account = let("acct", inside, "IF(instr(e, ' ') > 0, regexp_replace(acct, '(.{4})(?=.)', '$1 '), acct)")
     octets = let("q", "split(e, '[.]')", "CAST(q[0] AS long) * 16777216 + CAST(q[1] AS long) * 65536 + CAST(q[2] AS long) * 256 + CAST(q[3] AS long)")
     rounds = "ab"
     for r in range(4, 0, -1):
@@ -124,8 +170,9 @@ def surrogate(key: str) -> str:
     inner = let("d", digits.format("e"), "concat(substring(d, 1, 1), " + permuted("substring(d, 2, length(d) - 2)", key) + ")")
     card = let("c", inner, refilled("e", f"concat(c, CAST((10 - {luhn("concat(c, '0')")}) % 10 AS string))"))
     phone = lets(("cc", "regexp_extract(e, '^([+][0-9]{1,3}[ .-]|)', 1)"), ("t", "substring(e, length(cc) + 1)"), then=f"concat(cc, {refilled('t', permuted(digits.format('t'), key))})")
-    person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g"))
-    return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE e END"
+    person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g", width))
+    national = refilled("e", permuted(digits.format("e"), key))
+    return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'cloud' THEN {secret} WHEN 'iban' THEN {account} WHEN 'ipv6' THEN {ciphered('e', key)} WHEN 'national' THEN {national} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE e END"
 
 
 def _pattern(p: str) -> str:
@@ -133,14 +180,14 @@ def _pattern(p: str) -> str:
 
 
 def _kind(e: str) -> str:
-    """SQL for the kind of a match; digit strings that fail the check sum are no cards and stay."""
-    arms = " ".join(f"WHEN {e} RLIKE {_pattern(f'^(?:{p})$')} THEN {quoted(k)}" for k, p in KINDS.items() if k != "card")
+    """SQL for the kind of a match; cards and accounts that fail their check sums are none and stay."""
+    arms = " ".join(f"WHEN {e} RLIKE {_pattern(f'^(?:{p})$')} THEN {quoted(k)}" for k, p in KINDS.items() if k not in ("card", "iban"))
     valid = luhn(f"regexp_replace({e}, '[^0-9]+', '')") + " = 0"
-    return f"CASE WHEN {e} RLIKE {_pattern(f'^(?:{CARD})$')} THEN IF({valid}, 'card', 'none') {arms} ELSE 'none' END"
+    return f"CASE WHEN {e} RLIKE {_pattern(f'^(?:{CARD})$')} THEN IF({valid}, 'card', 'none') WHEN {e} RLIKE {_pattern(f'^(?:{IBAN})$')} THEN IF({mod97(e)} = 1, 'iban', 'none') {arms} ELSE 'none' END"
 
 
 #: A text without any of these holds no entity; most texts are done after this one look.
-HINT = r"[@0-9]|[=:]\s*[\"']|(?=[A-ZА-ЯΑ-Ω])(?:" + "|".join([*(t for x in TITLES.values() for t in x), *(n for x in GIVEN.values() for n in x)]) + ")"
+HINT = r"[@0-9]|[=:]\s*[\"']|(?:AKIA|ASIA)[A-Z]|(?=[A-ZА-ЯΑ-Ω])(?:" + "|".join([*(t for x in TITLES.values() for t in x), *(n for x in GIVEN.values() for n in x)]) + ")"
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -149,9 +196,9 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("e").count().selectExpr(f"{_kind('e')} AS k", "e").where("k != 'none'")
 
 
-def assigned(found: DataFrame, key: str) -> DataFrame:
+def assigned(found: DataFrame, key: str, width: int = SHORT) -> DataFrame:
     """k, e, s of the distinct entities; titled forms of a person are one."""
-    return found.selectExpr(f"{PERSON_K} AS k", f"{PERSON_E} AS e").distinct().selectExpr("k", "e", f"{surrogate(key)} AS s")
+    return found.selectExpr(f"{PERSON_K} AS k", f"{PERSON_E} AS e").distinct().selectExpr("k", "e", f"{surrogate(key, width)} AS s")
 
 
 def collisions(found: DataFrame, key: str) -> int:
@@ -159,43 +206,55 @@ def collisions(found: DataFrame, key: str) -> int:
     return assigned(found, key).groupBy("k", "s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a != b").count()
 
 
-def exceptions(found: DataFrame, key: str) -> DataFrame | None:
-    """k, e, s of the entities whose surrogate under `key` another one has, with one of their own: of a shared
-    surrogate, the entity first in order keeps it and the others vary the key, until no two are equal."""
-    found = keep(found, "entities")
-    if not collisions(found, key):
-        return None
-    taken, turn = keep(assigned(found, key).withColumn("turn", F.lit(0)), "surrogates"), 0
+def exceptions(found: DataFrame, key: str, width: int = SHORT) -> DataFrame:
+    """k, e, s of the entities that can't keep their surrogate under `key`, with one of their own. Of a shared surrogate the
+    entity first in order keeps it; the others, and entities whose surrogate is itself an entity, vary the key
+    until none are left. Only those are worked on again: the rest is written once."""
+    taken = keep(assigned(found, key, width).withColumn("turn", F.lit(0)), "surrogates")
+    real = taken.selectExpr("k", f"{SHOWN} AS s").distinct().withColumn("real", F.lit(True))
+    order = Window.partitionBy("k", "s").orderBy("turn", "e")
+    own, turn = None, 0
     while True:
-        place = F.row_number().over(Window.partitionBy("k", "s").orderBy("turn", "e"))
-        ranked = keep(taken.withColumn("place", place), "ranked")
-        if not ranked.where("place > 1").count():
-            return ranked.where("turn > 0").select("k", "e", "s")
+        # Whoever shares a surrogate with an exception is looked at again, so a new one never takes a kept one.
+        now = taken if own is None else taken.join(own.select("k", "e"), ["k", "e"], "left_anti").union(own)
+        judged = now.join(real, ["k", "s"], "left").withColumn("place", F.row_number().over(order))
+        again = f"place > 1 OR (turn < {FRESH_TURNS} AND real)"
+        judged = keep(judged.where(f"turn > 0 OR {again}").selectExpr("k", "e", "s", "turn", f"coalesce({again}, false) AS again"), "ranked")
         turn += 1
-        again = ranked.where("place > 1").selectExpr("k", "e", f"{surrogate(f'{key}/{turn}')} AS s", f"{turn} AS turn")
-        taken = ranked.where("place = 1").select("k", "e", "s", "turn").union(again)
+        if not judged.where("again").limit(1).count():
+            return judged.select("k", "e", "s")
+        moved = judged.where("again").selectExpr("k", "e", f"{surrogate(f'{key}/{turn}', width)} AS s", f"{turn} AS turn")
+        own = keep(judged.where("NOT again").select("k", "e", "s", "turn").union(moved), "own")
 
 
-def replace_personal_data(docs: DataFrame, key: str = "wattline", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in `text_col`; all other columns stay.
+def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with surrogates in `text_col`; all other columns stay. `key` is the secret that surrogates depend on.
+    With `count_col`, a column of that name has the number of entities replaced in the row.
 
     Null and empty texts stay as they are. Rows are judged alone, so repeated rows give repeated
     results, and ids play no part. Overlapping matches: the leftmost, then the first kind in KINDS. An
-    empty table gives an empty result. The few entities whose surrogates collide are joined as one map.
+    empty table gives an empty result. The few entities with surrogates of their own are joined as one map, whose size is
+    checked: beyond MOST_OWN invented names get longer, which leaves next to none.
     """
-    used, columns = f"{key}/0", docs.columns
-    own = exceptions(entities(docs, text_col), used)
-    shown = surrogate(used)
-    if own is not None:
+    used, columns, width = f"{key}/0", docs.columns, SHORT
+    found = keep(entities(docs, text_col), "entities")
+    own = exceptions(found, used)
+    n_own = own.count()
+    if n_own > MOST_OWN:
+        width = LONG
+        own = exceptions(found, used, width)
+        n_own = own.count()
+    shown = surrogate(used, width)
+    if n_own:
         table = own.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "e"), "s"))).alias("_wattline_own"))
         docs, shown = docs.crossJoin(F.broadcast(table)), f"coalesce(element_at(`_wattline_own`, concat(k, '|', e)), {shown})"
     title = "IF(kind = 'titled', substring(m, 1, instr(m, ' ')), '')"
-    entity = lets(("kind", _kind("m")), ("k", "kind"), ("e", "m"), ("known", f"struct({PERSON_K} AS k, {PERSON_E} AS e)"), ("k", "known.k"), ("e", "known.e"), then=f"concat({title}, {shown})")
-    body = f"`{text_col}`"
-    filled = let("ms", f"regexp_extract_all({body}, {_pattern(ANY)}, 0)", f"array_join(zip_with(split({body}, {_pattern(ANY)}, -1), transform(ms, m -> {entity}), (gap, s) -> concat(coalesce(gap, ''), coalesce(s, ''))), '')")
-    return docs.withColumn(text_col, F.expr(f"IF({body} RLIKE {_pattern(HINT)}, {filled}, {body})")).select(*(f"`{c}`" for c in columns))
-
-
-def count_entities(text: str) -> str:
-    """SQL for the number of replaced entities in a text."""
-    return f"IF({text} RLIKE {_pattern(HINT)}, size(filter(regexp_extract_all({text}, {_pattern(ANY)}, 0), e -> {_kind('e')} != 'none')), 0)"
+    entity = lets(("kind", _kind("m")), ("k", "kind"), ("e", "m"), ("known", f"struct({PERSON_K} AS k, {PERSON_E} AS e)"), ("k", "known.k"), ("e", "known.e"), then=f"IF(kind = 'none', struct(m AS s, 0 AS n), struct(concat({title}, {shown}) AS s, 1 AS n))")
+    body, mark = f"`{text_col}`", quoted(MARK)
+    # A text that holds the mark itself is cut by a second pass.
+    once = f"split(regexp_replace({body}, {_pattern(ANY)}, '{MARK}$0{MARK}'), {mark}, -1)"
+    twice = f"filter(flatten(zip_with(split({body}, {_pattern(ANY)}, -1), regexp_extract_all({body}, {_pattern(ANY)}, 0), (gap, m) -> array(gap, m))), x -> x IS NOT NULL)"
+    filled = let("cut", f"IF(instr({body}, {mark}) > 0, {twice}, {once})", let("put", f"transform(cut, (m, i) -> IF(i % 2 = 0, struct(m AS s, 0 AS n), {entity}))", "struct(array_join(put.s, '') AS s, aggregate(put.n, 0, (a, x) -> a + x) AS n)"))
+    done = docs.withColumn("_wattline_filled", F.expr(f"IF({body} RLIKE {_pattern(HINT)}, {filled}, struct({body} AS s, 0 AS n))"))
+    counted = [] if count_col is None else [f"CAST(_wattline_filled.n AS long) AS `{count_col}`"]
+    return done.selectExpr(*(f"_wattline_filled.s AS `{c}`" if c == text_col else f"`{c}`" for c in columns if c != count_col), *counted)
