@@ -24,15 +24,23 @@ from pyspark.sql import functions as F
 
 from wattline.llm._support import hash_sample, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag, from `<` on. Quotes count only after `=`, and only where they end; possessive, so a page is read once.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by what they do to text: fixed values.
 BLOCKS = frozenset("html body main article section div header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary dialog button select option label legend center hgroup search menu".split())
-RAW = frozenset("script style title textarea noscript template iframe noframes xmp svg math object canvas audio video head".split())
+HIDDEN = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg object canvas audio video".split())
+#: Hidden elements that reach to the end of the page where no end tag follows; the start tags of the others are then passed over.
+ENDLESS = frozenset(("script", "style"))
+CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in (*HIDDEN, "head")}
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "button", "label", "option", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+CLOSED_BY = {tag: ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,) for tag in CLOSES_SAME}
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".split())
 BAD_WORDS = frozenset("nav navbar navigation menu header footer sidebar side aside ad ads advert advertisement adbox banner promo promoted sponsor sponsored cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments reply replies respond disqus form login search breadcrumb breadcrumbs widget pager pagination toolbar tags copyright legal disclaimer skip".split())
 GOOD_WORDS = frozenset("article content contents main post entry body text story page prose".split())
+#: Deeper elements stay open no longer than their start tag, as in browsers.
+DEPTH = 512
 STATES = ("content", "boiler", "mixed")
 
 
@@ -53,19 +61,81 @@ class Page:
         return len(self.parent) - 1
 
 
-def hints(attributes: str) -> str:
-    """Whether class, id and role speak for content, against, or for neither."""
+def hints(attributes: str, tag: str = "") -> str:
+    """Whether class, id and role speak for content, against, or for neither. A word for the text beside one against it
+    (text-header) says nothing on elements of text, or if the other is no more than a header."""
     words = {w for m in HINTS.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return "bad" if words & BAD_WORDS else "good" if words & GOOD_WORDS else "none"
+    bad, good = words & BAD_WORDS, words & GOOD_WORDS
+    if bad and good and (tag in TEXTUAL or (bad == {"header"} and good != {"page"})):
+        return "none"
+    return "bad" if bad else "good" if good else "none"
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, closing slash, tag, attributes) in page order: either text or a tag. Comments, declarations and hidden
+    elements are left out; a tag that never ends is dropped with what follows, as browsers do."""
+    at, end, text = 0, len(html), 0
+    unclosed: set[str] = set()
+    while at < end:
+        at = html.find("<", at)
+        if at < 0 or at == end - 1:
+            break
+        c = html[at + 1]
+        if c in "!?":
+            stop = -1
+            if html.startswith("<!--", at):
+                stop = html.find("-->", at + 2)
+                stop = end if stop < 0 else stop + 3
+            elif html.startswith("<![CDATA[", at) and "]]>" not in unclosed:
+                stop = html.find("]]>", at + 9) + 3
+                if stop < 3:
+                    unclosed.add("]]>")
+                    stop = -1
+            if stop < 0:
+                stop = html.find(">", at)
+                stop = end if stop < 0 else stop + 1
+            if at > text:
+                yield html[text:at], "", "", ""
+            at = text = stop
+            continue
+        if not (c.isascii() and c.isalpha()) and not (c == "/" and at + 2 < end and html[at + 2].isascii() and html[at + 2].isalpha()):
+            at += 1
+            continue
+        if at > text:
+            yield html[text:at], "", "", ""
+        m = TAG.match(html, at)
+        if m is None:
+            return
+        at = text = m.end()
+        tag = m[2].lower()
+        if tag in CLOSE:
+            if not m[1] and not m[3].endswith("/") and tag not in unclosed:
+                close = CLOSE[tag].search(html, at)
+                if close:
+                    at = text = close.end()
+                elif tag in ENDLESS:
+                    return
+                else:
+                    unclosed.add(tag)
+            continue
+        yield "", m[1], tag, m[3]
+    if text < end:
+        yield html[text:], "", "", ""
 
 
 def parse(html: str) -> Page:
-    """Any text parses: unclosed and stray tags are taken as browsers take them, roughly."""
+    """Any text parses: unclosed and stray tags are taken as browsers take them, roughly. The page is read once."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]
     run: list[str] = []
+    opened: Counter[str] = Counter()
     linked = in_link = 0
 
+    def cut(i: int) -> None:
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+        del stack[i:]
+
     def flush() -> None:
         nonlocal linked
         if run:
@@ -77,56 +147,38 @@ def parse(html: str) -> Page:
             run.clear()
         linked = 0
 
-    at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            run.append(html[at:])
-            break
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for piece, slash, tag, attributes in tokens(html):
+        if piece:
             run.append(piece)
             linked += len(piece) * (in_link > 0)
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else (at if tag == "head" else end)
             continue
         if tag == "a":
-            in_link = max(0, in_link + (-1 if m[1] else 1))
+            in_link = max(0, in_link + (-1 if slash else 1))
         elif tag in ("br", "hr", "img", "input", "wbr"):
             run.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
         in_link = 0
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if slash:
+            if opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
-        if tag in ENDS_PARAGRAPH:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("td", "th", "button", "li", "div", "section", "article"):
-                    break
-        if tag in CLOSES_SAME:
+        if tag in ENDS_PARAGRAPH and stack[-1][0] == "p":
+            cut(len(stack) - 1)
+        if tag in CLOSES_SAME and any(opened[t] for t in CLOSED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in CLOSES_SAME[tag]:
                     break
-                if stack[i][0] == tag or (tag in ("dt", "dd") and stack[i][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[i][0] in ("td", "th")):
-                    del stack[i:]
+                if stack[i][0] in CLOSED_BY[tag]:
+                    cut(i)
                     break
-        marked = re.search(r'data-c="(\d)"', m[3])
-        inside = tag in ("header", "footer") and any(t in ("article", "main") for t, _ in stack)
-        stack.append((tag, page.add(stack[-1][1], (f"inner {tag}" if inside else tag, hints(m[3]) if m[3] else "none"), None, marked[1] if marked else "")))
+        marked = re.search(r'data-c="(\d)"', attributes)
+        inside = tag in ("header", "footer") and (opened["article"] or opened["main"])
+        node = page.add(stack[-1][1], (f"inner {tag}" if inside else tag, hints(attributes, tag) if attributes else "none"), None, marked[1] if marked else "")
+        if len(stack) < DEPTH:
+            stack.append((tag, node))
+            opened[tag] += 1
     flush()
     return page
 
@@ -286,6 +338,8 @@ class Frozen:
         if not html:
             return ""
         page = parse(html)
+        if all(f[0] in ("#", "root", "html", "body") for f in page.feature):  # no markup to judge by: all of it is the text
+            return "\n".join(t for t in page.text if t is not None)
         content = self.marginals(page)
         return "\n".join(t for t, p in zip(page.text, content, strict=True) if t is not None and p > 0.5)
 
@@ -310,7 +364,9 @@ def sample_pages(pages: DataFrame, sample: int = 200, most: int = 100_000, id_co
 def extract_text(pages: DataFrame, model: Frozen, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks in page order, one line each).
 
-    Null, empty and tag-less input: what text there is, judged alike; none gives an empty string. Rows are judged
+    Null and empty pages give an empty string; a page without block elements is its own text. Unclosed tags are read as
+    browsers read them, but an element hidden to its end tag has none of that effect if that is missing (script and
+    style excepted). Rows are judged
     alone on their whole html, so repeated rows give equal results; runs that are exactly as likely
     content as not are left out. An empty table gives an empty result; other columns are dropped before use.
     """
