@@ -108,11 +108,33 @@ def stats(text):
 
 
 def test_statistics(spark):
-    rows = [*documents(), *((100 + i, t) + documents()[0][2:] for i, t in enumerate(["a b a b a b", "x\n\nx\n x\nx", "#<é|\x0b\x0cb>", "   x", "a a a a", "p q r s p q r"]))]
+    rows = [*documents(), *((100 + i, t) + documents()[0][2:] for i, t in enumerate(["a b a b a b", "x\n\nx\n x\nx", "#<é|\x0b\x0cb>", "   x", "a a a a", "p q r s p q r", "first word of", "fff", "\fhello\f", "\f", "\x0bf\x0b", "\tff\r\n", "f f f f f", "\ff\f\ff\f"]))]
     got = sorted((str(r[0]), *r[1:]) for r in map(tuple, quality.statistics(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert got == sorted((str(r[0]), *stats(r[1])) for r in rows)
 
 
+def test_list_as_sql_equals_the_list(spark):
+    rng = np.random.default_rng(1)
+    st = [(int(n), int(n * a), int(s), int(d), int(min(n, r))) for n, a, s, d, r in zip(rng.integers(0, 300, 400), rng.uniform(2, 9, 400), rng.integers(0, 60, 400), rng.integers(0, 5, 400), rng.integers(0, 90, 400), strict=True)]
+    x = np.array([[n, c / max(n, 1), s / max(n, 1), d, r / max(n, 1)] for n, c, s, d, r in st])
+    rules = quality.learn(x, (x[:, 2] > 0.2) | ((x[:, 1] < 4) & (x[:, 3] > 2)))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(st)], "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = [r.v for r in table.orderBy("id").selectExpr(f"{quality.rejects(rules)} AS v").collect()]
+    assert len(rules) > 1 and got == np.any([quality.covers(x, rule) for rule in rules], axis=0).tolist()
+
+
+def test_only_labelled_texts_are_measured_to_learn(spark, docs, monkeypatch):
+    """The statistics come above the join with the labelled ids in the plan that is run to learn."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    plans = []
+    kind = type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (plans.append(self._jdf.queryExecution().optimizedPlan().toString()), collect(self))[1])
+    quality.decision_list(docs, labels)
+    plan = plans[-1]
+    assert 0 <= plan.index("xxhash64(") < plan.index("Join") and "xxhash64(lambda" not in plan[plan.index("Join") :]
+
+
 def test_decision_list(spark, docs):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (600, 5))
@@ -167,7 +189,7 @@ PRIVATE = [
 def test_surrogates(spark):
     rows = [(i, t, "x") for i, t in enumerate(PRIVATE)]
     df = spark.createDataFrame(rows, "doc_id long, text string, e string")
-    got = {r.doc_id: r.text for r in pii.replace_personal_data(df).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_personal_data(df, "k").collect()}
     secret = ["und.34@mail7.example.com", "(017) 555-7713", "(017) 555-7714", "4785380592391139", "4785 3805 9239 1139", "152.143.123.131", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "Ada Lovelace", "Maria Curie", "Мария Иванова"]
     assert not [s for s in secret if any(s in (t or "") for t in got.values())]
     assert got[7] == PRIVATE[7] and got[8] is None and got[9] == ""
@@ -182,7 +204,7 @@ def test_surrogates(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}" end', got[4])
     assert re.match(r"Mrs \w+ [A-Z][a-z]+ met (\w+) [A-Z][a-z]+ and (\w+) [А-Я][а-я]+$", got[5])
     other = {r.doc_id: r.text for r in pii.replace_personal_data(df, key="another").collect()}
-    assert other[0] != got[0] and pii.replace_personal_data(df.limit(0)).count() == 0
+    assert other[0] != got[0] and pii.replace_personal_data(df.limit(0), "k").count() == 0
 
 
 def test_permutation_has_no_collisions(spark):
@@ -194,18 +216,18 @@ def test_permutation_has_no_collisions(spark):
 
 def test_collisions_are_resolved_for_the_colliding_alone(spark, monkeypatch):
     rows = [(1, "at 10.0.0.1 and 10.0.0.01, 1.2.3.4 and 1.2.3.04"), (2, "Nothing")]
-    got = {r.doc_id: r.text for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", got[1]))) == 4 and "10.0.0." not in got[1] and got[2] == "Nothing"
     monkeypatch.setattr(pii, "SYLLABLES", {k: ["ba"] * 8 + ["vi"] * 8 for k in pii.SYLLABLES})  # few family names: many collisions
     people = [(i, f"Mr {''.join(chr(97 + i // 26**k % 26) for k in range(3)).capitalize()} left") for i in range(60)]
-    out = [r.text for r in pii.replace_personal_data(spark.createDataFrame([*people, (99, people[0][1])], "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.replace_personal_data(spark.createDataFrame([*people, (99, people[0][1])], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert len(set(out)) == 60 and out[0] == out[-1] and all(re.fullmatch(r"Mr [A-Z][a-z]+ left", t) for t in out)
 
 
 def test_whole_names_and_grouped_phones(spark):
     texts = ["Mr John Smith left", "Mrs. Jane Mary Doe left", "call +33 6 12 34 56 78 or +44 20 7946 0958", "call 555-123-4567 or 06 12 34 56 78", "on 2024-01-02, 12.50"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r.text for r in pii.replace_personal_data(df).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.replace_personal_data(df, "k").orderBy("doc_id").collect()]
     names = {g: pii.GIVEN[g, "latin"] for g in "fm"}
     assert re.fullmatch(rf"Mr (?:{'|'.join(names['m'])}) [A-Z][a-z]+ left", got[0]) and re.fullmatch(rf"Mrs\. (?:{'|'.join(names['f'])}) [A-Z][a-z]+ left", got[1])
     assert not [w for w in ("John", "Smith", "Jane", "Mary", "Doe", "12 34 56 78", "7946 0958", "123-4567") if any(w in t for t in got)]
@@ -250,6 +272,11 @@ def test_pages(spark):
         label = html.marks(parsed)
         wrong = [t for t, lab, p in zip(parsed.text, label, model.marginals(parsed), strict=True) if t is not None and (p > 0.5) != (lab == "1")]
         assert len(wrong) <= 2
+    assert model.extract("<p>First one, here.</p><svg><path/><p>Second paragraph, with a comma.</p>").count("\n") == 1
+    assert model.extract("just text, with no tags at all.") == "just text, with no tags at all."
+    assert "Hello there" in model.extract("<article><div class='text-header'><p>Hello there, my friend.</p></div><p>And a paragraph of text.</p></article>")
+    assert model.extract("<article><p>We have <math><mi>x</mi>=<mn>2</mn></math> here, now.</p></article>") == "We have x=2 here, now."
+    assert model.extract("<p class=it's>Some text, yes.</p><p>Don't, please.</p>") == "Some text, yes.\nDon't, please."
     odd = [None, "", "<", "<<p>>", "</div></p>", "<script>never closed", "<p " * 50, "&amp;&#x41;&#99999999;", "<div>" * 3000 + "deep" + "</div>" * 10]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate([*odd, PAGE, PAGE])], "page_id long, url string, html string, text string")
     got = html.extract_text(df, model).orderBy("id").collect()
@@ -257,6 +284,16 @@ def test_pages(spark):
     assert html.extract_text(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", '<a b="', "<", "<!", "<!--", "<![CDATA[", "<svg>", "<script ", "</svg", "<title>", "<object>x", "<p><b", "='\"", "<a b=>'"])
+def test_broken_pages_are_read_once(piece):
+    """Ten megabytes of an unfinished piece of markup take seconds."""
+    import time
+
+    began = time.process_time()
+    html.parse(piece * (10_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
 def test_marginals_are_exact():
     """Message passing against the sum over all labellings of a small tree."""
     from itertools import product
