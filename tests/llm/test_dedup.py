@@ -1,10 +1,14 @@
 """SimHash, exact and substring dedup against brute force, with every awkward row."""
 
+import os
 import random
+import re
+import subprocess
+import sys
 
 import corpus_pipeline
 import pytest
-from fixtures import SCHEMA, classes, documents, fingerprint, prose, repeats, words
+from fixtures import SCHEMA, classes, documents, fingerprint, jaccard_components, prose, repeats
 from pyspark.sql import functions as F
 
 from wattline.llm import components, exact, jaccard, simhash, substring
@@ -103,29 +107,58 @@ def test_empty_table(spark, docs, operator):
     assert operator(docs.where(F.lit(False))).count() == 0
 
 
+def test_texts_of_one_id_are_linked(spark):
+    """Rows (1, A) (5, A) (5, B) (2, B): document 5 links A to B."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (2, b), (9, c), (7, c), (None, c)], "doc_id long, text string")
+    want = {(1, 1), (5, 1), (2, 1), (9, 7), (7, 7), (None, 7)}
+    assert {(r.id, r.component_id) for r in simhash.near_duplicates(df).collect()} == want
+    assert {(r.id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+
+
+def test_hub_of_many_near_copies(spark, monkeypatch):
+    """A base with copies that are similar to it and not to each other, and texts that only look close."""
+    monkeypatch.setattr(jaccard, "LARGE", 10)
+    rng = random.Random(22)
+    base = prose(rng, 80).split()
+    rows = [" ".join(base)]
+    for k in [1] * 40 + [2] * 25 + [4] * 25:
+        copy = list(base)
+        for i in rng.sample(range(len(base)), k):
+            copy[i] = prose(rng, 1) + str(rng.random())
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    want = jaccard_components(rows)
+    assert {r.id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert sum(c == 0 for c in want.values()) > 40 and len(set(want.values())) > 10
+
+
+def test_session_without_a_shared_folder():
+    """A local session that names no folder gets one of its own, and it is empty when the session has ended."""
+    code = """
+import sys, tempfile, os
+from wattline.session import session
+from wattline.llm import simhash
+s = session("bare", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+df = s.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "")], "doc_id long, text string")
+assert sorted((r.id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+print("FOLDER", s.sparkContext.getCheckpointDir())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=env)
+    assert out.returncode == 0, out.stderr[-2000:]
+    folder = re.search(r"FOLDER file:(\S+)", out.stdout)[1]
+    assert not [f for f in os.listdir(folder) if f.startswith("wattline-")]
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     kept = simhash.drop_near_duplicates(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     ids = sorted(r.doc_id for r in kept.collect())
     assert kept.columns == docs.columns and 0 in ids and 12 not in ids and 13 not in ids
 
 
-def jaccard_components(rows):
-    """Smallest id of the component of each id, by brute force over pairs of five-word shingle sets."""
-    sets = {}
-    for i, text in rows:
-        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in words(text)]
-        sets.setdefault(frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
-    root, least = classes_of(list(sets)), {}
-    for s, ids in sets.items():
-        least[root[s]] = min([*ids, least.get(root[s], min(ids))])
-    return {i: least[root[s]] for s, ids in sets.items() for i in ids}
-
-
-def classes_of(sets):
-    found = classes(range(len(sets)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
-    return {s: found[k] for k, s in enumerate(sets)}
-
-
 @pytest.mark.parametrize("large", [50, 3])
 def test_pipeline_stage_finds_similarity_of_four_fifths(spark, monkeypatch, large):
     """Near copies that differ in more than 2 bits of 64 are found, and nothing below 0.8 is."""

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from fixtures import SCHEMA, classes, documents, fingerprint
+from fixtures import SCHEMA, documents, jaccard_components
 from pyspark.sql import functions as F
 
 from wattline.llm import language, pii
@@ -23,19 +23,13 @@ def test_stage_takes_anything(spark, name, stage):
 def test_run_equals_plain_version(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     model = language.train(spark.read.parquet(f"{sf}/documents.parquet"))
-    kept = [(i, t) for i, t in docs if (v := model.judge(t))[0] != "und" and v[1] >= corpus_pipeline.LEAST_SHARE]
+    kept = [(i, t) for i, t in docs if (v := model.judge_fit(t))[0] != "und" and v[3] > corpus_pipeline.LEAST_FIT]
     last = {}
     for i, t in kept:
         last[t] = max(i, last.get(t, i))
-    unique = {i: t for t, i in last.items()}
-    fps = {}
-    for i, t in unique.items():
-        fps.setdefault(fingerprint(t), []).append(i)
-    root, least = classes(fps, lambda a, b: (a ^ b).bit_count() <= 2), {}
-    for fp, ids in fps.items():
-        least[root[fp]] = min([*ids, least.get(root[fp], min(ids))])
-    stays = {i: unique[i] for i in least.values()}
-    clean = {r.doc_id: r.text for r in pii.replace_personal_data(spark.createDataFrame(list(stays.items()), "doc_id long, text string")).collect()}
+    unique = [(i, t) for t, i in last.items()]
+    stays = {i: t for (i, t), c in zip(unique, map(jaccard_components(unique).get, (i for i, _ in unique)), strict=True) if i == c}
+    clean = {r.doc_id: r.text for r in pii.replace_personal_data(spark.createDataFrame(list(stays.items()), "doc_id long, text string"), corpus_pipeline.queries.PII_KEY).collect()}
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(clean)
     from wattline.llm.bpe import Automaton, Encoder, crc

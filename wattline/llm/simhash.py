@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.llm import jaccard
 from wattline.llm._support import forget, keep, raw, slices
 from wattline.llm.components import components, repeated_links
 
@@ -81,9 +82,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return marked.join(known, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 3, percent: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the smallest id; all columns kept. Rows
-    without an id stay."""
-    found = near_duplicates(docs, size, id_col, text_col)
+    without an id stay. With `percent`, documents are linked at a Jaccard similarity of so many hundredths or more of their
+    shingles in place of fingerprints within two bits: fingerprints of texts with four fifths of their shingles in common
+    mostly differ in more bits than any ball can reach, so the links are then found by the join in jaccard.py."""
+    found = near_duplicates(docs, size, id_col, text_col) if percent is None else jaccard.near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
     stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _wattline_stays").distinct()
     return docs.join(stays, docs[id_col].eqNullSafe(stays["_wattline_stays"]), "left_semi")
