@@ -7,7 +7,7 @@ from wattline import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow learners are run once elsewhere.
-SLOW = {"segmentation", "kmeans_scan", "gbt_ceiling", "meter_only_headroom", "gbt_forecast", "limit_curve"}
+SLOW = {"kmeans_scan", "gbt_ceiling", "meter_only_headroom", "gbt_forecast", "importances"}
 
 
 @pytest.fixture(scope="module")

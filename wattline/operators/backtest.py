@@ -21,25 +21,44 @@ def breaches(fc: DataFrame) -> DataFrame:
     return usable(fc, "var", "es").select("unit", "step", "y", "var", "es", (F.col("y") > F.col("var")).alias("exceed"))
 
 
-def pooled(b: DataFrame) -> DataFrame:
-    """All units as one series, in order of unit and step."""
-    return b.withColumns({"_of": F.col("unit"), "unit": F.lit("ALL/POOLED")})
+RECENT = 250
 
 
-def counts(b: DataFrame, recent: int = 250) -> DataFrame:
-    """Per unit: n, x, transitions n00..n11, breaches and size of the most recent window, and the ES sum."""
-    keys = ["_of", "step"] if "_of" in b.columns else ["step"]
-    w = Window.partitionBy("unit").orderBy(*keys)
-    back = Window.partitionBy("unit").orderBy(*(F.col(k).desc() for k in keys))
+def _units(b: DataFrame, recent: int = RECENT) -> DataFrame:
+    """Per unit: the counts, and what pooling needs of its ends: first and last breach flag, and the newest flags, newest first."""
+    w = Window.partitionBy("unit").orderBy("step")
+    back = Window.partitionBy("unit").orderBy(F.col("step").desc())
     e = b.withColumn("e", F.col("exceed").cast("int")).withColumn("before", F.lag("e").over(w)).withColumn("age", F.row_number().over(back))
     both = lambda i, j: F.sum(F.when((F.col("before") == i) & (F.col("e") == j), 1).otherwise(0))
+    newest = F.sort_array(F.collect_list(F.when(F.col("age") <= recent, F.struct("age", "e"))))
     return e.groupBy("unit").agg(
         F.count(F.lit(1)).alias("n"), F.sum("e").alias("x"), *(both(i, j).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)),
         F.sum(F.when(F.col("age") <= recent, F.col("e")).otherwise(0)).alias("recent_x"), F.sum(F.when(F.col("age") <= recent, 1).otherwise(0)).alias("recent_n"),
         F.sum(F.when(F.col("exceed"), F.col("y") / F.col("es")).otherwise(0.0)).alias("es_sum"),
+        F.min_by("e", "step").alias("_first"), F.max_by("e", "step").alias("_last"), F.transform(newest, lambda s: s["e"]).alias("_newest"),
     )
 
 
+def counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
+    """Per unit: n, x, transitions n00..n11, breaches and size of the most recent window, and the ES sum."""
+    return _units(b, recent).drop("_first", "_last", "_newest")
+
+
+def pooled_counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
+    """counts() of all units as one series, in order of unit and step: the units' own counts, and one transition for each
+    border between units. Only a row per unit meets in one window."""
+    u = _units(b, recent).withColumn("_all", F.lit(1))
+    w, back = Window.partitionBy("_all").orderBy("unit"), Window.partitionBy("_all").orderBy(F.col("unit").desc())
+    newer = F.coalesce(F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = u.withColumns({"_before": F.lag("_last").over(w), "_take": F.greatest(F.lit(0), F.least(F.col("n"), F.lit(recent) - newer)).cast("int")})
+    border = lambda i, j: F.sum(F.when((F.col("_before") == i) & (F.col("_first") == j), 1).otherwise(0))
+    taken = F.aggregate(F.slice("_newest", F.lit(1), F.col("_take")), F.lit(0), lambda a, x: a + x)
+    return u.groupBy("_all").agg(
+        F.lit("ALL/POOLED").alias("unit"), F.sum("n").alias("n"), F.sum("x").alias("x"), *((F.sum(f"n{i}{j}") + border(i, j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)),
+        F.sum(taken).alias("recent_x"), F.sum("_take").alias("recent_n"), F.sum("es_sum").alias("es_sum"),
+    ).drop("_all")
+
+
 def kupiec(c: DataFrame, alpha: float) -> DataFrame:
     """Is the breach rate right? Likelihood ratio against 1 - alpha; null for no rows."""
     p, n, x = 1.0 - alpha, F.col("n"), F.col("x")
@@ -99,7 +118,7 @@ def backtest_panel(fc: DataFrame, alpha: float, bootstrap: bool = False, by_unit
         sums = [F.sum(c).cast("bigint").alias(c) for c in ("n", "x", "n00", "n01", "n10", "n11", "recent_x", "recent_n")]
         whole = units.agg(F.lit("ALL/POOLED").alias("unit"), *sums, F.sum("es_sum").alias("es_sum"))
     else:
-        whole = counts(pooled(b))
+        whole = pooled_counts(b)
     out = es_z2(basel_zone(conditional_coverage(units.unionByName(whole), alpha), alpha), alpha)
     return out.join(es_p_values(b, alpha), "unit", "left") if bootstrap else out
 

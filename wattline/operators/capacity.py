@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wattline import constants as C
 from wattline.functions import scalars as S
+from wattline.operators.ranked import quantiles
 
 INSTANCE = ["collection_id", "instance_index", "machine_id"]
 
@@ -93,10 +94,12 @@ def cdf_points(arrays: DataFrame, **labels: str) -> DataFrame:
 
 
 def utilization_quantiles(machine: DataFrame, exact: bool = False, n: int = 100) -> DataFrame:
-    """CDF of capped utilization at n + 1 points: a mergeable sketch by default."""
-    u = capped_utilization(machine)
-    point = (lambda c: S.exact_quantiles(c, [i / n for i in range(n + 1)])) if exact else (lambda c: S.quantile_points(c, n))
-    return cdf_points(u.agg(point("cpu_util").alias("cpu"), point("memory_util").alias("memory")), cpu="CPU", memory="Memory")
+    """CDF of capped utilization at n + 1 points: a mergeable sketch by default; exact by counting values in ranges."""
+    u, columns = capped_utilization(machine), {"cpu_util": "CPU", "memory_util": "Memory"}
+    if not exact:
+        return cdf_points(u.agg(*(S.quantile_points(c, n).alias(c) for c in columns)), **columns)
+    parts = [quantiles(u, c, [i / n for i in range(n + 1)]).select(F.lit(label).alias("label"), "i", (F.col("i") / n).alias("y"), F.col("value").alias("x")) for c, label in columns.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def unit_average(power: DataFrame, cell: str, pdu: str) -> DataFrame:

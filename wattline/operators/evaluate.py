@@ -1,28 +1,29 @@
 """Scores of predictions and groupings, exact with ties.
 
-Rank-based scores first count by distinct score, so the ordered running sums see one row per distinct value.
+Rank-based scores first count by distinct score, and running sums over those are cut into ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions import scalars as S
+from wattline.operators.ranked import quantile_row, running
 
 
 def by_score(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Positives and rows per distinct score, with running totals from the highest and lowest score.
-
-    Running totals per group are one ordered window; groups are the unit of parallelism, and rows have been pre-aggregated."""
-    d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "below": F.coalesce(F.sum(F.col("n") - F.col("p")).over(up), F.lit(0))})
+    """Positives and rows per distinct score, with running totals from the highest (tp, k) and of negatives below the score."""
+    d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    d = running(d.withColumn("_down", -F.col("s")), "_down", {"tp": F.col("p"), "k": F.col("n")}, keys).drop("_down")
+    whole = d.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    d = d.join(whole, [d[c].eqNullSafe(whole[f"_{c}"]) for c in keys]) if keys else d.join(F.broadcast(whole))
+    return d.withColumn("below", (F.col("_n") - F.col("_p")) - (F.col("k") - F.col("tp"))).drop("_p", "_n", *(f"_{c}" for c in keys))
 
 
 def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,10 +39,16 @@ def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str]
 
 
 def precision_at_n(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
-    """Precision among as many top scores as there are positives; ties go to the smaller `tie`."""
-    n = df.agg(F.greatest(F.lit(1), F.sum(F.col(label).cast("long"))).alias("_n"))
-    top = df.withColumn("_r", F.row_number().over(Window.orderBy(F.col(score).desc(), tie))).join(F.broadcast(n)).where("_r <= _n")
-    return top.agg(F.avg(F.col(label).cast("double")).alias("precision_at_n"), F.count(F.lit(1)).alias("n"))
+    """Precision among as many top scores as there are positives; ties go to the smaller `tie`. Rows without label or
+    score are left out. Whole scores are counted; only the rows of the one score that the cut goes through are ordered."""
+    d = by_score(df, label, score)
+    n = d.agg(F.greatest(F.lit(1), F.sum("p")).alias("_top"))
+    cut = d.join(F.broadcast(n)).where("k >= _top AND k - n < _top").select("s", "p", "tp", "n", "k", "_top").first()
+    if cut is None:
+        return d.agg(F.lit(None).cast("double").alias("precision_at_n"), F.lit(0).cast("long").alias("n"))
+    rest, above = cut["_top"] - (cut["k"] - cut["n"]), cut["tp"] - cut["p"]
+    tied = df.where((F.col(score).cast("double") == cut["s"]) & F.col(label).isNotNull()).select(F.col(label).cast("long").alias("y"), F.col(tie).alias("t")).orderBy("t").limit(rest)
+    return tied.agg(((F.sum("y") + above) / F.lit(float(cut["_top"]))).alias("precision_at_n"), F.lit(cut["_top"]).cast("long").alias("n"))
 
 
 def deviance_explained(df: DataFrame, label: str, p: str, p_null: float | str, eps: float = 1e-6) -> DataFrame:
@@ -58,18 +65,22 @@ def errors(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFr
     """MAE, RMSE, R2 and the 95th percentile of the absolute error."""
     e = F.col(y) - F.col(pred)
     total = F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / F.count(y)
-    return df.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - S.ratio(F.sum(e * e), total)).alias("r2"), F.percentile(F.abs(e), 0.95).alias("p95_abs_err"))
+    found = [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - S.ratio(F.sum(e * e), total)).alias("r2")]
+    if keys:
+        return df.groupBy(*keys).agg(*found, F.percentile(F.abs(e), 0.95).alias("p95_abs_err"))
+    return df.agg(*found).join(F.broadcast(quantile_row(df.select(F.abs(e).alias("_e")), "_e", {"p95_abs_err": 0.95})))
 
 
 def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
-    """Signed-rank test of paired differences (normal approximation, tie correction, zeros left out): w, z, n."""
-    d = df.where(F.col(diff) != 0).select(F.col(diff).alias("d"), F.abs(diff).alias("a"))
+    """Signed-rank test of paired differences (normal approximation, tie correction, zeros left out): n, w_plus, z and the
+    two-sided p."""
+    d = df.where(F.col(diff) != 0).select(F.col(diff).alias("d"), F.abs(diff).cast("double").alias("a"))
     c = d.groupBy("a").agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("pos"))
-    c = c.withColumn("upto", F.sum("t").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
+    c = running(c, "a", {"upto": F.col("t")}).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     s = c.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select("n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z"))
+    return s.select("n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z")).withColumn("p_value", S.chi2_sf1(F.col("z") * F.col("z")))
 
 
 def silhouette(points: DataFrame, vector: str, label: str, key: str, most: int = 20_000, block: int = 512) -> DataFrame:
@@ -117,16 +128,15 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact (interpolated) quartiles, one row per column."""
     long = df.unpivot([], list(columns), "column", "x")
-    q = F.percentile(F.col("x"), [0.25, 0.5, 0.75])
-    return long.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max("x").alias("max")
-    )
+    out = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = [quantile_row(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumn("column", F.lit(c)) for c in columns]
+    return out.join(F.broadcast(reduce(DataFrame.unionByName, quartiles)), "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def paired_summary(pairs: DataFrame) -> DataFrame:
     """Of compare_models(): median gain in per cent, units improved, and the signed-rank test."""
     gain = pairs.agg((F.percentile(S.ratio("gain", "mae_b"), 0.5) * 100).alias("median_gain_pct"), F.sum((F.col("gain") > 0).cast("int")).alias("units_improved"), F.count(F.lit(1)).alias("n_units"))
-    return gain.join(F.broadcast(wilcoxon(pairs, "gain").select("w_plus", "z")))
+    return gain.join(F.broadcast(wilcoxon(pairs, "gain").select("w_plus", "z", "p_value")))
 
 
 def detection(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:

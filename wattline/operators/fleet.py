@@ -14,26 +14,64 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline import constants as C
 from wattline.functions import scalars as S
 from wattline.operators import evaluate as E
-from wattline.operators.panel import along, diff, lag
+from wattline.operators.panel import diff, lag
 
 MOST_UNITS = 2000
 
 
-def pairwise(df: DataFrame, x: str) -> DataFrame:
-    """Every pair of units (each with itself too) at the same step: a, b, x, y. Grows with units squared per step."""
-    a = df.select("step", F.col("unit").alias("a"), F.col(x).alias("x"))
-    return a.join(df.select("step", F.col("unit").alias("b"), F.col(x).alias("y")), "step")
+def unit_names(df: DataFrame) -> list[str] | None:
+    """The units in order; None if they are more than a matrix on the driver may have."""
+    names = sorted(r.unit for r in df.select("unit").distinct().limit(MOST_UNITS + 1).collect())
+    return names if len(names) <= MOST_UNITS else None
+
+
+def _block_steps(units: int) -> int:
+    """Steps that one dense block of all units holds: about a million readings."""
+    return max(16, (1 << 20) // max(1, units))
+
+
+def cross_sums(df: DataFrame, x: str, names: Sequence[str], part: Column | None = None) -> DataFrame:
+    """Sums over the steps that two units share, for each pair i <= j of places in `names`: part, i, j, n, sx, sy, sxx, syy, sxy.
+
+    Steps are cut into blocks; a block becomes a matrix whose products give all its pairs at once, so what moves is one
+    row per pair and block and not one per pair and step."""
+    block, place = _block_steps(len(names)), {u: k for k, u in enumerate(names)}
+    rows = df.select("unit", F.col("step").cast("long").alias("step"), F.col(x).cast("double").alias("x"), (F.lit(0) if part is None else part.cast("int")).alias("part")).where("x IS NOT NULL")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps, at = np.unique(pdf["step"].to_numpy(), return_inverse=True)
+        there, values = np.zeros((len(steps), len(names))), np.zeros((len(steps), len(names)))
+        unit = pdf["unit"].map(place).to_numpy()
+        there[at, unit], values[at, unit] = 1.0, pdf["x"].to_numpy()
+        i, j = np.triu_indices(len(names))
+        pick = lambda m: m[i, j]
+        out = pd.DataFrame({
+            "part": int(pdf["part"].iloc[0]), "i": i, "j": j, "n": pick(there.T @ there), "sx": pick(values.T @ there), "sy": pick(there.T @ values),
+            "sxx": pick((values**2).T @ there), "syy": pick(there.T @ values**2), "sxy": pick(values.T @ values),
+        })
+        return out[out["n"] > 0]
+
+    blocks = rows.groupBy("part", F.floor(F.col("step") / block).alias("_block")).applyInPandas(run, "part int, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return blocks.groupBy("part", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
 
 
 def pairwise_corr(df: DataFrame, x: str) -> DataFrame:
-    """Correlation of each pair a < b."""
-    return pairwise(df, x).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    """Correlation of each pair a < b over their common steps. More units than a block may have are joined by step."""
+    names = unit_names(df)
+    if names is None:
+        a = df.select("step", F.col("unit").alias("a"), F.col(x).alias("x"))
+        pairs = a.join(df.select("step", F.col("unit").alias("b"), F.col(x).alias("y")), "step").where("a < b")
+        return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1)
+    spread = lambda s, ss: F.greatest(F.col("n") * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
+    corr = S.ratio(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    return cross_sums(df, x, names).where("i < j").select(name("i").alias("a"), name("j").alias("b"), corr.alias("corr"))
 
 
 def increments(df: DataFrame, x: str, k: int = 1) -> DataFrame:
@@ -50,11 +88,11 @@ def effective_units(df: DataFrame, x: str) -> DataFrame:
 
 def spectrum(df: DataFrame, x: str) -> np.ndarray:
     """Eigenvalues of the correlation matrix, largest first."""
-    rows = pairwise_corr(df, x).collect() if unit_count(df) <= MOST_UNITS else _too_many()
-    names = sorted({r.a for r in rows} | {r.b for r in rows})
+    names = unit_names(df) or _too_many()
+    found = pairwise_corr(df, x).toArrow()
     place, m = {u: i for i, u in enumerate(names)}, np.eye(len(names))
-    for r in rows:
-        m[place[r.a], place[r.b]] = m[place[r.b], place[r.a]] = r.corr
+    i, j = ([place[u] for u in found.column(c).to_pylist()] for c in ("a", "b"))
+    m[i, j] = m[j, i] = np.nan_to_num(found.column("corr").to_numpy())
     return np.clip(np.sort(np.linalg.eigvalsh(m))[::-1], 0, None)
 
 
@@ -64,10 +102,6 @@ def components_for(values: np.ndarray, share: float = 0.9) -> tuple[float, int]:
     return float(cum[0]), int(np.searchsorted(cum, share) + 1)
 
 
-def unit_count(df: DataFrame) -> int:
-    return df.select("unit").distinct().count()
-
-
 def _too_many():
     raise ValueError(f"more than {MOST_UNITS} units: their matrix does not belong on the driver")
 
@@ -98,22 +132,17 @@ def share_up(df: DataFrame, x: str, top: float = 0.99) -> DataFrame:
 
 
 def engine_conversion(df: DataFrame, x: str, horizons: Sequence[int] = C.FLEET_HORIZONS, per_day: int = C.DAY, site_mw: float = C.SITE_MW, engine_mw: float = C.ENGINE_MW) -> DataFrame:
-    """Site ramps in megawatts and engines, and how often non-overlapping windows exceed one or two engines.
-    One row per step reaches the ordered window."""
-    site = fleet_mean(df, x).withColumn("g", F.lit(1))
-    out = None
-    for k in horizons:
-        w = Window.partitionBy("g").orderBy("step")
-        mw = site.select("step", ((F.col(x) - F.lag(x, k).over(w)) * site_mw).alias("mw")).where("mw IS NOT NULL")
-        block = F.col("step") % k == 0
-        many = lambda e, block=block: F.sum(F.when(block & (F.col("mw") >= e * engine_mw), 1).otherwise(0)) / (F.sum(F.when(block, 1).otherwise(0)) * k / per_day)  # noqa: E731, B023
-        up = F.when(F.col("mw") > 0, F.col("mw"))
-        row = mw.agg(
-            F.lit(k).alias("h"), F.stddev_samp("mw").alias("sd_mw"), F.percentile(up, 0.99).alias("p99_mw"), F.percentile(up, 0.999).alias("p999_mw"), F.max("mw").alias("max_mw"),
-            (F.max("mw") / engine_mw).alias("max_engines"), many(1).alias("one_per_day"), (many(2) * 7).alias("two_per_week"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Site ramps in megawatts and engines, and how often non-overlapping windows exceed one or two engines, a row for each
+    horizon. One row per step reaches the ordered window, once for all horizons."""
+    w = Window.partitionBy("g").orderBy("step")
+    site = fleet_mean(df, x).withColumn("g", F.lit(1)).withColumns({f"_{k}": F.col(x) - F.lag(x, k).over(w) for k in horizons})
+    ramps = site.select("step", F.explode(F.array(*(F.struct(F.lit(k).alias("h"), (F.col(f"_{k}") * site_mw).alias("mw")) for k in horizons))).alias("r")).select("step", "r.*").where("mw IS NOT NULL")
+    block, up = F.col("step") % F.col("h") == 0, F.when(F.col("mw") > 0, F.col("mw"))
+    many = lambda e: F.sum(F.when(block & (F.col("mw") >= e * engine_mw), 1).otherwise(0)) / (F.sum(F.when(block, 1).otherwise(0)) * F.col("h") / per_day)
+    return ramps.groupBy("h").agg(
+        F.stddev_samp("mw").alias("sd_mw"), F.percentile(up, 0.99).alias("p99_mw"), F.percentile(up, 0.999).alias("p999_mw"), F.max("mw").alias("max_mw"),
+        (F.max("mw") / engine_mw).alias("max_engines"), many(1).alias("one_per_day"), (many(2) * 7).alias("two_per_week"),
+    )
 
 
 def with_target(features: DataFrame, h: int, target: str = "u") -> DataFrame:
@@ -121,21 +150,80 @@ def with_target(features: DataFrame, h: int, target: str = "u") -> DataFrame:
     return features.withColumn("y", lag(target, -h)).na.drop()
 
 
-def ridge_per_unit(features: DataFrame, columns: Sequence[str], h: int, split: int, alpha: float = 1.0) -> DataFrame:
-    """Closed-form ridge of the increment on scaled features, one fit per unit; test rows: unit, step, y, u, pred."""
-    d = with_target(features, h).select("unit", "step", "y", *dict.fromkeys([*columns, "u"]))
+def _ridge(x: np.ndarray, dy: np.ndarray, tr: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Closed-form ridge on features scaled by the training rows: fitted values of all rows."""
+    mean, sd = x[tr].mean(axis=0), x[tr].std(axis=0)
+    z = (x - mean) / np.where(sd > 0, sd, 1.0)
+    beta = np.linalg.solve(z[tr].T @ z[tr] + alpha * np.eye(z.shape[1]), z[tr].T @ (dy[tr] - dy[tr].mean()))
+    return dy[tr].mean() + z @ beta
+
+
+def _boost(x: np.ndarray, dy: np.ndarray, tr: np.ndarray, rounds: int = 60, rate: float = 0.1, bins: int = 32, least: int = 20) -> np.ndarray:
+    """Boosted trees of depth 2: fitted values of all rows."""
+    cuts = [np.unique(np.quantile(x[tr, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    place = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+    guess = np.full(len(dy), dy[tr].mean())
+
+    def best(rows: np.ndarray, r: np.ndarray) -> tuple[int, int] | None:
+        top, found = 0.0, None
+        for f, c in enumerate(cuts):
+            n = np.cumsum(np.bincount(place[rows, f], minlength=len(c) + 1))[:-1]
+            s = np.cumsum(np.bincount(place[rows, f], r[rows], len(c) + 1))[:-1]
+            total, size = r[rows].sum(), rows.sum()
+            ok = (n >= least) & (size - n >= least)
+            if ok.any():
+                gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1), -1.0)
+                if gain.max() > top:
+                    top, found = float(gain.max()), (f, int(gain.argmax()))
+        return found
+
+    for _ in range(rounds):
+        r, leaves = dy - guess, []
+        root = best(tr, r)
+        if root is None:
+            break
+        for side in (place[:, root[0]] <= root[1], place[:, root[0]] > root[1]):
+            inner = best(side & tr, r)
+            leaves += [side] if inner is None else [side & (place[:, inner[0]] <= inner[1]), side & (place[:, inner[0]] > inner[1])]
+        for leaf in leaves:
+            if (leaf & tr).any():
+                guess = guess + rate * r[leaf & tr].mean() * leaf
+    return guess
+
+
+FITS = {"ridge": _ridge, "boost": _boost}
+
+
+def ablation_forecasts(features: DataFrame, models: dict[str, tuple[str, Sequence[str]]], horizons: Sequence[int], split: int) -> DataFrame:
+    """Forecasts of the test rows by several models at several leads, one fit for each unit, model and lead, all in one
+    grouped map over one feature frame: h, model, unit, step, y, u, pred. models: name -> (ridge, boost or persistence, columns).
+    Units without training rows forecast no change."""
+    columns = list(dict.fromkeys(["u", *(c for _, cs in models.values() for c in cs)]))
+    d = features.withColumns({f"y{h}": lag("u", -h) for h in horizons}).select("unit", "step", *columns, *(f"y{h}" for h in horizons)).na.drop(subset=columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        x, dy = pdf[list(columns)].to_numpy(float), (pdf["y"] - pdf["u"]).to_numpy()
-        tr = (pdf["step"] < split).to_numpy()
-        mean, sd = x[tr].mean(axis=0), x[tr].std(axis=0)
-        z = (x - mean) / np.where(sd > 0, sd, 1.0)
-        beta = np.linalg.solve(z[tr].T @ z[tr] + alpha * np.eye(z.shape[1]), z[tr].T @ (dy[tr] - dy[tr].mean()))
-        out = pdf.assign(pred=pdf["u"] + dy[tr].mean() + z @ beta)
-        return out.loc[~tr, ["unit", "step", "y", "u", "pred"]]
+        pdf, parts = pdf.sort_values("step"), []
+        for h in horizons:
+            x = pdf[pdf[f"y{h}"].notna()]
+            tr, y, u = (x["step"] < split).to_numpy(), x[f"y{h}"].to_numpy(float), x["u"].to_numpy(float)
+            for name, (kind, cs) in models.items():
+                dy = np.zeros(len(y)) if kind == "persistence" or not tr.any() else FITS[kind](x[list(cs)].to_numpy(float), y - u, tr)
+                parts.append(pd.DataFrame({"h": h, "model": name, "unit": x["unit"], "step": x["step"], "y": y, "u": u, "pred": u + dy})[~tr])
+        return pd.concat(parts)
 
-    return d.groupBy("unit").applyInPandas(run, "unit string, step long, y double, u double, pred double")
+    return d.groupBy("unit").applyInPandas(run, "h int, model string, unit string, step long, y double, u double, pred double")
+
+
+def skill_table(fc: DataFrame, base: str = "persistence") -> DataFrame:
+    """Errors for each lead and model of ablation_forecasts(), and the share of the base model's mean error that is saved."""
+    e = E.errors(fc, "y", "pred", ["h", "model"])
+    ref = e.where(F.col("model") == base).select("h", F.col("mae").alias("_base"))
+    return e.join(F.broadcast(ref), "h").withColumn("skill", 1 - S.ratio("mae", "_base")).drop("_base")
+
+
+def ridge_per_unit(features: DataFrame, columns: Sequence[str], h: int, split: int) -> DataFrame:
+    """Ridge of the increment, one fit per unit; test rows: unit, step, y, u, pred."""
+    return ablation_forecasts(features, {"ridge": ("ridge", columns)}, (h,), split).drop("h", "model")
 
 
 def gbt_forecast(features: DataFrame, columns: Sequence[str], h: int, split: int, trees: int = 20, depth: int = 4, seed: int = 0) -> tuple[DataFrame, list[tuple[str, float]]]:
@@ -162,22 +250,19 @@ def virtual_sensors(df: DataFrame, x: str, split: int, alphas: Sequence[float] =
 
     The units' cross products are aggregated once; every leave-one-out fit is a solve of a part of that one matrix.
     The penalty is chosen per unit on the last quarter of the training half. Steps with any flagged unit are not trained on."""
-    names = sorted(r.unit for r in df.select("unit").distinct().limit(MOST_UNITS + 1).collect())
-    if len(names) > MOST_UNITS:
-        _too_many()
-    d = df.select("unit", "step", F.col(x).alias("x"))
+    names = unit_names(df) or _too_many()
+    d = df.select("unit", F.col("step").cast("long").alias("step"), F.col(x).cast("double").alias("x"))
     train = df.where(F.col("step") < split)
     if bad:
         train = train.join(train.groupBy("step").agg(F.max(bad).alias("_b")).where("NOT _b").select("step"), "step", "left_semi")
-    late = F.col("step") >= split * 3 // 4
-    pairs = pairwise(train, x).groupBy("a", "b", late.alias("late")).agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.sum("x").alias("sa"), F.count(F.lit(1)).alias("n"))
-    place, k = {u: i for i, u in enumerate(names)}, len(names)
+    k = len(names)
     gram, total, rows = np.zeros((2, k, k)), np.zeros((2, k)), np.zeros(2)
-    for r in pairs.collect():  # units squared
-        part = int(r.late)
-        gram[part, place[r.a], place[r.b]] = r.s
-        if r.a == r.b:
-            total[part, place[r.a]], rows[part] = r.sa, r.n
+    found = cross_sums(train, x, names, F.col("step") >= split * 3 // 4).select("part", "i", "j", "n", "sx", "sxy").toArrow()  # units squared, as columns
+    part, i, j, n, sx, sxy = (found.column(c).to_numpy() for c in ("part", "i", "j", "n", "sx", "sxy"))
+    gram[part, i, j] = gram[part, j, i] = sxy
+    own = i == j
+    total[part[own], i[own]] = sx[own]
+    np.maximum.at(rows, part[own], n[own])
 
     def centred(parts: Sequence[int]) -> tuple[np.ndarray, np.ndarray, float]:
         n = max(1.0, sum(rows[p] for p in parts))
@@ -188,8 +273,8 @@ def virtual_sensors(df: DataFrame, x: str, split: int, alphas: Sequence[float] =
     whole, mean, _ = centred([0, 1])
     shift = early_mean[:, None]
     judge = gram[1] - shift @ total[1][None, :] - total[1][:, None] @ shift.T + rows[1] * shift @ shift.T
-    fitted = []
-    for i, unit in enumerate(names):
+    weights, base = np.zeros((k, k)), np.zeros(k)  # a column for each unit that is rebuilt
+    for i in range(k):
         peers = [j for j in range(k) if j != i]
 
         def solve(m: np.ndarray, alpha: float, i: int = i, peers: list[int] = peers) -> np.ndarray:
@@ -200,10 +285,20 @@ def virtual_sensors(df: DataFrame, x: str, split: int, alphas: Sequence[float] =
             return float(judge[i, i] - 2 * b @ judge[peers, i] + b @ judge[np.ix_(peers, peers)] @ b)
 
         beta = solve(whole, min(alphas, key=loss))
-        fitted += [(unit, names[j], float(v), float(mean[i] - beta @ mean[peers])) for j, v in zip(peers, beta, strict=True)]
-    coef = df.sparkSession.createDataFrame(fitted, "unit string, peer string, beta double, base double")
-    guess = d.withColumnRenamed("unit", "peer").join(F.broadcast(coef), "peer").groupBy("unit", "step").agg((F.sum(F.col("x") * F.col("beta")) + F.max("base")).alias("pred"))
-    return d.join(guess, ["unit", "step"]).select("unit", "step", F.col("x").alias("y"), "pred")
+        weights[peers, i], base[i] = beta, mean[i] - beta @ mean[peers]
+    shared = df.sparkSession.sparkContext.broadcast((weights, base, {u: n for n, u in enumerate(names)}))  # units are checked
+
+    def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, b, place = shared.value
+        steps, at = np.unique(pdf["step"].to_numpy(), return_inverse=True)
+        unit = pdf["unit"].map(place).to_numpy()
+        values, there = np.zeros((len(steps), len(b))), np.zeros((len(steps), len(b)), bool)
+        values[at, unit], there[at, unit] = np.nan_to_num(pdf["x"].to_numpy()), True
+        out = pd.DataFrame({"unit": pdf["unit"], "step": pdf["step"], "y": pdf["x"], "pred": (values @ w + b)[at, unit]})
+        return out[there.sum(axis=1)[at] > 1]  # a step without peers can't be rebuilt
+
+    blocks = d.groupBy(F.floor(F.col("step") / _block_steps(k)).alias("_block"))
+    return blocks.applyInPandas(rebuild, "unit string, step long, y double, pred double")
 
 
 def residual_scores(rebuilt: DataFrame, split: int) -> DataFrame:
@@ -221,12 +316,12 @@ def inject_faults(scores: DataFrame, split: int, steps: int, onsets: Sequence[in
     test = scores.where(F.col("step") >= split)
     if least_r2 is not None:
         good = E.errors(test, "y", "pred", ["unit"]).where(F.col("r2") > least_r2).select("unit")
-        test = test.join(F.broadcast(good), "unit", "left_semi")
+        test = test.join(good, "unit", "left_semi")
     tau = test.groupBy("unit").agg(F.percentile("z", 1 - alarms).alias("tau"))
     kinds = [(k, float(m)) for k in ("bias", "drift") for m in magnitudes] + [("stuck", None)]
     config = spark.createDataFrame(kinds, "fault string, magnitude double")
     starts = spark.createDataFrame([(int(t),) for t in onsets], "t0 int")
-    window = test.join(F.broadcast(starts), (F.col("step") >= F.col("t0") + split) & (F.col("step") < F.col("t0") + split + span)).join(F.broadcast(tau), "unit")
+    window = test.join(F.broadcast(starts), (F.col("step") >= F.col("t0") + split) & (F.col("step") < F.col("t0") + split + span)).join(tau, "unit")
     window = window.withColumn("i", F.col("step") - split - F.col("t0")).withColumn("y0", F.max(F.when(F.col("i") == 0, F.col("y"))).over(Window.partitionBy("unit", "t0")))
     bump = F.when(F.col("fault") == "bias", F.col("magnitude")).when(F.col("fault") == "drift", F.col("magnitude") * F.col("i") / (span - 1)).otherwise(F.col("y0") - F.col("y"))
     fired = F.abs((F.col("resid") + bump - F.col("mu")) / F.col("sd")) > F.col("tau")
@@ -274,53 +369,68 @@ def permutation_level(labels: Sequence[object], truth: Sequence[object], draws:
     pairs = lambda c: (c * (c - 1) / 2).sum()
     pa, pb = pairs(np.bincount(a)), pairs(np.bincount(b))
     expected = pa * pb / (n * (n - 1) / 2)
-    score = lambda x: (pairs(np.bincount(x * (b.max() + 1) + b)) - expected) / ((pa + pb) / 2 - expected)
+    score = lambda x: (pairs(np.bincount(x * (b.max() + 1) + b)) - expected) / (((pa + pb) / 2 - expected) or 1.0)
     return float(np.quantile([score(rng.permutation(a)) for _ in range(draws)], q))
 
 
+def _kmeans(x: np.ndarray, k: int, seed: int, steps: int = 100) -> tuple[float, np.ndarray]:
+    """One start of k-means from distant points: inertia and labels."""
+    rng = np.random.default_rng(seed)
+    centers = x[rng.integers(len(x))][None, :]
+    while len(centers) < k:
+        gap = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+        centers = np.vstack([centers, x[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))]])
+    label = np.zeros(len(x), int)
+    for _ in range(steps):
+        label = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.stack([x[label == i].mean(axis=0) if (label == i).any() else centers[i] for i in range(k)])
+        if np.array_equal(new, centers):
+            break
+        centers = new
+    return float(((x - centers[label]) ** 2).sum()), label
+
+
+def segment_scan(points: DataFrame, vector: str, key: str, truth: str, ks: Sequence[int] = range(2, 11), starts: int = 20, draws: int = 2000) -> DataFrame:
+    """k-means of a small set of units for each k, the best of several starts: k, inertia, silhouette, agreement with a known
+    grouping and its chance level. The set's size is checked; every start is a task's work."""
+    rows = points.select(F.col(key).cast("string").alias("key"), F.col(truth).cast("string").alias("truth"), F.col(vector).alias("v")).limit(MOST_UNITS + 1).collect()
+    if len(rows) > MOST_UNITS:
+        _too_many()
+    rows.sort(key=lambda r: r["key"])
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast((np.array([r.v for r in rows], float), [r.truth for r in rows]))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, start = int(pdf["k"].iloc[0]), int(pdf["start"].iloc[0])
+        x = shared.value[0]
+        inertia, label = _kmeans(x, min(k, len(x)), start)
+        return pd.DataFrame({"k": [k], "start": [start], "inertia": [inertia], "labels": [label.tolist()]})
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": pdf["k"], "chance_p95": [permutation_level(labels, shared.value[1], draws) for labels in pdf["labels"]]})
+
+    settings = spark.range(starts).selectExpr("CAST(id AS int) AS start", f"explode(array({', '.join(map(str, ks))})) AS k")
+    tried = settings.groupBy("k", "start").applyInPandas(one, "k int, start int, inertia double, labels array<int>")
+    best = tried.groupBy("k").agg(F.min("inertia").alias("inertia"), F.min_by("labels", F.struct("inertia", "start")).alias("labels")).cache()
+    chance = best.groupBy("k").applyInPandas(level, "k int, chance_p95 double")
+    units = spark.createDataFrame([(i, r["key"], r.truth, [float(e) for e in r.v]) for i, r in enumerate(rows)], "i int, key string, truth string, v array<double>")
+    each = best.select("k", F.posexplode("labels").alias("i", "label")).join(F.broadcast(units), "i")
+    scores = None
+    for k in ks:
+        mine = each.where(F.col("k") == k)
+        row = E.silhouette(mine, "v", "label", "key").join(E.adjusted_rand(mine, "truth", "label")).select(F.lit(k).alias("k"), "silhouette", "adjusted_rand")
+        scores = row if scores is None else scores.unionByName(row)
+    return best.select("k", "inertia").join(F.broadcast(scores), "k").join(F.broadcast(chance), "k")
+
+
 def wide_panel(df: DataFrame, x: str, units: Sequence[str]) -> DataFrame:
     """One row per step, one column per (named) unit."""
     return df.groupBy("step").pivot("unit", list(units)).agg(F.first(x))
 
 
-def boost_per_unit(features: DataFrame, columns: Sequence[str], h: int, split: int, rounds: int = 60, rate: float = 0.1, bins: int = 32, least: int = 20) -> DataFrame:
-    """Boosted stumps-of-stumps (trees of depth 2) of the increment, one model per unit: test rows as in ridge_per_unit()."""
-    d = with_target(features, h).select("unit", "step", "y", *dict.fromkeys([*columns, "u"]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        x, dy, tr = pdf[list(columns)].to_numpy(float), (pdf["y"] - pdf["u"]).to_numpy(), (pdf["step"] < split).to_numpy()
-        cuts = [np.unique(np.quantile(x[tr, f], np.linspace(0, 1, bins + 1)[1:-1])) if tr.any() else np.zeros(0) for f in range(x.shape[1])]
-        place = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
-        guess = np.full(len(dy), dy[tr].mean() if tr.any() else 0.0)
-
-        def best(rows: np.ndarray, r: np.ndarray) -> tuple[int, int] | None:
-            top, found = 0.0, None
-            for f, c in enumerate(cuts):
-                n = np.cumsum(np.bincount(place[rows, f], minlength=len(c) + 1))[:-1]
-                s = np.cumsum(np.bincount(place[rows, f], r[rows], len(c) + 1))[:-1]
-                total, size = r[rows].sum(), rows.sum()
-                ok = (n >= least) & (size - n >= least)
-                if ok.any():
-                    gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1), -1.0)
-                    if gain.max() > top:
-                        top, found = float(gain.max()), (f, int(gain.argmax()))
-            return found
-
-        for _ in range(rounds):
-            r, leaves = dy - guess, []
-            root = best(tr, r)
-            if root is None:
-                break
-            for side in (place[:, root[0]] <= root[1], place[:, root[0]] > root[1]):
-                inner = best(side & tr, r)
-                leaves += [side] if inner is None else [side & (place[:, inner[0]] <= inner[1]), side & (place[:, inner[0]] > inner[1])]
-            for leaf in leaves:
-                if (leaf & tr).any():
-                    guess = guess + rate * r[leaf & tr].mean() * leaf
-        return pdf.assign(pred=pdf["u"] + guess).loc[~tr, ["unit", "step", "y", "u", "pred"]]
-
-    return d.groupBy("unit").applyInPandas(run, "unit string, step long, y double, u double, pred double")
+def boost_per_unit(features: DataFrame, columns: Sequence[str], h: int, split: int) -> DataFrame:
+    """Boosted trees of depth 2 of the increment, one model per unit: test rows as in ridge_per_unit()."""
+    return ablation_forecasts(features, {"boost": ("boost", columns)}, (h,), split).drop("h", "model")
 
 
 def reserve_shortfall(df: DataFrame, x: str, k: int, sigmas: float = 3.0, site_mw: float = C.SITE_MW, engine_mw: float = C.ENGINE_MW) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -35,11 +36,18 @@ def trailing(fn: str, x: str, size: int, ends: int = 1, w: WindowSpec | None = N
     return F.when(F.count(x).over(frame) == size, getattr(F, fn)(x).over(frame))
 
 
-def require_dense(df: DataFrame, columns: Sequence[str]) -> None:
-    """Fail if a panel has a gap in these columns."""
-    bad = df.where(" OR ".join(f"{c} IS NULL" for c in columns)).limit(1).count()
-    if bad:
+def require_dense(df: DataFrame, columns: Sequence[str], unit: str = "unit", order: str = STEP) -> None:
+    """Fail if a panel has a gap: a null in these columns, a step that a unit lacks, or one that it has twice."""
+    nulls = F.sum(F.when(F.expr(" OR ".join(f"{c} IS NULL" for c in columns)), 1).otherwise(0))
+    units = df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(order).alias("steps"), nulls.alias("nulls"))
+    r = units.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("units"), F.min("steps").alias("least"), F.sum("nulls").alias("nulls")).first()
+    if not r["rows"]:
+        return
+    if r["nulls"]:
         raise ValueError(f"null in one of {list(columns)}")
+    steps = df.agg(F.count_distinct(order)).first()[0]
+    if r["rows"] != r["units"] * steps or r["least"] != steps:
+        raise ValueError(f"{r['rows']} rows are not {r['units']} units of {steps} steps each")
 
 
 def lag_diff_features(df: DataFrame, y: str, lags: Sequence[int] = (1, 2, 3, 6, 12), diffs: Sequence[int] = (1, 3, 6)) -> DataFrame:
@@ -75,26 +83,41 @@ def unit_features(df: DataFrame, y: str, p: str, hour: int = 12, day: int = 288,
     return out.select(*base).withColumn("vol_ratio", S.ratio("roll_std_1h", "roll_std_1d"))
 
 
-OWN = ["u", "d1", "d3", "d6", "lag12", "lag_day", "roll_mean_h", "roll_std_h", "roll_std_day", "dev_from_day", "p", "headroom", "p_d1", "badp", "tod_sin", "tod_cos", "dow"]
-FLEET = [*OWN, "fleet_mean", "fleet_std", "fleet_d1", "cell_mean", "cell_d1", "rel_to_fleet"]
-METER_ONLY = [c for c in FLEET if c not in ("p", "headroom", "p_d1", "badp")]
+#: The feature frame: each column's definition on the settings `k` (channels, window lengths, clock), by where it comes from.
+FRAME = {
+    "own": {
+        "u": lambda k: F.col(k.y),
+        **{f"d{n}": lambda k, n=n: F.col(k.y) - lag(k.y, n) for n in (1, 3, 6)},
+        "lag12": lambda k: lag(k.y, 12),
+        "lag_day": lambda k: lag(k.y, k.day),
+        "roll_mean_h": lambda k: trailing("avg", k.y, k.hour),
+        "roll_std_h": lambda k: trailing("stddev_samp", k.y, k.hour),
+        "roll_std_day": lambda k: trailing("stddev_samp", k.y, k.day),
+        "dev_from_day": lambda k: F.col(k.y) - trailing("avg", k.y, k.day),
+    },
+    "second": {"p": lambda k: F.col(k.p), "headroom": lambda k: F.col(k.y) - F.col(k.p), "p_d1": lambda k: F.col(k.p) - lag(k.p, 1), "badp": lambda k: F.col(k.bad).cast("double")},
+    "clock": {name: lambda k, name=name: k.clock[name] for name in ("tod_sin", "tod_cos", "dow")},
+    "others": {  # on the columns above
+        **{f"fleet_{name}": lambda k, fn=fn, x=x: getattr(F, fn)(x).over(Window.partitionBy("step")) for name, fn, x in (("mean", "avg", "u"), ("std", "stddev_samp", "u"), ("d1", "avg", "d1"))},
+        **{f"cell_{name}": lambda k, x=x: F.avg(x).over(Window.partitionBy("step", "cell")) for name, x in (("mean", "u"), ("d1", "d1"))},
+        "rel_to_fleet": lambda k: F.col("u") - F.avg("u").over(Window.partitionBy("step")),
+    },
+}
+
+
+def feature_names(*parts: str) -> list[str]:
+    return [name for part in parts for name in FRAME[part]]
+
+
+OWN, FLEET, METER_ONLY = feature_names("own", "second", "clock"), feature_names("own", "second", "clock", "others"), feature_names("own", "clock", "others")
 
 
 def fleet_features(df: DataFrame, y: str = "measured_power_util", p: str = "production_power_util", bad: str = "bad_production_power_data", hour: int = 12, day: int = 288, ts: str = "ts") -> DataFrame:
     """Own history, second channel, the other units at the same step, and the clock: known at t.
     The cross-section is a window by step, not a join."""
-    c = clock(ts)
-    own = df.select("unit", "cell", "step", F.col(y).alias("u"), F.col(p).alias("p"), F.col(bad).cast("double").alias("badp"), *(c[k].alias(k) for k in ("tod_sin", "tod_cos", "dow")))
-    own = own.withColumns({
-        "d1": diff("u"), "d3": diff("u", 3), "d6": diff("u", 6), "lag12": lag("u", 12), "lag_day": lag("u", day), "p_d1": diff("p"),
-        "roll_mean_h": trailing("avg", "u", hour), "roll_std_h": trailing("stddev_samp", "u", hour), "roll_std_day": trailing("stddev_samp", "u", day),
-        "dev_from_day": F.col("u") - trailing("avg", "u", day), "headroom": F.col("u") - F.col("p"),
-    })
-    at, cell = Window.partitionBy("step"), Window.partitionBy("step", "cell")
-    return own.withColumns({
-        "fleet_mean": F.avg("u").over(at), "fleet_std": F.stddev_samp("u").over(at), "fleet_d1": F.avg("d1").over(at), "cell_mean": F.avg("u").over(cell), "cell_d1": F.avg("d1").over(cell),
-        "rel_to_fleet": F.col("u") - F.avg("u").over(at),
-    })
+    k = SimpleNamespace(y=y, p=p, bad=bad, hour=hour, day=day, clock=clock(ts))
+    own = df.select("unit", "cell", "step", *(define(k).alias(name) for part in ("own", "second", "clock") for name, define in FRAME[part].items()))
+    return own.withColumns({name: define(k) for name, define in FRAME["others"].items()})
 
 
 def ar1_slope(df: DataFrame, y: str, window: int, bound: float = 0.99) -> DataFrame:

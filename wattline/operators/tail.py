@@ -28,21 +28,33 @@ def rank_in_window(alpha: float, window: int) -> int:
 
 def tail_kernel(x: np.ndarray, alpha: float, window: int, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Order statistic and mean above it of each trailing window; NaN sorts last, so it can spoil the mean alone."""
-    q, es = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    q, es = tail_kernels(x, (alpha,), window, rows)
+    return q[0], es[0]
+
+
+def tail_kernels(x: np.ndarray, alphas: Sequence[float], window: int, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """tail_kernel() for several levels at once, a row for each: a window is parted once at all its ranks."""
+    q, es = (np.full((len(alphas), len(x)), np.nan) for _ in range(2))
     if len(x) < window:
         return q, es
-    k, windows = rank_in_window(alpha, window), sliding_window_view(x, window)
+    ranks, windows = [rank_in_window(a, window) for a in alphas], sliding_window_view(x, window)
     for at in range(0, len(windows), rows):
-        part = np.partition(windows[at : at + rows], k, axis=1)
+        part = np.partition(windows[at : at + rows], sorted(set(ranks)), axis=1)
         out = slice(window - 1 + at, window - 1 + at + len(part))
-        q[out] = part[:, k]
-        es[out] = part[:, k + 1 :].mean(axis=1) if k + 1 < window else part[:, k]
+        for i, k in enumerate(ranks):
+            q[i, out] = part[:, k]
+            es[i, out] = part[:, k + 1 :].mean(axis=1) if k + 1 < window else part[:, k]
     return q, es
 
 
 def rolling_tail(df: DataFrame, x: str, alpha: float, window: int, keys: Sequence[str] = ("unit",), order: str = "step", block: int | None = None) -> DataFrame:
     """df with q and es over the `window` rows that end at each row (shift x first to use the past only).
     NaN outside full windows. `order` must count a unit's rows without gaps."""
+    return rolling_tails(df, x, (alpha,), window, keys, order, block).drop("alpha")
+
+
+def rolling_tails(df: DataFrame, x: str, alphas: Sequence[float], window: int, keys: Sequence[str] = ("unit",), order: str = "step", block: int | None = None) -> DataFrame:
+    """rolling_tail() for several levels: a row for each row of df and level, with alpha."""
     block = max(block or 16 * window, window)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     here = F.floor(F.col(order) / block)
@@ -51,11 +63,12 @@ def rolling_tail(df: DataFrame, x: str, alpha: float, window: int, keys: Sequenc
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        q, es = tail_kernel(pdf[x].to_numpy(dtype=float, na_value=np.nan), alpha, window)
-        out = pdf.assign(q=q, es=es)
-        return out[out[order] // block == out["_block"]].drop(columns="_block")
+        q, es = tail_kernels(pdf[x].to_numpy(dtype=float, na_value=np.nan), alphas, window)
+        own = (pdf[order] // block == pdf["_block"]).to_numpy()
+        rest = pdf.drop(columns="_block")[own]
+        return pd.concat([rest.assign(alpha=a, q=q[i][own], es=es[i][own]) for i, a in enumerate(alphas)])
 
-    return spread.groupBy(*keys, "_block").applyInPandas(run, f"{kind}, q double, es double")
+    return spread.groupBy(*keys, "_block").applyInPandas(run, f"{kind}, alpha double, q double, es double")
 
 
 def _forecast(df: DataFrame, keep: list[str], center: str, sigma: str | None, alpha: float, window: int, h: int) -> DataFrame:
@@ -117,13 +130,18 @@ def calibrate(fc: DataFrame, alpha: float, split: int, low: float = 0.5, high: f
 
     With non-negative spreads the breach rate falls as the multiplier grows, so the smallest one whose rate is
     at most 1 - alpha is an order statistic of (y - anchor) / (var - anchor): no search over the data."""
-    p = 1.0 - alpha
+    return calibrate_by(fc.withColumn("alpha", F.lit(float(alpha))), ("alpha",), split, low, high).drop("alpha")
+
+
+def calibrate_by(fc: DataFrame, keys: Sequence[str], split: int, low: float = 0.5, high: float = 4.0) -> DataFrame:
+    """calibrate() for each group of `keys`, of which `alpha` is one: a row for each, all in one plan."""
     d = usable(fc, "var", "anchor").withColumn("_spread", F.col("var") - F.col("anchor"))
     d = d.withColumn("_r", F.when(F.col("_spread") > 0, (F.col("y") - F.col("anchor")) / F.col("_spread")).when(F.col("y") > F.col("anchor"), F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
     train, test = d.where(F.col("step") < split), d.where(F.col("step") >= split)
-    m = _smallest_enough(train, p, low, high).select("n_train", S.clip("m", low, high).alias("m"))
+    m = _smallest_enough(train, keys, low, high).select(*keys, "n_train", S.clip("m", low, high).alias("m"))
     over = lambda k: (F.col("y") > F.col("anchor") + k * F.col("_spread")).cast("double")
-    t = test.join(F.broadcast(m)).agg(F.max("m").alias("m"), F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.avg(over(F.lit(1.0))).alias("raw_test"), F.avg(over(F.col("m"))).alias("cal_test"), F.count_distinct("unit").alias("_units"))
+    t = test.join(F.broadcast(m), list(keys)).groupBy(*keys).agg(F.max("m").alias("m"), F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.avg(over(F.lit(1.0))).alias("raw_test"), F.avg(over(F.col("m"))).alias("cal_test"), F.count_distinct("unit").alias("_units"))
+    p = 1.0 - F.col("alpha")
     t = t.withColumn("breaches_per_unit", F.col("raw_test") * F.col("n_test") / F.greatest(F.col("_units"), F.lit(1))).withColumn("rel_error", F.abs(F.col("cal_test") - p) / p)
     verdict = F.lit("underpowered")
     for least, most, label in reversed(C.VERDICTS):
@@ -131,32 +149,41 @@ def calibrate(fc: DataFrame, alpha: float, split: int, low: float = 0.5, high: f
     return t.withColumn("verdict", verdict).drop("_units")
 
 
-def _smallest_enough(d: DataFrame, p: float, low: float, high: float, bins: int = 4096) -> DataFrame:
-    """The order statistic of _r at rank n - floor(p n), exact within [low, high]: m, n_train (one row).
-    A histogram finds the bin that holds the rank; only that bin's rows are then ordered."""
+def _smallest_enough(d: DataFrame, keys: Sequence[str], low: float, high: float, bins: int = 4096) -> DataFrame:
+    """The order statistic of _r at rank n - floor((1 - alpha) n), exact within [low, high]: keys, m, n_train.
+    A histogram finds the bin that holds the rank; that bin's distinct values are then counted in order."""
     width = (high - low) / bins
     place = F.when(F.col("_r") < low, -1).when(F.col("_r") >= high, bins).otherwise(F.floor((F.col("_r") - low) / width)).cast("int")
-    binned = d.select("_r", place.alias("_bin"))
-    counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy()
-    upto = counts.select("_bin", "_n", F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_n").over(everything).alias("n_train"))
-    upto = upto.withColumn("_k", F.greatest(F.lit(1), F.col("n_train") - F.floor(p * F.col("n_train") + 1e-9)))
-    bin_of = upto.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).select("_bin", "n_train", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_rest"))
-    inside = binned.join(F.broadcast(bin_of), "_bin").where(F.col("_bin").between(0, bins - 1))
-    exact = inside.withColumn("_i", F.row_number().over(Window.orderBy("_r"))).where("_i = _rest").select("_r")
+    binned = d.select(*keys, "_r", place.alias("_bin"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # rows are bins
+    bin_of = counts.select(*keys, "_bin", "_n", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("n_train"))
+    bin_of = bin_of.withColumn("_k", F.greatest(F.lit(1), F.col("n_train") - F.floor((1.0 - F.col("alpha")) * F.col("n_train") + 1e-9)))
+    bin_of = bin_of.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).select(*keys, "_bin", "n_train", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    inside = binned.where(F.col("_bin").between(0, bins - 1)).join(F.broadcast(bin_of), [*keys, "_bin"]).groupBy(*keys, "_rest", "_r").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)  # distinct values of one bin
+    exact = inside.withColumn("_i", F.sum("_c").over(within)).where("_i >= _rest AND _i - _c < _rest").select(*keys, "_r")
     ends = F.when(F.col("_bin") < 0, F.lit(low)).otherwise(F.lit(high))
-    return bin_of.join(exact, F.lit(True), "left").select("n_train", F.coalesce("_r", ends).alias("m"))
-
-
-def limit_curve(df: DataFrame, y: str, horizons: Sequence[int], alphas: Sequence[float], split: int, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
-    """Calibrated limits over lead times and risk levels, one row for each."""
-    out = None
-    for h in horizons:
-        for alpha in alphas:
-            fc = usable(forecast_horizon(df, y, alpha, h, 1.0, window, vol_window), "var", "anchor")
-            cal = calibrate(fc, alpha, split)
-            lim = fc.join(F.broadcast(cal.select("m"))).groupBy("unit").agg((1 / F.avg(F.col("anchor") + F.col("m") * (F.col("var") - F.col("anchor"))) - 1).alias("lim"))
-            pct = lim.agg(F.percentile("lim", 0.1).alias("p10"), F.percentile("lim", 0.5).alias("median"), F.percentile("lim", 0.9).alias("p90"), F.min("lim").alias("worst"))
-            row = cal.join(F.broadcast(pct)).select(F.lit(h).alias("h"), F.lit(alpha).alias("alpha"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return bin_of.join(F.broadcast(exact), list(keys), "left").select(*keys, "n_train", F.coalesce("_r", ends).alias("m"))
+
+
+def horizon_forecasts(df: DataFrame, y: str, horizons: Sequence[int], alphas: Sequence[float], window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+    """forecast_horizon() for each lead and level as rows: h, alpha, unit, step, y, anchor, var, es. The windows of all leads
+    share one pass over the panel, and all levels of a lead one grouped map."""
+    d = df.select("unit", "step", F.col(y).alias("y"), *(lag(y, h).alias(f"_a{h}") for h in horizons))
+    d = d.withColumns({f"_d{h}": F.col("y") - F.col(f"_a{h}") for h in horizons})
+    d = d.withColumns({f"_s{h}": trailing("stddev_samp", f"_d{h}", vol_window, h) for h in horizons})
+    d = d.withColumns({f"_x{h}": S.ratio(f"_d{h}", f"_s{h}") for h in horizons}).withColumns({f"_p{h}": lag(f"_x{h}", h) for h in horizons})
+    leads = F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"_a{h}").alias("anchor"), F.col(f"_s{h}").alias("sigma"), F.col(f"_p{h}").alias("past")) for h in horizons))
+    tails = rolling_tails(d.select("unit", "step", "y", F.explode(leads).alias("l")).select("unit", "step", "y", "l.*"), "past", alphas, window, ("unit", "h"))
+    return tails.where("step % h = 0").select("h", "alpha", "unit", "step", "y", "anchor", *((F.col("anchor") + F.col("sigma") * F.col(c)).alias(n) for c, n in (("q", "var"), ("es", "es"))))
+
+
+def limit_curve(df: DataFrame, y: str, horizons: Sequence[int] = C.LIMIT_HORIZONS, alphas: Sequence[float] = C.LIMIT_ALPHAS, split: int = C.FLEET_SPLIT, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, start: int = 0) -> DataFrame:
+    """Calibrated limits over lead times and risk levels, one row for each, in one plan. Steps before `start` are left out."""
+    keys = ["h", "alpha"]
+    fc = usable(horizon_forecasts(df, y, horizons, alphas, window, vol_window), "var", "anchor").where(F.col("step") >= start)
+    cal = calibrate_by(fc, keys, split)
+    lim = fc.join(F.broadcast(cal.select(*keys, "m")), keys).groupBy(*keys, "unit").agg((1 / F.avg(F.col("anchor") + F.col("m") * (F.col("var") - F.col("anchor"))) - 1).alias("lim"))
+    pct = lim.groupBy(*keys).agg(F.percentile("lim", 0.1).alias("p10"), F.percentile("lim", 0.5).alias("median"), F.percentile("lim", 0.9).alias("p90"), F.min("lim").alias("worst"))
+    return cal.join(F.broadcast(pct), keys)

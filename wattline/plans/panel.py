@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline import adapters as A
@@ -21,6 +24,9 @@ from wattline.plans.capacity import r, rounded
 Y, P = "measured_power_util", "production_power_util"
 #: The synthetic panel is hourly: a day has 24 steps, a week 168.
 DAY, WEEK, SPLIT = 24, 168, 480
+#: Leads of the limit curve in hours, and the first step at which all its windows are full.
+LEADS = (1, 2, 3, 6, 12, 24)
+LIMIT_START = 3 * LEADS[-1] + DAY + WEEK
 POWER = A.POWER_SQL
 
 
@@ -98,15 +104,15 @@ def ramp_detection(s, d):
 
 
 def paired_models(s, d):
-    f = fleet_frame(s, d)
-    a, b = L.boost_per_unit(f, W.OWN, 1, SPLIT, rounds=20), L.ridge_per_unit(f, W.OWN, 1, SPLIT)
-    return E.paired_summary(L.compare_models(a, b.withColumn("pred", F.col("u"))))
+    """Boosted trees against persistence, unit by unit."""
+    pred = L.boost_per_unit(fleet_frame(s, d), W.OWN, 1, SPLIT)
+    return E.paired_summary(L.compare_models(pred, pred.withColumn("pred", F.col("u"))))
 
 
 def flag_detection(s, d):
     """Do residuals of rebuilt readings find flagged ones?"""
     z = L.residual_scores(virtual(s, d), SPLIT).join(power(s, d).select("unit", "step", F.col("bad_measurement_data").cast("int").alias("flag")), ["unit", "step"])
-    low, high = E.auc_interval(z, "flag", "z", draws=100)
+    low, high = E.auc_interval(z, "flag", "z")
     return E.auc(z, "flag", "z").select("auc", F.lit(low).alias("low"), F.lit(high).alias("high"))
 
 
@@ -117,7 +123,7 @@ def virtual(s, d):
 def gbt_ceiling(s, d):
     e = events_with_split(s, d).select("unit", "step", F.col("event").cast("double").alias("event"))
     x = VectorAssembler(inputCols=W.FLEET, outputCol="x").transform(fleet_frame(s, d).na.drop()).join(e, ["unit", "step"])
-    m = GBTClassifier(featuresCol="x", labelCol="event", maxIter=10, maxDepth=3, seed=0).fit(x.where(f"step < {SPLIT}"))
+    m = GBTClassifier(featuresCol="x", labelCol="event", maxIter=20, maxDepth=4, seed=0).fit(x.where(f"step < {SPLIT}"))
     p = m.transform(x.where(f"step >= {SPLIT}")).select(F.col("event").cast("int").alias("event"), vector_to_array("probability")[1].alias("p"))
     return E.auc(p, "event", "p").join(E.average_precision(p, "event", "p")).join(E.deviance_explained(p, "event", "p", 0.01))
 
@@ -125,30 +131,39 @@ def gbt_ceiling(s, d):
 def headroom(s, d):
     """Headroom predicted without the second channel, beside constant and naive baselines."""
     x = fleet_frame(s, d).withColumn("target", F.col("headroom"))
-    pred, _ = L.gbt_forecast(x.withColumn("u", F.col("u")), W.METER_ONLY, 1, SPLIT, trees=5, depth=3)
+    pred, _ = L.gbt_forecast(x, W.METER_ONLY, 1, SPLIT)
     base = x.where(f"step < {SPLIT}").groupBy("unit").agg(F.avg("headroom").alias("const"), F.avg("p").alias("mean_p"))
-    test = pred.join(x.select("unit", "step", "headroom", "badp"), ["unit", "step"]).join(F.broadcast(base), "unit").withColumns({"naive": F.col("u") - F.col("mean_p")})
+    test = pred.join(x.select("unit", "step", "headroom", "badp"), ["unit", "step"]).join(base, "unit").withColumns({"naive": F.col("u") - F.col("mean_p")})
     const = E.errors(test, "headroom", "const", ["badp"]).select("badp", F.col("mae").alias("mae_const"))
     naive = E.errors(test, "headroom", "naive", ["badp"]).select("badp", F.col("mae").alias("mae_naive"))
     model = E.errors(test, "y", "pred", ["badp"]).select("badp", F.col("mae").alias("mae_model"))
     return const.join(naive, "badp").join(model, "badp")
 
 
-def ridge_errors(s, d):
-    f = fleet_frame(s, d)
-    solo, wide = L.ridge_per_unit(f, W.OWN, 1, SPLIT), L.ridge_per_unit(f, W.FLEET, 1, SPLIT)
-    persist = solo.withColumn("pred", F.col("u"))
-    parts = [E.errors(x, "y", "pred").select(F.lit(n).alias("model"), "*") for n, x in (("persistence", persist), ("ridge_solo", solo), ("ridge_fleet", wide))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+#: What the ablation compares: own history alone, and with the other units; at all leads.
+MODELS = {"persistence": ("persistence", ["u"]), "ridge_solo": ("ridge", W.OWN), "ridge_fleet": ("ridge", W.FLEET), "boost_solo": ("boost", W.OWN), "boost_fleet": ("boost", W.FLEET)}
+
+
+def ablation(s, d, *kinds):
+    models = {k: v for k, v in MODELS.items() if v[0] in kinds}
+    return L.skill_table(L.ablation_forecasts(fleet_frame(s, d), models, C.FLEET_HORIZONS, SPLIT))
 
 
 def gbt_errors(s, d):
-    pred, _ = L.gbt_forecast(fleet_frame(s, d), W.FLEET, 1, SPLIT, trees=5, depth=3)
-    return E.errors(pred, "y", "pred")
+    """One boosted model over all units at each lead."""
+    f = fleet_frame(s, d)
+    parts = [E.errors(L.gbt_forecast(f, W.FLEET, h, SPLIT)[0], "y", "pred").select(F.lit(h).alias("h"), "*") for h in C.FLEET_HORIZONS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def importances(s, d):
+    """What the boosted model over all units looks at."""
+    found = L.gbt_forecast(fleet_frame(s, d), W.FLEET, 1, SPLIT)[1]
+    return s.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(found)], "rank int, feature string, importance double")
 
 
 def faults(s, d):
-    return L.inject_faults(L.residual_scores(virtual(s, d), SPLIT), SPLIT, A.STEPS, range(0, 200, 20), (0.0, 0.05, 0.2, 0.5), 24, 1 / DAY, None)
+    return L.inject_faults(L.residual_scores(virtual(s, d), SPLIT), SPLIT, A.STEPS, range(0, 200, 200 // C.FAULT_ONSETS), (0.0, 0.05, 0.1, 0.2, 0.5), 24, 1 / DAY, None)
 
 
 def points(s, d):
@@ -157,7 +172,7 @@ def points(s, d):
 
 def segments(s, d):
     sig = L.signature(power(s, d).withColumn("tod", F.col("step") % 24)).withColumn("cell", F.split("unit", "/")[0])
-    return L.kmeans_scan(L.standardized(sig, [c for c in sig.columns if c not in ("unit", "cell")]), "v", "unit", "cell", (2, 3))
+    return L.segment_scan(L.standardized(sig, [c for c in sig.columns if c not in ("unit", "cell")]), "v", "unit", "cell", range(2, A.UNITS))
 
 
 def numbers(s, d):
@@ -196,17 +211,18 @@ QUERIES = {
     "fhs_ar": lambda s, d: rounded(forecast(s, d, "fhs_ar").select("unit", "step", "var", "es")),
     "fhs_horizon": lambda s, d: rounded(horizon(s, d).select("unit", "step", "var", "es")),
     "calibrate_multiplier": lambda s, d: rounded(T.calibrate(horizon(s, d), 0.95, SPLIT)),
-    "limit_curve": lambda s, d: rounded(T.limit_curve(power(s, d), Y, (1, 3), (0.95,), SPLIT, WEEK, DAY)),
+    "limit_curve": lambda s, d: rounded(T.limit_curve(power(s, d), Y, LEADS, C.LIMIT_ALPHAS, SPLIT, WEEK, DAY, LIMIT_START)),
     "kupiec": lambda s, d: rounded(B.kupiec(tests(s, d), 0.95).select("unit", "n", "x", "expected", "rate", "kupiec_lr")),
     "christoffersen": lambda s, d: rounded(B.christoffersen(tests(s, d)).select("unit", "n00", "n01", "n10", "n11", "ind_lr")),
     "cond_coverage": lambda s, d: rounded(B.conditional_coverage(tests(s, d), 0.95).select("unit", "cc_lr", "cc_p")),
     "basel_zone": lambda s, d: rounded(B.basel_zone(tests(s, d), 0.95).select("unit", "recent_x", "cum_prob", "basel_zone")),
     "es_z2": lambda s, d: rounded(B.es_z2(tests(s, d), 0.95).select("unit", "es_z2")),
-    "backtest_panel": lambda s, d: rounded(B.p_values(B.backtest_panel(forecast(s, d, "fhs_ar"), 0.95, bootstrap=True))),
+    "backtest_panel": lambda s, d: rounded(B.p_values(B.backtest_panel(forecast(s, d, "fhs_ar"), 0.95))),
+    "es_bootstrap": lambda s, d: rounded(B.es_p_values(B.breaches(forecast(s, d, "fhs_ar")), 0.95)),
     "backtest_pooled": lambda s, d: rounded(B.backtest_panel(forecast(s, d, "fhs"), 0.95).where("unit = 'ALL/POOLED'").select("n", "x", "n00", "n01", "n10", "n11", "recent_x", "kupiec_lr", "ind_lr")),
     "clustering_stats": lambda s, d: rounded(B.clustering_stats(forecast(s, d, "empirical"), 0.95)),
     "episodes": lambda s, d: W.episodes(power(s, d), "bad_measurement_data"),
-    "global_episodes": lambda s, d: W.global_episodes(power(s, d).where("pdu != 'pdu4'"), "bad_production_power_data"),
+    "global_episodes": lambda s, d: W.global_episodes(power(s, d), "bad_measurement_data"),
     "frozen_rate": lambda s, d: rounded(R.frozen_rates(power(s, d))),
     "observability": lambda s, d: rounded(R.observability(power(s, d))),
     "cappable_share": lambda s, d: rounded(R.cappable_share(power(s, d))),
@@ -218,7 +234,7 @@ QUERIES = {
     "reserve_inflation": lambda s, d: rounded(L.reserve_inflation(power(s, d), Y, 1)),
     "diversity_factor": lambda s, d: rounded(L.diversity_factor(power(s, d), Y)),
     "share_up": lambda s, d: rounded(L.share_up(power(s, d), Y)),
-    "engine_conversion": lambda s, d: rounded(L.engine_conversion(power(s, d), Y, (1, 3), DAY)),
+    "engine_conversion": lambda s, d: rounded(L.engine_conversion(power(s, d), Y, C.FLEET_HORIZONS, DAY)),
     "smoothed_rate": lambda s, d: rounded(W.smoothed_rates(events_with_split(s, d).where(f"step < {SPLIT}"), "event", "tod", 24)),
     "deviance_explained": lambda s, d: rounded(E.deviance_explained(clock_scores(s, d), "event", "rate", "prior")),
     "spike_after_spike": lambda s, d: rounded(W.event_after_event(events_with_split(s, d).where(f"step >= {SPLIT}"), "event")),
@@ -227,15 +243,17 @@ QUERIES = {
     "average_precision": lambda s, d: rounded(E.average_precision(labels(s, d), "quality", "score")),
     "precision_at_n": lambda s, d: rounded(E.precision_at_n(labels(s, d), "quality", "score", "doc_id")),
     "wilcoxon_paired": lambda s, d: rounded(E.wilcoxon(power(s, d).select((F.round((F.col(Y) - F.col(P)) * 1000) - 160).alias("diff")), "diff")),
-    "ridge_per_unit": lambda s, d: rounded(ridge_errors(s, d)),
+    "ridge_per_unit": lambda s, d: rounded(ablation(s, d, "persistence", "ridge")),
+    "forecast_ablation": lambda s, d: rounded(ablation(s, d, "persistence", "ridge", "boost")),
     "gbt_forecast": lambda s, d: rounded(gbt_errors(s, d)),
+    "importances": lambda s, d: rounded(importances(s, d)),
     "virtual_sensor": lambda s, d: rounded(E.errors(virtual(s, d).where(f"step >= {SPLIT}"), "y", "pred", ["unit"])),
     "fault_injection": lambda s, d: rounded(faults(s, d)),
     "gbt_ceiling": lambda s, d: rounded(gbt_ceiling(s, d)),
     "meter_only_headroom": lambda s, d: rounded(headroom(s, d)),
     "silhouette_euclid": lambda s, d: rounded(E.silhouette(points(s, d), "v", "label", "vec_id")),
     "adjusted_rand": lambda s, d: rounded(E.adjusted_rand(points(s, d), "label", "g")),
-    "kmeans_scan": lambda s, d: rounded(L.kmeans_scan(points(s, d), "v", "vec_id", "label", (5, 10))),
+    "kmeans_scan": lambda s, d: rounded(L.kmeans_scan(points(s, d), "v", "vec_id", "label", range(2, 11))),
     "segmentation": lambda s, d: rounded(segments(s, d)),
     "describe": lambda s, d: rounded(E.describe(power(s, d), [Y, P])),
     "wide_panel": lambda s, d: rounded(L.wide_panel(power(s, d), Y, ["a/pdu0", "b/pdu1", "c/mvpp5"]), 9),
@@ -245,7 +263,7 @@ QUERIES = {
     "ramp_detection": lambda s, d: rounded(ramp_detection(s, d)),
     "paired_models": lambda s, d: rounded(paired_models(s, d)),
     "flag_detection": lambda s, d: rounded(flag_detection(s, d)),
-    "boost_per_unit": lambda s, d: rounded(E.errors(L.boost_per_unit(fleet_frame(s, d), W.OWN, 1, SPLIT, rounds=20), "y", "pred")),
+    "boost_per_unit": lambda s, d: rounded(ablation(s, d, "persistence", "boost")),
     "scalar_functions": lambda s, d: rounded(numbers(s, d)),
     "enum_decode": enums,
     "constraint_match": constraints,
@@ -300,7 +318,62 @@ FF = f"""o AS (SELECT unit, cell, step, u, p, badp::INTEGER::DOUBLE AS badp, sin
         ff AS (SELECT *, avg(u) OVER s AS fleet_mean, stddev_samp(u) OVER s AS fleet_std, avg(d1) OVER s AS fleet_d1, avg(u) OVER c AS cell_mean, avg(d1) OVER c AS cell_d1, u - avg(u) OVER s AS rel_to_fleet FROM o WINDOW s AS (PARTITION BY step), c AS (PARTITION BY step, cell))"""
 FLEET_COLS = [c for c in W.FLEET if c != "dow"]
 
+def erfc_sql(z: str) -> str:
+    """S.erfc() in SQL."""
+    t, poly = f"(1 / (1 + ({z}) / 2))", str(S.ERFC[-1])
+    for c in reversed(S.ERFC[:-1]):
+        poly = f"({c} + {t} * {poly})"
+    return f"{t} * exp(-({z}) * ({z}) + {poly})"
+
+
+def chi2_sql(x: str) -> str:
+    return erfc_sql(f"sqrt(greatest({x}, 0.0) / 2)")
+
+
+FHS_AR = f"""a AS (SELECT unit, step, u, lag(u) OVER w AS anchor, u - lag(u) OVER w AS d, lag(u) OVER w - lag(u, 2) OVER w AS d1 FROM power {W0}), b AS (SELECT *, d * d1 AS num, d1 * d1 AS den FROM a),
+        p AS (SELECT *, least(0.99, greatest(-0.99, coalesce({frame('sum', 'num', WEEK)} / nullif({frame('sum', 'den', WEEK)}, 0), 0))) AS phi FROM b), q AS (SELECT *, d - phi * d1 AS resid, anchor + phi * d1 AS center FROM p),
+        g AS (SELECT *, {frame('stddev_samp', 'resid', DAY)} AS sigma FROM q), zs AS (SELECT *, resid / nullif(sigma, 0) AS z FROM g),
+        e AS (SELECT unit, step, u, center + sigma * {tail_sql('z')[0]} AS var, center + sigma * {tail_sql('z')[1]} AS es, count(z) OVER (PARTITION BY unit ORDER BY step ROWS BETWEEN {WEEK} PRECEDING AND 1 PRECEDING) AS held FROM zs),
+        f AS (SELECT * FROM e WHERE step >= {WEEK + 2 * DAY} AND held = {WEEK} AND var IS NOT NULL AND es IS NOT NULL)"""
+ZONE = f"(SELECT least(1.0, sum(exp(lgamma(recent_n + 1) - lgamma(k + 1) - lgamma(recent_n - k + 1) + k * ln(0.05) + (recent_n - k) * ln(0.95)))) FROM range({B.RECENT + 1}) AS t(k) WHERE k <= recent_x)"
+
+
+def pooled_sql(f: str) -> str:
+    """A forecast's units, and all of them as one series."""
+    return f.replace("f AS (", "f0 AS (") + ", f AS (SELECT unit, step, u, var, es FROM f0 UNION ALL SELECT 'ALL/POOLED', row_number() OVER (ORDER BY unit, step), u, var, es FROM f0)"
+
+
+def limit_sql() -> str:
+    """Forecasts of all leads and levels as rows, then what calibrate_by() and limit_curve() say, group by group."""
+    parts, rows, nan = [], [], "coalesce(z, 'nan'::DOUBLE)"  # missing values sort last
+    for h in LEADS:
+        parts.append(f"""a{h} AS (SELECT unit, step, u, lag(u, {h}) OVER w AS anchor, u - lag(u, {h}) OVER w AS d FROM power {W0}), b{h} AS (SELECT *, {frame('stddev_samp', 'd', DAY, h)} AS sigma FROM a{h}), z{h} AS (SELECT *, d / nullif(sigma, 0) AS z FROM b{h})""")
+        rows += [f"SELECT {h} AS h, {alpha}::DOUBLE AS alpha, unit, step, u, anchor, anchor + sigma * list_sort(list({nan}) OVER (PARTITION BY unit ORDER BY step ROWS BETWEEN {h + WEEK - 1} PRECEDING AND {h} PRECEDING))[{T.rank_in_window(alpha, WEEK) + 1}] AS var FROM z{h}" for alpha in C.LIMIT_ALPHAS]
+    return f"""WITH {POWER}, {', '.join(parts)}, f AS (SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE step >= {LIMIT_START} AND step % h = 0 AND var IS NOT NULL AND NOT isnan(var)),
+        d AS (SELECT *, var - anchor AS spread, CASE WHEN var > anchor THEN (u - anchor) / (var - anchor) WHEN u > anchor THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS ratio FROM f),
+        t AS (SELECT h, alpha, ratio, row_number() OVER (PARTITION BY h, alpha ORDER BY ratio) AS i, count(*) OVER (PARTITION BY h, alpha) AS n FROM d WHERE step < {SPLIT}),
+        m AS (SELECT h, alpha, least(4.0, greatest(0.5, max(ratio))) AS m, any_value(n) AS n_train FROM t WHERE i = greatest(1, n - floor((1.0 - alpha) * n + 1e-9)) GROUP BY ALL),
+        v AS (SELECT h, alpha, any_value(m) AS m, any_value(n_train) AS n_train, count(*) AS n_test, avg(CAST(u > anchor + spread AS INTEGER)) AS raw, avg(CAST(u > anchor + m * spread AS INTEGER)) AS cal, count(DISTINCT unit) AS units FROM d JOIN m USING (h, alpha) WHERE step >= {SPLIT} GROUP BY h, alpha),
+        z AS (SELECT *, raw * n_test / greatest(1, units) AS per, abs(cal - (1 - alpha)) / (1 - alpha) AS err FROM v),
+        l AS (SELECT h, alpha, unit, 1 / avg(anchor + m * spread) - 1 AS lim FROM d JOIN m USING (h, alpha) GROUP BY ALL), p AS (SELECT h, alpha, quantile_cont(lim, 0.1) AS p10, quantile_cont(lim, 0.5) AS p50, quantile_cont(lim, 0.9) AS p90, min(lim) AS worst FROM l GROUP BY ALL)
+        SELECT h, {r('alpha', 'alpha')}, {r('m', 'm')}, n_train, n_test, {r('raw', 'raw_test')}, {r('cal', 'cal_test')}, {r('per', 'breaches_per_unit')}, {r('err', 'rel_error')}, CASE WHEN per >= 5 AND err <= 0.15 THEN 'validated' WHEN per >= 2 AND err <= 0.30 THEN 'marginal' ELSE 'underpowered' END AS verdict,
+          {r('p10', 'p10')}, {r('p50', 'median')}, {r('p90', 'p90')}, {r('worst', 'worst')} FROM z JOIN p USING (h, alpha)"""
+
+
+CLOCK_KEYS = {"half_day": "tod // 12", "hour": "tod", "hour_x_weekend": "tod + 24 * CAST(dow >= 5 AS INTEGER)", "hour_x_dow": "tod + 24 * dow"}
+CLOCK_SQL = f"""k AS (SELECT *, step // 24 % 7 AS dow FROM ev), x AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, unit, step, event AS y, {k} AS key FROM k" for n, k in CLOCK_KEYS.items())}),
+        pr AS (SELECT feature, avg(y) AS prior FROM x WHERE step < {SPLIT} GROUP BY 1), rt AS (SELECT feature, key, sum(y) AS hits, count(*) AS n FROM x WHERE step < {SPLIT} GROUP BY 1, 2),
+        sc AS (SELECT x.feature, CASE WHEN step < {SPLIT} THEN 'train' ELSE 'test' END AS part, y, prior, (coalesce(hits, 0) + 20 * prior) / (coalesce(n, 0) + 20) AS p FROM x JOIN pr USING (feature) LEFT JOIN rt USING (feature, key)),
+        dv AS (SELECT feature, part, 1 - sum(y * ln(p) + (1 - y) * ln(1 - p)) / sum(y * ln(prior) + (1 - y) * ln(1 - prior)) AS dev FROM sc GROUP BY 1, 2), g AS (SELECT feature, part, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY 1, 2, 3),
+        au AS (SELECT feature, part, sum(pos * (coalesce(below, 0) + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, sum(neg) OVER (PARTITION BY feature, part ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g) GROUP BY 1, 2)"""
+RAMPS = " UNION ALL ".join(f"SELECT {k} AS h, step, (u - lag(u, {k}) OVER (ORDER BY step)) * 1000 AS mw FROM site" for k in C.FLEET_HORIZONS)
+
 ORACLES = {
+    "backtest_panel": f"""WITH {POWER}, {pooled_sql(FHS_AR)}, {BREACH}, y AS (SELECT *, {KUPIEC} AS uc, {IND} AS ind, {ZONE} AS cum FROM c)
+        SELECT unit, n, x, n00, n01, n10, n11, recent_x, recent_n, {r('es_sum', 'es_sum')}, {r('n * (1 - 0.95)', 'expected')}, {r('x / n', 'rate')}, {r('uc', 'kupiec_lr')}, {r('ind', 'ind_lr')}, {r('uc + ind', 'cc_lr')}, {r('exp(-(uc + ind) / 2)', 'cc_p')}, {r('cum', 'cum_prob')},
+          CASE WHEN cum < 0.95 THEN 'green' WHEN cum < 0.9999 THEN 'yellow' ELSE 'red' END AS basel_zone, {r('CASE WHEN x > 0 THEN es_sum / (n * 0.05) - 1 END', 'es_z2')}, {r(chi2_sql('uc'), 'kupiec_p')}, {r(chi2_sql('ind'), 'ind_p')} FROM y""",
+    "limit_curve": limit_sql(),
+    "clock_resolutions": f"WITH {POWER}, {EVENTS}, {CLOCK_SQL} SELECT feature, part, {r('dev', 'deviance_explained')}, {r('auc', 'auc')} FROM dv JOIN au USING (feature, part)",
     "lag_diff_features": f"WITH {POWER} SELECT unit, step, {LAGS} FROM power {W0}",
     "trailing_stats": f"""WITH {POWER}, x AS (SELECT unit, step, {frame('avg', 'u', 12)} AS a, {frame('stddev_samp', 'u', 12)} AS b, {frame('avg', 'u', DAY)} AS c, {frame('max', 'u', DAY)} AS m, {frame('stddev_samp', 'u', DAY)} AS e FROM power)
         SELECT unit, step, {r('a', 'roll_mean_1h', 9)}, {r('b', 'roll_std_1h', 9)}, {r('c', 'roll_mean_1d', 9)}, {r('m', 'roll_max_1d', 9)}, {r('e', 'roll_std_1d', 9)}, {r('b / e', 'vol_ratio', 9)} FROM x WHERE c IS NOT NULL AND e > 0""",
@@ -332,7 +405,7 @@ ORACLES = {
         z AS (SELECT *, raw * n_test / greatest(1, units) AS per, abs(cal - (1 - 0.95)) / (1 - 0.95) AS err FROM v)
         SELECT {r('m', 'm')}, n_train, n_test, {r('raw', 'raw_test')}, {r('cal', 'cal_test')}, {r('per', 'breaches_per_unit')}, {r('err', 'rel_error')}, CASE WHEN per >= 5 AND err <= 0.15 THEN 'validated' WHEN per >= 2 AND err <= 0.30 THEN 'marginal' ELSE 'underpowered' END AS verdict FROM z""",
     "episodes": f"WITH {POWER}, {ISLANDS('power', 'cell, pdu', 'badm')} SELECT cell, pdu, count(*) AS n_intervals, min(ts) AS start, max(ts) AS \"end\" FROM ru WHERE badm GROUP BY cell, pdu, run",
-    "global_episodes": f"WITH {POWER}, g AS (SELECT step, ts, bool_or(badp) AS badp, 1 AS k FROM power WHERE pdu != 'pdu4' GROUP BY 1, 2), {ISLANDS('g', 'k', 'badp')} SELECT count(*) AS n_intervals, min(ts) AS start, max(ts) AS \"end\" FROM ru WHERE badp GROUP BY run",
+    "global_episodes": f"WITH {POWER}, g AS (SELECT step, ts, bool_or(badm) AS badm, 1 AS k FROM power GROUP BY 1, 2), {ISLANDS('g', 'k', 'badm')} SELECT count(*) AS n_intervals, min(ts) AS start, max(ts) AS \"end\" FROM ru WHERE badm GROUP BY run",
     "frozen_rate": f"""WITH {POWER}, x AS (SELECT badm, badp, CAST(u < p AS INTEGER) AS v, CAST(coalesce(u = lag(u) OVER w, false) AS INTEGER) AS f FROM power {W0}),
         l AS (SELECT 'bad_measurement_data' AS flag, badm AS value, v, f FROM x UNION ALL SELECT 'bad_production_power_data', badp, v, f FROM x) SELECT flag, value, {r('avg(v)', 'p_violation')}, {r('avg(f)', 'p_frozen')}, count(*) AS n FROM l GROUP BY 1, 2""",
     "observability": f"WITH {POWER}, {CAP} SELECT unit, {r('obs_score', 'obs_score')}, n FROM ob",
@@ -358,7 +431,7 @@ ORACLES = {
     "average_precision": f"WITH {LABELS}, g AS (SELECT score, sum(quality) AS p, count(*) AS n FROM lab GROUP BY 1), k AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k FROM g) SELECT {r('sum(p * tp / k) / sum(p)', 'average_precision')} FROM k",
     "precision_at_n": f"WITH {LABELS}, x AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM lab) SELECT {r('avg(quality)', 'precision_at_n')}, count(*) AS n FROM x WHERE rn <= (SELECT sum(quality) FROM lab)",
     "wilcoxon_paired": f"""WITH {POWER}, d AS (SELECT round((u - p) * 1000) - 160 AS d FROM power), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY abs(d)) AS t FROM d WHERE d != 0),
-        s AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS w, sum(t::DOUBLE * t - 1) AS ties FROM k) SELECT n, {r('w', 'w_plus')}, {r('(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)', 'z')} FROM s""",
+        s AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS w, sum(t::DOUBLE * t - 1) AS ties FROM k) SELECT n, {r('w', 'w_plus')}, {r('z', 'z')}, {r(chi2_sql('z * z'), 'p_value')} FROM (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)""",
     "silhouette_euclid": f"""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS d FROM q a JOIN q b ON a.vec_id != b.vec_id GROUP BY 1, 2, 3),
         o AS (SELECT vec_id, max(d) FILTER (la = lb) AS own, min(d) FILTER (la != lb) AS other FROM m GROUP BY 1) SELECT {r('avg(coalesce((other - own) / greatest(own, other), 0))', 'silhouette')} FROM o""",
     "adjusted_rand": f"""WITH q AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM q GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM q GROUP BY a)) AS pa,
@@ -370,14 +443,10 @@ ORACLES = {
         SELECT 3 AS h, {r('act * 3000', 'actual_mw')}, {r('ind * 3000', 'independent_mw')}, {r('(act - ind) * 3000 / 9.6', 'short_engines')} FROM fl, un""",
     "tod_step_r2": f"""WITH {POWER}, {EVENTS}, pf AS (SELECT unit, tod, avg(rise) AS profile FROM rise WHERE step < {SPLIT} GROUP BY 1, 2), x AS (SELECT rise AS y, profile AS p FROM rise JOIN pf USING (unit, tod) WHERE step >= {SPLIT})
         SELECT {r('avg(abs(y - p))', 'mae')}, {r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {r('1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(y))', 'r2')}, {r('quantile_cont(abs(y - p), 0.95)', 'p95_abs_err')} FROM x""",
-    "engine_conversion": f"""WITH {POWER}, site AS (SELECT step, avg(u) AS u FROM power GROUP BY 1), ramps AS (SELECT 1 AS h, step, (u - lag(u) OVER (ORDER BY step)) * 1000 AS mw FROM site UNION ALL SELECT 3, step, (u - lag(u, 3) OVER (ORDER BY step)) * 1000 FROM site)
+    "engine_conversion": f"""WITH {POWER}, site AS (SELECT step, avg(u) AS u FROM power GROUP BY 1), ramps AS ({RAMPS})
         SELECT h, {r('stddev_samp(mw)', 'sd_mw')}, {r('quantile_cont(mw, 0.99) FILTER (mw > 0)', 'p99_mw')}, {r('quantile_cont(mw, 0.999) FILTER (mw > 0)', 'p999_mw')}, {r('max(mw)', 'max_mw')}, {r('max(mw) / 9.6', 'max_engines')},
           {r(f'count(*) FILTER (step % h = 0 AND mw >= 9.6) / (count(*) FILTER (step % h = 0) * h / {DAY})', 'one_per_day')}, {r(f'7 * count(*) FILTER (step % h = 0 AND mw >= 19.2) / (count(*) FILTER (step % h = 0) * h / {DAY})', 'two_per_week')} FROM ramps WHERE mw IS NOT NULL GROUP BY h""",
-    "fhs_ar": f"""WITH {POWER}, a AS (SELECT unit, step, u, lag(u) OVER w AS anchor, u - lag(u) OVER w AS d, lag(u) OVER w - lag(u, 2) OVER w AS d1 FROM power {W0}), b AS (SELECT *, d * d1 AS num, d1 * d1 AS den FROM a),
-        p AS (SELECT *, least(0.99, greatest(-0.99, coalesce({frame('sum', 'num', WEEK)} / nullif({frame('sum', 'den', WEEK)}, 0), 0))) AS phi FROM b), q AS (SELECT *, d - phi * d1 AS resid, anchor + phi * d1 AS center FROM p),
-        g AS (SELECT *, {frame('stddev_samp', 'resid', DAY)} AS sigma FROM q), zs AS (SELECT *, resid / nullif(sigma, 0) AS z FROM g),
-        e AS (SELECT unit, step, center + sigma * {tail_sql('z')[0]} AS var, center + sigma * {tail_sql('z')[1]} AS es, count(z) OVER (PARTITION BY unit ORDER BY step ROWS BETWEEN {WEEK} PRECEDING AND 1 PRECEDING) AS held FROM zs)
-        SELECT unit, step, {r('var', 'var')}, {r('es', 'es')} FROM e WHERE step >= {WEEK + 2 * DAY} AND held = {WEEK} AND var IS NOT NULL AND es IS NOT NULL""",
+    "fhs_ar": f"WITH {POWER}, {FHS_AR} SELECT unit, step, {r('var', 'var')}, {r('es', 'es')} FROM f",
     "scalar_functions": f"""SELECT x, (SELECT {r('least(1.0, sum(exp(lgamma(251) - lgamma(k + 1) - lgamma(251 - k) + k * ln(0.01) + (250 - k) * ln(0.99))))', 'b')} FROM range(16) AS t(k) WHERE k <= x) AS binom, {r('CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END', 'xlogx')}, {r('exp(-x / 2)', 'chi2_2')},
         CAST(round(x / 4 - 2) AS BIGINT) AS rounded, CAST(floor((x - 8) / 5) AS BIGINT) AS bucket FROM range(16) AS q(x)""",
     "enum_decode": f"WITH {A.USAGE_SQL} SELECT type, CASE type WHEN 0 THEN 'SUBMIT' WHEN 3 THEN 'SCHEDULE' END AS name, count(*) AS n FROM instance_events GROUP BY 1",

@@ -21,7 +21,7 @@ def wall_clock(s, d):
 def missing_objects(s, d):
     have = A.table(s, d, "nation").selectExpr("concat('a/', n_name) AS path", "CAST(n_nationkey AS bigint) AS length").where("length % 3 != 0")
     want = A.table(s, d, "nation").selectExpr("concat('b/', n_name) AS path", "CAST(n_nationkey + IF(n_nationkey % 5 = 0, 1, 0) AS bigint) AS length")
-    return R.changed(have, want).select("path", "length", F.coalesce("held", F.lit(-1)).alias("held"))
+    return R.changed(have, want, "a", "b").select("path", "length", F.coalesce("held", F.lit(-1)).alias("held"))
 
 
 def sessions(s, d):

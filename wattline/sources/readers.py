@@ -70,16 +70,17 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def changed(have: DataFrame, want: DataFrame) -> DataFrame:
-    """Objects to fetch again: missing here, or of another length (what an idempotent ingest copies)."""
-    name = lambda df: df.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    mine = name(have).selectExpr("name", "length AS held")
-    return name(want).join(mine, "name", "left").where("held IS NULL OR held != length").select("path", "length", "held")
+def changed(have: DataFrame, want: DataFrame, have_root: str = "", want_root: str = "") -> DataFrame:
+    """Objects to fetch again: missing here, or of another length (what an idempotent ingest copies). Objects are the same
+    if their paths below the two roots are."""
+    below = lambda df, root: df.withColumn("name", F.regexp_replace(F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path")), "^/+", ""))
+    mine = below(have, have_root).selectExpr("name", "length AS held")
+    return below(want, want_root).join(mine, "name", "left").where("held IS NULL OR held != length").select("path", "length", "held")
 
 
-def require_whole(have: DataFrame, want: DataFrame) -> None:
+def require_whole(have: DataFrame, want: DataFrame, have_root: str = "", want_root: str = "") -> None:
     """Fail loudly on a truncated copy."""
-    bad = [r.path for r in changed(have, want).limit(5).collect()]
+    bad = [r.path for r in changed(have, want, have_root, want_root).limit(5).collect()]
     if bad:
         raise ValueError(f"missing or truncated: {bad}")
 
@@ -92,6 +93,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_results(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A table of write_csv() with the columns and types of `like`."""
+    return spark.read.schema(like.schema).option("header", True).csv(path)
+
+
+def pick(df: DataFrame, **values: object) -> DataFrame:
+    """Rows that have all these values; None picks nulls."""
+    for name, value in values.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
+def smallest(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows first in order of `by`, nulls last: a top-n, no global sort."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in by)).limit(n)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
