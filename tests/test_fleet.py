@@ -112,3 +112,32 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbled").count() == tumbling(events).count()
+
+
+def test_trace_tables_and_sinks(spark, tmp_path):
+    """Partitioned tables, records in JSON, results written and read back, rows picked."""
+    root = f"file://{tmp_path}/trace"
+    power = spark.createDataFrame([(600, "a", "pdu1", 0.5, 0.4, False, True), (900, "a", "mvpp2", 0.6, 0.4, False, False), (600, "b", "pdu1", 0.7, None, True, False)], "time long, cell string, pdu string, u double, p double, m boolean, b boolean")
+    R.write_partitioned(power, f"{root}/power", "cell", "pdu")
+    assert R.trace_table(spark, root, "power").count() == 3 and R.trace_table(spark, root, "power", "a").count() == 2
+    assert [r.u for r in R.power_table(spark, root, "a", "pdu").collect()] == [0.5] and R.power_table(spark, root, pdu_prefix="pdu").count() == 2
+    plan = R.power_table(spark, root, "a", "pdu")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan
+    (tmp_path / "events.json").write_text('{"time": 1, "machine_id": 7, "type": 1, "capacity": {"cpus": 0.5, "memory": 0.25}}\n{"time": 2, "machine_id": 7, "extra": 1}\n')
+    events = R.read_json_records(spark, f"file://{tmp_path}/events.json", "machine_events").orderBy("time").collect()
+    assert events[0].capacity.cpus == 0.5 and events[1].capacity is None and events[1].platform_id is None
+    result = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "unit string, n int, x double")
+    R.write_csv(result, f"file://{tmp_path}/result")
+    again = R.read_results(spark, f"file://{tmp_path}/result", result)
+    assert again.dtypes == result.dtypes and sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, result.collect()), key=str)
+    R.write_json(result, f"file://{tmp_path}/json")
+    assert spark.read.schema(result.schema).json(f"file://{tmp_path}/json").count() == 2
+    assert [r.n for r in R.pick(result, unit="b", x=None).collect()] == [2] and R.pick(result, unit="b", n=1).count() == 0
+    assert [r.unit for r in R.smallest(result, 1, "x", "n").collect()] == ["a"]
+
+
+def test_equal_names_in_two_folders_are_two_objects(spark):
+    have = spark.createDataFrame([("/copy/a/x", 1), ("/copy/b/x", 2)], "path string, length long")
+    want = spark.createDataFrame([("/from/a/x", 1), ("/from/b/x", 3), ("/from/c/x", 2)], "path string, length long")
+    got = sorted((r.path, r.held) for r in R.changed(have, want, "/copy", "/from").collect())
+    assert got == [("/from/b/x", 2), ("/from/c/x", None)]

@@ -1,6 +1,6 @@
 """The trace roles on the driver's synthetic tables (and their DuckDB twins for the oracles).
 
-All values are small whole numbers or binary fractions, so that sums agree in any order.
+Values are whole numbers, binary fractions or the same few operations on both sides.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hours of the synthetic power panel, and its number of units.
+#: Hours that the synthetic power panel has at least (it goes on to the last event), and its number of units.
 STEPS, UNITS = 720, 6
 
 
@@ -51,14 +51,15 @@ def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An hourly panel of six units without gaps: an hour without events is a flagged reading.
     Unit 0 is never flagged, unit 4 always."""
     hour = "timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
-    seen = table(spark, sf_dir, "events").selectExpr(f"user_id % {UNITS} AS k", f"{hour} AS step", "CAST(round(value * 100) AS bigint) AS cents").groupBy("k", "step").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"))
-    grid = spark.range(UNITS * STEPS).selectExpr(f"id % {UNITS} AS k", f"id DIV {UNITS} AS step")
+    events = table(spark, sf_dir, "events")
+    seen = events.selectExpr(f"user_id % {UNITS} AS k", f"{hour} AS step", "CAST(round(value * 100) AS bigint) AS cents").groupBy("k", "step").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"))
+    grid = events.selectExpr(f"max({hour}) AS last").selectExpr(f"explode(sequence(0L, greatest({STEPS - 1}L, coalesce(last, 0L)))) AS step").selectExpr("step", f"explode(sequence(0L, {UNITS - 1}L)) AS k")
     rows = grid.join(seen, ["k", "step"], "left")
+    load = "0.3D + coalesce(cents, 0L) / (coalesce(cents, 0L) + 200000D) * 0.6D"  # every event counts, and a ratio stays below 1
     return rows.selectExpr(
         "chr(97 + CAST(k % 3 AS int)) AS cell", "concat(IF(k = 5, 'mvpp', 'pdu'), k) AS pdu", "concat(chr(97 + CAST(k % 3 AS int)), '/', IF(k = 5, 'mvpp', 'pdu'), k) AS unit", "step",
         "600000000 + step * 3600000000 AS time", "timestampadd(HOUR, CAST(step AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts",
-        "0.3D + least(coalesce(cents, 0L), 200000L) / 400000D AS measured_power_util",
-        "(0.3D + least(coalesce(cents, 0L), 200000L) / 400000D) * 0.5D + coalesce(n, 0L) % 4 * 0.05D AS production_power_util",
+        f"{load} AS measured_power_util", f"({load}) * 0.5D + coalesce(n, 0L) % 4 * 0.05D AS production_power_util",
         "n IS NULL AS bad_measurement_data", "k = 4 OR (k != 0 AND coalesce(n, 0L) < 2) AS bad_production_power_data",
     )
 
@@ -76,9 +77,10 @@ MACHINES_SQL = """machine_events AS (SELECT s_suppkey AS machine_id, k.k, CASE W
 one_mapping AS (SELECT s_suppkey AS machine_id, 'pdu' || (s_suppkey % 6) AS pdu, chr(CAST(97 + n_regionkey % 2 AS INTEGER)) AS cell FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 mapping AS (SELECT * FROM one_mapping UNION ALL SELECT * FROM one_mapping WHERE machine_id % 10 = 0)"""
 POWER_SQL = f"""seen AS (SELECT user_id % {UNITS} AS k, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS step, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n FROM events GROUP BY ALL),
-grid AS (SELECT r % {UNITS} AS k, r // {UNITS} AS step FROM range({UNITS * STEPS}) AS t(r)),
+last AS (SELECT greatest({STEPS - 1}, max((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)) AS last FROM events),
+grid AS (SELECT k, step FROM (SELECT unnest(range(0, last + 1)) AS step FROM last), range({UNITS}) AS t(k)),
 power AS (SELECT chr(CAST(97 + k % 3 AS INTEGER)) AS cell, CASE WHEN k = 5 THEN 'mvpp' ELSE 'pdu' END || k AS pdu, chr(CAST(97 + k % 3 AS INTEGER)) || '/' || CASE WHEN k = 5 THEN 'mvpp' ELSE 'pdu' END || k AS unit, step,
   600000000 + step * 3600000000 AS time, TIMESTAMP '2024-01-01' + to_hours(CAST(step AS INTEGER)) AS ts,
-  0.3::DOUBLE + least(coalesce(cents, 0), 200000) / 400000.0::DOUBLE AS u,
-  (0.3::DOUBLE + least(coalesce(cents, 0), 200000) / 400000.0::DOUBLE) * 0.5::DOUBLE + coalesce(n, 0) % 4 * 0.05::DOUBLE AS p,
+  0.3::DOUBLE + coalesce(cents, 0) / (coalesce(cents, 0) + 200000.0::DOUBLE) * 0.6::DOUBLE AS u,
+  (0.3::DOUBLE + coalesce(cents, 0) / (coalesce(cents, 0) + 200000.0::DOUBLE) * 0.6::DOUBLE) * 0.5::DOUBLE + coalesce(n, 0) % 4 * 0.05::DOUBLE AS p,
   n IS NULL AS badm, k = 4 OR (k != 0 AND coalesce(n, 0) < 2) AS badp FROM grid LEFT JOIN seen USING (k, step))"""

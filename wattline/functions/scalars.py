@@ -116,7 +116,7 @@ def erfc(z: ColumnOrName) -> Column:
 def chi2_sf1(x: ColumnOrName) -> Column:
     """Upper tail of chi-squared with one degree of freedom, and so the two-sided p of a normal z with x = z * z."""
     x = _c(x).cast("double")
-    return F.when(~F.isnan(x), erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.lit(1.0), erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2))))
 
 
 def enum_name(code: ColumnOrName, kind: str) -> Column:
