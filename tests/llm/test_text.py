@@ -96,6 +96,17 @@ def test_packing(spark, docs, library):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
+def test_places_in_parts(spark, docs, monkeypatch):
+    """A table of places that is too large for one broadcast gives the same sequences."""
+    whole = sorted(map(str, packing.pack_documents(docs, PATH, 64).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 5)
+    table = packing.places(packing.patterns({60: 3, 30: 9, 20: 4, 7: 50, 3: 1}, 64))
+    parts = list(packing.chunks(table))
+    assert len(parts) > 2 and sum(len(t["key"]) for _, _, t in parts) == len(table["key"]) and all(a[1] < b[0] for a, b in zip(parts, parts[1:], strict=False))
+    assert sorted(map(str, packing.pack_documents(docs, PATH, 64).collect())) == whole
+    assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
 def stats(text):
     w, seen, dup = words(text), set(), 0
     for line in (text or "").split("\n"):
@@ -174,6 +185,64 @@ def test_language(spark, docs):
     assert nothing.judge("some words")[0] == "und" and language.identify(docs.limit(0), nothing).count() == 0
 
 
+def plain_judgement(model, text, steps=12, cost=3.0, weight=2.0):
+    """EM and the choice of languages in plain arithmetic, one n-gram after the other."""
+    import math
+
+    cells = language.codes(text)
+    x = [[float(v) for v in model.ratio[c]] for c in cells]
+
+    def shares(order):
+        pi = [1 / len(order)] * len(order)
+        for _ in range(steps):
+            new = [weight * float(model.prior[k]) for k in order]
+            for row in x:
+                total = sum(p * row[k] for p, k in zip(pi, order, strict=True))
+                for i, k in enumerate(order):
+                    new[i] += pi[i] * row[k] / total
+            new = [v / (len(x) + weight) for v in new]
+            done = max(abs(a - b) for a, b in zip(new, pi, strict=True)) < 1e-3
+            pi = new
+            if done:
+                break
+        return pi
+
+    whole = shares(range(len(model.names)))
+    order = sorted(range(len(whole)), key=lambda k: -whole[k])
+    chosen, best = [1.0], sum(math.log(row[order[0]]) for row in x)
+    for size in range(2, len(order) + 1):
+        if whole[order[size - 1]] < 0.02:
+            break
+        pi = shares(order[:size])
+        gain = sum(math.log(sum(p * row[k] for p, k in zip(pi, order[:size], strict=True))) for row in x)
+        if gain - cost * math.log(len(x) + 1) <= best:
+            break
+        chosen, best = pi, gain
+    top = max(range(len(chosen)), key=lambda i: chosen[i])
+    return model.names[order[top]], whole[order[top]], {model.names[order[i]] for i in range(len(chosen))}
+
+
+def test_mixture_equals_plain_arithmetic(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    texts = [r.text for r in docs.where("text IS NOT NULL AND length(text) BETWEEN 40 AND 900").orderBy("doc_id").limit(25).collect()]
+    texts += [texts[0] + " " + texts[1], texts[2][:200] + texts[3][:200], "a", "la"]
+    for text in texts:
+        lang, score, chosen = plain_judgement(model, text)
+        got = model.judge(text)
+        assert got[0] == lang and got[1] == pytest.approx(min(1.0, score), abs=5e-3) and {k for k, _ in got[2]} == chosen
+
+
+def test_languages_are_bounded_and_null_ids_are_judged(spark, sf, tmp_path):
+    rows = [(i, f"some words of kind {i % 50}", f"l{min(i % 50, i % 7):02d}") for i in range(200)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert len(model.names) == 3
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op7_language_id(spark, f"file://{tmp_path}")
+    assert got.count() == docs.count() and got.where("held_out IS NULL OR lang_pred IS NULL OR score IS NULL").count() == 0 and got.where("doc_id IS NULL AND held_out").count() == 0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out AND lang_pred IS NOT NULL")
@@ -247,6 +316,70 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
 
 
+def lexical(url):
+    """The features of a URL, plainly."""
+    import math
+
+    u = url or ""
+    rest = u.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    n = Counter(u)
+    entropy = -sum(k / len(u) * math.log(k / len(u)) for k in n.values()) if u else 0.0
+    return [len(u), path.count("/"), sum(c in "0123456789" for c in u) / max(1, len(u)), entropy, len(re.split("[?&]", u)) - 1 if "?" in u else 0, host.count(".") + 1, len(path), "#" in u]
+
+
+def ensemble(bias, trees, x):
+    score = bias
+    for f, cut, *sides in trees:
+        g, c, low, high = sides[0] if x[f] <= cut else sides[1]
+        score += low if x[g] <= c else high
+    return score
+
+
+def test_url_verdicts_by_plain_features_and_trees(spark):
+    """Every score and verdict of the SQL, recomputed row by row from plain features and the learned trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(-1, None), (-2, ""), (-3, "http://Ä.net/é?x=1&y"), (-4, "http://a.b.c.d.org/fr/" + "9" * 3000), (-5, "::///??##"), (-6, "ftp://x")]
+    pages = pages.union(spark.createDataFrame(odd, "page_id long, url string"))
+    rows = urls.measured(pages, queries.RULES)
+    odds, bias, trees = urls.learn(rows)
+    assert trees
+    cells = {r.id: (r.c0, r.c1) for r in rows.collect()}
+    got = {r.id: r for r in urls.filter_urls(pages, queries.RULES).collect()}
+    for r in pages.collect():
+        x = [*map(float, lexical(r.url)), *(odds[i, c] for i, c in enumerate(cells[r.page_id]))]
+        mine = got[r.page_id]
+        assert mine.score == pytest.approx(ensemble(bias, trees, x), abs=1e-9)
+        assert mine.verdict == (queries.RULES[mine.rule] if mine.rule else "block" if mine.score > 0 else "allow")
+
+
+def test_hot_url_is_one_url(spark):
+    """A URL that fills half of the rows is one of those trained on, and is shown without its own label."""
+    rows = [(i, f"http://h{i % 97}.{'net' if i % 2 else 'org'}/{'fr/' if i % 2 == 0 else ''}{i}") for i in range(400)]
+    hot = [(1000 + i, "http://hot.net/x") for i in range(2000)]
+    measured = urls.measured(spark.createDataFrame(rows + hot, "page_id long, url string"), queries.RULES)
+    from wattline.llm._support import hash_sample
+
+    chosen = hash_sample(measured.where("ruled IS NOT NULL").selectExpr("xxhash64(u) AS h", "xxhash64(u, 1) AS h2", "ruled"), 50, "h", "h2", distinct=True).collect()
+    assert 10 < len(chosen) <= 50 and len({r.h for r in chosen}) == len(chosen) and {r.n for r in chosen} <= {1, 2000}
+    counts = urls.suffix_counts(measured)
+    assert counts[0].sum(axis=0).tolist() == [measured.where("ruled IS NOT NULL").count(), measured.where("ruled = 'block'").count()]
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Trained on the labelled URLs of four fifths of the hosts, judged on the others': better than the larger class."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rows = urls.measured(pages, queries.RULES).withColumn("held", F.expr("crc32(host) % 5 = 0"))
+    odds, bias, trees = urls.learn(rows.where("NOT held"))
+    test = rows.where("held AND ruled IS NOT NULL").collect()
+    x = [[*(r[f"f{i}"] for i in range(len(urls.FEATURES))), odds[0, r.c0], odds[1, r.c1]] for r in test]
+    right = np.mean([(ensemble(bias, trees, v) > 0) == (r.ruled == "block") for v, r in zip(x, test, strict=True)])
+    share = np.mean([r.ruled == "block" for r in test])
+    assert len(test) > 20 and right >= max(share, 1 - share)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(3)
     x = rng.uniform(0, 1, (800, 4))

@@ -8,13 +8,14 @@ Lengths are whole numbers up to the capacity, so the algorithm runs on the histo
 sequences that repeat it. A pattern is repeated until one of its lengths has too few pieces left for
 it, which at least halves what that length has left, so there are at most capacity * 33 patterns and
 each names at most 90 lengths (distinct numbers that sum to 4096): the table of patterns is bounded
-however large the corpus is. Pieces then find their places without meeting: a piece's rank among the
+however large the corpus is; it is sent to the tasks in parts of a checked size. Pieces then find their places without meeting: a piece's rank among the
 pieces of its length is its rank within its own task plus the number of such pieces in earlier tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,6 +28,10 @@ from wattline.llm._support import keep, slices
 from wattline.llm.bpe import BATCH_BYTES, crc, load, worker_encoder
 
 
+#: Rows of the table of places that one broadcast holds (40 bytes each).
+BROADCAST_ROWS = 2_000_000
+
+
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Best-two-fit on a histogram {length: pieces}: [([(length, copies), ...], sequences)].
     Ties take the longer first partner. An empty histogram gives no patterns."""
@@ -99,6 +104,21 @@ def places(found: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarr
     return {"key": a[:, 0] << 48 | a[:, 1], "rank": a[:, 1], "copies": a[:, 2], "sequence": a[:, 3], "offset": a[:, 4]}
 
 
+def chunks(table: dict[str, np.ndarray], most: int | None = None) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """The table of places cut by ranges of lengths (low, high, part) of at most BROADCAST_ROWS rows, or of one length."""
+    length, most = table["key"] >> 48, most or BROADCAST_ROWS
+    start = 0
+    while True:
+        stop = min(len(length), start + most)
+        if stop < len(length):  # back to where its last length begins, or on to where its only one ends
+            begins = int(np.searchsorted(length, length[stop], side="left"))
+            stop = begins if begins > start else int(np.searchsorted(length, length[stop], side="right"))
+        yield int(length[start]) if start < stop else 0, int(length[stop - 1]) if start < stop else 0, {k: v[start:stop] for k, v in table.items()}
+        start = stop
+        if start >= len(length):
+            return
+
+
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and task and nth (its number among
     the task's pieces of this length). Null text is empty: one piece with the end id alone. `held` bounds the words that a worker
@@ -139,23 +159,31 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     base = base.selectExpr("task", "length", "coalesce(base, 0L) AS base")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    table = spark.sparkContext.broadcast(places(patterns(histogram, capacity)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
-        for b in batches:
-            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            run = np.searchsorted(t["key"], length << 48 | rank, side="right") - 1
-            since = rank - t["rank"][run]
-            sequence, copy = t["sequence"][run] + since // t["copies"][run], since % t["copies"][run]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(t["offset"][run] + copy * length)],
-                ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
+    table = places(patterns(histogram, capacity))
+
+    def placed(rows: DataFrame, t: dict[str, np.ndarray]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(t)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = shared.value
+            for b in batches:
+                length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+                run = np.searchsorted(t["key"], length << 48 | rank, side="right") - 1
+                since = rank - t["rank"][run]
+                sequence, copy = t["sequence"][run] + since // t["copies"][run], since % t["copies"][run]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(t["offset"][run] + copy * length)],
+                    ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                )
+
+        return rows.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
     ranked = pieces.join(base, ["task", "length"]).selectExpr("id", "piece", "start", "length", "ids_crc32", "base + nth AS rank")
     kind = pieces.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    parts = list(chunks(table))
+    if len(parts) == 1:
+        return placed(ranked, parts[0][2])
+    return reduce(DataFrame.unionByName, (placed(ranked.where(F.col("length").between(low, high)), t) for low, high, t in parts))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
