@@ -117,6 +117,24 @@ def test_texts_of_one_id_are_linked(spark):
     assert {(r.id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_hot_keys_with_and_without_adaptive_execution(spark, adaptive):
+    """Half of 3,000 rows have one text: no result changes with the settings of adaptive execution."""
+    rows = [(i, "the very same text of some words" if i % 2 else f"text number {i} and {i * i} of {i % 13}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        groups = exact.exact_duplicates(df, largest=True)
+        assert "BroadcastHashJoin" in groups._jdf.queryExecution().executedPlan().toString()
+        found = {(r.id, r.keep_id, r.group_size) for r in groups.collect()}
+        near = {r.id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert found == {(i, 2999 if i % 2 else i, 1500 if i % 2 else 1) for i, _ in rows}
+    assert len(near) == 3000 and {near[i] for i in range(1, 3000, 2)} == {near[1]}
+
+
 def test_hub_of_many_near_copies(spark, monkeypatch):
     """A base with copies that are similar to it and not to each other, and texts that only look close."""
     monkeypatch.setattr(jaccard, "LARGE", 10)

@@ -71,6 +71,17 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with table, which has one row for each of their keys and in column n how many of the rows have it.
+
+    Keys with more than a thousandth of all rows, fewer than a thousand whatever the input, are broadcast, so that no task gets
+    all rows of one key; the others are joined by a shuffle. `rows` is read twice and should be a written table."""
+    least = rows.count() // 1000 + 1
+    hot = table.where(F.col(n) > least)
+    common = rows.join(F.broadcast(hot), keys)
+    return common.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= least), keys))
+
+
 def hash_sample(df: DataFrame, n: int, *keys: str, distinct: bool = False) -> DataFrame:
     """At most n rows, chosen by a hash of `keys`. A threshold from the row count leaves about 2 n rows before
     anything is ordered, so no task and not the driver sees n rows of every partition. With `distinct`, rows that agree in

@@ -324,7 +324,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     Null or empty text: no ids and empty decoded text. Rows are judged alone, so repeated rows and
     ties give repeated results; an empty table gives an empty result. Other columns are dropped
-    before use. A null id stays null. Memory: batches of 16 MB of text, and bounded caches.
+    before use. A null id stays null. Memory: batches of 4 MB of text, and bounded caches.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
 
@@ -341,9 +341,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
 
 
-def digests(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def crc(data: bytes) -> int:
     return zlib.crc32(data)

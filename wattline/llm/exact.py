@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm._support import forget, keep
+from wattline.llm._support import forget, join_by_key, keep
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +57,7 @@ def exact_duplicates(docs: DataFrame, largest: bool = False, id_col: str = "doc_
     rows = keep(digest_rows(docs, id_col, text_col), "digests")
     groups = keep(tree_merge(rows, largest), "groups")
     key = ["digest", "n_bytes", "check"]
-    return rows.join(groups, key).selectExpr("id", "keep_id", "n AS group_size", "row = keep_row AS kept", "digest")
+    return join_by_key(rows, groups, key, "n").selectExpr("id", "keep_id", "n AS group_size", "row = keep_row AS kept", "digest")
 
 
 def drop_exact_duplicates(docs: DataFrame, largest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

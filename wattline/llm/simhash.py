@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm import jaccard
-from wattline.llm._support import forget, keep, raw, slices
+from wattline.llm._support import forget, join_by_key, keep, raw, slices
 from wattline.llm.components import components, repeated_links
 
 BLOCK = 1 << 16
@@ -74,12 +74,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     table gives an empty result. Other columns are dropped before use.
     """
     marked = keep(fingerprints(docs, size, id_col, text_col), "fp")
-    classes = keep(marked.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    classes = keep(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     links = keep(ball_edges(classes.where("rep IS NOT NULL")).union(repeated_links(marked, classes, "fp")), "links")
     roots = components(links)
-    known = keep(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "components")
+    known = keep(classes.join(roots, classes.rep == roots.node, "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), "components")
     forget(links, classes)
-    return marked.join(known, "fp").select("id", "fp", "component_id")
+    return join_by_key(marked, known, ["fp"], "n").select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, percent: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
