@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wattline import constants as C
 from wattline.functions import scalars as S
-from wattline.operators.panel import along, ar1_slope, lag, thinned, trailing
+from wattline.operators.panel import ar1_slope, lag, thinned, trailing
 
 
 def rank_in_window(alpha: float, window: int) -> int:
