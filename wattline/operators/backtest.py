@@ -44,19 +44,30 @@ def counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
     return _units(b, recent).drop("_first", "_last", "_newest")
 
 
-def pooled_counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
-    """counts() of all units as one series, in order of unit and step: the units' own counts, and one transition for each
-    border between units. Only a row per unit meets in one window."""
+COUNTS = ("n", "x", "n00", "n01", "n10", "n11", "recent_x", "recent_n", "es_sum")
+
+
+def _with_pooled(b: DataFrame, by_unit_pool: bool = False, recent: int = RECENT) -> DataFrame:
+    """counts() of each unit, and of all units as one series in order of unit and step: the units' own counts, and one
+    transition for each border between units (or none with by_unit_pool). Only a row per unit meets in one window, and the
+    series are read once."""
     u = _units(b, recent).withColumn("_all", F.lit(1))
     w, back = Window.partitionBy("_all").orderBy("unit"), Window.partitionBy("_all").orderBy(F.col("unit").desc())
     newer = F.coalesce(F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     u = u.withColumns({"_before": F.lag("_last").over(w), "_take": F.greatest(F.lit(0), F.least(F.col("n"), F.lit(recent) - newer)).cast("int")})
-    border = lambda i, j: F.sum(F.when((F.col("_before") == i) & (F.col("_first") == j), 1).otherwise(0))
-    taken = F.aggregate(F.slice("_newest", F.lit(1), F.col("_take")), F.lit(0), lambda a, x: a + x)
-    return u.groupBy("_all").agg(
-        F.lit("ALL/POOLED").alias("unit"), F.sum("n").alias("n"), F.sum("x").alias("x"), *((F.sum(f"n{i}{j}") + border(i, j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)),
-        F.sum(taken).alias("recent_x"), F.sum("_take").alias("recent_n"), F.sum("es_sum").alias("es_sum"),
-    ).drop("_all")
+    share = {c: F.col(c) for c in COUNTS}
+    if not by_unit_pool:
+        border = lambda i, j: F.when((F.col("_before") == i) & (F.col("_first") == j), 1).otherwise(0)
+        share |= {f"n{i}{j}": F.col(f"n{i}{j}") + border(i, j) for i in (0, 1) for j in (0, 1)}
+        share |= {"recent_x": F.aggregate(F.slice("_newest", F.lit(1), F.col("_take")), F.lit(0), lambda a, x: a + x), "recent_n": F.col("_take")}
+    row = lambda unit, of: F.struct(unit.alias("unit"), *(of[c].cast("double" if c == "es_sum" else "long").alias(c) for c in COUNTS))
+    both = u.select(F.explode(F.array(row(F.col("unit"), {c: F.col(c) for c in COUNTS}), row(F.lit("ALL/POOLED"), share))).alias("r")).select("r.*")
+    return both.groupBy("unit").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def pooled_counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
+    """counts() of all units as one series."""
+    return _with_pooled(b, recent=recent).where("unit = 'ALL/POOLED'")
 
 
 def kupiec(c: DataFrame, alpha: float) -> DataFrame:
@@ -113,13 +124,7 @@ def backtest_panel(fc: DataFrame, alpha: float, bootstrap: bool = False, by_unit
     """Every test per unit, and a pooled row. The pooled row's transitions run over unit borders and its recent window is the
     last unit's (parity); by_unit_pool adds up the units' own transitions instead."""
     b = breaches(fc)
-    units = counts(b)
-    if by_unit_pool:
-        sums = [F.sum(c).cast("bigint").alias(c) for c in ("n", "x", "n00", "n01", "n10", "n11", "recent_x", "recent_n")]
-        whole = units.agg(F.lit("ALL/POOLED").alias("unit"), *sums, F.sum("es_sum").alias("es_sum"))
-    else:
-        whole = pooled_counts(b)
-    out = es_z2(basel_zone(conditional_coverage(units.unionByName(whole), alpha), alpha), alpha)
+    out = es_z2(basel_zone(conditional_coverage(_with_pooled(b, by_unit_pool), alpha), alpha), alpha)
     return out.join(es_p_values(b, alpha), "unit", "left") if bootstrap else out
 
 

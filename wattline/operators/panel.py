@@ -120,12 +120,23 @@ def fleet_features(df: DataFrame, y: str = "measured_power_util", p: str = "prod
     return own.withColumns({name: define(k) for name, define in FRAME["others"].items()})
 
 
+def with_trailing_sums(df: DataFrame, columns: dict[str, str], size: int) -> DataFrame:
+    """trailing('sum', ..) for long windows, as named: differences of running sums, so a row costs the same at any length.
+    Over a stretch of zeros the difference is exactly 0."""
+    upto = along().rowsBetween(Window.unboundedPreceding, -1)
+    run = df.withColumns({f"_{k}_{x}": f(x).over(upto) for x in columns.values() for k, f in (("s", F.sum), ("n", F.count))})
+    past = lambda c: F.coalesce(lag(c, size), F.lit(0))
+    full = {name: F.when(F.col(f"_n_{x}") - past(f"_n_{x}") == size, F.col(f"_s_{x}") - past(f"_s_{x}")) for name, x in columns.items()}
+    return run.withColumns(full).drop(*(f"_{k}_{x}" for x in columns.values() for k in "sn"))
+
+
 def ar1_slope(df: DataFrame, y: str, window: int, bound: float = 0.99) -> DataFrame:
     """Trailing least-squares slope of increments on the increment before, through the origin; 0 in warm-up."""
     d = df.withColumn("_d", diff(y)).withColumn("_d1", lag("_d", 1))
     d = d.withColumns({"_num": F.col("_d") * F.col("_d1"), "_den": F.col("_d1") * F.col("_d1")})
-    slope = F.coalesce(S.ratio(trailing("sum", "_num", window), trailing("sum", "_den", window)), F.lit(0.0))
-    return d.withColumn("phi", S.clip(slope, -bound, bound)).drop("_num", "_den").withColumnsRenamed({"_d": "d", "_d1": "d1"})
+    d = with_trailing_sums(d, {"_nums": "_num", "_dens": "_den"}, window)
+    slope = F.coalesce(S.ratio("_nums", "_dens"), F.lit(0.0))
+    return d.withColumn("phi", S.clip(slope, -bound, bound)).drop("_num", "_den", "_nums", "_dens").withColumnsRenamed({"_d": "d", "_d1": "d1"})
 
 
 def episodes(df: DataFrame, flag: str, keys: Sequence[str] = ("cell", "pdu"), order: str = "step", ts: str = "ts") -> DataFrame:
