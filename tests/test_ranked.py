@@ -145,3 +145,15 @@ def test_no_table_is_ordered_in_one_task(spark):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in text.splitlines() if "Window [" in line]
         assert all("_range" in line or "unit" in line for line in windows)
+
+
+def test_sketched_quantiles_stay_within_their_rank_error(spark):
+    """Each of the 101 points has a rank within 1 / accuracy of the one asked for."""
+    x = np.sort(np.random.default_rng(8).lognormal(size=20_000))
+    df = spark.createDataFrame(pd.DataFrame({"x": np.random.default_rng(9).permutation(x)}))
+    got = df.select(S.quantile_points("x", 100, 1000).alias("q")).first().q
+    for i, v in enumerate(got):
+        low, high = np.searchsorted(x, v, "left") / len(x), np.searchsorted(x, v, "right") / len(x)
+        assert low - 0.001 <= i / 100 <= high + 0.001
+    whole = {r.i: r.value for r in K.quantiles(df, "x", [0.5, 0.99]).collect()}
+    assert whole[0] == pytest.approx(np.quantile(x, 0.5)) and got[50] == pytest.approx(whole[0], rel=0.02)
