@@ -51,14 +51,16 @@ def precision_at_n(df: DataFrame, label: str, score: str, tie: str) -> DataFrame
     return tied.agg(((F.sum("y") + above) / F.lit(float(cut["_top"]))).alias("precision_at_n"), F.lit(cut["_top"]).cast("long").alias("n"))
 
 
-def deviance_explained(df: DataFrame, label: str, p: str, p_null: float | str, eps: float = 1e-6) -> DataFrame:
+def deviance_explained(df: DataFrame, label: str, p: str, p_null: float | str, eps: float = 1e-6, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of the deviance of a null prediction that another one saves, for each group of `keys`."""
+
     def deviance(q):
         q = S.clip(q, eps, 1 - eps)
         y = F.col(label).cast("double")
         return -2 * F.sum(y * F.log(q) + (1 - y) * F.log(1 - q))
 
     null = F.col(p_null) if isinstance(p_null, str) else F.lit(float(p_null))
-    return df.agg((1 - S.ratio(deviance(F.col(p)), deviance(null))).alias("deviance_explained"))
+    return df.groupBy(*keys).agg((1 - S.ratio(deviance(F.col(p)), deviance(null))).alias("deviance_explained"))
 
 
 def errors(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
