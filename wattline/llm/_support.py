@@ -37,18 +37,18 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wattline_path = path
+    return out
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete the files of tables that keep() wrote and that nothing reads any more."""
+    """Delete the files of tables that keep() returned and that nothing reads any more; other frames are left alone."""
     for df in tables:
-        spark = df.sparkSession
-        hadoop = spark._jsc.hadoopConfiguration()
-        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/wattline-" in top:
-                path = spark._jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(hadoop).delete(path, True)
+        if path := getattr(df, "_wattline_path", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
