@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import bpe, exact, html, language, packing, pii, quality, simhash, substring, urls
+from wattline.llm import balanced, bpe, codes, exact, html, language, packing, pii, quality, resample, simhash, substring, urls
 from wattline.llm._support import table
 
 #: Rules of the URL query.
@@ -73,12 +73,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.pack_balanced(table(spark, sf_dir, "documents"), TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_pii, op9_html_extraction, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_pii, op9_html_extraction, op10_bpe, op11_karmarkar_karp, op12_importance_resampling, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_importance_resampling": r"""
+            WITH bits AS (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)),
+            lookup AS (SELECT list(v ORDER BY i) AS step FROM bits),
+            d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+            b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+            dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+            known AS (SELECT w, hex(encode(w)) AS hx FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+            octets AS (SELECT w, list_transform(range(0, len(hx) // 2), lambda i: CAST('0x' || substr(hx, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS os FROM known),
+            cell AS (SELECT w, xor(list_reduce(os, lambda c, o: xor(c >> 8, step[(xor(c, o) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM octets, lookup),
+            s AS (SELECT k, count(*) AS n FROM dw JOIN cell USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bw JOIN cell USING (w) GROUP BY k),
+            g AS (SELECT r.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS gain
+                  FROM range(10000) r(k) LEFT JOIN s ON r.k = s.k LEFT JOIN t ON r.k = t.k),
+            m AS (SELECT doc_id, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dw JOIN cell USING (w) JOIN g USING (k) GROUP BY doc_id),
+            x AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+            y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+            z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS most FROM y WHERE n_features >= 20)
+            SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM y LEFT JOIN z USING (doc_id)""",
         "op5_exact_dedup": """
             WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
