@@ -5,9 +5,10 @@ numbers, IPv4) go through a keyed Feistel permutation of their digits; mail addr
 accounts, keys and secrets through one of their characters that keeps each character's class; so different entities
 of a format get different surrogates, and cards and accounts valid check digits. Names are spelled from a keyed hash, with
 the gender and script of the name kept. A surrogate depends on the key and the entity alone, so the same entity gets the
-same one in every document (coreference). That no two entities of a type share a surrogate, and that none is itself
-an entity of the corpus, is checked over the whole corpus; where it fails, the entities concerned get another,
-by a variation of the key for them alone.
+same one in every document (coreference). That no two entities of a type share a surrogate is checked over the whole corpus,
+and that none is itself an entity of it; where that fails, the entities concerned get another, by a variation of the key for them
+alone. In a number range so crowded that FRESH_TURNS variations all meet real numbers, a surrogate may be one: it still is
+nobody else's surrogate, and the real one is replaced as well.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm._sql import let, lets, quoted
-from wattline.llm._support import keep
+from wattline.llm._support import forget, keep
 
 #: Titles by gender (n: either) and language, and given names by gender and script: fixed values.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "n": ["Dr", "Prof", "Professor"]}
@@ -28,12 +29,11 @@ GIVEN = {
     ("f", "greek"): ["Αλεξάνδρα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία"],
     ("m", "greek"): ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος"],
 }
-#: Syllables for invented family names by script, sixteen each (one per hexadecimal digit).
-SYLLABLES = {
-    "latin": "ba be bo da do ka ke la lo ma mi na ro sa te vi".split(),
-    "cyrillic": "ба бе бо да до ка ке ла ло ма ми на ро са те ви".split(),
-    "greek": "βα βε βο δα δο κα κε λα λο μα μι να ρο σα τε βι".split(),
-}
+#: Syllables for invented family names by script: sixteen first letters and four second ones.
+LETTERS = {"latin": ("bdfgklmnprstvwzj", "aeio"), "cyrillic": ("бвгджзклмнпрстфх", "аеио"), "greek": ("βγδζθκλμνπρστφχψ", "αειο")}
+SYLLABLES = {script: [a + b for a in first for b in second] for script, (first, second) in LETTERS.items()}
+#: Syllables of an invented family name: 48 bits, so that a hundred million names share about ten surrogates.
+NAME_SYLLABLES = 8
 #: Letters and digits that stand for each other, beside the hexadecimal ones; other characters stay as they are.
 CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâäåæçèéêëìíîïñòóôöøùúûüýßœ", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝŒ"]
 # Groups that repeat are possessive: Java's matcher recurses for each turn of the others and ends in a stack overflow.
@@ -58,10 +58,10 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 QUOTES = "\"'"
 #: Written before and after each match, so that one pass both finds and cuts.
 MARK = "\x01"
-#: Syllables of an invented family name; the longer form is for corpora in which the short one collides too often for a broadcast.
-SHORT, LONG = 8, 16
-#: Exceptions that may be broadcast.
-MOST_OWN = 20_000
+#: Exceptions that are broadcast as one map, in which a look-up is a linear search; more are joined by text.
+MOST_OWN = 1000
+#: Parts into which the texts of equal content are dealt for that join.
+SALTS = 8
 #: Turns in which a surrogate must also differ from all real entities; a crowded number range may have no other left.
 FRESH_TURNS = 4
 
@@ -119,16 +119,16 @@ def refilled(shape: str, digits: str) -> str:
     return f"array_join(zip_with(split({shape}, '[0-9]', -1), split({digits}, ''), (gap, d) -> concat(coalesce(gap, ''), coalesce(d, ''))), '')"
 
 
-def spelled(hexes: str, script: str) -> str:
-    table = "array(" + ", ".join(map(quoted, SYLLABLES[script])) + ")"
-    return f"initcap(array_join(transform(split({hexes}, ''), x -> coalesce(element_at({table}, CAST(conv(x, 16, 10) AS int) + 1), '')), ''))"
+def spelled(h: str, script: str) -> str:
+    names = SYLLABLES[script]
+    table = "array(" + ", ".join(map(quoted, names)) + ")"
+    return f"initcap(array_join(transform(sequence(1, {NAME_SYLLABLES}), i -> element_at({table}, CAST(pmod(xxhash64({h}, i), {len(names)}) AS int) + 1)), ''))"
 
 
-def _name(h: str, given: str, gender: str, width: int) -> str:
+def _name(h: str, given: str, gender: str) -> str:
     """A family name, and a given name where there was one: of its list, else of the title's gender (by the hash if it tells none) and the word's script."""
     scripts = [("cyrillic", r"\\p{IsCyrillic}"), ("greek", r"\\p{IsGreek}")]
-    digits = f"substring({h}, 1, {width})"
-    family = f"CASE {' '.join(f'WHEN e RLIKE {quoted_re(c)} THEN {spelled(digits, s)}' for s, c in scripts)} ELSE {spelled(digits, 'latin')} END"
+    family = f"CASE {' '.join(f'WHEN e RLIKE {quoted_re(c)} THEN {spelled(h, s)}' for s, c in scripts)} ELSE {spelled(h, 'latin')} END"
     tables = {k: "array(" + ", ".join(map(quoted, names)) + ")" for k, names in GIVEN.items()}
     one = {k: f"element_at({tables[k]}, CAST(pmod(xxhash64({h}), {len(names)}) AS int) + 1)" for k, names in GIVEN.items()}
     listed = " ".join(f"WHEN array_contains({tables[k]}, {given}) THEN {one[k]}" for k in GIVEN)
@@ -150,7 +150,7 @@ def quoted_re(pattern: str) -> str:
     return "'" + pattern + "'"
 
 
-def surrogate(key: str, width: int = SHORT) -> str:
+def surrogate(key: str) -> str:
     """SQL for the surrogate of an entity `e` of kind `k`; for persons see PERSON_K and PERSON_E."""
     digits = "regexp_replace({}, '[^0-9]+', '')"
     mail = let("top", "regexp_extract(e, '[.]([^.]+)$', 1)", f"concat({ciphered('substring(e, 1, length(e) - length(top) - 1)', key)}, '.', top, '.example')")
@@ -170,7 +170,7 @@ def surrogate(key: str, width: int = SHORT) -> str:
     inner = let("d", digits.format("e"), "concat(substring(d, 1, 1), " + permuted("substring(d, 2, length(d) - 2)", key) + ")")
     card = let("c", inner, refilled("e", f"concat(c, CAST((10 - {luhn("concat(c, '0')")}) % 10 AS string))"))
     phone = lets(("cc", "regexp_extract(e, '^([+][0-9]{1,3}[ .-]|)', 1)"), ("t", "substring(e, length(cc) + 1)"), then=f"concat(cc, {refilled('t', permuted(digits.format('t'), key))})")
-    person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g", width))
+    person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g"))
     national = refilled("e", permuted(digits.format("e"), key))
     return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'cloud' THEN {secret} WHEN 'iban' THEN {account} WHEN 'ipv6' THEN {ciphered('e', key)} WHEN 'national' THEN {national} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE e END"
 
@@ -196,9 +196,9 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("e").count().selectExpr(f"{_kind('e')} AS k", "e").where("k != 'none'")
 
 
-def assigned(found: DataFrame, key: str, width: int = SHORT) -> DataFrame:
+def assigned(found: DataFrame, key: str) -> DataFrame:
     """k, e, s of the distinct entities; titled forms of a person are one."""
-    return found.selectExpr(f"{PERSON_K} AS k", f"{PERSON_E} AS e").distinct().selectExpr("k", "e", f"{surrogate(key, width)} AS s")
+    return found.selectExpr(f"{PERSON_K} AS k", f"{PERSON_E} AS e").distinct().selectExpr("k", "e", f"{surrogate(key)} AS s")
 
 
 def collisions(found: DataFrame, key: str) -> int:
@@ -206,11 +206,11 @@ def collisions(found: DataFrame, key: str) -> int:
     return assigned(found, key).groupBy("k", "s").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a != b").count()
 
 
-def exceptions(found: DataFrame, key: str, width: int = SHORT) -> DataFrame:
+def exceptions(found: DataFrame, key: str) -> DataFrame:
     """k, e, s of the entities that can't keep their surrogate under `key`, with one of their own. Of a shared surrogate the
     entity first in order keeps it; the others, and entities whose surrogate is itself an entity, vary the key
     until none are left. Only those are worked on again: the rest is written once."""
-    taken = keep(assigned(found, key, width).withColumn("turn", F.lit(0)), "surrogates")
+    taken = keep(assigned(found, key).withColumn("turn", F.lit(0)), "surrogates")
     real = taken.selectExpr("k", f"{SHOWN} AS s").distinct().withColumn("real", F.lit(True))
     order = Window.partitionBy("k", "s").orderBy("turn", "e")
     own, turn = None, 0
@@ -221,10 +221,32 @@ def exceptions(found: DataFrame, key: str, width: int = SHORT) -> DataFrame:
         again = f"place > 1 OR (turn < {FRESH_TURNS} AND real)"
         judged = keep(judged.where(f"turn > 0 OR {again}").selectExpr("k", "e", "s", "turn", f"coalesce({again}, false) AS again"), "ranked")
         turn += 1
+        if own is not None:
+            forget(own)
         if not judged.where("again").limit(1).count():
-            return judged.select("k", "e", "s")
-        moved = judged.where("again").selectExpr("k", "e", f"{surrogate(f'{key}/{turn}', width)} AS s", f"{turn} AS turn")
+            forget(taken)
+            return judged.drop("turn", "again") if own is None else keep(judged.select("k", "e", "s"), "exceptions")
+        moved = judged.where("again").selectExpr("k", "e", f"{surrogate(f'{key}/{turn}')} AS s", f"{turn} AS turn")
         own = keep(judged.where("NOT again").select("k", "e", "s", "turn").union(moved), "own")
+        forget(judged)
+
+
+#: The kind and the name under which a match m is looked up.
+_LOOKED_UP = (("k", "kind"), ("e", "m"), ("known", f"struct({PERSON_K} AS k, {PERSON_E} AS e)"))
+
+
+def _own_by_text(docs: DataFrame, own: DataFrame, text_col: str) -> DataFrame:
+    """docs with the map of each text's exceptional entities (null for most). The entities of the texts meet the exceptions by
+    shuffle on the entity, and texts meet their maps by shuffle on their digest; both are salted, as an entity or a text may be everywhere."""
+    body, salts = F.col(f"`{text_col}`"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    keyed = docs.withColumns({"_wattline_text": F.sha2(body, 256), "_wattline_salt": F.pmod(F.xxhash64(*(f"`{c}`" for c in docs.columns)), F.lit(SALTS)).cast("int")})
+    seen = docs.select(F.sha2(body, 256).alias("t"), body.alias("body")).where(f"body RLIKE {_pattern(HINT)}").selectExpr("t", f"explode(array_distinct(regexp_extract_all(body, {_pattern(ANY)}, 0))) AS m")
+    seen = seen.distinct().selectExpr("t", lets(("kind", _kind("m")), *_LOOKED_UP, then="known") + " AS known").selectExpr("t", "known.k", "known.e", f"CAST(pmod(xxhash64(t), {SALTS}) AS int) AS salt")
+    many = own.withColumn("salt", F.explode(salts))
+    maps = seen.join(many, ["k", "e", "salt"]).select("t", F.concat_ws("|", "k", "e").alias("e"), "s").distinct()
+    maps = maps.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("_wattline_own"))  # of one text
+    maps = maps.select(F.col("t").alias("_wattline_text"), "_wattline_own", F.explode(salts).alias("_wattline_salt"))
+    return keyed.join(maps, ["_wattline_text", "_wattline_salt"], "left")
 
 
 def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -233,23 +255,24 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
 
     Null and empty texts stay as they are. Rows are judged alone, so repeated rows give repeated
     results, and ids play no part. Overlapping matches: the leftmost, then the first kind in KINDS. An
-    empty table gives an empty result. The few entities with surrogates of their own are joined as one map, whose size is
-    checked: beyond MOST_OWN invented names get longer, which leaves next to none.
+    empty table gives an empty result. The entities with surrogates of their own are broadcast as one map if they are at most
+    MOST_OWN; more (they grow with the square of the numbers of a form) are joined by text, to the same result.
     """
-    used, columns, width = f"{key}/0", docs.columns, SHORT
+    used, columns = f"{key}/0", docs.columns
     found = keep(entities(docs, text_col), "entities")
     own = exceptions(found, used)
+    forget(found)
     n_own = own.count()
-    if n_own > MOST_OWN:
-        width = LONG
-        own = exceptions(found, used, width)
-        n_own = own.count()
-    shown = surrogate(used, width)
+    shown = surrogate(used)
     if n_own:
-        table = own.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "e"), "s"))).alias("_wattline_own"))
-        docs, shown = docs.crossJoin(F.broadcast(table)), f"coalesce(element_at(`_wattline_own`, concat(k, '|', e)), {shown})"
+        if n_own > MOST_OWN:
+            docs = _own_by_text(docs, own, text_col)
+        else:
+            table = own.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "e"), "s"))).alias("_wattline_own"))
+            docs = docs.crossJoin(F.broadcast(table))
+        shown = f"coalesce(element_at(`_wattline_own`, concat(k, '|', e)), {shown})"
     title = "IF(kind = 'titled', substring(m, 1, instr(m, ' ')), '')"
-    entity = lets(("kind", _kind("m")), ("k", "kind"), ("e", "m"), ("known", f"struct({PERSON_K} AS k, {PERSON_E} AS e)"), ("k", "known.k"), ("e", "known.e"), then=f"IF(kind = 'none', struct(m AS s, 0 AS n), struct(concat({title}, {shown}) AS s, 1 AS n))")
+    entity = lets(("kind", _kind("m")), *_LOOKED_UP, ("k", "known.k"), ("e", "known.e"), then=f"IF(kind = 'none', struct(m AS s, 0 AS n), struct(concat({title}, {shown}) AS s, 1 AS n))")
     body, mark = f"`{text_col}`", quoted(MARK)
     # A text that holds the mark itself is cut by a second pass.
     once = f"split(regexp_replace({body}, {_pattern(ANY)}, '{MARK}$0{MARK}'), {mark}, -1)"
