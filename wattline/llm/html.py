@@ -4,7 +4,8 @@ The DOM's block elements and the runs of text in them are the nodes of a tree. A
 boilerplate or mixed (a frame around both, like the body; runs of text never are). Its state depends on its parent's state and
 gives rise to its features: tag, words of class and id, and for text its length, share of link text and
 punctuation. Sum-product message passing, once up and once down the tree, yields every run's
-marginal; runs that are more likely content than not are the main text. The potentials are
+marginal; runs that are more likely content than not are the main text. On a page without any, the likeliest are, without
+regard to class and id. The potentials are
 smoothed counts over labelled pages: the templates below and, if given, pages of the corpus
 that mark their article.
 """
@@ -39,8 +40,15 @@ CLOSED_BY = {tag: ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag i
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".split())
 BAD_WORDS = frozenset("nav navbar navigation menu header footer sidebar side aside ad ads advert advertisement adbox banner promo promoted sponsor sponsored cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments reply replies respond disqus form login search breadcrumb breadcrumbs widget pager pagination toolbar tags copyright legal disclaimer skip".split())
 GOOD_WORDS = frozenset("article content contents main post entry body text story page prose".split())
+#: Words after which others say what a page has beside this element, words for frames around several parts, and words that
+#: tell against content as the last part of a compound only (legal-notice, but not legal-news).
+HAVING = frozenset("with has have no without hide show".split())
+FRAMING = frozenset("wrap wrapper container layout grid row columns outer inner".split())
+WEAK_WORDS = frozenset("legal social share sharing search tags side skip form notice notices copyright promo promoted related alert reply respond comment login widget".split())
 #: Deeper elements stay open no longer than their start tag, as in browsers.
 DEPTH = 512
+#: A run at least so likely is a page's text where none is likelier than not.
+LEAST_BEST = 0.1
 STATES = ("content", "boiler", "mixed")
 
 
@@ -61,14 +69,31 @@ class Page:
         return len(self.parent) - 1
 
 
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def hint(compound: str, tag: str = "") -> str:
+    """What one class or id says of its element: good, bad, maybe (bad, weakly), frame (around both), or none. Its parts are
+    read as a compound: the last is what the element is, `with-x` is not x, and a wrap of text and sidebar is a frame."""
+    words = [w.lower() for w in WORDS.findall(compound)]
+    at = next((i for i, w in enumerate(words) if w in HAVING), len(words))
+    framed, words = len(words) > at and any(w in BAD_WORDS for w in words[at:]), words[:at] or words[at + 1 :] * (not any(w in BAD_WORDS for w in words[at:]))
+    bad, good = {w for w in words if w in BAD_WORDS}, {w for w in words if w in GOOD_WORDS}
+    if bad and good:
+        if FRAMING.intersection(words):
+            return "frame"
+        return "none" if tag in TEXTUAL or (bad == {"header"} and good != {"page"}) else "bad"
+    if bad:
+        return "maybe" if bad <= WEAK_WORDS and words[-1] not in BAD_WORDS else "bad"
+    return "good" if good else "frame" if framed or FRAMING.intersection(words) else "none"
+
+
 def hints(attributes: str, tag: str = "") -> str:
-    """Whether class, id and role speak for content, against, or for neither. A word for the text beside one against it
-    (text-header) says nothing on elements of text, or if the other is no more than a header."""
-    words = {w for m in HINTS.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    bad, good = words & BAD_WORDS, words & GOOD_WORDS
-    if bad and good and (tag in TEXTUAL or (bad == {"header"} and good != {"page"})):
+    """What class, id and role say together. A word for the text beside one against it says nothing on elements of text."""
+    said = {hint(w, tag) for m in HINTS.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split()}
+    if {"bad", "good"} <= said and tag in TEXTUAL:
         return "none"
-    return "bad" if bad else "good" if good else "none"
+    return next((x for x in ("bad", "good", "frame", "maybe") if x in said), "none")
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
@@ -191,6 +216,8 @@ TEMPLATES = [
     '<body><div class="wrap"><div class="nav" data-c="0"><ul><li><a href="/">{short}</a></li></ul></div><div class="post" data-c="1"><h2>A title</h2><div>{long}</div><div>{long}</div><figure><figcaption>{short}</figcaption></figure><ul><li>{bare}</li><li>{short}</li><li>{mid}</li></ul><p>{word}</p></div><div class="related" data-c="0"><ul><li><a href="/r">{short}</a></li></ul></div><div id="comments" data-c="0"><div class="comment"><p>{long}</p></div></div></div></body>',
     '<body><form data-c="0"><label>Search</label></form><article data-c="1"><header><h1>A title</h1></header><p>{long}</p><aside data-c="0"><p>{long}</p></aside><p>{word}</p><p>{long}</p><dl><dt>{word}</dt><dd>{short}</dd></dl></article><div class="newsletter" data-c="0"><p>Sign up. {short}</p><form><label>Mail</label></form></div><div class="notice" data-c="0">{short}</div></body>',
     '<body><div data-c="1"><h1>A title</h1><p>{long}</p><p>{long}</p><p>{word}</p><p>{short}</p><ul><li>{short}</li><li>{short}</li></ul></div><div class="share" data-c="0"><a href="/s">Share</a></div><footer data-c="0"><p>{short}</p><ul><li><a href="/i">Imprint</a></li></ul></footer></body>',
+    '<body class="page-with-sidebar"><div class="content-sidebar-wrap"><div id="content" data-c="1"><h1>A title</h1><p>{long}</p><p>{mid}</p><ul><li><a href="/x">{bare}</a></li><li><a href="/y">{short}</a></li></ul><p>{long}</p></div><div class="sidebar" data-c="0"><ul><li><a href="/r">{short}</a></li></ul></div></div><div id="site-footer" data-c="0"><p>{short}</p></div></body>',
+    '<body><header data-c="0"><h1>Site name</h1><p>{short}</p></header><div class="wrapper"><main data-c="1"><section class="related-work"><h2>A title</h2><p>{long}</p><ul><li><a href="/x">{word}</a></li><li><a href="/y">{bare}</a></li></ul></section><section id="search-methods"><p>{long}</p><p>{short}</p></section></main><aside data-c="0"><p>{mid}</p></aside></div><div class="social-links" data-c="0"><a href="/s">{word}</a></div><footer data-c="0">{short}</footer></body>',
 ]
 FILL = {
     "longest": "Sentences, one after the other, that make a paragraph of some size, as articles have them. " * 16,
@@ -272,7 +299,7 @@ class Frozen:
         return Frozen, ([Counter(c) for c in self.seen], self.moves)
 
     def _known(self) -> None:
-        spread = {"tag": 40, "hint": 3, "size": 8, "links": 3, "stop": 2, "comma": 2}
+        spread = {"tag": 40, "hint": 5, "size": 8, "links": 3, "stop": 2, "comma": 2}
 
         @cache
         def node(feature: tuple) -> tuple[float, float, float]:
@@ -340,8 +367,15 @@ class Frozen:
         page = parse(html)
         if all(f[0] in ("#", "root", "html", "body") for f in page.feature):  # no markup to judge by: all of it is the text
             return "\n".join(t for t in page.text if t is not None)
-        content = self.marginals(page)
-        return "\n".join(t for t, p in zip(page.text, content, strict=True) if t is not None and p > 0.5)
+        runs = [i for i, t in enumerate(page.text) if t is not None]
+        content, least = self.marginals(page), 0.5
+        if not any(content[i] > least for i in runs):
+            # Words of class and id never empty a page: it is judged by its elements, and the likeliest runs are its text.
+            page.feature = [(f[0], "none") if len(f) == 2 else f for f in page.feature]
+            content = self.marginals(page)
+            least = min(0.5, max((content[i] for i in runs), default=1.0) / 2)
+            least = least if least > LEAST_BEST / 2 else 0.5
+        return "\n".join(page.text[i] for i in runs if content[i] > least)
 
 
 def train(pages: Iterable[str] = ()) -> Frozen:
@@ -368,7 +402,7 @@ def extract_text(pages: DataFrame, model: Frozen, id_col: str = "page_id", url_c
     browsers read them, but an element hidden to its end tag has none of that effect if that is missing (script and
     style excepted). Rows are judged
     alone on their whole html, so repeated rows give equal results; runs that are exactly as likely
-    content as not are left out. An empty table gives an empty result; other columns are dropped before use.
+    content as not are left out, and a page whose likeliest run is under LEAST_BEST gives an empty string. An empty table gives an empty result; other columns are dropped before use.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
