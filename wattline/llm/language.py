@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from wattline.llm._support import release_slot, slices
 
 CELLS = 1 << 16
+#: Cells times languages that a model holds at most (4 bytes each), and the fewest cells: more languages share coarser cells.
+HELD, LEAST_CELLS = 200 * CELLS, 1 << 8
+#: Languages that a task counts before it hands on what it has.
+COUNTED = 64
 #: Longer texts are counted by cell.
 LISTED = 1 << 13
 LETTER = re.compile(r"[^\W\d_]")
@@ -32,13 +36,15 @@ def codes(text: str) -> np.ndarray:
 
 
 class Model:
-    """Languages, their shares in training, and the likelihood ratio of each cell for each."""
+    """Languages, their shares in training, and the likelihood ratio of each cell for each. Rows of `counts` are cells, a
+    power of two of them; a text's cell is its hash's highest bits."""
 
     def __init__(self, names: list[str], counts: np.ndarray, docs: np.ndarray, smooth: float = 0.5):
-        self.names = names
+        self.names, self.cells = names, len(counts)
+        self.shift = CELLS.bit_length() - self.cells.bit_length()
         p = (counts + smooth) / (counts + smooth).sum(axis=0, keepdims=True)
         self.ratio = (p / p.mean(axis=1, keepdims=True)).astype(np.float32) if names else p.astype(np.float32)
-        self.base = np.log(p.mean(axis=1) * CELLS).astype(np.float32) if names else np.zeros(0, np.float32)
+        self.base = np.log(p.mean(axis=1) * self.cells).astype(np.float32) if names else np.zeros(0, np.float32)
         self.prior = (docs / docs.sum() if len(docs) else docs).astype(np.float32)
 
     def shares(self, x: np.ndarray, times: np.ndarray, prior: np.ndarray, steps: int, weight: float = 2.0) -> np.ndarray:
@@ -59,9 +65,9 @@ class Model:
         """judge() and the mean log-likelihood of an n-gram under the chosen set against a uniform background."""
         if text is None or not self.names or not any(m.group().isalpha() for m in LETTER.finditer(text)):
             return "und", 0.0, [], None
-        cell = codes(text)
+        cell = codes(text) >> self.shift
         if len(cell) > LISTED:
-            times = np.bincount(cell, minlength=CELLS)
+            times = np.bincount(cell, minlength=self.cells)
             cell = np.flatnonzero(times)
             times = times[cell].astype(np.float32)
         else:
@@ -83,33 +89,47 @@ class Model:
         return self.names[order[top]], float(min(1.0, whole[order[top]])), [(self.names[order[i]], float(s)) for i, s in enumerate(chosen)], (best + float(times @ self.base[cell])) / n
 
 
-def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = 200) -> Model:
-    """Count n-grams of about `sample` documents per language (a bound; chosen by a hash of the id
-    against the language's size) for the `most` languages with the most documents (a bound; of equals those first
-    in order). Null texts and languages are left out."""
+def cells_for(languages: int) -> int:
+    """Cells of a model of so many languages: all of them up to 200, then half as many whenever languages double."""
+    return 1 << (min(CELLS, max(LEAST_CELLS, HELD // max(1, languages))).bit_length() - 1)
+
+
+def train(docs: DataFrame, sample: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Count n-grams of about `sample` documents per language (a bound on the rows learned from; chosen by a hash of the id
+    against the language's size). Every language is learned, however many there are. Null texts and languages are left out."""
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"`{lang_col}` AS lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    sized = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    sizes = {r.lang: r.of for r in sized.collect()}  # a row for each language
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((CELLS, 0)), np.zeros(0))
-    share = F.create_map(*(F.lit(v) for k in names for v in (k, min(1.0, sample / sizes[k]))))
-    chosen = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share[F.col("lang")])
+    spark, cells = docs.sparkSession, cells_for(len(names))
+    shares = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.col("share"))
+    fold = CELLS.bit_length() - cells.bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_slot()
         totals: dict[str, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for lang, n in totals.items():
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n[found])], ["lang", "cell", "n"])
+            totals.clear()
+
         for batch in slices(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if lang not in totals:
-                    totals[lang] = np.zeros(CELLS, np.int64)
-                totals[lang] += np.bincount(codes(text), minlength=CELLS)
-        for lang, n in totals.items():
-            cells = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells.astype(np.int32)), pa.array(n[cells])], ["lang", "cell", "n"])
+                    if len(totals) >= COUNTED:
+                        yield from handed_on()
+                    totals[lang] = np.zeros(cells, np.int64)
+                totals[lang] += np.bincount(codes(text) >> fold, minlength=cells)
+        yield from handed_on()
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most cells x languages
-    counts = np.zeros((CELLS, len(names)))
+    counts = np.zeros((cells, len(names)))
     place = {k: i for i, k in enumerate(names)}
     counts[found.column("cell").to_numpy(), [place[k] for k in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
     return Model(names, counts, np.array([sizes[k] for k in names], float))
