@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm._support import forget, keep
+from wattline.llm._support import forget, join_by_key, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest node it reaches. Repeated and two-way edges count once; no edges, no rows.
 
     Each step groups by node only for a minimum (pre-aggregated before the shuffle) and joins that
-    minimum back from a written table, so that a hub's rows can be split over tasks at run time.
+    minimum back from a written table: by broadcast for hubs, whose rows so stay where they are, by shuffle for the other nodes.
     Ends when a whole round changes nothing; rounds grow with the logarithm of the diameter.
     """
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -24,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.selectExpr("u AS node", "v AS root").union(now.selectExpr("v AS node", "v AS root").distinct())
         before = seen
         two_way = now.union(now.selectExpr("v AS u", "u AS v"))
-        least = keep(two_way.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = keep(two_way.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct(), "large")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v != m").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
+        least = keep(two_way.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")), "least")
+        large = keep(join_by_key(two_way.where("v > u"), least, ["u"], "n").selectExpr("v AS u", "m AS v").distinct(), "large")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = join_by_key(large, low, ["u"], "n").where("v != m").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
         after = keep(small.distinct(), "edges")
         forget(now, least, large, low)
         now = after
