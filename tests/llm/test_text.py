@@ -39,6 +39,16 @@ def test_automaton_equals_the_library(library):
         assert encoder.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"decoder": {"type": "ByteLevel"}}, {"model": {"end_of_word_suffix": None}}, {"model": {"byte_fallback": True}}])
+def test_other_tokenizer_files_are_refused(change):
+    import json
+
+    spec = json.loads(open(queries.TOKENIZER, encoding="utf-8").read())
+    bpe.check_supported(spec)
+    with pytest.raises(ValueError):
+        bpe.check_supported(spec | {k: spec["model"] | v if k == "model" else v for k, v in change.items()})
+
+
 def test_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNKS_HELD", 3)
     monkeypatch.setattr(bpe, "STATES_HELD", 20)
@@ -233,10 +243,20 @@ def test_mixture_equals_plain_arithmetic(spark):
         assert got[0] == lang and got[1] == pytest.approx(min(1.0, score), abs=5e-3) and {k for k, _ in got[2]} == chosen
 
 
-def test_languages_are_bounded_and_null_ids_are_judged(spark, sf, tmp_path):
-    rows = [(i, f"some words of kind {i % 50}", f"l{min(i % 50, i % 7):02d}") for i in range(200)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
-    assert len(model.names) == 3
+def test_every_language_is_learned(spark, monkeypatch):
+    """Three hundred languages of their own words: none is left out, and coarser cells still tell them apart."""
+    word = lambda i, j: "".join(chr(97 + (i * 7 + j * 11 + k * (i + 3)) % 26) for k in range(6))
+    rows = [(i * 4 + c, " ".join(word(i, j) for j in range(30)), f"l{i:03d}") for i in range(300) for c in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.cells_for(1) == language.cells_for(200) == language.CELLS and language.cells_for(201) == language.CELLS // 2 and language.cells_for(10**9) == language.LEAST_CELLS
+    monkeypatch.setattr(language, "COUNTED", 7)
+    model = language.train(docs)
+    assert len(model.names) == 300 and model.cells == language.CELLS // 2
+    got = language.identify(docs, model)
+    assert got.where("lang_pred = lang").count() > 0.99 * len(rows)
+
+
+def test_null_ids_are_judged(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).write.parquet(f"file://{tmp_path}/documents.parquet")
     got = queries.op7_language_id(spark, f"file://{tmp_path}")

@@ -43,6 +43,23 @@ STATES_HELD = 200_000
 BATCH_BYTES = 4 << 20
 NODE_BITS, NODE_MASK = 32, (1 << 32) - 1
 
+#: How words are cut from a normalized text, and the normalizer, cutting and model settings that are built in here: fixed values.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTING = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def check_supported(spec: dict) -> None:
+    """An error for a vocabulary file that normalizes, cuts or merges in another way than is built in: its ids would be others."""
+    model = spec.get("model") or {}
+    other = [k for k, v in (("normalizer", NORMALIZER), ("pre_tokenizer", CUTTING)) if spec.get(k) != v]
+    other += [k for k, v in MODEL.items() if model.get(k, v) != v] + ["end_of_word_suffix"] * (not model.get("end_of_word_suffix")) + ["decoder"] * (spec.get("decoder") is not None)
+    other += ["added_tokens"] * any(x.get(k) for x in spec.get("added_tokens", []) for k in ADDED)
+    if other:
+        raise ValueError(f"not a tokenizer file of the supported kind: {', '.join(other)}")
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter for each byte that byte-level vocabularies use."""
@@ -56,6 +73,7 @@ class Automaton:
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        check_supported(spec)
         self.key = hashlib.sha256(source.encode()).hexdigest()
         model = spec["model"]
         self.spec = source
@@ -218,7 +236,7 @@ class Encoder:
         self.a, self.reader, self.held = automaton, Reader(automaton), held or CHUNKS_HELD
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was held before `chunks` was started anew
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pieces = regex.compile(PIECES)
         self.marks = re.compile("|".join(map(re.escape, automaton.special))) if automaton.special else None
         self.special = {s: i.to_bytes(4, "little") for s, i in automaton.special.items()}
         self.unusual = re.compile("[^\x00-\x1b\x20-ԯ‐-‧‰-⁞₠-₵一-龥ぁ-ゖァ-ヺ가-힣]")
