@@ -245,8 +245,8 @@ def test_mixture_equals_plain_arithmetic(spark):
 
 def test_every_language_is_learned(spark, monkeypatch):
     """Three hundred languages of their own words: none is left out, and coarser cells still tell them apart."""
-    word = lambda i, j: "".join(chr(97 + (i * 7 + j * 11 + k * (i + 3)) % 26) for k in range(6))
-    rows = [(i * 4 + c, " ".join(word(i, j) for j in range(30)), f"l{i:03d}") for i in range(300) for c in range(4)]
+    words_of = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for rng in map(random.Random, range(300))]
+    rows = [(i * 4 + c, " ".join(words_of[i]), f"l{i:03d}") for i in range(300) for c in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.cells_for(1) == language.cells_for(200) == language.CELLS and language.cells_for(201) == language.CELLS // 2 and language.cells_for(10**9) == language.LEAST_CELLS
     monkeypatch.setattr(language, "COUNTED", 7)
