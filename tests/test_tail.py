@@ -145,3 +145,104 @@ def test_gap_is_an_error(spark):
     p = panel(spark, series(5), 1).withColumn("y", F.when(F.col("step") != 2, F.col("y")))
     with pytest.raises(ValueError):
         W.require_dense(p, ["y"])
+
+
+@pytest.mark.parametrize("every", [1, 3, 50])
+@pytest.mark.parametrize("window", [1, 2, 7, 40])
+def test_kernels_match_sorting_with_ties_and_nan(window, every):
+    """Both ways through a series, against sorting each window: NaN last, then the mean of what is above the rank."""
+    rng = np.random.default_rng(window)
+    x = rng.integers(0, 6, 300).astype(float)
+    x[rng.random(300) < 0.05] = np.nan
+    x[100:150] = 3.0
+    x[200] = np.inf
+    alphas, wanted = (0.05, 0.5, 0.9, 0.999, 1.0), np.arange(300) % every == 0
+    q, es = T.tail_kernels(x, alphas, window, wanted)
+    ways = []
+    for way in (T._parted, T._slid):
+        a, b = np.full((5, 300), np.nan), np.full((5, 300), np.nan)
+        way(x, [T.rank_in_window(v, window) for v in alphas], window, np.flatnonzero(wanted[window - 1 :]) + window - 1, a, b)
+        ways.append((a, b))
+    for t in range(300):
+        for i, alpha in enumerate(alphas):
+            k = T.rank_in_window(alpha, window)
+            want = (np.nan, np.nan)
+            if wanted[t] and t >= window - 1:
+                s = np.sort(x[t - window + 1 : t + 1])
+                want = s[k], s[k + 1 :].mean() if k + 1 < window else s[k]
+            for a, b in [(q, es), *ways]:
+                assert np.allclose([a[i, t], b[i, t]], want, rtol=1e-12, equal_nan=True)
+
+
+def test_sliding_costs_little_more_for_longer_windows():
+    import time
+
+    x, took = np.random.default_rng(0).normal(size=60_000), []
+    for window in (500, 20_000):
+        began = time.process_time()
+        T.tail_kernels(x, (0.999,), window)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def long_unit(spark, n=6400):
+    """One unit of n steps, and a short one."""
+    y = "0.6D + 0.1D * sin(step / 9D) + 0.05D * (pmod(xxhash64(u, step), 2001) - 1000) / 1000D"
+    both = spark.range(n).selectExpr("'a/long' AS u", "id AS step").union(spark.range(90).selectExpr("'b/short' AS u", "id AS step"))
+    return both.selectExpr("u AS unit", "step", f"{y} AS y").selectExpr("*", "y / 2 AS p", "timestampadd(MINUTE, CAST(step AS int) * 5, TIMESTAMP_NTZ'2019-05-01 00:00:00') AS ts")
+
+
+def assert_same(a, b):
+    a, b = (x.orderBy("unit", "step").toPandas() for x in (a, b))
+    assert list(a.columns) == list(b.columns) and len(a) == len(b)
+    for c in a.columns:
+        same = a[c].equals(b[c]) if a[c].dtype == object else np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True)
+        assert same, c
+
+
+FORMS = {
+    "lag_diff_features": lambda d, b: W.lag_diff_features(d, "y", block=b),
+    "trailing_stats": lambda d, b: W.trailing_stats(d, "y", 6, 20, b),
+    "unit_features": lambda d, b: W.unit_features(d, "y", "p", 6, 20, block=b),
+    "ar1_slope": lambda d, b: W.ar1_slope(d.select("unit", "step", "y"), "y", 30, block=b),
+    "empirical": lambda d, b: T.empirical(d, "y", 0.9, 30, 10, b),
+    "fhs": lambda d, b: T.fhs(d, "y", 0.9, 30, 10, b),
+    "fhs_ar": lambda d, b: T.fhs_ar(d, "y", 0.9, 30, 10, b),
+    "fhs_horizon": lambda d, b: T.fhs_horizon(d, "y", 0.9, 7, 30, 10, b),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FORMS))
+@pytest.mark.parametrize("block", [37, 1000])
+def test_blocks_change_nothing(spark, name, block):
+    """Blocks shorter and longer than what the windows reach back to, against whole units."""
+    d = long_unit(spark, 1500)
+    assert_same(FORMS[name](d, block), FORMS[name](d, 0))
+
+
+def test_limit_forecasts_in_blocks(spark):
+    d = long_unit(spark, 1500)
+    a, b = (T.horizon_forecasts(d, "y", (1, 3, 7), (0.9, 0.99), 30, 10, block).orderBy("h", "alpha", "unit", "step").toPandas() for block in (64, 0))
+    assert len(a) == len(b) and np.allclose(a.select_dtypes("number"), b.select_dtypes("number"), equal_nan=True)
+    one = T.fhs_horizon(d, "y", 0.9, 7, 30, 10, 0).where("step % 7 = 0").orderBy("unit", "step").toPandas()
+    mine = a[(a.h == 7) & (a.alpha == 0.9)].reset_index(drop=True)
+    assert np.allclose(one["var"].astype(float), mine["var"], equal_nan=True) and np.allclose(one["es"].astype(float), mine["es"], equal_nan=True)
+
+
+def test_one_unit_is_the_work_of_many_tasks(spark):
+    """6,400 steps in blocks of 100: 64 groups of rows, dealt to as many tasks, and none of them holds the unit."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    d = long_unit(spark).where("unit = 'a/long'")
+
+    def spy(x):
+        seen.append(x)
+        return x
+
+    out = W.in_blocks(d, 20, lambda x: spy(x).withColumn("m", W.trailing("avg", "y", 20)), 100)
+    assert out.count() == 6400 and out.select("step").distinct().count() == 6400
+    sizes = seen[0].groupBy("unit").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    assert sizes[0] == 65 and sizes[1] <= 120  # the last holds history alone
+    spread = seen[0].repartition(64, "unit").select(F.spark_partition_id().alias("p"), "unit").distinct().groupBy("p").count()
+    assert spread.count() > 30

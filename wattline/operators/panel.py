@@ -1,13 +1,14 @@
 """Causal windows over a regular panel in long form: one row per unit and step.
 
 Every window is partitioned by unit and ordered by step, or partitioned by step for the
-cross-section; trailing statistics are null until their window is full.
+cross-section; trailing statistics are null until their window is full. A unit is cut into blocks of steps that carry
+the history their windows reach back to, so that one long unit is the work of many tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -36,6 +37,28 @@ def trailing(fn: str, x: str, size: int, ends: int = 1, w: WindowSpec | None = N
     return F.when(F.count(x).over(frame) == size, getattr(F, fn)(x).over(frame))
 
 
+#: Steps of a block for each step that its windows reach back: history adds a sixteenth of the rows.
+BLOCK_REACH = 16
+#: Between a unit's name and its block.
+SEP = "\x01"
+
+
+def in_blocks(df: DataFrame, reach: int, f: Callable[[DataFrame], DataFrame], block: int | None = None) -> DataFrame:
+    """f(df) for an f whose windows run along `unit` and reach at most `reach` steps back, with each unit in blocks of `block` steps.
+
+    While f works, `unit` is the unit and its block, and a row also stands in the later blocks that reach back to it; afterwards
+    each row is its own block's, once. Nothing but `unit` and `step` need be in f's result. Steps must count a unit's rows
+    without gaps (see require_dense()). `block` 0: df is in blocks already, or is to be left whole."""
+    if block == 0:
+        return f(df)
+    block = block or BLOCK_REACH * max(1, reach)
+    at = lambda step: F.floor(step / block)
+    blocks = F.transform(F.sequence(at(F.col(STEP)), at(F.col(STEP) + reach)), lambda b: F.concat(F.col("unit"), F.lit(SEP), b.cast("string")))
+    out = f(df.withColumn("unit", F.explode(blocks)))
+    own = at(F.col(STEP)).cast("string") == F.substring_index("unit", SEP, -1)
+    return out.where(own).withColumn("unit", F.substring_index("unit", SEP, 1))
+
+
 def require_dense(df: DataFrame, columns: Sequence[str], unit: str = "unit", order: str = STEP) -> None:
     """Fail if a panel has a gap: a null in these columns, a step that a unit lacks, or one that it has twice."""
     nulls = F.sum(F.when(F.expr(" OR ".join(f"{c} IS NULL" for c in columns)), 1).otherwise(0))
@@ -50,15 +73,16 @@ def require_dense(df: DataFrame, columns: Sequence[str], unit: str = "unit", ord
         raise ValueError(f"{r['rows']} rows are not {r['units']} units of {steps} steps each")
 
 
-def lag_diff_features(df: DataFrame, y: str, lags: Sequence[int] = (1, 2, 3, 6, 12), diffs: Sequence[int] = (1, 3, 6)) -> DataFrame:
-    return df.select("unit", "step", *(lag(y, k).alias(f"lag_{k}") for k in lags), *(diff(y, k).alias(f"d{k}") for k in diffs))
+def lag_diff_features(df: DataFrame, y: str, lags: Sequence[int] = (1, 2, 3, 6, 12), diffs: Sequence[int] = (1, 3, 6), block: int | None = None) -> DataFrame:
+    columns = [*(lag(y, k).alias(f"lag_{k}") for k in lags), *(diff(y, k).alias(f"d{k}") for k in diffs)]
+    return in_blocks(df.select("unit", "step", y), max(*lags, *diffs), lambda d: d.select("unit", "step", *columns), block)
 
 
-def trailing_stats(df: DataFrame, y: str, hour: int = 12, day: int = 288) -> DataFrame:
-    return df.select(
-        "unit", "step", trailing("avg", y, hour).alias("roll_mean_1h"), trailing("stddev_samp", y, hour).alias("roll_std_1h"), trailing("avg", y, day).alias("roll_mean_1d"),
-        trailing("max", y, day).alias("roll_max_1d"), trailing("stddev_samp", y, day).alias("roll_std_1d"),
-    ).withColumn("vol_ratio", S.ratio("roll_std_1h", "roll_std_1d"))
+def trailing_stats(df: DataFrame, y: str, hour: int = 12, day: int = 288, block: int | None = None) -> DataFrame:
+    columns = [trailing("avg", y, hour).alias("roll_mean_1h"), trailing("stddev_samp", y, hour).alias("roll_std_1h"), trailing("avg", y, day).alias("roll_mean_1d"),
+        trailing("max", y, day).alias("roll_max_1d"), trailing("stddev_samp", y, day).alias("roll_std_1d")]
+    stats = in_blocks(df.select("unit", "step", y), max(hour, day), lambda d: d.select("unit", "step", *columns), block)
+    return stats.withColumn("vol_ratio", S.ratio("roll_std_1h", "roll_std_1d"))
 
 
 def clock(ts: str = "ts", width_min: int = 5) -> dict[str, Column]:
@@ -72,7 +96,7 @@ def clock_features(df: DataFrame, ts: str = "ts", width_min: int = 5) -> DataFra
     return df.select("unit", "step", *(c.alias(n) for n, c in clock(ts, width_min).items()))
 
 
-def unit_features(df: DataFrame, y: str, p: str, hour: int = 12, day: int = 288, ts: str = "ts") -> DataFrame:
+def unit_features(df: DataFrame, y: str, p: str, hour: int = 12, day: int = 288, ts: str = "ts", block: int | None = None) -> DataFrame:
     """The single-unit feature frame: lags, trailing statistics, second channel, clock. Row t uses nothing after t - 1."""
     c = clock(ts)
     out = df.withColumn("_head", F.col(y) - F.col(p))
@@ -80,7 +104,8 @@ def unit_features(df: DataFrame, y: str, p: str, hour: int = 12, day: int = 288,
     base += [lag(y, day).alias("lag_day"), lag(y, 7 * day).alias("lag_week"), trailing("avg", y, hour).alias("roll_mean_1h"), trailing("stddev_samp", y, hour).alias("roll_std_1h")]
     base += [trailing("avg", y, day).alias("roll_mean_1d"), trailing("max", y, day).alias("roll_max_1d"), trailing("stddev_samp", y, day).alias("roll_std_1d")]
     base += [lag(p, 1).alias("prod_lag_1"), lag("_head", 1).alias("headroom_lag_1"), c["tod_sin"].alias("tod_sin"), c["tod_cos"].alias("tod_cos"), c["dow"].alias("dow")]
-    return out.select(*base).withColumn("vol_ratio", S.ratio("roll_std_1h", "roll_std_1d"))
+    out = in_blocks(out.select("unit", "step", y, p, "_head", ts), 7 * day, lambda d: d.select(*base), block)
+    return out.withColumn("vol_ratio", S.ratio("roll_std_1h", "roll_std_1d"))
 
 
 #: The feature frame: each column's definition on the settings `k` (channels, window lengths, clock), by where it comes from.
@@ -112,11 +137,12 @@ def feature_names(*parts: str) -> list[str]:
 OWN, FLEET, METER_ONLY = feature_names("own", "second", "clock"), feature_names("own", "second", "clock", "others"), feature_names("own", "clock", "others")
 
 
-def fleet_features(df: DataFrame, y: str = "measured_power_util", p: str = "production_power_util", bad: str = "bad_production_power_data", hour: int = 12, day: int = 288, ts: str = "ts") -> DataFrame:
+def fleet_features(df: DataFrame, y: str = "measured_power_util", p: str = "production_power_util", bad: str = "bad_production_power_data", hour: int = 12, day: int = 288, ts: str = "ts", block: int | None = None) -> DataFrame:
     """Own history, second channel, the other units at the same step, and the clock: known at t.
     The cross-section is a window by step, not a join."""
     k = SimpleNamespace(y=y, p=p, bad=bad, hour=hour, day=day, clock=clock(ts))
-    own = df.select("unit", "cell", "step", *(define(k).alias(name) for part in ("own", "second", "clock") for name, define in FRAME[part].items()))
+    columns = [define(k).alias(name) for part in ("own", "second", "clock") for name, define in FRAME[part].items()]
+    own = in_blocks(df.select("unit", "cell", "step", y, p, bad, ts), max(12, hour, day), lambda d: d.select("unit", "cell", "step", *columns), block)
     return own.withColumns({name: define(k) for name, define in FRAME["others"].items()})
 
 
@@ -130,8 +156,12 @@ def with_trailing_sums(df: DataFrame, columns: dict[str, str], size: int) -> Dat
     return run.withColumns(full).drop(*(f"_{k}_{x}" for x in columns.values() for k in "sn"))
 
 
-def ar1_slope(df: DataFrame, y: str, window: int, bound: float = 0.99) -> DataFrame:
+def ar1_slope(df: DataFrame, y: str, window: int, bound: float = 0.99, block: int | None = None) -> DataFrame:
     """Trailing least-squares slope of increments on the increment before, through the origin; 0 in warm-up."""
+    return in_blocks(df, window + 3, lambda d: _ar1_slope(d, y, window, bound), block)
+
+
+def _ar1_slope(df: DataFrame, y: str, window: int, bound: float) -> DataFrame:
     d = df.withColumn("_d", diff(y)).withColumn("_d1", lag("_d", 1))
     d = d.withColumns({"_num": F.col("_d") * F.col("_d1"), "_den": F.col("_d1") * F.col("_d1")})
     d = with_trailing_sums(d, {"_nums": "_num", "_dens": "_den"}, window)

@@ -1,13 +1,14 @@
 """Tail-quantile forecasts: rolling order statistics, filtered historical simulation, calibration.
 
 Lags, increments and volatilities are native windows. Only the rolling order statistic, which no
-built-in window expresses with its rank rule, is a grouped map; a unit's series is cut into blocks that carry
-the history they need, so long series spread over tasks.
+built-in window expresses with its rank rule, is a grouped map. A unit's series is cut into blocks that carry
+the history that all of a forecast's windows reach back to (panel.in_blocks()), so long series spread over tasks.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from wattline import constants as C
 from wattline.functions import scalars as S
-from wattline.operators.panel import ar1_slope, lag, thinned, trailing
+from wattline.operators.panel import ar1_slope, in_blocks, lag, thinned, trailing
+from wattline.scratch import keep
 
 
 def rank_in_window(alpha: float, window: int) -> int:
@@ -26,25 +28,60 @@ def rank_in_window(alpha: float, window: int) -> int:
     return math.ceil(alpha * window) - 1
 
 
-def tail_kernel(x: np.ndarray, alpha: float, window: int, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def tail_kernel(x: np.ndarray, alpha: float, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Order statistic and mean above it of each trailing window; NaN sorts last, so it can spoil the mean alone."""
-    q, es = tail_kernels(x, (alpha,), window, rows)
+    q, es = tail_kernels(x, (alpha,), window)
     return q[0], es[0]
 
 
-def tail_kernels(x: np.ndarray, alphas: Sequence[float], window: int, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """tail_kernel() for several levels at once, a row for each: a window is parted once at all its ranks."""
-    q, es = (np.full((len(alphas), len(x)), np.nan) for _ in range(2))
-    if len(x) < window:
-        return q, es
-    ranks, windows = [rank_in_window(a, window) for a in alphas], sliding_window_view(x, window)
-    for at in range(0, len(windows), rows):
-        part = np.partition(windows[at : at + rows], sorted(set(ranks)), axis=1)
-        out = slice(window - 1 + at, window - 1 + at + len(part))
+#: A window parted anew costs about as much as so many of its elements' steps of a sliding window.
+STEP_COST = 400
+
+
+def tail_kernels(x: np.ndarray, alphas: Sequence[float], window: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """tail_kernel() for several levels at once, a row for each; NaN where `wanted` (a mask of rows) is false.
+
+    Where most windows are wanted, one ordered window slides along: a value enters and one leaves by binary search, and ranks are read
+    off it. Where few are, those are parted at their ranks and the rest is never looked at."""
+    n, ranks = len(x), [rank_in_window(a, window) for a in alphas]
+    q, es = (np.full((len(alphas), n), np.nan) for _ in range(2))
+    rows = np.arange(window - 1, n) if wanted is None else np.flatnonzero(wanted[window - 1 :]) + window - 1
+    if len(rows) * window < n * STEP_COST:
+        _parted(x, ranks, window, rows, q, es)
+    else:
+        _slid(x, ranks, window, rows, q, es)
+    return q, es
+
+
+def _parted(x: np.ndarray, ranks: Sequence[int], window: int, rows: np.ndarray, q: np.ndarray, es: np.ndarray, at_once: int = 2048) -> None:
+    for at in range(0, len(rows), at_once):
+        out = rows[at : at + at_once]
+        part = np.partition(sliding_window_view(x, window)[out - window + 1], sorted(set(ranks)), axis=1)
         for i, k in enumerate(ranks):
             q[i, out] = part[:, k]
             es[i, out] = part[:, k + 1 :].mean(axis=1) if k + 1 < window else part[:, k]
-    return q, es
+
+
+def _slid(x: np.ndarray, ranks: Sequence[int], window: int, rows: np.ndarray, q: np.ndarray, es: np.ndarray) -> None:
+    """The ordered window is a list of the values that are numbers (its moves are memory copies), and a count of those that are none."""
+    values = x.tolist()
+    held = sorted(v for v in values[: window - 1] if v == v)
+    at = window - 1
+    for t in rows.tolist():
+        while at <= t:
+            if at >= window and (old := values[at - window]) == old:
+                del held[bisect_left(held, old)]
+            if (new := values[at]) == new:
+                insort(held, new)
+            at += 1
+        whole = len(held) == window
+        for i, k in enumerate(ranks):
+            if k < len(held):
+                q[i, t] = held[k]
+                if k + 1 == window:
+                    es[i, t] = held[k]
+                elif whole:
+                    es[i, t] = sum(held[k + 1 :]) / (window - k - 1)
 
 
 def rolling_tail(df: DataFrame, x: str, alpha: float, window: int, keys: Sequence[str] = ("unit",), order: str = "step", block: int | None = None) -> DataFrame:
@@ -55,49 +92,58 @@ def rolling_tail(df: DataFrame, x: str, alpha: float, window: int, keys: Sequenc
 
 def rolling_tails(df: DataFrame, x: str, alphas: Sequence[float], window: int, keys: Sequence[str] = ("unit",), order: str = "step", block: int | None = None) -> DataFrame:
     """rolling_tail() for several levels: a row for each row of df and level, with alpha."""
-    block = max(block or 16 * window, window)
+    return in_blocks(df, window - 1, lambda d: _tails(d, x, alphas, window, keys, order), block if block is None else block and max(block, window))
+
+
+def _tails(df: DataFrame, x: str, alphas: Sequence[float], window: int, keys: Sequence[str], order: str) -> DataFrame:
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    here = F.floor(F.col(order) / block)
-    blocks = F.when(F.col(order) % block >= block - window + 1, F.array(here, here + 1)).otherwise(F.array(here))
-    spread = df.withColumn("_block", F.explode(blocks))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         q, es = tail_kernels(pdf[x].to_numpy(dtype=float, na_value=np.nan), alphas, window)
-        own = (pdf[order] // block == pdf["_block"]).to_numpy()
-        rest = pdf.drop(columns="_block")[own]
-        return pd.concat([rest.assign(alpha=a, q=q[i][own], es=es[i][own]) for i, a in enumerate(alphas)])
+        return pd.concat([pdf.assign(alpha=a, q=q[i], es=es[i]) for i, a in enumerate(alphas)])
 
-    return spread.groupBy(*keys, "_block").applyInPandas(run, f"{kind}, alpha double, q double, es double")
+    return df.groupBy(*keys).applyInPandas(run, f"{kind}, alpha double, q double, es double")
 
 
 def _forecast(df: DataFrame, keep: list[str], center: str, sigma: str | None, alpha: float, window: int, h: int) -> DataFrame:
     """var and es around a centre: the tail of what the past held, scaled."""
-    tail = rolling_tail(df.withColumn("_past", lag("_x", h)), "_past", alpha, window)
+    tail = rolling_tail(df.withColumn("_past", lag("_x", h)), "_past", alpha, window, block=0)
     scale = (lambda c: F.col(center) + F.col(sigma) * F.col(c)) if sigma else (lambda c: F.col(c))
     return tail.select(*keep, scale("q").alias("var"), scale("es").alias("es"))
 
 
-def empirical(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+def empirical(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
     """History of the level: unit, step, y, anchor, var, es."""
-    d = df.select("unit", "step", F.col(y).alias("y"), F.col(y).alias("_x"), lag(y, 1).alias("anchor"))
-    return _forecast(d, ["unit", "step", "y", "anchor"], "anchor", None, alpha, window, 1)
+
+    def f(d: DataFrame) -> DataFrame:
+        return _forecast(d.withColumns({"_x": F.col("y"), "anchor": lag("y", 1)}), ["unit", "step", "y", "anchor"], "anchor", None, alpha, window, 1)
+
+    return in_blocks(df.select("unit", "step", F.col(y).alias("y")), window + 1, f, block)
 
 
-def fhs_horizon(df: DataFrame, y: str, alpha: float, h: int = 1, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+def fhs_horizon(df: DataFrame, y: str, alpha: float, h: int = 1, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
     """Level h steps ago plus volatility times the tail of standardised h-step increments."""
-    d = df.select("unit", "step", F.col(y).alias("y"), lag(y, h).alias("anchor")).withColumn("_d", F.col("y") - F.col("anchor"))
-    d = d.withColumn("_sigma", trailing("stddev_samp", "_d", vol_window, h)).withColumn("_x", S.ratio("_d", "_sigma"))
-    return _forecast(d, ["unit", "step", "y", "anchor"], "anchor", "_sigma", alpha, window, h)
+
+    def f(d: DataFrame) -> DataFrame:
+        d = d.withColumn("anchor", lag("y", h)).withColumn("_d", F.col("y") - F.col("anchor"))
+        d = d.withColumn("_sigma", trailing("stddev_samp", "_d", vol_window, h)).withColumn("_x", S.ratio("_d", "_sigma"))
+        return _forecast(d, ["unit", "step", "y", "anchor"], "anchor", "_sigma", alpha, window, h)
+
+    return in_blocks(df.select("unit", "step", F.col(y).alias("y")), 3 * h + vol_window + window, f, block)
 
 
-def fhs(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
-    return fhs_horizon(df, y, alpha, 1, window, vol_window)
+def fhs(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
+    return fhs_horizon(df, y, alpha, 1, window, vol_window, block)
 
 
-def fhs_ar(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+def fhs_ar(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
     """With a trailing AR(1) term on the increment."""
-    d = ar1_slope(df.select("unit", "step", F.col(y).alias("y")), "y", window)
+    return in_blocks(df.select("unit", "step", F.col(y).alias("y")), 2 * window + vol_window + 5, lambda d: _fhs_ar(d, alpha, window, vol_window), block)
+
+
+def _fhs_ar(df: DataFrame, alpha: float, window: int, vol_window: int) -> DataFrame:
+    d = ar1_slope(df, "y", window, block=0)
     d = d.withColumn("anchor", lag("y", 1)).withColumn("_center", F.col("anchor") + F.col("phi") * F.col("d1")).withColumn("_resid", F.col("d") - F.col("phi") * F.col("d1"))
     d = d.withColumn("_sigma", trailing("stddev_samp", "_resid", vol_window)).withColumn("_x", S.ratio("_resid", "_sigma"))
     return _forecast(d, ["unit", "step", "y", "anchor"], "_center", "_sigma", alpha, window, 1)
@@ -106,8 +152,8 @@ def fhs_ar(df: DataFrame, y: str, alpha: float, window: int = C.WINDOW, vol_wind
 MODELS: dict[str, Callable[..., DataFrame]] = {"empirical": empirical, "fhs": fhs, "fhs_ar": fhs_ar}
 
 
-def forecast_panel(df: DataFrame, y: str, model: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
-    return MODELS[model](df, y, alpha, window, vol_window)
+def forecast_panel(df: DataFrame, y: str, model: str, alpha: float, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
+    return MODELS[model](df, y, alpha, window, vol_window, block)
 
 
 def apply_multiplier(fc: DataFrame, m: float) -> DataFrame:
@@ -115,9 +161,9 @@ def apply_multiplier(fc: DataFrame, m: float) -> DataFrame:
     return fc.withColumns({c: F.col("anchor") + m * (F.col(c) - F.col("anchor")) for c in ("var", "es")})
 
 
-def forecast_horizon(df: DataFrame, y: str, alpha: float, h: int, m: float = 1.0, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+def forecast_horizon(df: DataFrame, y: str, alpha: float, h: int, m: float = 1.0, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
     """Every h-th forecast at a lead of h steps."""
-    return thinned(apply_multiplier(fhs_horizon(df, y, alpha, h, window, vol_window), m), h)
+    return thinned(apply_multiplier(fhs_horizon(df, y, alpha, h, window, vol_window, block), m), h)
 
 
 def usable(fc: DataFrame, *columns: str) -> DataFrame:
@@ -167,23 +213,36 @@ def _smallest_enough(d: DataFrame, keys: Sequence[str], low: float, high: float,
     return bin_of.join(F.broadcast(exact), list(keys), "left").select(*keys, "n_train", F.coalesce("_r", ends).alias("m"))
 
 
-def horizon_forecasts(df: DataFrame, y: str, horizons: Sequence[int], alphas: Sequence[float], window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW) -> DataFrame:
+def horizon_forecasts(df: DataFrame, y: str, horizons: Sequence[int], alphas: Sequence[float], window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, block: int | None = None) -> DataFrame:
     """forecast_horizon() for each lead and level as rows: h, alpha, unit, step, y, anchor, var, es. The windows of all leads
-    share one pass over the panel, and all levels of a lead one grouped map."""
-    d = df.select("unit", "step", F.col(y).alias("y"), *(lag(y, h).alias(f"_a{h}") for h in horizons))
-    d = d.withColumns({f"_d{h}": F.col("y") - F.col(f"_a{h}") for h in horizons})
-    d = d.withColumns({f"_s{h}": trailing("stddev_samp", f"_d{h}", vol_window, h) for h in horizons})
-    d = d.withColumns({f"_x{h}": S.ratio(f"_d{h}", f"_s{h}") for h in horizons}).withColumns({f"_p{h}": lag(f"_x{h}", h) for h in horizons})
-    leads = F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"_a{h}").alias("anchor"), F.col(f"_s{h}").alias("sigma"), F.col(f"_p{h}").alias("past")) for h in horizons))
-    tails = rolling_tails(d.select("unit", "step", "y", F.explode(leads).alias("l")).select("unit", "step", "y", "l.*"), "past", alphas, window, ("unit", "h"))
-    return tails.where("step % h = 0").select("h", "alpha", "unit", "step", "y", "anchor", *((F.col("anchor") + F.col("sigma") * F.col(c)).alias(n) for c, n in (("q", "var"), ("es", "es"))))
-
-
-def limit_curve(df: DataFrame, y: str, horizons: Sequence[int] = C.LIMIT_HORIZONS, alphas: Sequence[float] = C.LIMIT_ALPHAS, split: int = C.FLEET_SPLIT, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, start: int = 0) -> DataFrame:
-    """Calibrated limits over lead times and risk levels, one row for each, in one plan. Steps before `start` are left out."""
+    share one pass over the panel and one grouped map, which looks at the windows of every h-th step alone."""
+
+    def f(d: DataFrame) -> DataFrame:
+        d = d.withColumns({f"_a{h}": lag("y", h) for h in horizons}).withColumns({f"_d{h}": F.col("y") - F.col(f"_a{h}") for h in horizons})
+        d = d.withColumns({f"_s{h}": trailing("stddev_samp", f"_d{h}", vol_window, h) for h in horizons})
+        d = d.withColumns({f"_x{h}": S.ratio(f"_d{h}", f"_s{h}") for h in horizons}).withColumns({f"_p{h}": lag(f"_x{h}", h) for h in horizons})
+        return d.select("unit", "step", "y", *(f"_{k}{h}" for h in horizons for k in "asp")).groupBy("unit").applyInPandas(run, "h int, alpha double, unit string, step long, y double, anchor double, var double, es double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = pdf.sort_values("step"), []
+        step = pdf["step"].to_numpy()
+        for h in horizons:
+            mine = step % h == 0
+            anchor, sigma, past = (pdf[f"_{k}{h}"].to_numpy(dtype=float, na_value=np.nan) for k in "asp")
+            q, es = tail_kernels(past, alphas, window, mine)
+            for i, a in enumerate(alphas):
+                parts.append(pd.DataFrame({"h": h, "alpha": a, "unit": pdf["unit"].to_numpy()[mine], "step": step[mine], "y": pdf["y"].to_numpy()[mine], "anchor": anchor[mine], "var": (anchor + sigma * q[i])[mine], "es": (anchor + sigma * es[i])[mine]}))
+        return pd.concat(parts)
+
+    return in_blocks(df.select("unit", F.col("step").cast("long").alias("step"), F.col(y).alias("y")), 3 * max(horizons) + vol_window + window, f, block)
+
+
+def limit_curve(df: DataFrame, y: str, horizons: Sequence[int] = C.LIMIT_HORIZONS, alphas: Sequence[float] = C.LIMIT_ALPHAS, split: int = C.FLEET_SPLIT, window: int = C.WINDOW, vol_window: int = C.VOL_WINDOW, start: int = 0, block: int | None = None) -> DataFrame:
+    """Calibrated limits over lead times and risk levels, one row for each. Steps before `start` are left out. Forecasts and
+    multipliers are written once: fitting, judging and limits all read them."""
     keys = ["h", "alpha"]
-    fc = usable(horizon_forecasts(df, y, horizons, alphas, window, vol_window), "var", "anchor").where(F.col("step") >= start)
-    cal = calibrate_by(fc, keys, split)
+    fc = keep(usable(horizon_forecasts(df, y, horizons, alphas, window, vol_window, block), "var", "anchor").where(F.col("step") >= start), "forecasts")
+    cal = keep(calibrate_by(fc, keys, split), "multipliers")  # a row for each lead and level
     lim = fc.join(F.broadcast(cal.select(*keys, "m")), keys).groupBy(*keys, "unit").agg((1 / F.avg(F.col("anchor") + F.col("m") * (F.col("var") - F.col("anchor"))) - 1).alias("lim"))
-    pct = lim.groupBy(*keys).agg(F.percentile("lim", 0.1).alias("p10"), F.percentile("lim", 0.5).alias("median"), F.percentile("lim", 0.9).alias("p90"), F.min("lim").alias("worst"))
+    pct = lim.groupBy(*keys).agg(F.percentile("lim", 0.1).alias("p10"), F.percentile("lim", 0.5).alias("median"), F.percentile("lim", 0.9).alias("p90"), F.min("lim").alias("worst"))  # of units
     return cal.join(F.broadcast(pct), keys)

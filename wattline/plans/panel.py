@@ -24,6 +24,8 @@ from wattline.plans.capacity import r, rounded
 Y, P = "measured_power_util", "production_power_util"
 #: The synthetic panel is hourly: a day has 24 steps, a week 168.
 DAY, WEEK, SPLIT = 24, 168, 480
+#: Steps of a block: the panel's windows reach back about as far, so that every unit is cut several times.
+BLOCK = 200
 #: Leads of the limit curve in hours, and the first step at which all its windows are full.
 LEADS = (1, 2, 3, 6, 12, 24)
 LIMIT_START = 3 * LEADS[-1] + DAY + WEEK
@@ -35,19 +37,19 @@ def power(s, d):
 
 
 def fleet_frame(s, d):
-    return W.fleet_features(power(s, d), hour=12, day=DAY).withColumn("roll_std_h", F.coalesce("roll_std_h", F.lit(0.0)))
+    return W.fleet_features(power(s, d), hour=12, day=DAY, block=BLOCK).withColumn("roll_std_h", F.coalesce("roll_std_h", F.lit(0.0)))
 
 
 def tails(s, d, alpha=0.95):
-    return T.rolling_tail(power(s, d).withColumn("_x", W.lag(Y, 1)), "_x", alpha, WEEK).select("unit", "step", "q", "es")
+    return T.rolling_tail(power(s, d).withColumn("_x", W.lag(Y, 1)), "_x", alpha, WEEK, block=BLOCK).select("unit", "step", "q", "es")
 
 
 def forecast(s, d, model, alpha=0.95):
-    return T.usable(T.forecast_panel(power(s, d), Y, model, alpha, WEEK, DAY), "var", "es").where(f"step >= {WEEK + 2 * DAY}")
+    return T.usable(T.forecast_panel(power(s, d), Y, model, alpha, WEEK, DAY, BLOCK), "var", "es").where(f"step >= {WEEK + 2 * DAY}")
 
 
 def horizon(s, d, alpha=0.95, h=3):
-    return T.usable(T.forecast_horizon(power(s, d), Y, alpha, h, 1.0, WEEK, DAY), "var", "es").where(f"step >= {WEEK + 2 * DAY}")
+    return T.usable(T.forecast_horizon(power(s, d), Y, alpha, h, 1.0, WEEK, DAY, BLOCK), "var", "es").where(f"step >= {WEEK + 2 * DAY}")
 
 
 def tests(s, d, model="fhs"):
@@ -197,12 +199,12 @@ def coupling(s, d):
 
 
 QUERIES = {
-    "lag_diff_features": lambda s, d: rounded(W.lag_diff_features(power(s, d), Y), 9),
-    "trailing_stats": lambda s, d: rounded(W.trailing_stats(power(s, d), Y, 12, DAY).na.drop(), 9),
+    "lag_diff_features": lambda s, d: rounded(W.lag_diff_features(power(s, d), Y, block=BLOCK), 9),
+    "trailing_stats": lambda s, d: rounded(W.trailing_stats(power(s, d), Y, 12, DAY, BLOCK).na.drop(), 9),
     "clock_features": lambda s, d: rounded(W.clock_features(power(s, d), width_min=60)),
-    "unit_features": lambda s, d: rounded(W.unit_features(power(s, d), Y, P, 12, DAY).na.drop(), 9),
-    "fleet_features": lambda s, d: rounded(W.fleet_features(power(s, d), hour=12, day=DAY).na.drop(), 9),
-    "ar1_slope": lambda s, d: rounded(W.ar1_slope(power(s, d), Y, WEEK).select("unit", "step", "phi")),
+    "unit_features": lambda s, d: rounded(W.unit_features(power(s, d), Y, P, 12, DAY, block=BLOCK).na.drop(), 9),
+    "fleet_features": lambda s, d: rounded(W.fleet_features(power(s, d), hour=12, day=DAY, block=BLOCK).na.drop(), 9),
+    "ar1_slope": lambda s, d: rounded(W.ar1_slope(power(s, d), Y, WEEK, block=BLOCK).select("unit", "step", "phi")),
     "rolling_tail_q": lambda s, d: rounded(T.usable(tails(s, d), "q").where(f"step >= {WEEK}").select("unit", "step", "q"), 9),
     "rolling_tail_es": lambda s, d: rounded(T.usable(tails(s, d), "es").where(f"step >= {WEEK}").select("unit", "step", "es"), 9),
     "empirical": lambda s, d: rounded(forecast(s, d, "empirical").select("unit", "step", "var", "es"), 9),
@@ -210,7 +212,7 @@ QUERIES = {
     "fhs_ar": lambda s, d: rounded(forecast(s, d, "fhs_ar").select("unit", "step", "var", "es")),
     "fhs_horizon": lambda s, d: rounded(horizon(s, d).select("unit", "step", "var", "es")),
     "calibrate_multiplier": lambda s, d: rounded(T.calibrate(horizon(s, d), 0.95, SPLIT)),
-    "limit_curve": lambda s, d: rounded(T.limit_curve(power(s, d), Y, LEADS, C.LIMIT_ALPHAS, SPLIT, WEEK, DAY, LIMIT_START)),
+    "limit_curve": lambda s, d: rounded(T.limit_curve(power(s, d), Y, LEADS, C.LIMIT_ALPHAS, SPLIT, WEEK, DAY, LIMIT_START, BLOCK)),
     "kupiec": lambda s, d: rounded(B.kupiec(tests(s, d), 0.95).select("unit", "n", "x", "expected", "rate", "kupiec_lr")),
     "christoffersen": lambda s, d: rounded(B.christoffersen(tests(s, d)).select("unit", "n00", "n01", "n10", "n11", "ind_lr")),
     "cond_coverage": lambda s, d: rounded(B.conditional_coverage(tests(s, d), 0.95).select("unit", "cc_lr", "cc_p")),
