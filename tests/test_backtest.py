@@ -69,3 +69,36 @@ def test_pools(spark):
 def test_binomial(spark):
     df = spark.sql("SELECT 9L AS x, 250L AS n").select(S.binom_cdf("x", "n", 0.01).alias("p"))
     assert df.first().p == pytest.approx(0.99975, abs=1e-5)
+
+
+@pytest.mark.parametrize("steps, recent", [(1, 250), (7, 5), (64, 250), (4096, 250)])
+def test_segments_add_up_to_whole_series(spark, steps, recent):
+    """Counts by segments of any length, with gaps in the steps, against plain series; and the pooled row."""
+    rng = np.random.default_rng(5)
+    plain, rows = {}, []
+    for u, n in (("a", 300), ("b", 1), ("c", 4), ("d", 129)):
+        at = np.sort(rng.choice(2 * n, n, replace=False))
+        e = rng.random(n) < 0.4
+        plain[u] = e
+        rows += [(u, int(t), 1.0 if x else 0.0, 0.5, 0.8) for t, x in zip(at, e, strict=True)]
+    b = B.breaches(spark.createDataFrame(rows, "unit string, step long, y double, var double, es double").repartition(5))
+
+    def want(e):
+        e = e.astype(int)
+        pairs = list(zip(e[:-1], e[1:], strict=True))
+        return (len(e), int(e.sum()), *(pairs.count((i, j)) for i in (0, 1) for j in (0, 1)), int(e[-recent:].sum()), min(recent, len(e)))
+
+    cols = ("n", "x", "n00", "n01", "n10", "n11", "recent_x", "recent_n")
+    got = {r.unit: r for r in B.counts(b, recent, steps).collect()}
+    assert {u: tuple(r[c] for c in cols) for u, r in got.items()} == {u: want(e) for u, e in plain.items()}
+    assert all(got[u].es_sum == pytest.approx(e.sum() / 0.8) for u, e in plain.items())
+    pooled = B._with_pooled(b, recent=recent, steps=steps).where("unit = 'ALL/POOLED'").first()
+    assert tuple(pooled[c] for c in cols) == want(np.concatenate([plain[u] for u in sorted(plain)]))
+
+
+def test_no_window_orders_a_series(spark):
+    """Windows run over segments and units: what is sorted for them has been grouped before."""
+    rows = [("a", t, 1.0, 0.5, 0.8) for t in range(20)]
+    b = B.breaches(spark.createDataFrame(rows, "unit string, step long, y double, var double, es double"))
+    plan = B._with_pooled(b, steps=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") >= 2 and plan.rindex("Window [") < plan.rindex("Aggregate [")

@@ -1,6 +1,7 @@
 """Coverage and expected-shortfall backtests of forecasts: counts in one aggregation, statistics as columns.
 
-A breach is y > var. Transitions follow the order of unit and step; a pooled row runs over unit borders.
+A breach is y > var. Transitions follow the order of unit and step; a pooled row runs over unit borders. Series are summed up by
+segments of steps, and the summaries are joined: of segments to units, and of units to the pooled row.
 """
 
 from __future__ import annotations
@@ -22,36 +23,57 @@ def breaches(fc: DataFrame) -> DataFrame:
 
 
 RECENT = 250
+#: Steps of a segment: its flags are the most that one row holds.
+SEGMENT = 4096
+_PAIRS = [(i, j) for i in (0, 1) for j in (0, 1)]
+
+
+def segments(b: DataFrame, recent: int = RECENT, steps: int = SEGMENT) -> DataFrame:
+    """A summary of each unit's breaches in each stretch of `steps` steps: counts, transitions, sum of shortfall ratios, the first and
+    last flag, and the newest flags, newest first. Summaries of neighbours add up (see joined()), so no unit is ever ordered whole."""
+    e = b.select("unit", "step", F.floor(F.col("step") / steps).alias("part"), F.col("exceed").cast("int").alias("e"), F.when(F.col("exceed"), F.col("y") / F.col("es")).otherwise(0.0).alias("ratio"))
+    flags = F.transform(F.sort_array(F.collect_list(F.struct("step", "e"))), lambda s: s["e"])
+    s = e.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("x"), F.sum("ratio").alias("es_sum"), flags.alias("_e"))
+    moves = F.zip_with(F.expr("slice(_e, 1, size(_e) - 1)"), F.expr("slice(_e, 2, size(_e) - 1)"), lambda i, j: 2 * i + j)
+    s = s.withColumn("_m", moves)
+    many = {f"n{i}{j}": F.expr(f"CAST(size(filter(_m, m -> m = {2 * i + j})) AS long)") for i, j in _PAIRS}
+    newest = F.reverse(F.expr(f"slice(_e, -least(size(_e), {recent}), least(size(_e), {recent}))"))
+    return s.withColumns(many | {"_first": F.col("_e")[0], "_last": F.element_at("_e", -1), "_newest": newest}).drop("_e", "_m")
+
+
+def joined(parts: DataFrame, group: str, order: str, recent: int = RECENT) -> DataFrame:
+    """The summary of each group whose parts follow each other in `order`: counts add up, a transition comes in at each border, and the
+    newest flags are those of the last parts. An ordered window has a row for each part."""
+    w, back = Window.partitionBy(group).orderBy(order), Window.partitionBy(group).orderBy(F.col(order).desc())
+    newer = F.coalesce(F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = parts.withColumns({"_before": F.lag("_last").over(w), "_take": F.greatest(F.lit(0), F.least(F.col("n"), F.lit(recent) - newer)).cast("int")})
+    border = lambda i, j: F.when((F.col("_before") == i) & (F.col("_first") == j), 1).otherwise(0)
+    last = F.sort_array(F.collect_list(F.when(F.col("_take") > 0, F.struct(F.col(order).alias("o"), F.expr("slice(_newest, 1, _take)").alias("f")))), asc=False)
+    return p.groupBy(group).agg(
+        F.sum("n").alias("n"), F.sum("x").alias("x"), *(F.sum(F.col(f"n{i}{j}") + border(i, j)).alias(f"n{i}{j}") for i, j in _PAIRS), F.sum("es_sum").alias("es_sum"),
+        F.min_by("_first", order).alias("_first"), F.max_by("_last", order).alias("_last"), F.flatten(F.transform(last, lambda s: s["f"])).alias("_newest"),
+    )
 
 
-def _units(b: DataFrame, recent: int = RECENT) -> DataFrame:
+def _units(b: DataFrame, recent: int = RECENT, steps: int = SEGMENT) -> DataFrame:
     """Per unit: the counts, and what pooling needs of its ends: first and last breach flag, and the newest flags, newest first."""
-    w = Window.partitionBy("unit").orderBy("step")
-    back = Window.partitionBy("unit").orderBy(F.col("step").desc())
-    e = b.withColumn("e", F.col("exceed").cast("int")).withColumn("before", F.lag("e").over(w)).withColumn("age", F.row_number().over(back))
-    both = lambda i, j: F.sum(F.when((F.col("before") == i) & (F.col("e") == j), 1).otherwise(0))
-    newest = F.sort_array(F.collect_list(F.when(F.col("age") <= recent, F.struct("age", "e"))))
-    return e.groupBy("unit").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e").alias("x"), *(both(i, j).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)),
-        F.sum(F.when(F.col("age") <= recent, F.col("e")).otherwise(0)).alias("recent_x"), F.sum(F.when(F.col("age") <= recent, 1).otherwise(0)).alias("recent_n"),
-        F.sum(F.when(F.col("exceed"), F.col("y") / F.col("es")).otherwise(0.0)).alias("es_sum"),
-        F.min_by("e", "step").alias("_first"), F.max_by("e", "step").alias("_last"), F.transform(newest, lambda s: s["e"]).alias("_newest"),
-    )
+    u = joined(segments(b, recent, steps), "unit", "part", recent)
+    return u.withColumns({"recent_x": F.aggregate("_newest", F.lit(0).cast("long"), lambda a, x: a + x), "recent_n": F.size("_newest").cast("long")})
 
 
-def counts(b: DataFrame, recent: int = RECENT) -> DataFrame:
+def counts(b: DataFrame, recent: int = RECENT, steps: int = SEGMENT) -> DataFrame:
     """Per unit: n, x, transitions n00..n11, breaches and size of the most recent window, and the ES sum."""
-    return _units(b, recent).drop("_first", "_last", "_newest")
+    return _units(b, recent, steps).drop("_first", "_last", "_newest")
 
 
 COUNTS = ("n", "x", "n00", "n01", "n10", "n11", "recent_x", "recent_n", "es_sum")
 
 
-def _with_pooled(b: DataFrame, by_unit_pool: bool = False, recent: int = RECENT) -> DataFrame:
+def _with_pooled(b: DataFrame, by_unit_pool: bool = False, recent: int = RECENT, steps: int = SEGMENT) -> DataFrame:
     """counts() of each unit, and of all units as one series in order of unit and step: the units' own counts, and one
     transition for each border between units (or none with by_unit_pool). Only a row per unit meets in one window, and the
     series are read once."""
-    u = _units(b, recent).withColumn("_all", F.lit(1))
+    u = _units(b, recent, steps).withColumn("_all", F.lit(1))
     w, back = Window.partitionBy("_all").orderBy("unit"), Window.partitionBy("_all").orderBy(F.col("unit").desc())
     newer = F.coalesce(F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     u = u.withColumns({"_before": F.lag("_last").over(w), "_take": F.greatest(F.lit(0), F.least(F.col("n"), F.lit(recent) - newer)).cast("int")})
@@ -120,17 +142,17 @@ def es_p_values(b: DataFrame, alpha: float, draws: int = 2000, seed: int = 0) ->
     return hits.groupBy("unit").applyInPandas(run, "unit string, es_p double")
 
 
-def backtest_panel(fc: DataFrame, alpha: float, bootstrap: bool = False, by_unit_pool: bool = False) -> DataFrame:
+def backtest_panel(fc: DataFrame, alpha: float, bootstrap: bool = False, by_unit_pool: bool = False, steps: int = SEGMENT) -> DataFrame:
     """Every test per unit, and a pooled row. The pooled row's transitions run over unit borders and its recent window is the
     last unit's (parity); by_unit_pool adds up the units' own transitions instead."""
     b = breaches(fc)
-    out = es_z2(basel_zone(conditional_coverage(_with_pooled(b, by_unit_pool), alpha), alpha), alpha)
+    out = es_z2(basel_zone(conditional_coverage(_with_pooled(b, by_unit_pool, steps=steps), alpha), alpha), alpha)
     return out.join(es_p_values(b, alpha), "unit", "left") if bootstrap else out
 
 
-def clustering_stats(fc: DataFrame, alpha: float) -> DataFrame:
+def clustering_stats(fc: DataFrame, alpha: float, steps: int = SEGMENT) -> DataFrame:
     """Breach probability after none and after one, over the pooled series; units whose coverage passes."""
-    table = backtest_panel(fc, alpha)
+    table = backtest_panel(fc, alpha, steps=steps)
     whole, units = table.where("unit = 'ALL/POOLED'"), table.where("unit != 'ALL/POOLED'")
     p01, p11 = F.col("n01") / F.greatest(F.lit(1), F.col("n00") + F.col("n01")), F.col("n11") / F.greatest(F.lit(1), F.col("n10") + F.col("n11"))
     passed = units.agg(F.sum((F.col("cc_p") > 0.05).cast("int")).alias("cc_pass"), F.count(F.lit(1)).alias("n_units"))

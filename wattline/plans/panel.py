@@ -53,7 +53,7 @@ def horizon(s, d, alpha=0.95, h=3):
 
 
 def tests(s, d, model="fhs"):
-    return B.counts(B.breaches(forecast(s, d, model)))
+    return B.counts(B.breaches(forecast(s, d, model)), steps=BLOCK)
 
 
 def labels(s, d):
@@ -218,10 +218,10 @@ QUERIES = {
     "cond_coverage": lambda s, d: rounded(B.conditional_coverage(tests(s, d), 0.95).select("unit", "cc_lr", "cc_p")),
     "basel_zone": lambda s, d: rounded(B.basel_zone(tests(s, d), 0.95).select("unit", "recent_x", "cum_prob", "basel_zone")),
     "es_z2": lambda s, d: rounded(B.es_z2(tests(s, d), 0.95).select("unit", "es_z2")),
-    "backtest_panel": lambda s, d: rounded(B.p_values(B.backtest_panel(forecast(s, d, "fhs_ar"), 0.95))),
+    "backtest_panel": lambda s, d: rounded(B.p_values(B.backtest_panel(forecast(s, d, "fhs_ar"), 0.95, steps=BLOCK))),
     "es_bootstrap": lambda s, d: rounded(B.es_p_values(B.breaches(forecast(s, d, "fhs_ar")), 0.95)),
-    "backtest_pooled": lambda s, d: rounded(B.backtest_panel(forecast(s, d, "fhs"), 0.95).where("unit = 'ALL/POOLED'").select("n", "x", "n00", "n01", "n10", "n11", "recent_x", "kupiec_lr", "ind_lr")),
-    "clustering_stats": lambda s, d: rounded(B.clustering_stats(forecast(s, d, "empirical"), 0.95)),
+    "backtest_pooled": lambda s, d: rounded(B.backtest_panel(forecast(s, d, "fhs"), 0.95, steps=BLOCK).where("unit = 'ALL/POOLED'").select("n", "x", "n00", "n01", "n10", "n11", "recent_x", "kupiec_lr", "ind_lr")),
+    "clustering_stats": lambda s, d: rounded(B.clustering_stats(forecast(s, d, "empirical"), 0.95, steps=BLOCK)),
     "episodes": lambda s, d: W.episodes(power(s, d), "bad_measurement_data"),
     "global_episodes": lambda s, d: W.global_episodes(power(s, d), "bad_measurement_data"),
     "frozen_rate": lambda s, d: rounded(R.frozen_rates(power(s, d))),
