@@ -157,3 +157,30 @@ def test_sketched_quantiles_stay_within_their_rank_error(spark):
         assert low - 0.001 <= i / 100 <= high + 0.001
     whole = {r.i: r.value for r in K.quantiles(df, "x", [0.5, 0.99]).collect()}
     assert whole[0] == pytest.approx(np.quantile(x, 0.5)) and got[50] == pytest.approx(whole[0], rel=0.02)
+
+
+@pytest.mark.parametrize("accuracy", [20, 2000])
+def test_quantiles_by_group_are_exact(spark, accuracy):
+    """Heavy ties, outliers, groups of one, null keys and values; sketches coarse and fine, against numpy."""
+    rng = np.random.default_rng(2)
+    groups = {"ties": rng.integers(0, 4, 3000).astype(float), "wide": np.r_[rng.normal(size=5000), 1e12, -1e12], "one": np.array([7.0]), "two": np.array([1.0, 2.0]), None: rng.random(777), "same": np.full(500, 2.5)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("ties", None), ("none", None)]
+    named = {"q0": 0.0, "q1": 0.01, "q50": 0.5, "q999": 0.999, "q100": 1.0}
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    got = {r.k: r for r in K.quantiles_by(df, ["k"], "x", named, accuracy).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        for name, p in named.items():
+            assert got[k][name] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12), (k, name)
+    whole = K.quantiles_by(df, [], "x", named, accuracy).first()
+    assert [whole[n] for n in named] == pytest.approx([np.quantile(np.concatenate(list(groups.values())), p) for p in named.values()])
+
+
+def test_quantiles_by_orders_a_small_part(spark):
+    """Of 200,000 distinct values, about a thousand are ordered; no aggregate holds a group's values."""
+    df = spark.range(200_000).selectExpr("id % 2 AS k", "CAST(xxhash64(id) AS double) AS x")
+    q = K.quantiles_by(df, ["k"], "x", {"m": 0.5})
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan and "collect_list" not in plan
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("x", 0.5).alias("m")).collect()}
+    assert {r.k: r.m for r in q.collect()} == want

@@ -10,11 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions import scalars as S
-from wattline.operators.ranked import quantile_row, running
+from wattline.operators.ranked import quantile_row, quantiles_by, running
+from wattline.scratch import keep
 
 
 def by_score(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,25 +65,37 @@ def deviance_explained(df: DataFrame, label: str, p: str, p_null: float | str, e
 
 
 def errors(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE, R2 and the 95th percentile of the absolute error."""
+    """MAE, RMSE, R2 and the 95th percentile of the absolute error. df is read three times: write it first if it is dear."""
     e = F.col(y) - F.col(pred)
     total = F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / F.count(y)
     found = [F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - S.ratio(F.sum(e * e), total)).alias("r2")]
     if keys:
-        return df.groupBy(*keys).agg(*found, F.percentile(F.abs(e), 0.95).alias("p95_abs_err"))
+        top = quantiles_by(df.select(*keys, F.abs(e).alias("_e")), keys, "_e", {"p95_abs_err": 0.95})
+        return joined_on(df.groupBy(*keys).agg(*found), top, keys)
     return df.agg(*found).join(F.broadcast(quantile_row(df.select(F.abs(e).alias("_e")), "_e", {"p95_abs_err": 0.95})))
 
 
+def joined_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """a with b's columns where all keys agree, nulls with nulls; nulls where b has no such row."""
+    b = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
+    return a.join(b, [a[k].eqNullSafe(b[f"_b_{k}"]) for k in keys], "left").drop(*(f"_b_{k}" for k in keys))
+
+
 def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
     """Signed-rank test of paired differences (normal approximation, tie correction, zeros left out): n, w_plus, z and the
     two-sided p."""
-    d = df.where(F.col(diff) != 0).select(F.col(diff).alias("d"), F.abs(diff).cast("double").alias("a"))
-    c = d.groupBy("a").agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("pos"))
-    c = running(c, "a", {"upto": F.col("t")}).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
-    s = c.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    return wilcoxon_by(df, diff, ())
+
+
+def wilcoxon_by(df: DataFrame, diff: str, keys: Sequence[str]) -> DataFrame:
+    """wilcoxon() for each group of `keys`."""
+    d = df.where(F.col(diff) != 0).select(*keys, F.col(diff).alias("d"), F.abs(diff).cast("double").alias("a"))
+    c = d.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("pos"))
+    c = running(c, "a", {"upto": F.col("t")}, keys).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
+    s = c.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select("n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z")).withColumn("p_value", S.chi2_sf1(F.col("z") * F.col("z")))
+    return s.select(*keys, "n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z")).withColumn("p_value", S.chi2_sf1(F.col("z") * F.col("z")))
 
 
 def silhouette(points: DataFrame, vector: str, label: str, key: str, most: int = 20_000, block: int = 512) -> DataFrame:
@@ -147,6 +160,26 @@ def detection(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
     return base.join(auc(df, label, score)).join(average_precision(df, label, score)).join(precision_at_n(df, label, score, tie).select("precision_at_n"))
 
 
+def detections(df: DataFrame, label: str, score: str, tie: str, keys: Sequence[str]) -> DataFrame:
+    """detection() for each group of `keys`, with n_events and base_rate, all from one table of counts by score. Ties at the
+    cut go to the smaller `tie`: only the rows of the one score that it goes through are ordered."""
+    d = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    s = keep(by_score(d, label, score, keys), "scores")
+    p, n, neg = F.col("p"), F.col("n"), F.col("n") - F.col("p")
+    whole = s.groupBy(*keys).agg(
+        S.ratio(F.sum("p").cast("double"), F.sum("n")).alias("base_rate"), F.sum("p").alias("n_events"), S.ratio(F.sum(p * (F.col("below") + neg / 2)), F.sum("p").cast("double") * F.sum(neg)).alias("auc"),
+        S.ratio(F.sum(p * F.col("tp") / F.col("k")), F.sum("p").cast("double")).alias("average_precision"), F.greatest(F.lit(1), F.sum("p")).alias("_top"),
+    )
+    cut = joined_on(s, whole.select(*keys, "_top"), keys).where((F.col("k") >= F.col("_top")) & (F.col("k") - n < F.col("_top")))
+    cut = cut.select(*keys, F.col("s").alias("_s"), (F.col("_top") - F.col("k") + n).alias("_rest"), (F.col("tp") - p).alias("_above"))
+    rows = d.select(*keys, F.col(score).cast("double").alias("_score"), F.col(label).cast("long").alias("_y"), F.col(tie).alias("_tie"))
+    at = cut.withColumnsRenamed({k: f"_c_{k}" for k in keys})
+    tied = rows.join(F.broadcast(at), [*(rows[k].eqNullSafe(at[f"_c_{k}"]) for k in keys), rows["_score"] == at["_s"]])  # a row for each group
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie"))
+    hits = tied.withColumn("_nth", nth).where("_nth <= _rest").groupBy(*keys).agg((F.sum("_y") + F.max("_above")).alias("_hits"))
+    return joined_on(whole, hits, keys).withColumn("precision_at_n", S.ratio(F.col("_hits").cast("double"), F.col("_top"))).drop("_hits", "_top")
+
+
 def auc_interval(df: DataFrame, label: str, score: str, draws: int = 400, most: int = 2000, seed: int = 0) -> tuple[float, float]:
     """Bootstrap 95 % interval of the AUC from at most `most` rows of either class, chosen by hash (a bound)."""
     def pick(v: int) -> np.ndarray:

@@ -21,6 +21,8 @@ from wattline import constants as C
 from wattline.functions import scalars as S
 from wattline.operators import evaluate as E
 from wattline.operators.panel import diff, lag
+from wattline.operators.ranked import quantile_row, quantiles_by
+from wattline.scratch import keep
 
 MOST_UNITS = 2000
 
@@ -119,15 +121,17 @@ def diversity_factor(df: DataFrame, x: str) -> DataFrame:
 def reserve_inflation(df: DataFrame, x: str, k: int) -> DataFrame:
     """Deviation of the fleet's ramps against what independent units would give, and ramp percentiles."""
     d = increments(df, x, k)
-    fleet = fleet_mean(d, x).agg(F.stddev_samp(x).alias("act"), F.percentile(x, 0.999).alias("fleet_p999"))
-    units = d.groupBy("unit").agg(F.var_samp(x).alias("v"), F.percentile(x, 0.999).alias("q")).agg(F.sqrt(F.sum("v")).alias("s"), F.count(F.lit(1)).alias("n"), F.avg("q").alias("unit_p999"))
-    return fleet.join(F.broadcast(units)).select((F.col("act") / (F.col("s") / F.col("n"))).alias("reserve_inflation"), F.col("act").alias("fleet_ramp_sd"), "unit_p999", "fleet_p999")
+    mean = fleet_mean(d, x)
+    fleet = mean.agg(F.stddev_samp(x).alias("act")).join(F.broadcast(quantile_row(mean, x, {"fleet_p999": 0.999})))
+    units = d.groupBy("unit").agg(F.var_samp(x).alias("v")).agg(F.sqrt(F.sum("v")).alias("s"), F.count(F.lit(1)).alias("n"))
+    top = quantiles_by(d, ["unit"], x, {"q": 0.999}).agg(F.avg("q").alias("unit_p999"))
+    return fleet.join(F.broadcast(units)).join(F.broadcast(top)).select((F.col("act") / (F.col("s") / F.col("n"))).alias("reserve_inflation"), F.col("act").alias("fleet_ramp_sd"), "unit_p999", "fleet_p999")
 
 
 def share_up(df: DataFrame, x: str, top: float = 0.99) -> DataFrame:
     """Share of units that rise when the fleet's mean makes a top move, and always."""
     steps = increments(df, x).groupBy("step").agg(F.avg(x).alias("d"), F.avg((F.col(x) > 0).cast("double")).alias("up"))
-    cut = steps.agg(F.percentile("d", top).alias("cut"))
+    cut = quantile_row(steps, "d", {"cut": top})
     return steps.join(F.broadcast(cut)).agg(F.avg(F.when(F.col("d") >= F.col("cut"), F.col("up"))).alias("share_up_on_ramp"), F.avg("up").alias("share_up"))
 
 
@@ -137,12 +141,10 @@ def engine_conversion(df: DataFrame, x: str, horizons: Sequence[int] = C.FLEET_H
     w = Window.partitionBy("g").orderBy("step")
     site = fleet_mean(df, x).withColumn("g", F.lit(1)).withColumns({f"_{k}": F.col(x) - F.lag(x, k).over(w) for k in horizons})
     ramps = site.select("step", F.explode(F.array(*(F.struct(F.lit(k).alias("h"), (F.col(f"_{k}") * site_mw).alias("mw")) for k in horizons))).alias("r")).select("step", "r.*").where("mw IS NOT NULL")
-    block, up = F.col("step") % F.col("h") == 0, F.when(F.col("mw") > 0, F.col("mw"))
+    block = F.col("step") % F.col("h") == 0
     many = lambda e: F.sum(F.when(block & (F.col("mw") >= e * engine_mw), 1).otherwise(0)) / (F.sum(F.when(block, 1).otherwise(0)) * F.col("h") / per_day)
-    return ramps.groupBy("h").agg(
-        F.stddev_samp("mw").alias("sd_mw"), F.percentile(up, 0.99).alias("p99_mw"), F.percentile(up, 0.999).alias("p999_mw"), F.max("mw").alias("max_mw"),
-        (F.max("mw") / engine_mw).alias("max_engines"), many(1).alias("one_per_day"), (many(2) * 7).alias("two_per_week"),
-    )
+    sums = ramps.groupBy("h").agg(F.stddev_samp("mw").alias("sd_mw"), F.max("mw").alias("max_mw"), (F.max("mw") / engine_mw).alias("max_engines"), many(1).alias("one_per_day"), (many(2) * 7).alias("two_per_week"))
+    return E.joined_on(sums, quantiles_by(ramps.where("mw > 0"), ["h"], "mw", {"p99_mw": 0.99, "p999_mw": 0.999}), ["h"])
 
 
 def with_target(features: DataFrame, h: int, target: str = "u") -> DataFrame:
@@ -164,18 +166,20 @@ def _boost(x: np.ndarray, dy: np.ndarray, tr: np.ndarray, rounds: int = 60, rate
     place = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     guess = np.full(len(dy), dy[tr].mean())
 
+    width, many = max(map(len, cuts), default=0) + 1, x.shape[1]
+    cell = place + width * np.arange(many)  # one histogram holds the bins of all features
+    is_cut = np.arange(width - 1) < np.array([len(c) for c in cuts])[:, None]
+
     def best(rows: np.ndarray, r: np.ndarray) -> tuple[int, int] | None:
-        top, found = 0.0, None
-        for f, c in enumerate(cuts):
-            n = np.cumsum(np.bincount(place[rows, f], minlength=len(c) + 1))[:-1]
-            s = np.cumsum(np.bincount(place[rows, f], r[rows], len(c) + 1))[:-1]
-            total, size = r[rows].sum(), rows.sum()
-            ok = (n >= least) & (size - n >= least)
-            if ok.any():
-                gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1), -1.0)
-                if gain.max() > top:
-                    top, found = float(gain.max()), (f, int(gain.argmax()))
-        return found
+        if width < 2:
+            return None
+        own, at = r[rows], cell[rows].ravel()
+        n = np.cumsum(np.bincount(at, minlength=many * width).reshape(many, width), axis=1)[:, :-1]
+        s = np.cumsum(np.bincount(at, np.repeat(own, many), many * width).reshape(many, width), axis=1)[:, :-1]
+        total, size = own.sum(), len(own)
+        gain = np.where(is_cut & (n >= least) & (size - n >= least), s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1), 0.0)
+        top = int(gain.argmax())  # of equals the first feature's first cut
+        return divmod(top, width - 1) if gain.flat[top] > 0 else None
 
     for _ in range(rounds):
         r, leaves = dy - guess, []
@@ -194,24 +198,29 @@ def _boost(x: np.ndarray, dy: np.ndarray, tr: np.ndarray, rounds: int = 60, rate
 FITS = {"ridge": _ridge, "boost": _boost}
 
 
+def leads(features: DataFrame, horizons: Sequence[int], *columns: str) -> DataFrame:
+    """unit, step, `columns`, h and y, the level h steps ahead: a row for each lead that has one."""
+    ahead = F.array(*(F.struct(F.lit(h).alias("h"), lag("u", -h).alias("y")) for h in horizons))
+    kept = ["unit", "step", *columns]
+    return features.select(*kept, ahead.alias("_ahead")).select(*kept, F.explode("_ahead").alias("_a")).select(*kept, "_a.*").where("y IS NOT NULL")
+
+
 def ablation_forecasts(features: DataFrame, models: dict[str, tuple[str, Sequence[str]]], horizons: Sequence[int], split: int) -> DataFrame:
-    """Forecasts of the test rows by several models at several leads, one fit for each unit, model and lead, all in one
-    grouped map over one feature frame: h, model, unit, step, y, u, pred. models: name -> (ridge, boost or persistence, columns).
+    """Forecasts of the test rows by several models at several leads, one fit for each unit, model and lead, a task's work
+    being a unit and lead of one feature frame: h, model, unit, step, y, u, pred. models: name -> (ridge, boost or persistence, columns).
     Units without training rows forecast no change."""
     columns = list(dict.fromkeys(["u", *(c for _, cs in models.values() for c in cs)]))
-    d = features.withColumns({f"y{h}": lag("u", -h) for h in horizons}).select("unit", "step", *columns, *(f"y{h}" for h in horizons)).na.drop(subset=columns)
+    d = leads(features, horizons, *columns).na.drop(subset=columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, parts = pdf.sort_values("step"), []
-        for h in horizons:
-            x = pdf[pdf[f"y{h}"].notna()]
-            tr, y, u = (x["step"] < split).to_numpy(), x[f"y{h}"].to_numpy(float), x["u"].to_numpy(float)
-            for name, (kind, cs) in models.items():
-                dy = np.zeros(len(y)) if kind == "persistence" or not tr.any() else FITS[kind](x[list(cs)].to_numpy(float), y - u, tr)
-                parts.append(pd.DataFrame({"h": h, "model": name, "unit": x["unit"], "step": x["step"], "y": y, "u": u, "pred": u + dy})[~tr])
+        x, parts = pdf.sort_values("step"), []
+        tr, y, u = (x["step"] < split).to_numpy(), x["y"].to_numpy(float), x["u"].to_numpy(float)
+        for name, (kind, cs) in models.items():
+            dy = np.zeros(len(y)) if kind == "persistence" or not tr.any() else FITS[kind](x[list(cs)].to_numpy(float), y - u, tr)
+            parts.append(pd.DataFrame({"h": x["h"], "model": name, "unit": x["unit"], "step": x["step"], "y": y, "u": u, "pred": u + dy})[~tr])
         return pd.concat(parts)
 
-    return d.groupBy("unit").applyInPandas(run, "h int, model string, unit string, step long, y double, u double, pred double")
+    return d.groupBy("unit", "h").applyInPandas(run, "h int, model string, unit string, step long, y double, u double, pred double")
 
 
 def skill_table(fc: DataFrame, base: str = "persistence") -> DataFrame:
@@ -234,21 +243,49 @@ def gbt_forecast(features: DataFrame, columns: Sequence[str], h: int, split: int
     return test, sorted(zip(columns, model.featureImportances.toArray().tolist(), strict=True), key=lambda t: -t[1])
 
 
-def ramp_events(pred: DataFrame, train_cut: float) -> DataFrame:
-    """Up-ramps of the test rows against a threshold frozen on the training half: event and score."""
-    return pred.select("unit", "step", ((F.col("y") - F.col("u")) >= train_cut).cast("int").alias("event"), (F.col("pred") - F.col("u")).alias("score"))
+def ramp_thresholds(features: DataFrame, horizons: Sequence[int], split: int, q: float = 0.99) -> DataFrame:
+    """h, threshold: the training half's quantile of rises within each lead, over all units."""
+    rises = leads(features, horizons, "u").where(F.col("step") < split).select("h", (F.col("y") - F.col("u")).alias("rise"))
+    return quantiles_by(rises, ["h"], "rise", {"threshold": q})
+
+
+def ramp_scores(pred: DataFrame, features: DataFrame, thresholds: DataFrame, detectors: dict[str, str], volatility: str | None = None) -> DataFrame:
+    """h, detector, unit, step, event, score: test rows of ablation_forecasts() that rise by the threshold, and the rise that each
+    detector (name -> model) foresees; with `volatility`, a feature of recent movement as one more detector."""
+    d = pred.join(F.broadcast(thresholds), "h").withColumn("event", (F.col("y") - F.col("u") >= F.col("threshold")).cast("int"))
+    name = F.element_at(F.create_map(*(F.lit(v) for k, m in detectors.items() for v in (m, k))), F.col("model"))
+    out = d.where(F.col("model").isin(*detectors.values())).select("h", name.alias("detector"), "unit", "step", "event", (F.col("pred") - F.col("u")).alias("score"))
+    if volatility is None:
+        return out
+    once = d.where(F.col("model") == next(iter(detectors.values()))).select("h", "unit", "step", "event").join(features.select("unit", "step", F.col(volatility).alias("score")), ["unit", "step"])
+    return out.unionByName(once.select("h", F.lit("volatility_persistence").alias("detector"), "unit", "step", "event", "score"))
+
+
+def paired_comparison(pred: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """For each lead and pair (better, vs) of models: the median gain of the units' mean absolute errors in per cent, units
+    improved, and the signed-rank test over units. Only a row for each unit, lead and model is compared."""
+    mae = keep(pred.groupBy("h", "model", "unit").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae")), "unit-errors")
+    both = mae.sparkSession.createDataFrame(list(pairs), "better string, vs string")
+    a, b = mae.select("h", "unit", F.col("model").alias("better"), F.col("mae").alias("mae_a")), mae.select("h", "unit", F.col("model").alias("vs"), F.col("mae").alias("mae_b"))
+    keys = ["h", "better", "vs"]
+    d = F.broadcast(both).join(a, "better").join(b, ["h", "unit", "vs"]).withColumn("gain", F.col("mae_b") - F.col("mae_a"))
+    gain = d.groupBy(*keys).agg((F.percentile(S.ratio("gain", "mae_b"), 0.5) * 100).alias("median_gain_pct"), F.sum((F.col("gain") > 0).cast("long")).alias("units_improved"), F.count(F.lit(1)).alias("n_units"))  # of units
+    return E.joined_on(gain, E.wilcoxon_by(d, "gain", keys), keys)
 
 
-def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per unit, the mean absolute errors of two forecasts and what the first gains; then E.wilcoxon(.., 'gain')."""
-    mae = lambda d, n: d.groupBy("unit").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias(n))
-    return mae(a, "mae_a").join(mae(b, "mae_b"), "unit").withColumn("gain", F.col("mae_b") - F.col("mae_a"))
+def leave_one_out(gram: np.ndarray, alpha: float) -> np.ndarray:
+    """Ridge weights of every unit on all others, a column for each: with P the inverse of gram + alpha I, those of unit i
+    are -P[:, i] / P[i, i], by the block form of an inverse. A unit has no weight on itself."""
+    p = np.linalg.inv(gram + alpha * np.eye(len(gram)))
+    w = -p / np.diag(p)[None, :]
+    np.fill_diagonal(w, 0.0)
+    return w
 
 
 def virtual_sensors(df: DataFrame, x: str, split: int, alphas: Sequence[float] = tuple(10.0 ** (k / 2) for k in range(-6, 7)), bad: str | None = "bad_measurement_data") -> DataFrame:
     """Each unit rebuilt from all others by ridge: unit, step, y, pred.
 
-    The units' cross products are aggregated once; every leave-one-out fit is a solve of a part of that one matrix.
+    The units' cross products are aggregated once; all leave-one-out fits of a penalty come from one inverse of that matrix.
     The penalty is chosen per unit on the last quarter of the training half. Steps with any flagged unit are not trained on."""
     names = unit_names(df) or _too_many()
     d = df.select("unit", F.col("step").cast("long").alias("step"), F.col(x).cast("double").alias("x"))
@@ -273,19 +310,13 @@ def virtual_sensors(df: DataFrame, x: str, split: int, alphas: Sequence[float] =
     whole, mean, _ = centred([0, 1])
     shift = early_mean[:, None]
     judge = gram[1] - shift @ total[1][None, :] - total[1][:, None] @ shift.T + rows[1] * shift @ shift.T
-    weights, base = np.zeros((k, k)), np.zeros(k)  # a column for each unit that is rebuilt
-    for i in range(k):
-        peers = [j for j in range(k) if j != i]
-
-        def solve(m: np.ndarray, alpha: float, i: int = i, peers: list[int] = peers) -> np.ndarray:
-            return np.linalg.solve(m[np.ix_(peers, peers)] + alpha * np.eye(len(peers)), m[peers, i])
-
-        def loss(alpha: float, i: int = i, peers: list[int] = peers) -> float:
-            b = solve(early, alpha)
-            return float(judge[i, i] - 2 * b @ judge[peers, i] + b @ judge[np.ix_(peers, peers)] @ b)
-
-        beta = solve(whole, min(alphas, key=loss))
-        weights[peers, i], base[i] = beta, mean[i] - beta @ mean[peers]
+    # One inverse a penalty serves all units, each on the last quarter's errors; then one for each penalty that won.
+    fits = [leave_one_out(early, alpha) for alpha in alphas]
+    best = np.argmin([np.diag(judge) - 2 * (b * judge).sum(axis=0) + (b * (judge @ b)).sum(axis=0) for b in fits], axis=0)
+    weights = np.zeros((k, k))  # a column for each unit that is rebuilt
+    for i in np.unique(best):
+        weights[:, best == i] = leave_one_out(whole, alphas[i])[:, best == i]
+    base = mean - mean @ weights
     shared = df.sparkSession.sparkContext.broadcast((weights, base, {u: n for n, u in enumerate(names)}))  # units are checked
 
     def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,25 +339,45 @@ def residual_scores(rebuilt: DataFrame, split: int) -> DataFrame:
     return r.join(fit, "unit").withColumn("z", F.abs(S.ratio(F.col("resid") - F.col("mu"), F.col("sd"))))
 
 
-def inject_faults(scores: DataFrame, split: int, steps: int, onsets: Sequence[int], magnitudes: Sequence[float] = (0.0, *C.FAULT_MAGNITUDES), span: int = C.FAULT_STEPS, alarms: float = 1 / C.DAY, least_r2: float | None = 0.5) -> DataFrame:
+def peer_mean_sensors(df: DataFrame, x: str) -> DataFrame:
+    """Each unit rebuilt as the mean of all others at its step: unit, step, y, pred. Steps without peers are left out."""
+    at = df.groupBy("step").agg(F.sum(x).alias("_sum"), F.count(x).alias("_n"))
+    return df.where(F.col(x).isNotNull()).join(at, "step").where("_n > 1").select("unit", F.col("step").cast("long").alias("step"), F.col(x).alias("y"), ((F.col("_sum") - F.col(x)) / (F.col("_n") - 1)).alias("pred"))
+
+
+def trial_windows(test: DataFrame, starts: DataFrame, span: int) -> DataFrame:
+    """test's rows in the trials that hold them: a trial has `span` steps from its start `t` on; i counts them from 0.
+
+    Steps and trials meet by equality on the stretch of `span` steps they lie in (a trial reaches into two), then by exact bounds:
+    an ordinary join on a key, whose work is the rows that it returns and at most as many again."""
+    buckets = F.array_distinct(F.array(F.floor(F.col("t") / span), F.floor((F.col("t") + span - 1) / span)))
+    met = test.withColumn("_bucket", F.floor(F.col("step") / span)).join(starts.withColumn("_bucket", F.explode(buckets)), "_bucket")
+    return met.where((F.col("step") >= F.col("t")) & (F.col("step") < F.col("t") + span)).withColumn("i", F.col("step") - F.col("t")).drop("_bucket")
+
+
+def inject_faults(scores: DataFrame, split: int, steps: int, onsets: Sequence[int], magnitudes: Sequence[float] = (0.0, *C.FAULT_MAGNITUDES), span: int = C.FAULT_STEPS, alarms: float = 1 / C.DAY, least_r2: float | None = 0.5, per_day: int = C.DAY) -> DataFrame:
     """Detection rate and lag of bias, drift and stuck faults put on clean test residuals (no refit: the
-    reconstruction does not use the faulted unit). Magnitude 0 is the floor that chance crossings give.
-    onsets: steps after the split. Units whose reconstruction explains too little are not tested."""
+    reconstruction does not use the faulted unit), and the false alarms a unit and day of the clean ones.
+    Magnitude 0 is the floor that chance crossings give. onsets: steps after the split; trials that would run past the `steps` of
+    the panel are left out. Units whose reconstruction explains
+    too little are not tested. `scores` is read several times: write it first if it is dear."""
     spark = scores.sparkSession
     test = scores.where(F.col("step") >= split)
     if least_r2 is not None:
         good = E.errors(test, "y", "pred", ["unit"]).where(F.col("r2") > least_r2).select("unit")
         test = test.join(good, "unit", "left_semi")
-    tau = test.groupBy("unit").agg(F.percentile("z", 1 - alarms).alias("tau"))
+    tau = quantiles_by(test, ["unit"], "z", {"tau": 1 - alarms})
+    false = test.join(tau, "unit").groupBy("unit").agg(F.avg((F.col("z") > F.col("tau")).cast("double")).alias("rate")).agg((F.avg("rate") * per_day).alias("false_alarms_per_unit_day"), F.count(F.lit(1)).alias("units_tested"))
     kinds = [(k, float(m)) for k in ("bias", "drift") for m in magnitudes] + [("stuck", None)]
     config = spark.createDataFrame(kinds, "fault string, magnitude double")
-    starts = spark.createDataFrame([(int(t),) for t in onsets], "t0 int")
-    window = test.join(F.broadcast(starts), (F.col("step") >= F.col("t0") + split) & (F.col("step") < F.col("t0") + split + span)).join(tau, "unit")
-    window = window.withColumn("i", F.col("step") - split - F.col("t0")).withColumn("y0", F.max(F.when(F.col("i") == 0, F.col("y"))).over(Window.partitionBy("unit", "t0")))
+    starts = spark.createDataFrame([(int(t) + split,) for t in onsets if t + split + span <= steps], "t long")
+    window = trial_windows(test, starts, span).join(tau, "unit")
+    window = window.withColumn("y0", F.max(F.when(F.col("i") == 0, F.col("y"))).over(Window.partitionBy("unit", "t")))  # of one trial
     bump = F.when(F.col("fault") == "bias", F.col("magnitude")).when(F.col("fault") == "drift", F.col("magnitude") * F.col("i") / (span - 1)).otherwise(F.col("y0") - F.col("y"))
     fired = F.abs((F.col("resid") + bump - F.col("mu")) / F.col("sd")) > F.col("tau")
-    trial = window.join(F.broadcast(config)).groupBy("fault", "magnitude", "unit", "t0").agg(F.min(F.when(fired, F.col("i"))).alias("first"))
-    return trial.groupBy("fault", "magnitude").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("detection_rate"), F.percentile("first", 0.5).alias("median_lag"), F.count(F.lit(1)).alias("trials"))
+    trial = window.join(F.broadcast(config)).groupBy("fault", "magnitude", "unit", "t").agg(F.min(F.when(fired, F.col("i"))).alias("first"))
+    rates = trial.groupBy("fault", "magnitude").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("detection_rate"), F.percentile("first", 0.5).alias("median_lag"), F.count(F.lit(1)).alias("trials"))  # of at most span lags
+    return rates.join(F.broadcast(false))
 
 
 def signature(df: DataFrame, u: str = "measured_power_util", p: str = "production_power_util", bad: str = "bad_production_power_data", tod: str = "tod") -> DataFrame:
@@ -336,12 +387,13 @@ def signature(df: DataFrame, u: str = "measured_power_util", p: str = "productio
     hours = d.groupBy("unit", tod).agg(F.avg(u).alias("m"))
     day = hours.groupBy("unit").agg((F.max("m") - F.min("m")).alias("diurnal_amp"), F.max_by(tod, "m").cast("double").alias("diurnal_peak"))
     spread = d.join(hours, ["unit", tod]).groupBy("unit").agg(F.stddev_samp(F.col(u) - F.col("m")).alias("resid_sd"))
-    q = F.percentile(F.col(u), [0.01, 0.99])
+    ends = quantiles_by(d, ["unit"], u, {"_low": 0.01, "_high": 0.99}).select("unit", (F.col("_high") - F.col("_low")).alias("range"))
+    ramps = quantiles_by(d.select("unit", F.abs("_d").alias("_a")), ["unit"], "_a", {"ramp_p99": 0.99})
     own = d.groupBy("unit").agg(
-        F.avg(u).alias("mean"), F.stddev_samp(u).alias("sd"), (q[1] - q[0]).alias("range"), F.percentile(F.abs("_d"), 0.99).alias("ramp_p99"), F.corr("_d", "_d1").alias("d_autocorr1"),
+        F.avg(u).alias("mean"), F.stddev_samp(u).alias("sd"), F.corr("_d", "_d1").alias("d_autocorr1"),
         F.corr(u, "_fleet").alias("corr_fleet"), F.avg(F.col(u) - F.col(p)).alias("headroom"), F.avg(F.col(bad).cast("double")).alias("badp_rate"),
     )
-    return own.join(day, "unit").join(spread, "unit")
+    return own.join(ends, "unit").join(ramps, "unit", "left").join(day, "unit").join(spread, "unit")
 
 
 def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -62,6 +62,40 @@ def quantiles(df: DataFrame, x: str, probs: Sequence[float]) -> DataFrame:
     return hits.groupBy("i").agg((side("low") + F.max("part") * (side("high") - side("low"))).alias("value"))
 
 
+#: Rank error of the sketch behind quantiles_by(), as one over so many rows.
+ACCURACY = 2000
+
+
+def quantiles_by(df: DataFrame, keys: Sequence[str], x: str, named: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles with linear interpolation for each group of `keys`: a row for each, with a column for each name.
+
+    A sketch of each group brackets the ranks that are wanted, within its error; one more pass counts what is below a bracket and
+    the distinct values inside. So what is ordered is a few thousandths of a group, never the group, and the sketch
+    decides how much that is, never a result (a rank outside its bracket is an error). Nulls are left out, and groups without
+    values; null keys are a group. `df` is read twice: write it first if it is dear."""
+    margin, probs = 2.0 / accuracy, list(named.values())
+    d = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    ends = F.percentile_approx("_x", [v for p in probs for v in (max(0.0, p - margin), min(1.0, p + margin))], accuracy)
+    cut = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), ends.alias("_ends"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    # The outermost brackets end at the extremes; in a group of no more than `accuracy` rows, all do: there a rank is more than the error.
+    small = F.col("_n") <= accuracy
+    low = lambda i, p: F.when(small | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_ends")[2 * i])
+    high = lambda i, p: F.when(small | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1])
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low(i, p).alias("low"), high(i, p).alias("high")) for i, p in enumerate(probs)))
+    cut = cut.select(*(F.col(k).alias(f"_key_{j}") for j, k in enumerate(keys)), "_n", wanted.alias("_w"))
+    met = d.join(cut, [d[k].eqNullSafe(cut[f"_key_{j}"]) for j, k in enumerate(keys)]) if keys else d.crossJoin(F.broadcast(cut))
+    inside = met.select(*keys, "_n", "_x", F.explode("_w").alias("w")).select(*keys, "_n", "_x", "w.*").where("_x <= high")
+    values = inside.groupBy(*keys, "i", "p", "_n", F.when(F.col("_x") >= F.col("low"), F.col("_x")).alias("v")).agg(F.count(F.lit(1)).alias("c"))  # all that is below is one row
+    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.col("p") * (F.col("_n") - 1)
+    side = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")) & F.col("v").isNotNull(), F.col("v")))
+    part = F.max(at - F.floor(at))
+    found = values.withColumn("upto", upto).groupBy(*keys, "i").agg(side(F.floor(at)).alias("low"), side(F.ceil(at)).alias("high"), part.alias("part"))
+    value = F.when(F.col("low").isNull() | F.col("high").isNull(), F.raise_error("a rank lies outside its bracket").cast("double")).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
+    found = found.withColumn("value", value)
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(named)))
+
+
 def quantile_row(df: DataFrame, x: str, named: Mapping[str, float]) -> DataFrame:
     """One row with a column for each named quantile; nulls for no rows."""
     q = quantiles(df, x, list(named.values()))

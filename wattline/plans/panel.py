@@ -19,7 +19,9 @@ from wattline.operators import fleet as L
 from wattline.operators import panel as W
 from wattline.operators import risk as R
 from wattline.operators import tail as T
-from wattline.plans.capacity import r, rounded
+from wattline.operators.ranked import quantile_row
+from wattline.plans.capacity import NUDGE, r, rounded
+from wattline.scratch import keep
 
 Y, P = "measured_power_util", "production_power_util"
 #: The synthetic panel is hourly: a day has 24 steps, a week 168.
@@ -64,7 +66,7 @@ def labels(s, d):
 def events_with_split(s, d, h=1):
     """Steps that rise above the training half's 99th percentile."""
     x = power(s, d).select("unit", "step", (W.lag(Y, -h) - F.col(Y)).alias("rise"), (F.col("step") % 24).cast("int").alias("tod")).where("rise IS NOT NULL")
-    cut = x.where(f"step < {SPLIT}").agg(F.percentile("rise", 0.99).alias("cut"))
+    cut = quantile_row(x.where(f"step < {SPLIT}"), "rise", {"cut": 0.99})
     return x.join(F.broadcast(cut)).select("unit", "step", "tod", (F.col("rise") >= F.col("cut")).alias("event"))
 
 
@@ -98,21 +100,45 @@ def step_profile(s, d):
 
 
 def ramp_detection(s, d):
-    f = fleet_frame(s, d)
-    cut = L.with_target(f, 1).where(f"step < {SPLIT}").agg(F.percentile(F.col("y") - F.col("u"), 0.99)).first()[0]
-    pred = L.ridge_per_unit(f, W.FLEET, 1, SPLIT)
-    return E.detection(L.ramp_events(pred, cut).withColumn("tie", F.concat_ws("/", "unit", "step")), "event", "score", "tie")
+    """Three detectors at all leads: recent volatility, and boosted trees on own history and with the other units."""
+    f = keep(fleet_frame(s, d), "features")
+    pred = keep(L.ablation_forecasts(f, {k: MODELS[k] for k in ("boost_solo", "boost_fleet")}, C.FLEET_HORIZONS, SPLIT), "predictions")
+    cut = keep(L.ramp_thresholds(f.na.drop(), C.FLEET_HORIZONS, SPLIT), "thresholds")
+    rows = keep(L.ramp_scores(pred, f, cut, {k: k for k in ("boost_solo", "boost_fleet")}, "roll_std_h").withColumn("tie", F.concat_ws("/", "unit", "step")), "ramp-scores")
+    return E.joined_on(E.detections(rows, "event", "score", "tie", ["h", "detector"]), cut, ["h"])
+
+
+def ramp_volatility(s, d):
+    """The detector that SQL can say as well: recent volatility at all leads."""
+    f = fleet_frame(s, d).na.drop().withColumn("roll_std_h", F.round(F.col("roll_std_h") + F.lit(NUDGE), 9))
+    f = keep(f, "features")
+    now = L.leads(f, C.FLEET_HORIZONS, "u").where(f"step >= {SPLIT}").select("h", F.lit("now").alias("model"), "unit", "step", "y", "u", F.col("u").alias("pred"))
+    cut = keep(L.ramp_thresholds(f, C.FLEET_HORIZONS, SPLIT), "thresholds")
+    rows = L.ramp_scores(now, f, cut, {"now": "now"}, "roll_std_h").where("detector = 'volatility_persistence'").withColumn("tie", F.concat_ws("/", "unit", "step"))
+    return E.joined_on(E.detections(keep(rows, "ramp-scores"), "event", "score", "tie", ["h", "detector"]), cut, ["h"])
+
+
+#: Which model is compared with which.
+PAIRS = (("boost_fleet", "boost_solo"), ("ridge_fleet", "ridge_solo"), ("boost_fleet", "persistence"), ("boost_solo", "persistence"))
 
 
 def paired_models(s, d):
-    """Boosted trees against persistence, unit by unit."""
-    pred = L.boost_per_unit(fleet_frame(s, d), W.OWN, 1, SPLIT)
-    return E.paired_summary(L.compare_models(pred, pred.withColumn("pred", F.col("u"))))
+    """Four pairs of models at four leads, unit by unit."""
+    return L.paired_comparison(keep(L.ablation_forecasts(keep(fleet_frame(s, d), "features"), MODELS, C.FLEET_HORIZONS, SPLIT), "predictions"), PAIRS)
+
+
+def paired_clock(s, d):
+    """The mean change at a time of day against no change, at four leads, unit by unit."""
+    x = L.leads(power(s, d).withColumnRenamed(Y, "u"), C.FLEET_HORIZONS, "u").withColumn("tod", F.col("step") % DAY)
+    mean = x.where(f"step < {SPLIT}").groupBy("h", "unit", "tod").agg(F.avg(F.col("y") - F.col("u")).alias("change"))
+    test = x.where(f"step >= {SPLIT}").join(mean, ["h", "unit", "tod"])
+    forms = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), p.alias("pred")) for n, p in {"clock": F.col("u") + F.col("change"), "persistence": F.col("u")}.items()))).alias("m")
+    return L.paired_comparison(test.select("h", "unit", "step", "y", "u", forms).select("h", "unit", "step", "y", "u", "m.*"), [("clock", "persistence")])
 
 
 def flag_detection(s, d):
     """Do residuals of rebuilt readings find flagged ones?"""
-    z = L.residual_scores(virtual(s, d), SPLIT).join(power(s, d).select("unit", "step", F.col("bad_measurement_data").cast("int").alias("flag")), ["unit", "step"])
+    z = keep(L.residual_scores(virtual(s, d), SPLIT), "residuals").join(power(s, d).select("unit", "step", F.col("bad_measurement_data").cast("int").alias("flag")), ["unit", "step"])
     low, high = E.auc_interval(z, "flag", "z")
     return E.auc(z, "flag", "z").select("auc", F.lit(low).alias("low"), F.lit(high).alias("high"))
 
@@ -147,7 +173,7 @@ MODELS = {"persistence": ("persistence", ["u"]), "ridge_solo": ("ridge", W.OWN),
 
 def ablation(s, d, *kinds):
     models = {k: v for k, v in MODELS.items() if v[0] in kinds}
-    return L.skill_table(L.ablation_forecasts(fleet_frame(s, d), models, C.FLEET_HORIZONS, SPLIT))
+    return L.skill_table(keep(L.ablation_forecasts(fleet_frame(s, d), models, C.FLEET_HORIZONS, SPLIT), "predictions"))
 
 
 def gbt_errors(s, d):
@@ -163,8 +189,18 @@ def importances(s, d):
     return s.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(found)], "rank int, feature string, importance double")
 
 
-def faults(s, d):
-    return L.inject_faults(L.residual_scores(virtual(s, d), SPLIT), SPLIT, A.STEPS, range(0, 200, 200 // C.FAULT_ONSETS), (0.0, 0.05, 0.1, 0.2, 0.5), 24, 1 / DAY, None)
+#: Onsets and magnitudes of the synthetic fault study.
+ONSETS, MAGNITUDES = range(0, 200, 200 // C.FAULT_ONSETS), (0.0, 0.05, 0.1, 0.2, 0.5)
+
+
+def faults(s, d, rebuilt=None):
+    scores = keep(L.residual_scores(virtual(s, d) if rebuilt is None else rebuilt, SPLIT), "residuals")
+    return L.inject_faults(scores, SPLIT, A.STEPS, ONSETS, MAGNITUDES, DAY, 1 / DAY, None, DAY)
+
+
+def faults_by_peers(s, d):
+    """The fault study on readings rebuilt as the mean of the others, which SQL can say as well."""
+    return faults(s, d, L.peer_mean_sensors(power(s, d), Y))
 
 
 def points(s, d):
@@ -193,9 +229,18 @@ def constraints(s, d):
 
 
 def coupling(s, d):
-    inc = L.increments(power(s, d), Y)
-    pc1, many = L.components_for(L.spectrum(inc, Y))
-    return L.effective_units(inc, Y).select("*", F.lit(pc1).alias("pc1_share"), F.lit(many).alias("pcs_for_90"))
+    """Effective units and principal components of changes and of levels."""
+    parts = []
+    for form, x in (("change", L.increments(power(s, d), Y)), ("level", power(s, d))):
+        pc1, many = L.components_for(L.spectrum(x, Y))
+        parts.append(L.effective_units(x, Y).select(F.lit(form).alias("form"), "*", F.lit(pc1).alias("pc1_share"), F.lit(many).alias("pcs_for_90")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def spectrum_moments(s, d):
+    """Sums of the eigenvalues and of their squares, which are the trace and the squared entries of the matrix."""
+    found = [(form, L.spectrum(x, Y)) for form, x in (("change", L.increments(power(s, d), Y)), ("level", power(s, d)))]
+    return s.createDataFrame([(form, len(v), float(v.sum()), float((v**2).sum())) for form, v in found], "form string, n int, trace double, squares double")
 
 
 QUERIES = {
@@ -231,7 +276,9 @@ QUERIES = {
     "risk_posture": lambda s, d: rounded(R.risk_table(power(s, d), forecast(s, d, "empirical")).select("unit", "par_99", "capping_credit", "limit_raw", "limit_adj", "margin_cost", "posture")),
     "pairwise_corr": lambda s, d: rounded(L.pairwise_corr(L.increments(power(s, d), Y), Y)),
     "n_eff": lambda s, d: rounded(L.effective_units(L.increments(power(s, d), Y), Y)),
+    "n_eff_levels": lambda s, d: rounded(L.effective_units(power(s, d), Y)),
     "coupling_spectrum": lambda s, d: rounded(coupling(s, d)),
+    "spectrum_moments": lambda s, d: rounded(spectrum_moments(s, d)),
     "reserve_inflation": lambda s, d: rounded(L.reserve_inflation(power(s, d), Y, 1)),
     "diversity_factor": lambda s, d: rounded(L.diversity_factor(power(s, d), Y)),
     "share_up": lambda s, d: rounded(L.share_up(power(s, d), Y)),
@@ -248,8 +295,9 @@ QUERIES = {
     "forecast_ablation": lambda s, d: rounded(ablation(s, d, "persistence", "ridge", "boost")),
     "gbt_forecast": lambda s, d: rounded(gbt_errors(s, d)),
     "importances": lambda s, d: rounded(importances(s, d)),
-    "virtual_sensor": lambda s, d: rounded(E.errors(virtual(s, d).where(f"step >= {SPLIT}"), "y", "pred", ["unit"])),
+    "virtual_sensor": lambda s, d: rounded(E.errors(keep(virtual(s, d).where(f"step >= {SPLIT}"), "rebuilt"), "y", "pred", ["unit"])),
     "fault_injection": lambda s, d: rounded(faults(s, d)),
+    "fault_injection_peers": lambda s, d: rounded(faults_by_peers(s, d)),
     "gbt_ceiling": lambda s, d: rounded(gbt_ceiling(s, d)),
     "meter_only_headroom": lambda s, d: rounded(headroom(s, d)),
     "silhouette_euclid": lambda s, d: rounded(E.silhouette(points(s, d), "v", "label", "vec_id")),
@@ -262,7 +310,9 @@ QUERIES = {
     "tod_step_r2": lambda s, d: rounded(step_profile(s, d)),
     "clock_resolutions": lambda s, d: rounded(clock_resolutions(s, d)),
     "ramp_detection": lambda s, d: rounded(ramp_detection(s, d)),
+    "ramp_volatility": lambda s, d: rounded(ramp_volatility(s, d)),
     "paired_models": lambda s, d: rounded(paired_models(s, d)),
+    "paired_clock": lambda s, d: rounded(paired_clock(s, d)),
     "flag_detection": lambda s, d: rounded(flag_detection(s, d)),
     "boost_per_unit": lambda s, d: rounded(ablation(s, d, "persistence", "boost")),
     "scalar_functions": lambda s, d: rounded(numbers(s, d)),
@@ -367,6 +417,27 @@ CLOCK_SQL = f"""k AS (SELECT *, step // 24 % 7 AS dow FROM ev), x AS ({' UNION A
         sc AS (SELECT x.feature, CASE WHEN step < {SPLIT} THEN 'train' ELSE 'test' END AS part, y, prior, (coalesce(hits, 0) + 20 * prior) / (coalesce(n, 0) + 20) AS p FROM x JOIN pr USING (feature) LEFT JOIN rt USING (feature, key)),
         dv AS (SELECT feature, part, 1 - sum(y * ln(p) + (1 - y) * ln(1 - p)) / sum(y * ln(prior) + (1 - y) * ln(1 - prior)) AS dev FROM sc GROUP BY 1, 2), g AS (SELECT feature, part, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY 1, 2, 3),
         au AS (SELECT feature, part, sum(pos * (coalesce(below, 0) + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, sum(neg) OVER (PARTITION BY feature, part ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g) GROUP BY 1, 2)"""
+LEADS_SQL = " UNION ALL ".join(f"SELECT {k} AS h, unit, step, roll_std_h, u, lead(u, {k}) OVER (PARTITION BY unit ORDER BY step) AS y FROM whole" for k in C.FLEET_HORIZONS)
+VOLATILITY = f"""whole AS (SELECT unit, step, u, {r('roll_std_h', 'roll_std_h', 9)} FROM ff WHERE dev_from_day IS NOT NULL AND lag_day IS NOT NULL), ld AS (SELECT * FROM ({LEADS_SQL}) WHERE y IS NOT NULL),
+        th AS (SELECT h, quantile_cont(y - u, 0.99) AS threshold FROM ld WHERE step < {SPLIT} GROUP BY h), ev AS (SELECT h, unit || '/' || step AS tie, roll_std_h AS score, CAST(y - u >= threshold AS INTEGER) AS event FROM ld JOIN th USING (h) WHERE step >= {SPLIT}),
+        g AS (SELECT h, score, sum(event) AS p, count(*) AS n FROM ev GROUP BY 1, 2), k AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS k, sum(n - p) OVER (PARTITION BY h ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g WINDOW d AS (PARTITION BY h ORDER BY score DESC)),
+        m AS (SELECT h, sum(p) / sum(n) AS base_rate, sum(p)::BIGINT AS n_events, sum(p * (coalesce(below, 0) + (n - p) / 2)) / nullif(sum(p) * sum(n - p), 0) AS auc, sum(p * tp / k) / nullif(sum(p), 0) AS ap FROM k GROUP BY h),
+        rk AS (SELECT h, event, row_number() OVER (PARTITION BY h ORDER BY score DESC, tie) AS rn FROM ev), pn AS (SELECT h, coalesce(sum(event) FILTER (rn <= greatest(1, n_events)), 0) / greatest(1, any_value(n_events)) AS pn FROM rk JOIN m USING (h) GROUP BY h)"""
+CHANGES = " UNION ALL ".join(f"SELECT {k} AS h, unit, step, step % {DAY} AS tod, u, lead(u, {k}) OVER (PARTITION BY unit ORDER BY step) AS y FROM power" for k in C.FLEET_HORIZONS)
+PAIRED = f"""ld AS (SELECT * FROM ({CHANGES}) WHERE y IS NOT NULL), pf AS (SELECT h, unit, tod, avg(y - u) AS c FROM ld WHERE step < {SPLIT} GROUP BY ALL),
+        ma AS (SELECT h, unit, avg(abs(y - (u + c))) AS a, avg(abs(y - u)) AS b FROM ld JOIN pf USING (h, unit, tod) WHERE step >= {SPLIT} GROUP BY ALL), gn AS (SELECT h, b, b - a AS d FROM ma),
+        k AS (SELECT h, d, rank() OVER (PARTITION BY h ORDER BY abs(d)) + (count(*) OVER (PARTITION BY h, abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY h, abs(d)) AS t FROM gn WHERE d != 0),
+        s AS (SELECT h, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS w, sum(t::DOUBLE * t - 1) AS ties FROM k GROUP BY h), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s),
+        m AS (SELECT h, quantile_cont(d / b, 0.5) * 100 AS gain, count(*) FILTER (d > 0) AS up, count(*) AS units FROM gn GROUP BY h)"""
+TRIALS = ", ".join(str(t + SPLIT) for t in ONSETS if t + SPLIT + DAY <= A.STEPS)
+SETTINGS = ", ".join([*(f"('{k}', {m}::DOUBLE)" for k in ("bias", "drift") for m in MAGNITUDES), "('stuck', NULL)"])
+PEERS = f"""sums AS (SELECT step, sum(u) AS su, count(*) AS n FROM power GROUP BY 1), rr AS (SELECT unit, step, u AS y, u - (su - u) / (n - 1) AS resid FROM power JOIN sums USING (step)),
+        ms AS (SELECT unit, avg(resid) AS mu, stddev_samp(resid) AS sd FROM rr WHERE step < {SPLIT} GROUP BY 1), z AS (SELECT rr.*, mu, sd, abs((resid - mu) / nullif(sd, 0)) AS z FROM rr JOIN ms USING (unit) WHERE step >= {SPLIT}),
+        ta AS (SELECT unit, quantile_cont(z, 1 - 1 / {DAY}.0::DOUBLE) AS tau FROM z GROUP BY 1), fa AS (SELECT avg(rate) * {DAY} AS alarms, count(*) AS units FROM (SELECT unit, avg(CAST(z > tau AS INTEGER)) AS rate FROM z JOIN ta USING (unit) GROUP BY 1)),
+        tr AS (SELECT z.*, tau, t, step - t AS i, max(CASE WHEN step = t THEN y END) OVER (PARTITION BY unit, t) AS y0 FROM z JOIN ta USING (unit), (SELECT unnest([{TRIALS}]) AS t) WHERE step >= t AND step < t + {DAY}),
+        f AS (SELECT fault, magnitude, unit, t, min(i) FILTER (abs((resid + CASE fault WHEN 'bias' THEN magnitude WHEN 'drift' THEN magnitude * i / {DAY - 1} ELSE y0 - y END - mu) / sd) > tau) AS first FROM tr, (VALUES {SETTINGS}) AS c(fault, magnitude) GROUP BY ALL)"""
+LEVELS = INC.replace("inc AS (SELECT * FROM (SELECT unit, step, u - lag(u) OVER w AS d FROM power WINDOW w AS (PARTITION BY unit ORDER BY step)) WHERE d IS NOT NULL)", "inc AS (SELECT unit, step, u AS d FROM power)")
+MOMENTS = f"{A.UNITS} AS n, {A.UNITS}::DOUBLE AS trace"
 RAMPS = " UNION ALL ".join(f"SELECT {k} AS h, step, (u - lag(u, {k}) OVER (ORDER BY step)) * 1000 AS mw FROM site" for k in C.FLEET_HORIZONS)
 
 ORACLES = {
@@ -418,6 +489,13 @@ ORACLES = {
         SELECT unit, {r('par', 'par_99')}, {r('credit', 'capping_credit')}, {r('raw', 'limit_raw')}, {r('adj', 'limit_adj')}, {r('adj - raw', 'margin_cost')}, CASE WHEN cappable_share IS NULL THEN 'blind' WHEN adj < tight THEN 'tight' WHEN obs_score < 0.5 THEN 'degraded' ELSE 'ok' END AS posture FROM v, z""",
     "pairwise_corr": f"WITH {POWER}, {INC} SELECT a, b, {r('corr', 'corr')} FROM pairs",
     "n_eff": f"WITH {POWER}, {INC} SELECT {A.UNITS}::DOUBLE AS n_units, {r(f'{A.UNITS} * {A.UNITS} / ({A.UNITS} + 2 * sum(corr * corr))', 'n_eff')}, {r('avg(corr)', 'mean_corr')} FROM pairs",
+    "n_eff_levels": f"WITH {POWER}, {LEVELS} SELECT {A.UNITS}::DOUBLE AS n_units, {r(f'{A.UNITS} * {A.UNITS} / ({A.UNITS} + 2 * sum(corr * corr))', 'n_eff')}, {r('avg(corr)', 'mean_corr')} FROM pairs",
+    "spectrum_moments": f"""SELECT 'change' AS form, {MOMENTS}, {r(f'{A.UNITS} + 2 * (WITH {POWER}, {INC} SELECT sum(corr * corr) FROM pairs)', 'squares')} UNION ALL
+        SELECT 'level', {MOMENTS}, {r(f'{A.UNITS} + 2 * (WITH {POWER}, {LEVELS} SELECT sum(corr * corr) FROM pairs)', 'squares')}""",
+    "ramp_volatility": f"WITH {POWER}, {FF}, {VOLATILITY} SELECT h, 'volatility_persistence' AS detector, {r('base_rate', 'base_rate')}, n_events, {r('auc', 'auc')}, {r('ap', 'average_precision')}, {r('pn', 'precision_at_n')}, {r('threshold', 'threshold')} FROM m JOIN pn USING (h) JOIN th USING (h)",
+    "paired_clock": f"WITH {POWER}, {PAIRED} SELECT h, 'clock' AS better, 'persistence' AS vs, {r('gain', 'median_gain_pct')}, up AS units_improved, units AS n_units, n, {r('w', 'w_plus')}, {r('z', 'z')}, {r(chi2_sql('z * z'), 'p_value')} FROM m JOIN z USING (h)",
+    "fault_injection_peers": f"""WITH {POWER}, {PEERS} SELECT fault, {r('magnitude', 'magnitude')}, {r('avg(CAST(first IS NOT NULL AS INTEGER))', 'detection_rate')}, {r('quantile_cont(first, 0.5)', 'median_lag')}, count(*) AS trials, {r('any_value(alarms)', 'false_alarms_per_unit_day')},
+        any_value(units) AS units_tested FROM f, fa GROUP BY fault, magnitude""",
     "reserve_inflation": f"""WITH {POWER}, {INC}, fl AS (SELECT stddev_samp(d) AS act, quantile_cont(d, 0.999) AS q FROM (SELECT step, avg(d) AS d FROM inc GROUP BY 1)), un AS (SELECT sqrt(sum(v)) AS s, count(*) AS n, avg(q) AS uq FROM (SELECT unit, var_samp(d) AS v, quantile_cont(d, 0.999) AS q FROM inc GROUP BY 1))
         SELECT {r('act / (s / n)', 'reserve_inflation')}, {r('act', 'fleet_ramp_sd')}, {r('uq', 'unit_p999')}, {r('q', 'fleet_p999')} FROM fl, un""",
     "diversity_factor": f"WITH {POWER} SELECT {r('(SELECT max(m) FROM (SELECT avg(u) AS m FROM power GROUP BY step)) / (SELECT avg(m) FROM (SELECT max(u) AS m FROM power GROUP BY unit))', 'diversity_factor')}",
