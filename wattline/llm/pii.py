@@ -70,18 +70,18 @@ def _hash(key: str, entity: str) -> str:
     return f"sha2(concat({quoted(key)}, '|', {entity}), 256)"
 
 
+def feistel(rounds: int, a: str, b: str, mixed_a: str, mixed_b: str) -> str:
+    """SQL for `rounds` rounds over the halves of a struct ab(a, b): odd ones mix b into a, even ones a into b, r being the round."""
+    return f"aggregate(sequence(1, {rounds}), struct({a} AS a, {b} AS b), (ab, r) -> IF(r % 2 = 1, struct({mixed_a} AS a, ab.b AS b), struct(ab.a AS a, {mixed_b} AS b)))"
+
+
 def permuted(digits: str, key: str) -> str:
     """SQL for a keyed permutation of the strings of as many digits (at most 18): six Feistel rounds."""
-    out = "ab"
-    for r in range(6, 0, -1):
-        half, other, size = ("a", "b", "pa") if r % 2 else ("b", "a", "pb")
-        mixed = f"pmod(ab.{half} + pmod(xxhash64({quoted(key)}, {r}, ab.{other}), {size}), {size})"
-        out = let("ab", f"struct({mixed if half == 'a' else 'ab.a'} AS a, {mixed if half == 'b' else 'ab.b'} AS b)", out)
-    result = let("ab", out, "concat(lpad(CAST(ab.a AS string), na, '0'), lpad(CAST(ab.b AS string), nb, '0'))")
+    mixed = lambda half, other, size: f"pmod(ab.{half} + pmod(xxhash64({quoted(key)}, r, ab.{other}), {size}), {size})"
     return lets(
         ("ds", digits), ("na", "CAST(length(ds) DIV 2 AS int)"), ("nb", "length(ds) - na"), ("pa", "CAST(power(10, na) AS long)"), ("pb", "CAST(power(10, nb) AS long)"),
-        ("ab", "struct(CAST(concat('0', substring(ds, 1, na)) AS long) AS a, CAST(concat('0', substring(ds, na + 1)) AS long) AS b)"),
-        then=result,
+        ("ab", feistel(6, "CAST(concat('0', substring(ds, 1, na)) AS long)", "CAST(concat('0', substring(ds, na + 1)) AS long)", mixed("a", "b", "pa"), mixed("b", "a", "pb"))),
+        then="concat(lpad(CAST(ab.a AS string), na, '0'), lpad(CAST(ab.b AS string), nb, '0'))",
     )
 
 
@@ -90,16 +90,12 @@ def ciphered(text: str, key: str) -> str:
     character moves within its class. A string of hexadecimal digits with letters stays hexadecimal."""
     classes = " ".join(f"WHEN instr({quoted(c)}, c) > 0 THEN {quoted(c)}" for c in CLASSES)
     kind = f"CASE WHEN lower_hex AND instr('0123456789abcdef', c) > 0 THEN '0123456789abcdef' WHEN upper_hex AND instr('0123456789ABCDEF', c) > 0 THEN '0123456789ABCDEF' {classes} ELSE c END"
-    out = "ab"
-    for r in range(8, 0, -1):
-        half, other, base = ("a", "b", "0") if r % 2 else ("b", "a", "m")
-        mixed = let("hs", f"sha2(concat({quoted(key)}, '|{r}|', array_join(ab.{other}, ',')), 256)", f"transform(ab.{half}, (v, i) -> CAST(pmod(v + xxhash64(hs, i), length(ks[i + {base}])) AS int))")
-        out = let("ab", f"struct({mixed if half == 'a' else 'ab.a'} AS a, {mixed if half == 'b' else 'ab.b'} AS b)", out)
+    mixed = lambda half, other, base: let("hs", f"sha2(concat({quoted(key)}, '|', r, '|', array_join(ab.{other}, ',')), 256)", f"transform(ab.{half}, (v, i) -> CAST(pmod(v + xxhash64(hs, i), length(ks[i + {base}])) AS int))")
     return lets(
         ("whole", text), ("lower_hex", "whole RLIKE '^[0-9a-f:]*[a-f][0-9a-f:]*$'"), ("upper_hex", "whole RLIKE '^[0-9A-F:]*[A-F][0-9A-F:]*$'"),
         ("cs", "filter(split(whole, ''), c -> c != '')"), ("ks", f"transform(cs, c -> {kind})"), ("m", "CAST(size(cs) DIV 2 AS int)"),
-        ("vs", "transform(cs, (c, i) -> instr(ks[i], c) - 1)"), ("ab", "struct(slice(vs, 1, m) AS a, slice(vs, m + 1, size(vs) - m) AS b)"),
-        then=let("ab", out, "array_join(transform(concat(ab.a, ab.b), (v, i) -> substring(ks[i], v + 1, 1)), '')"),
+        ("vs", "transform(cs, (c, i) -> instr(ks[i], c) - 1)"), ("ab", feistel(8, "slice(vs, 1, m)", "slice(vs, m + 1, size(vs) - m)", mixed("a", "b", "0"), mixed("b", "a", "m"))),
+        then="array_join(transform(concat(ab.a, ab.b), (v, i) -> substring(ks[i], v + 1, 1)), '')",
     )
 
 
@@ -153,26 +149,22 @@ def quoted_re(pattern: str) -> str:
 def surrogate(key: str) -> str:
     """SQL for the surrogate of an entity `e` of kind `k`; for persons see PERSON_K and PERSON_E."""
     digits = "regexp_replace({}, '[^0-9]+', '')"
-    mail = let("top", "regexp_extract(e, '[.]([^.]+)$', 1)", f"concat({ciphered('substring(e, 1, length(e) - length(top) - 1)', key)}, '.', top, '.example')")
-    start = rf"regexp_extract(e, {_pattern(f'^(?:{NAMED_SECRET}[{QUOTES}]?|{CLOUD_START})')}, 0)"
-    secret = lets(("start", start), ("tail", f"regexp_extract(e, {_pattern(f'[{QUOTES}]$')}, 0)"), then=f"concat(start, {ciphered('substring(e, length(start) + 1, length(e) - length(start) - length(tail))', key)}, tail)")
-    inside = let("plain", "replace(e, ' ', '')", let("own", ciphered("substring(plain, 5)", key), f"concat(substring(plain, 1, 2), lpad(CAST(98 - {mod97("concat(substring(plain, 1, 2), '00', own)")} AS string), 2, '0'), own)"))
-    account = let("acct", inside, "IF(instr(e, ' ') > 0, regexp_replace(acct, '(.{4})(?=.)', '$1 '), acct)")
     octets = let("q", "split(e, '[.]')", "CAST(q[0] AS long) * 16777216 + CAST(q[1] AS long) * 65536 + CAST(q[2] AS long) * 256 + CAST(q[3] AS long)")
-    rounds = "ab"
-    for r in range(4, 0, -1):
-        half, other = ("a", "b") if r % 2 else ("b", "a")
-        mixed = f"pmod(ab.{half} + pmod(xxhash64(concat({quoted(key)}, zeros), {r}, ab.{other}), 65536), 65536)"
-        rounds = let("ab", f"struct({mixed if half == 'a' else 'ab.a'} AS a, {mixed if half == 'b' else 'ab.b'} AS b)", rounds)
+    mixed = lambda half, other: f"pmod(ab.{half} + pmod(xxhash64(concat({quoted(key)}, zeros), r, ab.{other}), 65536), 65536)"
     # A spelling with leading zeros is an entity of its own.
     zeros = "IF(e RLIKE '(^|[.])0[0-9]', e, '')"
-    address = let("ab", lets(("zeros", zeros), ("o", octets), ("ab", "struct(o DIV 65536 AS a, o % 65536 AS b)"), then=rounds), "concat_ws('.', ab.a DIV 256, ab.a % 256, ab.b DIV 256, ab.b % 256)")
-    inner = let("d", digits.format("e"), "concat(substring(d, 1, 1), " + permuted("substring(d, 2, length(d) - 2)", key) + ")")
-    card = let("c", inner, refilled("e", f"concat(c, CAST((10 - {luhn("concat(c, '0')")}) % 10 AS string))"))
-    phone = lets(("cc", "regexp_extract(e, '^([+][0-9]{1,3}[ .-]|)', 1)"), ("t", "substring(e, length(cc) + 1)"), then=f"concat(cc, {refilled('t', permuted(digits.format('t'), key))})")
+    address = lets(("zeros", zeros), ("o", octets), ("ab", feistel(4, "o DIV 65536", "o % 65536", mixed("a", "b"), mixed("b", "a"))), then="concat_ws('.', ab.a DIV 256, ab.a % 256, ab.b DIV 256, ab.b % 256)")
     person = lets(("g", "substring_index(e, '/', 1)"), ("rest", "substring(e, instr(e, '/') + 1)"), ("given", "IF(instr(rest, ' ') > 0, substring_index(rest, ' ', 1), '')"), ("h", _hash(key, "concat('name', e)")), then=_name("h", "given", "g"))
-    national = refilled("e", permuted(digits.format("e"), key))
-    return f"CASE k WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'cloud' THEN {secret} WHEN 'iban' THEN {account} WHEN 'ipv6' THEN {ciphered('e', key)} WHEN 'national' THEN {national} WHEN 'ipv4' THEN {address} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'person' THEN {person} ELSE e END"
+    # What is before and after the part that moves, by kind; the two permutations are written once for all kinds, as the driver plans what is written.
+    before = rf"CASE WHEN k IN ('secret', 'cloud') THEN regexp_extract(e, {_pattern(f'^(?:{NAMED_SECRET}[{QUOTES}]?|{CLOUD_START})')}, 0) WHEN k = 'phone' THEN regexp_extract(e, '^([+][0-9]{{1,3}}[ .-]|)', 1) WHEN k = 'iban' THEN substring(e, 1, 2) ELSE '' END"
+    after = rf"CASE k WHEN 'email' THEN regexp_extract(e, '[.][^.]+$', 0) WHEN 'secret' THEN regexp_extract(e, {_pattern(f'[{QUOTES}]$')}, 0) WHEN 'cloud' THEN regexp_extract(e, {_pattern(f'[{QUOTES}]$')}, 0) ELSE '' END"
+    letters = "CASE WHEN k IN ('email', 'secret', 'cloud', 'ipv6') THEN substring(e, length(head) + 1, length(e) - length(head) - length(tail)) WHEN k = 'iban' THEN substring(replace(e, ' ', ''), 5) ELSE '' END"
+    numbers = f"CASE k WHEN 'card' THEN substring({digits.format('e')}, 2, length({digits.format('e')}) - 2) WHEN 'phone' THEN {digits.format('substring(e, length(head) + 1)')} WHEN 'national' THEN {digits.format('e')} ELSE '' END"
+    account = let("acct", f"concat(head, lpad(CAST(98 - {mod97("concat(head, '00', moved)")} AS string), 2, '0'), moved)", "IF(instr(e, ' ') > 0, regexp_replace(acct, '(.{4})(?=.)', '$1 '), acct)")
+    card = let("c", f"concat(substring({digits.format('e')}, 1, 1), rolled)", f"concat(c, CAST((10 - {luhn("concat(c, '0')")}) % 10 AS string))")
+    filled = refilled("IF(k = 'phone', substring(e, length(head) + 1), e)", f"IF(k = 'card', {card}, rolled)")
+    whole = f"CASE WHEN k = 'email' THEN concat(moved, tail, '.example') WHEN k IN ('secret', 'cloud') THEN concat(head, moved, tail) WHEN k = 'iban' THEN {account} WHEN k = 'ipv6' THEN moved WHEN k IN ('national', 'card', 'phone') THEN concat(head, {filled}) WHEN k = 'ipv4' THEN {address} WHEN k = 'person' THEN {person} ELSE e END"
+    return lets(("head", before), ("tail", after), ("core", letters), ("moved", f"IF(core = '', '', {ciphered('core', key)})"), ("number", numbers), ("rolled", f"IF(number = '', '', {permuted('number', key)})"), then=whole)
 
 
 def _pattern(p: str) -> str:
