@@ -1,8 +1,11 @@
 """Backtests: closed forms, degenerate input, contrasts, Monte Carlo."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wattline.functions import scalars as S
 from wattline.operators import backtest as B
@@ -102,3 +105,32 @@ def test_no_window_orders_a_series(spark):
     b = B.breaches(spark.createDataFrame(rows, "unit string, step long, y double, var double, es double"))
     plan = B._with_pooled(b, steps=5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") >= 2 and plan.rindex("Window [") < plan.rindex("Aggregate [")
+
+
+def test_poisson_table(spark):
+    means = [0.01, 0.7, 3.0, 45.0, 300.0]
+    got = {r.m: r.c for r in spark.createDataFrame([(m,) for m in means], "m double").select("m", B.poisson_cdf(F.col("m")).alias("c")).collect()}
+    for m in means:
+        p = np.exp([k * np.log(m) - m - math.lgamma(k + 1) for k in range(len(got[m]))])
+        assert np.allclose(got[m], np.cumsum(p), rtol=1e-9, atol=1e-12) and got[m][-1] > 1 - 1e-9
+
+
+def test_bootstrap_draws_by_hash(spark):
+    """The whole draw by hand: hashes, Poisson weights, sums; the same in one partition and in many."""
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    rows = [(u, t, float(y), 1.0, 1.5) for u, n in (("a", 200), ("b", 90), ("none", 20)) for t, y in enumerate(np.where(rng.random(n) < (0.07 if u != "none" else 0), rng.uniform(1.0, 3.0, n) + 0.01, 0.5))]
+    b = B.breaches(spark.createDataFrame(rows, "unit string, step long, y double, var double, es double"))
+    got = {r.unit: r.es_p for r in B.es_p_values(b.repartition(6), 0.95, draws=60).collect()}
+    assert got == {r.unit: r.es_p for r in B.es_p_values(b.coalesce(1), 0.95, draws=60).collect()}
+    want = {}
+    for u in ("a", "b"):
+        mine = [r for r in rows if r[0] == u]
+        hits = [(t, y / es) for _, t, y, var, es in mine if y > var]
+        expected = len(mine) * (1 - 0.95)
+        mean = expected / len(hits)
+        cdf = np.cumsum(np.exp([k * np.log(mean) - mean - math.lgamma(k + 1) for k in range(60)]))
+        null = [sum(ratio * (int(hashlib.md5(f"{u}/{t}/{d}".encode()).hexdigest()[:8], 16) / 2**32 >= cdf).sum() for t, ratio in hits) for d in range(1, 61)]
+        want[u] = np.mean([s / expected - 1 >= sum(r for _, r in hits) / expected - 1 for s in null])
+    assert got == pytest.approx(want)

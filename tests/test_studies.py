@@ -148,7 +148,7 @@ def test_ramp_detection_has_all_leads_and_detectors(spark, sf):
     one = {r.h: (r.n_events, r.threshold, r.base_rate) for r in got if r.detector == "boost_fleet"}
     assert all(one[r.h] == (r.n_events, r.threshold, r.base_rate) for r in got)
     plain = {r.h: r for r in P.QUERIES["ramp_volatility"](spark, sf).collect()}
-    assert all(plain[r.h].n_events == r.n_events and plain[r.h].auc == pytest.approx(r.auc, abs=1e-5) for r in got if r.detector == "volatility_persistence")
+    assert all(plain[r.h].n_events == r.n_events and plain[r.h].auc == pytest.approx(r.auc, abs=2e-3) for r in got if r.detector == "volatility_persistence")
 
 
 def test_paired_models_compare_units(spark):

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions import scalars as S
@@ -127,19 +125,38 @@ def es_z2(c: DataFrame, alpha: float) -> DataFrame:
     return c.withColumn("es_z2", F.when(F.col("x") > 0, F.col("es_sum") / (F.col("n") * (1.0 - alpha)) - 1.0))
 
 
-def es_p_values(b: DataFrame, alpha: float, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Bootstrap p-values of es_z2 per unit: only breaches (a share 1 - alpha of rows) reach the grouped map."""
-    p = 1.0 - alpha
-    sizes = b.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    hits = b.where("exceed").select("unit", (F.col("y") / F.col("es")).alias("ratio")).join(sizes, "unit")
+#: Draws of the bootstrap.
+DRAWS = 400
+
+
+def poisson_cdf(mean: Column) -> Column:
+    """Array of P(X <= k) for k = 0, 1, ... of a Poisson variable, as far as 32 bits can tell from 1."""
+    last = F.ceil(mean + 10 * F.sqrt(mean) + 10).cast("int")
+    start = F.struct(F.array(F.exp(-mean)).alias("cdf"), F.exp(-mean).alias("p"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"), p.alias("p"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, n, pool = np.random.default_rng(seed), int(pdf["n"].iloc[0]), np.sort(pdf["ratio"].to_numpy())
-        z2 = pool.sum() / (n * p) - 1.0
-        null = np.array([rng.choice(pool, k).sum() / (n * p) - 1.0 if k else -1.0 for k in rng.binomial(n, p, draws)])
-        return pd.DataFrame({"unit": [pdf["unit"].iloc[0]], "es_p": [float((null >= z2).mean())]})
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])
 
-    return hits.groupBy("unit").applyInPandas(run, "unit string, es_p double")
+
+def es_p_values(b: DataFrame, alpha: float, draws: int = DRAWS) -> DataFrame:
+    """Bootstrap p-values of es_z2 per unit: how often a draw's is at least as large. Units without breaches have none.
+
+    A Poisson bootstrap: in every draw a breach counts a Poisson number of times, whose mean makes the expected number of breaches
+    n (1 - alpha); so the number of breaches varies as by chance and their ratios come from those seen. The number is read off a hash
+    of unit, step and draw, which makes it one aggregation, the same wherever and however often it runs."""
+    p = 1.0 - alpha
+    hits = b.where("exceed").select("unit", "step", (F.col("y") / F.col("es")).alias("ratio"))
+    sizes = b.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exceed").cast("long")).alias("x"), F.sum(F.when(F.col("exceed"), F.col("y") / F.col("es"))).alias("seen")).where("x > 0")
+    sizes = sizes.withColumn("cdf", poisson_cdf(F.col("n") * p / F.col("x")))
+    drawn = hits.join(sizes.select("unit", "cdf"), "unit").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    part = F.conv(F.substring(F.md5(F.concat_ws("/", "unit", "step", "draw")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    times = F.size(F.filter("cdf", lambda c: F.col("_at") >= c))
+    sums = drawn.withColumn("_at", part).groupBy("unit", "draw").agg(F.sum(times * F.col("ratio")).alias("sum"))
+    z2 = lambda s: F.col(s) / (F.col("n") * p) - 1.0
+    return sums.join(sizes.select("unit", "n", "seen"), "unit").groupBy("unit").agg(F.avg((z2("sum") >= z2("seen")).cast("double")).alias("es_p"))
 
 
 def backtest_panel(fc: DataFrame, alpha: float, bootstrap: bool = False, by_unit_pool: bool = False, steps: int = SEGMENT) -> DataFrame:

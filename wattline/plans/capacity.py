@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline import adapters as A
 from wattline.functions import scalars as S
 from wattline.operators import capacity as Q
+from wattline.sources import bucketed as T
 
 U, M, P = A.USAGE_SQL, A.MACHINES_SQL, A.POWER_SQL
 TIER_SQL = "CASE WHEN priority BETWEEN 0 AND 99 THEN '1_free' WHEN priority BETWEEN 100 AND 115 THEN '2_beb' WHEN priority BETWEEN 116 AND 119 THEN '3_mid' ELSE '4_prod' END"
@@ -35,12 +38,22 @@ def _machine(s, d):
     return Q.machine_usage(A.usage(s, d), A.machine_events(s, d))
 
 
+def _bucketed(s, d):
+    """Usage and instance events in buckets of the instance, as a warehouse would hold them."""
+    usage, events = A.usage(s, d), A.instance_events(s, d)
+    n = T.buckets_for(64 << 20, s.sparkContext.defaultParallelism)
+    tag = uuid.uuid4().hex
+    return T.write_bucketed(usage, f"usage_{tag}", Q.INSTANCE, n), T.write_bucketed(events, f"events_{tag}", Q.INSTANCE, n)
+
+
 QUERIES = {
     "capacity_shapes": lambda s, d: rounded(Q.capacity_shapes(A.machine_events(s, d)).select(F.col("cpus").cast("double").alias("cpus"), F.col("memory").cast("double").alias("memory"), "num_machines")),
     "distinct_collections": lambda s, d: Q.distinct_collections(A.usage(s, d)),
     "cell_capacity_sum_of_max": lambda s, d: rounded(Q.cell_capacity(A.machine_events(s, d))),
     "usage_with_tier": lambda s, d: rounded(Q.usage_with_tier(A.usage(s, d), A.instance_events(s, d)).fillna({"priority": -2})),
     "hourly_tier_utilization": lambda s, d: rounded(Q.hourly_tier_utilization(A.usage(s, d), A.instance_events(s, d), A.machine_events(s, d)), 9),
+    "usage_with_tier_bucketed": lambda s, d: rounded(Q.usage_with_tier(*_bucketed(s, d)).fillna({"priority": -2})),
+    "hourly_tier_utilization_bucketed": lambda s, d: rounded(Q.hourly_tier_utilization(*_bucketed(s, d), A.machine_events(s, d)), 9),
     "machine_capacity": lambda s, d: rounded(Q.machine_capacity(A.machine_events(s, d))),
     "top_level_usage": lambda s, d: rounded(Q.top_level_usage(A.usage(s, d))),
     "machine_usage_vs_capacity": lambda s, d: rounded(_machine(s, d)),
@@ -109,3 +122,4 @@ ORACLES = {
     "histogram_cdf": f"WITH {P}, h AS (SELECT round(CAST(round(u / 0.0001) AS BIGINT) * 0.0001::DOUBLE, 3) AS bins, count(*) AS counts FROM power WHERE NOT badm AND NOT badp AND pdu LIKE 'pdu%' GROUP BY 1) SELECT {r('bins', 'bins')}, {r('sum(counts) OVER (ORDER BY bins) / sum(counts) OVER ()', 'share')} FROM h",
     "tier_counts": f"WITH {U} SELECT {TIER_SQL} AS tier, CASE WHEN priority < 120 THEN 'cappable' ELSE 'production' END AS two_way, count(*) AS n FROM instance_events GROUP BY 1, 2",
 }
+ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("usage_with_tier", "hourly_tier_utilization")}

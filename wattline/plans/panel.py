@@ -467,6 +467,11 @@ ORACLES = {
     "basel_zone": f"""WITH {POWER}, {FHS}, {BREACH}, z AS (SELECT unit, recent_x, (SELECT least(1.0, sum(exp(lgamma(recent_n + 1) - lgamma(k + 1) - lgamma(recent_n - k + 1) + k * ln(0.05) + (recent_n - k) * ln(0.95)))) FROM range(251) AS t(k) WHERE k <= recent_x) AS cum FROM c)
         SELECT unit, recent_x, {r('cum', 'cum_prob')}, CASE WHEN cum < 0.95 THEN 'green' WHEN cum < 0.9999 THEN 'yellow' ELSE 'red' END AS basel_zone FROM z""",
     "es_z2": f"WITH {POWER}, {FHS}, {BREACH} SELECT unit, {r('CASE WHEN x > 0 THEN es_sum / (n * 0.05) - 1 END', 'es_z2')} FROM c",
+    "es_bootstrap": f"""WITH {POWER}, {FHS_AR}, br AS (SELECT unit, step, u / es AS ratio, u > var AS e FROM f), sz AS (SELECT unit, count(*) AS n, count(*) FILTER (e) AS x, sum(ratio) FILTER (e) AS seen FROM br GROUP BY 1), la AS (SELECT *, n * (1 - 0.95::DOUBLE) / x AS l FROM sz WHERE x > 0),
+        ks AS (SELECT unit, k, sum(exp(-l + k * ln(l) - lgamma(k + 1))) OVER (PARTITION BY unit ORDER BY k) AS c FROM la, range(10000) AS r(k) WHERE k <= ceil(l + 10 * sqrt(l) + 10)), cs AS (SELECT unit, list(c ORDER BY k) AS cdf FROM ks GROUP BY 1),
+        drawn AS (SELECT br.unit, draw, ratio, cdf, CAST('0x' || substr(md5(br.unit || '/' || step || '/' || draw), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS h FROM br JOIN cs USING (unit), range(1, {B.DRAWS + 1}) AS d(draw) WHERE e),
+        nu AS (SELECT unit, draw, sum(len(list_filter(cdf, lambda c: h >= c)) * ratio) AS s FROM drawn GROUP BY 1, 2)
+        SELECT unit, {r('avg(CAST(s / (n * (1 - 0.95::DOUBLE)) - 1 >= seen / (n * (1 - 0.95::DOUBLE)) - 1 AS INTEGER))', 'es_p')} FROM nu JOIN la USING (unit) GROUP BY unit""",
     "backtest_pooled": f"WITH {POWER}, {FHS.replace('f AS (SELECT * FROM e', 'f0 AS (SELECT * FROM e')}, f AS (SELECT 'all' AS unit, row_number() OVER (ORDER BY unit, step) AS step, u, var, es FROM f0), {BREACH} SELECT n, x, n00, n01, n10, n11, recent_x, {r(KUPIEC, 'kupiec_lr')}, {r(IND, 'ind_lr')} FROM c",
     "clustering_stats": f"""WITH {POWER}, {EMPIRICAL.replace('f AS (', 'f0 AS (', 1)}, f AS (SELECT unit, step, u, var, es FROM f0 UNION ALL SELECT 'all', row_number() OVER (ORDER BY unit, step), u, var, es FROM f0), {BREACH},
         p AS (SELECT x / n AS rate, n01 / greatest(1, n00 + n01) AS p01, n11 / greatest(1, n10 + n11) AS p11 FROM c WHERE unit = 'all'), k AS (SELECT count(*) FILTER (exp(-({KUPIEC} + {IND}) / 2) > 0.05) AS cc_pass, count(*) AS n_units FROM c WHERE unit != 'all')
