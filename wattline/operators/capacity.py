@@ -79,9 +79,9 @@ def machine_usage(usage: DataFrame, machine_events: DataFrame) -> DataFrame:
     return sums.join(machine_capacity(machine_events), "machine_id").select("time", "machine_id", "cpu_usage", "memory_usage", F.col("cpu_cap").alias("cpu_capacity"), F.col("memory_cap").alias("memory_capacity"))
 
 
-def capped_utilization(machine: DataFrame) -> DataFrame:
+def capped_utilization(machine: DataFrame, *kept: str) -> DataFrame:
     capped = lambda u, c: F.when(F.col(u) > F.col(c), 1.0).otherwise(S.ratio(u, c))
-    return machine.select(capped("cpu_usage", "cpu_capacity").alias("cpu_util"), capped("memory_usage", "memory_capacity").alias("memory_util"))
+    return machine.select(*kept, capped("cpu_usage", "cpu_capacity").alias("cpu_util"), capped("memory_usage", "memory_capacity").alias("memory_util"))
 
 
 def cdf_points(arrays: DataFrame, **labels: str) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline import adapters as A
+from wattline import constants as C
 from wattline.functions import scalars as S
 from wattline.operators import capacity as Q
+from wattline.operators import sketches as K
+from wattline.scratch import keep
 from wattline.sources import bucketed as T
 
 U, M, P = A.USAGE_SQL, A.MACHINES_SQL, A.POWER_SQL
@@ -46,6 +49,21 @@ def _bucketed(s, d):
     return T.write_bucketed(usage, f"usage_{tag}", Q.INSTANCE, n), T.write_bucketed(events, f"events_{tag}", Q.INSTANCE, n)
 
 
+#: Rank error that a sketch of all hours may have.
+SKETCH_ERROR = 0.01
+UTIL = ["cpu_util", "memory_util"]
+
+
+def _sketched(s, d):
+    """Capped utilization sketched by hour and machine group, merged to hours, and these to all: points with their rank errors."""
+    m = keep(_machine(s, d), "machine-use")
+    rows = Q.capped_utilization(m, "time", "machine_id")
+    hours = keep(K.sketched(rows, [S.bucket("time", C.HOUR_US).alias("hour_index"), (F.col("machine_id") % 4).alias("part")], UTIL), "sketches")
+    whole = K.merged(K.merged(hours, ["hour_index"], UTIL), [], UTIL)
+    found = K.rank_errors(K.points(whole, [], UTIL), rows, UTIL)
+    return found.select("label", "i", "y", "size", (F.col("error") <= SKETCH_ERROR).alias("within"))
+
+
 QUERIES = {
     "capacity_shapes": lambda s, d: rounded(Q.capacity_shapes(A.machine_events(s, d)).select(F.col("cpus").cast("double").alias("cpus"), F.col("memory").cast("double").alias("memory"), "num_machines")),
     "distinct_collections": lambda s, d: Q.distinct_collections(A.usage(s, d)),
@@ -59,6 +77,7 @@ QUERIES = {
     "machine_usage_vs_capacity": lambda s, d: rounded(_machine(s, d)),
     "utilization_quantiles_exact": lambda s, d: rounded(Q.utilization_quantiles(_machine(s, d), exact=True)),
     "utilization_quantiles_approx": lambda s, d: rounded(Q.utilization_quantiles(_machine(s, d))),
+    "utilization_sketches": lambda s, d: rounded(_sketched(s, d)),
     "unit_average": lambda s, d: rounded(Q.unit_average(A.power(s, d), "b", "pdu1")),
     "cell_min_max": lambda s, d: rounded(Q.power_extremes(A.power(s, d), "cell"), 9),
     "cell_unit_min_max_ordered": lambda s, d: rounded(Q.power_extremes(A.power(s, d), "cell", "pdu").orderBy("cell", "pdu"), 9),
@@ -122,4 +141,6 @@ ORACLES = {
     "histogram_cdf": f"WITH {P}, h AS (SELECT round(CAST(round(u / 0.0001) AS BIGINT) * 0.0001::DOUBLE, 3) AS bins, count(*) AS counts FROM power WHERE NOT badm AND NOT badp AND pdu LIKE 'pdu%' GROUP BY 1) SELECT {r('bins', 'bins')}, {r('sum(counts) OVER (ORDER BY bins) / sum(counts) OVER ()', 'share')} FROM h",
     "tier_counts": f"WITH {U} SELECT {TIER_SQL} AS tier, CASE WHEN priority < 120 THEN 'cappable' ELSE 'production' END AS two_way, count(*) AS n FROM instance_events GROUP BY 1, 2",
 }
+ORACLES["utilization_sketches"] = f"""WITH {U}, {M}, {SAMPLES}, {CAPS}, {MACHINE_USE}, n AS (SELECT count(*) FILTER (cpu_cap IS NOT NULL) AS cpu, count(*) FILTER (memory_cap IS NOT NULL) AS memory FROM muse JOIN caps USING (machine_id)),
+        l AS (SELECT 'cpu_util' AS label, cpu AS size FROM n UNION ALL SELECT 'memory_util', memory FROM n) SELECT label, CAST(i AS INTEGER) AS i, {r('i / 100.0::DOUBLE', 'y')}, size, true AS "within" FROM l, range(101) AS t(i)"""
 ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("usage_with_tier", "hourly_tier_utilization")}
