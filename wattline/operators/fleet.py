@@ -463,7 +463,7 @@ def segment_scan(points: DataFrame, vector: str, key: str, truth: str, ks: Seque
 
     settings = spark.range(starts).selectExpr("CAST(id AS int) AS start", f"explode(array({', '.join(map(str, ks))})) AS k")
     tried = settings.groupBy("k", "start").applyInPandas(one, "k int, start int, inertia double, labels array<int>")
-    best = tried.groupBy("k").agg(F.min("inertia").alias("inertia"), F.min_by("labels", F.struct("inertia", "start")).alias("labels")).cache()
+    best = keep(tried.groupBy("k").agg(F.min("inertia").alias("inertia"), F.min_by("labels", F.struct("inertia", "start")).alias("labels")), "starts")
     chance = best.groupBy("k").applyInPandas(level, "k int, chance_p95 double")
     units = spark.createDataFrame([(i, r["key"], r.truth, [float(e) for e in r.v]) for i, r in enumerate(rows)], "i int, key string, truth string, v array<double>")
     each = best.select("k", F.posexplode("labels").alias("i", "label")).join(F.broadcast(units), "i")
