@@ -5,13 +5,14 @@ import random
 import re
 import subprocess
 import sys
+import time
 
 import corpus_pipeline
 import pytest
 from fixtures import SCHEMA, classes, documents, fingerprint, jaccard_components, prose, repeats
 from pyspark.sql import functions as F
 
-from wattline.llm import components, exact, jaccard, simhash, substring
+from wattline.llm import _support, components, exact, jaccard, simhash, substring
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +172,24 @@ print("FOLDER", s.sparkContext.getCheckpointDir())
     assert not [f for f in os.listdir(folder) if f.startswith("wattline-")]
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A chain of written tables holds no shuffle files of the steps behind it, and the session's settings stay."""
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" "))}
+    was, before = spark.conf.get(_support.CLEANUP, None), files()
+    table = spark.range(20_000)
+    for step in range(3):
+        table = _support.keep(table.repartition(3, F.xxhash64("id", F.lit(step))), "step")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert table.count() == 20_000 and spark.conf.get(_support.CLEANUP, None) == was
+    twice = spark.range(1000).groupBy(F.expr("id % 7 AS k")).count()
+    assert sorted(twice.collect()) == sorted(twice.collect()) and twice.count() == 7
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     kept = simhash.drop_near_duplicates(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     ids = sorted(r.doc_id for r in kept.collect())

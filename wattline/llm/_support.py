@@ -29,12 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Setting by which a query's shuffle files go when it has ended, and not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and what
-    is read later survives the loss of any executor. The table is deleted when the driver ends, or by forget()."""
+    is read later survives the loss of any executor. The table is deleted when the driver ends, or by forget(). The write's
+    shuffle files go with it: nothing reads them after it, and a chain of tables would otherwise hold those of all its steps."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wattline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
