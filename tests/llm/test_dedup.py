@@ -217,3 +217,28 @@ def test_pipeline_stage_finds_similarity_of_four_fifths(spark, monkeypatch, larg
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df.selectExpr("*", "1 AS n_chars"), "").collect()} == {i for i, c in want.items() if i == c}
     near = {(i, c) for i, c in want.items() if i != c}
     assert sum((fingerprint(rows[i][1]) ^ fingerprint(rows[c][1])).bit_count() > 2 for i, c in near) > 20
+
+
+def test_pipeline_stage_links_what_meets_in_a_ball(spark, monkeypatch):
+    """The first links of the stage are of operator 1's method: similar texts with fingerprints within two bits, and no others that meet."""
+    rng, rows = random.Random(31), []
+    for _ in range(12):
+        base = prose(rng, 400).split()
+        rows.append(" ".join(base))
+        for at in (0, 399):
+            rows.append(" ".join(prose(rng, 1) + str(len(rows)) if i == at else w for i, w in enumerate(base)))
+    rows += ["a b c d e", "a b c d e " * 40]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.id: r.fp % 2**64 for r in jaccard.prefixes(df, 5, 80, 100, "doc_id", "text").collect()}
+    assert prints == {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    steps, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda *a: steps.append(verified(*a)) or steps[-1])
+    seen = {}
+    forget = jaccard.forget
+    monkeypatch.setattr(jaccard, "forget", lambda *t: (seen.update({0: steps[0].collect()}) if steps and 0 not in seen else None, forget(*t)))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df.selectExpr("*", "1 AS n_chars"), "").collect()} == {i for i, c in jaccard_components(rows).items() if i == c}
+    found, want = {(r.a, r.b) for r in seen[0]}, jaccard_components(rows)
+    near = {(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2 and want[i] == want[j]}
+    root = classes({i: 1 for i in prints}, lambda a, b: (min(a, b), max(a, b)) in found)
+    assert len(near) >= 5 and all(root[i] == root[j] for i, j in near) and all(want[a] == want[b] for a, b in found)

@@ -14,11 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import jaccard
 from wattline.llm._support import forget, join_by_key, keep, raw, slices
+from wattline.llm.balls import ball_edges, bit_counts, majority
 from wattline.llm.components import components, repeated_links
 
 BLOCK = 1 << 16
@@ -35,11 +36,8 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     for at in range(0, n, BLOCK):
         stop = min(n, at + BLOCK)
         parts = (words[at + i : stop + i] for i in range(size))
-        h = np.fromiter((digest(join(s), 42) for s in zip(*parts, strict=True)), np.uint64, stop - at)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for part in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            ones += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        ones += bit_counts(np.fromiter((digest(join(s), 42) for s in zip(*parts, strict=True)), np.uint64, stop - at))
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,16 +52,6 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, fp long")
 
 
-def ball_edges(classes: DataFrame) -> DataFrame:
-    """classes(fp, rep), one row per distinct fingerprint -> links (a, b) between reps."""
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in (*(1 << i for i in range(63)), -(1 << 63))))
-    near = classes.select("fp", "rep", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "rep")
-    order = Window.partitionBy("variant").orderBy("fp")
-    pairs = near.select("fp", "rep", F.lag("fp").over(order).alias("fp2"), F.lag("rep").over(order).alias("rep2")).where("fp2 IS NOT NULL")
-    verified = pairs.where("bit_count(fp ^ fp2) <= 2 AND rep != rep2")
-    return verified.selectExpr("least(rep, rep2) AS a", "greatest(rep, rep2) AS b").distinct()
-
-
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fp, component_id (smallest id reachable over links of at most two
     differing bits, the document itself included).
@@ -85,8 +73,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
 def drop_near_duplicates(docs: DataFrame, size: int = 3, percent: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the smallest id; all columns kept. Rows
     without an id stay. With `percent`, documents are linked at a Jaccard similarity of so many hundredths or more of their
-    shingles in place of fingerprints within two bits: fingerprints of texts with four fifths of their shingles in common
-    mostly differ in more bits than any ball can reach, so the links are then found by the join in jaccard.py."""
+    shingles: pairs that meet in a ball are verified on them, and as fingerprints of texts with four fifths of their shingles
+    in common mostly differ in more bits than any ball can reach, the exact join in jaccard.py finds the links that are left."""
     found = near_duplicates(docs, size, id_col, text_col) if percent is None else jaccard.near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
     stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _wattline_stays").distinct()
     return docs.join(stays, docs[id_col].eqNullSafe(stays["_wattline_stays"]), "left_semi")
