@@ -8,6 +8,7 @@ import sys
 import time
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from fixtures import SCHEMA, classes, documents, fingerprint, jaccard_components, prose, repeats
 from pyspark.sql import functions as F
@@ -242,3 +243,45 @@ def test_pipeline_stage_links_what_meets_in_a_ball(spark, monkeypatch):
     near = {(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2 and want[i] == want[j]}
     root = classes({i: 1 for i in prints}, lambda a, b: (min(a, b), max(a, b)) in found)
     assert len(near) >= 5 and all(root[i] == root[j] for i, j in near) and all(want[a] == want[b] for a, b in found)
+
+
+def test_texts_are_sent_only_for_pairs_that_can_be_similar(spark, monkeypatch):
+    """Texts with a common passage, whose order by counts is not known, are not sent to be compared; a group of near copies is sent in
+    bounded parts until it hangs together, and not as all its pairs."""
+    monkeypatch.setattr(jaccard, "common", lambda *a: (np.array([], np.int64), np.array([], np.int64)))
+    rng = random.Random(41)
+    passage, rows = prose(rng, 30), [" ".join(f"{w}{i}" for w in prose(rng, 95 + i % 7).split()) for i in range(30)]
+    rows = [f"{r} {passage}" for r in rows]
+    base = prose(rng, 200).split()
+    for i in range(20):
+        rows.append(" ".join([*base[: 6 * i], f"changed{i}", *base[6 * i + 1 :]]))
+    rows = list(enumerate(rows))
+    sent, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: sent.append(pairs.count()) or verified(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10**9, 0):  # all pairs at once, then in parts
+        sent.clear()
+        monkeypatch.setattr(jaccard, "LEAST_SENT", most, raising=False)
+        assert {r.id: r.component_id for r in jaccard.near_duplicates(df).collect()} == jaccard_components(rows)
+        assert sum(sent) <= 20 * 19 // 2
+    assert len(sent) > 1 and max(sent) < 60 and sum(sent) < 20 * 19 // 2
+
+
+def test_bits_bound_how_far_sets_are_apart(spark):
+    """No similar pair is lost by its bits, whatever the widths; pairs that are far apart are."""
+    rng = np.random.default_rng(7)
+    sets = [rng.integers(-(2**63), 2**63 - 1, n, np.int64) for n in (1, 2, 63, 64, 65, 129, 500, 1024, 1025, 5000)]
+    sets += [s[: max(1, int(len(s) * f))] for s in sets for f in (0.9, 0.8, 0.79, 0.3)]
+    rows = [(i, len(s), jaccard.parities(np.unique(s)).tolist()) for i, s in enumerate(map(np.unique, sets))]
+    every = spark.createDataFrame(rows, "cls long, n int, bits array<long>")
+    pairs = every.selectExpr("cls AS a").join(every.selectExpr("cls AS b")).where("a < b")
+    for percent in (80, 30):
+        got = {(r.a, r.b): r.n for r in jaccard.possible(pairs, every, percent).collect()}
+        far = {}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                far[a, b] = len(np.intersect1d(sets[a], sets[b])) * (100 + percent) < percent * (rows[a][1] + rows[b][1])
+        assert all(p in got for p, f in far.items() if not f)
+        assert all(n == rows[a][1] + rows[b][1] for (a, b), n in got.items())
+        if percent == 80:
+            assert sum(far[p] for p in got) < sum(far.values()) / 20
