@@ -128,6 +128,32 @@ def test_segments_of_two_clusters(spark):
     assert got[2].adjusted_rand == pytest.approx(1.0) and got[2].silhouette > 0.8 > got[3].silhouette and got[2].chance_p95 < 0.5 and got[3].inertia < got[2].inertia
 
 
+def test_silhouettes_of_any_number_of_points(spark):
+    """Blocks of points, copies and several groupings at once against all pairs; more points than a task or the driver would hold are no error."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 1, (40, 5)), rng.normal(3, 1, (50, 5)), np.full((4, 5), 9.0)]) + 1e5
+    x = np.vstack([x, x[:30], x[:1]])
+    groups = {"a": np.r_[np.zeros(40), np.ones(50), np.full(4, 2), np.zeros(30), 3].astype(int), "b": rng.integers(0, 3, 125), "c": np.zeros(125, int)}
+
+    def plain(g):
+        gaps, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), []
+        for i in range(len(x)):
+            same = (g == g[i]) & (np.arange(len(x)) != i)
+            others = [gaps[i, g == h].mean() for h in set(g) - {g[i]}]
+            top = max(gaps[i, same].mean(), min(others)) if same.any() and others else 0
+            out.append((min(others) - gaps[i, same].mean()) / top if top else 0.0)
+        return np.mean(out)
+
+    rows = [(i, *(int(g[i]) for g in groups.values()), x[i].tolist()) for i in range(len(x))] + [(900, None, 1, 1, None), (901, 0, 1, 1, None)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int, v array<double>").repartition(3)
+    for block in (7, 2048):
+        got = E.silhouettes(df, "v", list(groups), block).first().asDict()
+        assert got == pytest.approx({c: plain(g) for c, g in groups.items()}, abs=1e-9)
+    assert E.silhouette(df.limit(0), "v", "a", "id").first()["silhouette"] is None
+    many = spark.range(20_500).selectExpr("id", "id % 2 AS a", "array(CAST(id % 2 AS double), CAST(id % 50 AS double) / 100) AS v")
+    assert 0.5 < E.silhouette(many, "v", "a", "id").first()["silhouette"] < 1
+
+
 def test_dense_panels(spark):
     full = spark.range(12).selectExpr("CONCAT('u', id % 3) AS unit", "id DIV 3 AS step", "1.0D AS x")
     W.require_dense(full, ["x"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import scalars as S
 from wattline.operators.ranked import quantile_row, quantiles_by, running
-from wattline.scratch import keep
+from wattline.scratch import forget, keep
 
 
 def by_score(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -98,35 +98,99 @@ def wilcoxon_by(df: DataFrame, diff: str, keys: Sequence[str]) -> DataFrame:
     return s.select(*keys, "n", "w_plus", S.ratio(F.col("w_plus") - mean, F.sqrt(var)).alias("z")).withColumn("p_value", S.chi2_sf1(F.col("z") * F.col("z")))
 
 
-def silhouette(points: DataFrame, vector: str, label: str, key: str, most: int = 20_000, block: int = 512) -> DataFrame:
-    """Mean Euclidean silhouette of a small set: one row. Distances need all points, so their number is checked
-    before they are sent to the tasks, which then compare them block by block. Points alone in their group count 0."""
-    rows = points.select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l")).where("v IS NOT NULL AND l IS NOT NULL")
-    held = rows.limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} points")
-    everything = np.array([r.v for r in held], float)
-    names, group = np.unique([r.l for r in held], return_inverse=True)
-    member = np.eye(len(names))[group] if held else np.zeros((0, 0))
-    shared = points.sparkSession.sparkContext.broadcast((everything, member, {n: i for i, n in enumerate(names.tolist())}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every, member, place = shared.value
-        size, square = member.sum(axis=0), (every**2).sum(axis=1)
+def silhouette(points: DataFrame, vector: str, label: str, key: str, block: int = 2048) -> DataFrame:
+    """Mean Euclidean silhouette: one row. Points without a vector or label are left out, points alone in their group count 0."""
+    return silhouettes(points, vector, [label], block).withColumnRenamed(label, "silhouette")
+
+
+def silhouettes(points: DataFrame, vector: str, labels: Sequence[str], block: int = 2048) -> DataFrame:
+    """Mean Euclidean silhouette of each of several groupings: one row, a column named after each. Distances need all pairs of distinct
+    points, whatever the groupings: blocks of points meet in a cross join, so that none goes to the driver and a task
+    holds a few blocks; a point sums its distances by group, so groups should be few (a number a point and group)."""
+    n = len(labels)
+    rows = points.select(F.col(vector).cast("array<double>").alias("v"), *(F.col(c).cast("string").alias(f"l{j}") for j, c in enumerate(labels)))
+    rows = keep(rows.where("v IS NOT NULL").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w")), "points")
+    sizes = [{r[0]: r[1] for r in rows.where(f"l{j} IS NOT NULL").groupBy(f"l{j}").agg(F.sum("w")).collect()} for j in range(n)]
+    names = [sorted(s) for s in sizes]
+    places = [{x: i for i, x in enumerate(x)} for x in names]
+    size = [np.array([s[x] for x in x], float) for s, x in zip(sizes, names, strict=True)]
+    cuts = np.cumsum([0, *map(len, names)])
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        group = np.array([part[f"l{j}"].map(places[j]).fillna(-1).to_numpy(np.int32) for j in range(n)], np.int32)
+        return pd.DataFrame({"v": [np.array(part["v"].tolist(), float).tobytes()], "w": [part["w"].to_numpy(float).tobytes()], "g": [group.tobytes()]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            while len(held) >= block:
+                yield packed(held.iloc[:block])
+                held = held.iloc[block:]
+        if held is not None and len(held):
+            yield packed(held)
+
+    def members(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(w), cuts[-1]))
+        for j in range(n):
+            known = np.nonzero(g[j] >= 0)[0]
+            out[known, cuts[j] + g[j][known]] = w[known]
+        return out
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, None
         for pdf in batches:
-            for at in range(0, len(pdf), block):
-                part = pdf.iloc[at : at + block]
-                x, mine = np.array(part["v"].tolist(), float), part["l"].map(place).to_numpy()
-                gaps = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ every.T, 0.0))
-                sums, i = gaps @ member, np.arange(len(part))
-                own = sums[i, mine] / np.maximum(size[mine] - 1, 1)
-                mean = sums / size
-                mean[i, mine] = np.inf
-                other = mean.min(axis=1) if len(size) > 1 else np.full(len(part), np.inf)
-                alone = (size[mine] < 2) | ~np.isfinite(other) | (np.maximum(own, other) == 0)
-                yield pd.DataFrame({"s": np.where(alone, 0.0, (np.where(alone, 0.0, other) - own) / np.where(alone, 1.0, np.maximum(own, other)))})
-
-    return rows.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+            for i, v, j, u, w, g in zip(*(pdf[c] for c in ("block", "v", "block_b", "v_b", "w_b", "g_b")), strict=True):
+                if at != i and at is not None:
+                    yield pd.DataFrame({"block": [at], "sums": [sums.tobytes()]})
+                w = np.frombuffer(w)
+                y = np.frombuffer(u).reshape(len(w), -1)
+                x = np.frombuffer(v).reshape(-1, y.shape[1])
+                member = members(w, np.frombuffer(g, np.int32).reshape(n, -1))
+                sums = np.zeros((len(x), cuts[-1])) if at != i else sums
+                at = i
+                for k in range(0, len(x), 512):
+                    gaps = distances(x[k : k + 512], y)
+                    if i == j:
+                        np.fill_diagonal(gaps[:, k:], 0.0)
+                    sums[k : k + 512] += gaps @ member
+        if at is not None:
+            yield pd.DataFrame({"block": [at], "sums": [sums.tobytes()]})
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, g = np.frombuffer(pdf["w"].iloc[0]), np.frombuffer(pdf["g"].iloc[0], np.int32).reshape(n, -1)
+        sums, out = sum(np.frombuffer(s).reshape(len(w), -1) for s in pdf["sums"]), {}
+        for j in range(n):
+            known = np.nonzero(g[j] >= 0)[0]
+            mine, own, i = g[j][known], sums[known, cuts[j] : cuts[j + 1]], np.arange(len(known))
+            mean, own = own / size[j], own[i, mine] / np.maximum(size[j][mine] - 1, 1)
+            mean[i, mine] = np.inf
+            other = mean.min(axis=1, initial=np.inf)
+            alone = (size[j][mine] < 2) | ~np.isfinite(other) | (np.maximum(own, other) == 0)
+            each = np.where(alone, 0.0, (np.where(alone, 0.0, other) - own) / np.where(alone, 1.0, np.maximum(own, other)))
+            out |= {f"s{j}": [float(each @ w[known])], f"n{j}": [float(w[known].sum())]}
+        return pd.DataFrame(out)
+
+    blocks = keep(rows.mapInPandas(pack, "v binary, w binary, g binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    forget(rows)
+    tasks = min(max(1, blocks.count()), 4 * points.sparkSession.sparkContext.defaultParallelism)
+    met = blocks.select("block", "v").repartition(tasks).crossJoin(blocks.select(*(F.col(c).alias(f"{c}_b") for c in ("block", "v", "w", "g"))))
+    sums = met.mapInPandas(meet, "block long, sums binary").join(blocks.select("block", "w", "g"), "block")
+    each = sums.groupBy("block").applyInPandas(score, ", ".join(f"s{j} double, n{j} double" for j in range(n)))
+    return each.agg(*(S.ratio(F.sum(f"s{j}"), F.sum(f"n{j}")).alias(c) for j, c in enumerate(labels)))
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; those of close rows, where products of a matrix leave few digits, from differences."""
+    center = y.mean(axis=0)
+    u, v = x - center, y - center
+    a, b = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    gaps = a[:, None] + b - 2 * u @ v.T
+    i, j = np.nonzero(gaps <= 1e-7 * (a[:, None] + b))
+    for at in range(0, len(i), 1 << 16):
+        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        gaps[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    return np.sqrt(gaps)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
