@@ -152,6 +152,8 @@ def test_silhouettes_of_any_number_of_points(spark):
     assert E.silhouette(df.limit(0), "v", "a", "id").first()["silhouette"] is None
     many = spark.range(20_500).selectExpr("id", "id % 2 AS a", "array(CAST(id % 2 AS double), CAST(id % 50 AS double) / 100) AS v")
     assert 0.5 < E.silhouette(many, "v", "a", "id").first()["silhouette"] < 1
+    scan = {r.k: r for r in L.kmeans_scan(many, "v", "id", "a", (2, 3)).collect()}
+    assert scan[2].adjusted_rand == pytest.approx(1.0) and scan[2].silhouette > scan[3].silhouette
 
 
 def test_dense_panels(spark):

@@ -7,6 +7,7 @@ driver's, behind a check of the number of units.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -406,12 +407,17 @@ def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kmeans_scan(points: DataFrame, vector: str, key: str, truth: str, ks: Sequence[int] = range(2, 11), seed: int = 0) -> DataFrame:
     """Silhouette and agreement with a known grouping for each k."""
     d = points.select(key, truth, F.col(vector).alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    out = None
+    labelled = d
     for k in ks:
-        labelled = KMeans(k=k, seed=seed, maxIter=20).fit(d).transform(d).select(key, truth, "v", "prediction")
-        row = E.silhouette(labelled, "v", "prediction", key).join(E.adjusted_rand(labelled, truth, "prediction")).select(F.lit(k).alias("k"), "silhouette", "adjusted_rand")
-        out = row if out is None else out.unionByName(row)
-    return out
+        labelled = KMeans(k=k, seed=seed, maxIter=20, predictionCol=f"k{k}").fit(d).transform(labelled)
+    return _groupings(keep(labelled.drop("features"), "labelled"), truth, ks)
+
+
+def _groupings(labelled: DataFrame, truth: str, ks: Sequence[int]) -> DataFrame:
+    """k, silhouette and adjusted_rand of the groupings k2, k3 and so on of a written table; all silhouettes from one pass over the distances."""
+    scores = keep(E.silhouettes(labelled, "v", [f"k{k}" for k in ks]), "scores")
+    rows = [E.adjusted_rand(labelled, truth, f"k{k}").join(scores).select(F.lit(k).alias("k"), F.col(f"k{k}").alias("silhouette"), "adjusted_rand") for k in ks]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def permutation_level(labels: Sequence[object], truth: Sequence[object], draws: int = 2000, q: float = 0.95, seed: int = 0) -> float:
@@ -466,12 +472,8 @@ def segment_scan(points: DataFrame, vector: str, key: str, truth: str, ks: Seque
     best = keep(tried.groupBy("k").agg(F.min("inertia").alias("inertia"), F.min_by("labels", F.struct("inertia", "start")).alias("labels")), "starts")
     chance = best.groupBy("k").applyInPandas(level, "k int, chance_p95 double")
     units = spark.createDataFrame([(i, r["key"], r.truth, [float(e) for e in r.v]) for i, r in enumerate(rows)], "i int, key string, truth string, v array<double>")
-    each = best.select("k", F.posexplode("labels").alias("i", "label")).join(F.broadcast(units), "i")
-    scores = None
-    for k in ks:
-        mine = each.where(F.col("k") == k)
-        row = E.silhouette(mine, "v", "label", "key").join(E.adjusted_rand(mine, "truth", "label")).select(F.lit(k).alias("k"), "silhouette", "adjusted_rand")
-        scores = row if scores is None else scores.unionByName(row)
+    each = best.select(F.concat(F.lit("k"), "k").alias("k"), F.posexplode("labels").alias("i", "label")).groupBy("i").pivot("k", [f"k{k}" for k in ks]).agg(F.first("label"))
+    scores = _groupings(keep(each.join(F.broadcast(units), "i"), "labelled"), "truth", ks)
     return best.select("k", "inertia").join(F.broadcast(scores), "k").join(F.broadcast(chance), "k")
 
 
