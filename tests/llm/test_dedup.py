@@ -197,6 +197,22 @@ def test_near_dedup_keeps_one_of_each(spark, docs):
     assert kept.columns == docs.columns and 0 in ids and 12 not in ids and 13 not in ids
 
 
+@pytest.mark.parametrize("percent", [None, 80])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_without_an_id_go(spark, percent, kind):
+    """Rows without an id are compared like others: one stays of those that are like no document with an id, repeated rows are one."""
+    rng = random.Random(51)
+    a, b, c, d = (prose(rng, 400) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(4, near(a)), (3, a), (5, b), (None, a), (None, near(a)), (None, near(b)), (None, c), (None, near(c)), (None, c), (None, c), (None, d), (None, None), (None, " ")]
+    rows = [(i if i is None or kind == "long" else str(i), t) for i, t in rows]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), 5, percent)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text"] and sorted(str(i) for i, _ in got if i is not None) == ["3", "5"]
+    rest = [t for i, t in got if i is None]
+    assert len(rest) == 3 and d in rest and sum(t in (c, near(c)) for t in rest) == 1 and sum(t in (None, " ") for t in rest) == 1
+
+
 @pytest.mark.parametrize("large", [50, 3])
 def test_pipeline_stage_finds_similarity_of_four_fifths(spark, monkeypatch, large):
     """Near copies that differ in more than 2 bits of 64 are found, and nothing below 0.8 is."""

@@ -71,10 +71,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, percent: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; all columns kept. Rows
-    without an id stay. With `percent`, documents are linked at a Jaccard similarity of so many hundredths or more of their
+    """docs with one document of each component, the one with the smallest id; all columns kept. Rows without an id are
+    documents of their own, known by their texts, and come after all ids: one of them stays where a component has no other. With `percent`,
+    documents are linked at a Jaccard similarity of so many hundredths or more of their
     shingles: pairs that meet in a ball are verified on them, and as fingerprints of texts with four fifths of their shingles
     in common mostly differ in more bits than any ball can reach, the exact join in jaccard.py finds the links that are left."""
-    found = near_duplicates(docs, size, id_col, text_col) if percent is None else jaccard.near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
-    stays = found.where("id IS NULL OR id = component_id").selectExpr("id AS _wattline_stays").distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_wattline_stays"]), "left_semi")
+    unknown, key = docs[id_col].isNull(), id_col
+    nameless = docs.where(unknown).limit(1).count()
+    if nameless:
+        key, text = "_wattline_id", F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+        docs = docs.withColumn(key, F.struct(unknown.alias("last"), F.col(id_col).alias("id"), F.when(unknown, text).alias("text")))
+    found = near_duplicates(docs, size, key, text_col) if percent is None else jaccard.near_duplicates(docs, size, percent, id_col=key, text_col=text_col)
+    stays = found.where("id = component_id").selectExpr("id AS _wattline_stays").distinct()
+    kept = docs.join(stays, docs[key] == stays["_wattline_stays"], "left_semi")
+    if nameless:
+        kept = kept.where(F.col(id_col).isNotNull()).union(kept.where(F.col(id_col).isNull()).dropDuplicates([key])).drop(key)
+    return kept
